@@ -41,10 +41,7 @@ def fit_classifier(df: DataFrame, kind: str = "trees", label: str = "y", weight:
     columns = [array_to_vector("features").alias("_vector"), F.col(label).cast("double").alias("_label")]
     if weight:
         columns.append(F.col(weight).alias("_weight"))
-    names = dict(
-        featuresCol="_vector", labelCol="_label", predictionCol="_prediction",
-        probabilityCol="_probability", rawPredictionCol="_raw",
-    )
+    names = dict(featuresCol="_vector", labelCol="_label", predictionCol="_prediction")
     if kind == "trees":
         learner = GBTClassifier(
             maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=share,
@@ -54,6 +51,7 @@ def fit_classifier(df: DataFrame, kind: str = "trees", label: str = "y", weight:
         learner = LogisticRegression(maxIter=iterations, regParam=1e-3, **names)
     else:
         raise ValueError(f"unknown classifier {kind!r}")
+    learner = learner.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     if weight:
         learner = learner.setWeightCol("_weight")
     return Classifier(kind, learner.fit(df.select(*columns)))

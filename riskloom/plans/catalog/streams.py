@@ -15,6 +15,7 @@ from ...streaming.activity import (
     batch_sessions,
     deduplicate,
     late_events,
+    run_to_folder,
     run_to_table,
     stream_event_features,
     stream_sessions,
@@ -127,7 +128,7 @@ TRUST_CTE = f"""e AS (SELECT user_id::VARCHAR AS user_id, date_trunc('day', ts)
         {h('err', 'event_id')} AS err, CASE WHEN {h('y', 'event_id')} < 0.2e0 THEN 1 ELSE 0 END AS y FROM events),
       c AS (SELECT user_id, w, sum(0.12e0 * (greatest(0e0, least(1e0, ({LOSS}) / 2e0)) - 0.4e0)
         + CASE WHEN y = 0 AND err > 0.8e0 THEN 0.06e0 WHEN y = 1 AND err <= 0.8e0 THEN 0.03e0 ELSE 0e0 END) AS change FROM e GROUP BY user_id, w)"""
-FOLD = "list_reduce(list_prepend(1e0, list(change ORDER BY w)), (t, d) -> greatest(0.15e0, least(1e0, t - d)))"
+FOLD = "list_reduce(list_prepend(1e0, list(change ORDER BY w)), lambda t, d: greatest(0.15e0, least(1e0, t - d)))"
 
 
 @query(
@@ -138,7 +139,8 @@ FOLD = "list_reduce(list_prepend(1e0, list(change ORDER BY w)), (t, d) -> greate
 def trust_stream(spark, folder):
     """The newest running trust of every user."""
     changes = trust_changes(scored_activity(_stream(spark, folder)), HIGH, MEAN, 0.8)
-    running = run_to_table(stream_user_trust(changes), "trust")
+    closed = parquet_stream(spark, run_to_folder(changes, "changes"), changes.schema)
+    running = run_to_table(stream_user_trust(closed), "trust")
     newest = F.max_by("trust", "window_end")
     return running.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_windows"), r6(newest).alias("trust"))
 

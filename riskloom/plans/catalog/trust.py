@@ -300,7 +300,7 @@ def trust_per_user(spark, folder):
     f"""WITH {KS_CTE}, z AS (SELECT feature, CASE WHEN constant THEN 0e0 ELSE d END AS d, constant,
         d * d * n1::DOUBLE * n2::DOUBLE / (n1::DOUBLE + n2::DOUBLE) AS z2 FROM ks),
       p AS (SELECT feature, d, CASE WHEN constant OR z2 < 0.01e0 THEN 1e0 ELSE greatest(0e0, least(1e0,
-        2e0 * list_sum(list_transform(range(1, 101), k -> (CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END) * exp(-2e0 * k * k * z2))))) END AS p FROM z)
+        2e0 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1e0 ELSE -1e0 END) * exp(-2e0 * k * k * z2))))) END AS p FROM z)
     SELECT feature, round(d, 6) AS ks_statistic, round(p, 6) AS p_value, p < 0.05e0 AS drift_flag FROM p""",
 )
 def drift_large_sample(spark, folder):

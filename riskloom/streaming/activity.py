@@ -18,17 +18,21 @@ from ..operators.ordering import running_totals
 from ..session import scratch_path
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what is available now into parquet in the scratch folder and read it back."""
-    spark = stream.sparkSession
-    path = scratch_path(spark, name)
+def run_to_folder(stream: DataFrame, name: str) -> str:
+    """Process what is available now into parquet in the scratch folder; returns the data path."""
+    path = scratch_path(stream.sparkSession, name)
     query = (
-        stream.writeStream.format("parquet").outputMode(mode)
+        stream.writeStream.format("parquet").outputMode("append")
         .option("path", f"{path}/data").option("checkpointLocation", f"{path}/progress")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/data")
+    return f"{path}/data"
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """The same, read back as a table."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(run_to_folder(stream, name))
 
 
 def stream_event_features(events: DataFrame, seed=42) -> DataFrame:

@@ -50,7 +50,9 @@ def trust_changes(events: DataFrame, high: float, mean: float, threshold: float,
 def stream_user_trust(changes: DataFrame) -> DataFrame:
     """Running trust per user: one row for each closed window.
 
-    Every window is one update, clipped like the batch update. The state is two numbers a user.
+    ``changes`` is the stream of a table that :func:`trust_changes` is written to, because state
+    of one's own cannot follow a streaming aggregate in the same query. Every window is one
+    update, clipped like the batch update. The state is two numbers a user.
     """
 
     def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
