@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import uniform
 from ..functions.scalars import binarize_label, flag, hour_or_noon, to_number, to_text
 from ..functions.vocabulary import ALLOWED_LOCATIONS, DEFAULT_LOCATION, EVENT_NUMERIC_COLUMNS
+from ..session import write_table
 from .joins import lookup_join
 from .schema import column_or_default, dtype_of, event_roles
 
@@ -82,7 +83,7 @@ def login_counts(df: DataFrame) -> DataFrame:
 
 def login_frequency(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Events of the same user, on every row: pre-aggregated counts and a skew-safe lookup."""
-    counts = login_counts(df) if counts is None else counts
+    counts = write_table(login_counts(df), "counts") if counts is None else counts
     return lookup_join(df, counts, "user_id", "left")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_KEY_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 1000
+STREAM_SALTS = 16
 
 
 def fits_broadcast(lookup: DataFrame, key: str) -> bool:
@@ -26,17 +27,25 @@ def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left", s
 
     A lookup of checked size is broadcast. A larger one is shuffled, after the keys that hold
     more than 1/1000 of the rows (fewer than 1000 keys by that definition) and the rows without
-    a key are split off, so no task gets a hot key.
+    a key are split off, so no task gets a hot key. The keys of a stream are not known
+    beforehand, so there every key is spread over 16 salts.
     """
     if small is None:
         small = fits_broadcast(lookup, key)
     if small:
         return df.join(F.broadcast(lookup), key, how)
     if df.isStreaming:
-        return df.join(lookup, key, how)
+        return _salted_join(df, lookup, key, how)
     return _split_join(df, lookup, key, how)
 
 
+def _salted_join(df: DataFrame, lookup: DataFrame, key: str, how: str) -> DataFrame:
+    rest = [F.col(c).cast("string") for c in df.columns if c != key and df.schema[c].dataType.typeName() in ("long", "integer", "string", "double")]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*(rest or [F.col(key)])), F.lit(STREAM_SALTS)))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(STREAM_SALTS - 1).cast("bigint"))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def _split_join(df: DataFrame, lookup: DataFrame, key: str, how: str) -> DataFrame:
     total = df.count()
     hot = (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import binarize_label, flag, hour_or_noon, is_number, named, row_sum, to_text
+from ..session import write_table
 from .joins import label_from_answers
 from .quantile import exact_percentile
 from .schema import coerce_mostly_numeric, dtype_of, log_roles, tabular_roles
@@ -61,7 +62,11 @@ def user_log_features(logs: dict[str, DataFrame]) -> DataFrame:
 
 
 def percentile_label(df: DataFrame, features: list[str], q: float = LABEL_PERCENTILE) -> DataFrame:
-    """``y`` = 1 where the row sum of the features reaches its q-percentile."""
+    """``y`` = 1 where the row sum of the features reaches its q-percentile.
+
+    The rows are written first, because the percentile needs several passes over their sums.
+    """
+    df = write_table(df, "unlabelled")
     threshold = exact_percentile(df, row_sum(features), q)
     limit = F.lit(threshold).cast("double")
     return df.withColumn("y", flag(F.coalesce(row_sum(features) >= limit, F.lit(False))))

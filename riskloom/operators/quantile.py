@@ -12,15 +12,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FETCH_VALUES = 20_000
+FETCH_VALUES = 20_000  # values a final fetch may bring to the driver, over all columns
 ACCURACY = 2_000
 
 
 class _Search:
     """State of one wanted percentile: ranks and the open bracket of values."""
 
-    def __init__(self, q: float, n: int):
-        self.q, self.n = q, n
+    def __init__(self, q: float, n: int, limit: int):
+        self.limit = limit
         position = q * (n - 1)
         self.low_rank = math.floor(position)
         self.high_rank = min(self.low_rank + 1, n - 1)
@@ -43,7 +43,7 @@ class _Search:
 
     @property
     def open(self) -> bool:
-        return self.inside > FETCH_VALUES and self.low < self.high
+        return self.inside > self.limit and self.low < self.high
 
 
 def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> dict[str, float | None]:
@@ -57,7 +57,7 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) ->
     )
     counts = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
     search = {
-        i: _Search(wanted[name][1], counts[f"n{i}"]) for i, name in enumerate(names) if counts[f"n{i}"] > 0
+        i: _Search(wanted[name][1], counts[f"n{i}"], max(500, FETCH_VALUES // len(names))) for i, name in enumerate(names) if counts[f"n{i}"] > 0
     }
 
     def within(i: int) -> Column:

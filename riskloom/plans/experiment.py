@@ -56,12 +56,17 @@ class Experiment:
 
 
 def run_experiment(frame: DataFrame, meta: dict, settings: Settings = Settings()) -> Experiment:
-    """The whole comparison for labelled rows (row_id, user_id, features, y)."""
+    """The whole comparison for labelled rows (row_id, user_id, features, y).
+
+    The model rows, the scored rows and the poisoned rows are written once each; every fit and
+    every percentile reads such a table instead of repeating what led to it.
+    """
     s = settings
     n_flips = 0
     if s.realism:
         frame = feature_noise(frame, numeric_feature_columns(frame), s.seed + 11)
-        frame = label_noise(frame, s.noise_fraction, s.seed + 13)
+        # written once: the draws are costly and the passes below read a few columns each
+        frame = write_table(label_noise(frame, s.noise_fraction, s.seed + 13), "noisy")
         n_flips = frame.filter("label_flipped").count()
         frame = frame.drop("label_flipped")
     prepared, preparation = prepare(frame, meta.get("categorical", []), s.seed)

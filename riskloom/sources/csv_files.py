@@ -252,13 +252,13 @@ def load_logs(spark: SparkSession, folder: str) -> DataFrame | None:
 
 def load_tabular(spark: SparkSession, folder: str) -> tuple[DataFrame, dict, list[str]] | None:
     """Labelled user rows of the best wide table: most features, then most rows, then first path."""
-    best = None
+    best, answers = None, read_answer_users(spark, folder)
     for path in list_csv(spark, folder):
         df = read_csv_tolerant(spark, path)
         if df is None:
             continue
         df = df.toDF(*[c.strip() for c in df.columns])
-        built = tabular_user_features(df, read_answer_users(spark, folder))
+        built = tabular_user_features(df, answers)
         if built is None:
             continue
         users, meta = built

@@ -6,7 +6,10 @@ of one name take batch or stream frames alike unless stated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,13 +66,13 @@ def user_activity(events: DataFrame, length: str = "1 day", slide: str | None =
     )
 
 
-def prefer_local_session_merge(spark: SparkSession) -> None:
-    """Merge sessions inside each input partition before the shuffle, so a busy user ships few rows."""
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-
-
 def stream_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Sessions of a stream: a user's events with pauses shorter than ``gap``."""
+    """Sessions of a stream: a user's events with pauses of at most ``gap``.
+
+    Turns on the session merge inside each input partition, so that a busy user's rows are
+    combined before the shuffle.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         events.withWatermark("ts", delay)
         .groupBy(F.session_window("ts", gap).alias("w"), "user_id")
@@ -78,38 +81,46 @@ def stream_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1
     )
 
 
-def batch_sessions(events: DataFrame, gap_minutes: int = 30, slice_hours: int = 6) -> DataFrame:
+def batch_sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     """The same sessions of a batch, safe for busy users.
 
-    Each user's time is cut into slices, sessions are found per slice, and only the slice
-    sessions are merged per user. Row-level work is keyed by (user, slice).
+    Events of one user in one time slice of the length of the gap are closer than the gap, so
+    each (user, slice) is one piece of a session: a plain aggregate with map-side combine. Only
+    these pieces, one per slice at most, are ordered per user and joined where they touch.
     """
     gap = gap_minutes * 60 * 1_000_000
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events.select("user_id", micros.alias("a")).withColumn("slice", F.floor(F.col("a") / (slice_hours * 3600 * 1_000_000)))
-    once = rows.groupBy("user_id", "slice", "a").agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.col("a") + gap)
-    partial = _merge_overlapping(once, ["user_id", "slice"])
-    merged = _merge_overlapping(partial, ["user_id"])
-    return merged.select(
-        "user_id", F.timestamp_micros("a").alias("session_start"), F.timestamp_micros("b").alias("session_end"),
-        F.col("n").alias("n_events"),
+    at = F.unix_micros("ts")
+    pieces = (
+        events.select("user_id", at.alias("at"), F.floor(at / gap).alias("slice"))
+        .groupBy("user_id", "slice")
+        .agg(F.min("at").alias("a"), (F.max("at") + gap).alias("b"), F.count(F.lit(1)).alias("n"))
     )
+    order = Window.partitionBy("user_id").orderBy("slice")
+    earlier = F.lag("b").over(order)
+    starts = pieces.withColumn("new", flag(earlier.isNull() | (F.col("a") > earlier)))
+    numbered = starts.withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("user_id", "session").agg(
+        F.timestamp_micros(F.min("a")).alias("session_start"), F.timestamp_micros(F.max("b")).alias("session_end"),
+        F.sum("n").alias("n_events"),
+    ).drop("session")
+
 
+def deduplicate(events: DataFrame, key: str = "event_id", delay: str = "1 hour", thin: bool = True) -> DataFrame:
+    """One row per key: within the watermark on a stream, overall in a batch.
 
-def _merge_overlapping(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Join spans [a, b] of a key that touch each other and add up n."""
-    order = Window.partitionBy(*keys).orderBy("a")
-    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = spans.withColumn("new", flag(reach.isNull() | (F.col("a") > reach)))
-    numbered = starts.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "group").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).drop("group")
+    A batch combines copies before the shuffle by itself. On a stream ``thin`` drops the copies
+    inside each Arrow batch first, so that many copies of one event do not meet in one task.
+    """
+    if not events.isStreaming:
+        return events.dropDuplicates([key])
+    if thin:
 
+        def first_of_each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield frame.drop_duplicates(subset=key)
 
-def deduplicate(events: DataFrame, key: str = "event_id", delay: str = "1 hour") -> DataFrame:
-    """One row per key: within the watermark on a stream, overall in a batch."""
-    if events.isStreaming:
-        return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
-    return events.dropDuplicates([key])
+        events = events.mapInPandas(first_of_each, events.schema)
+    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
 def late_events(arrivals: DataFrame, delay_seconds: int = 3600) -> DataFrame:
