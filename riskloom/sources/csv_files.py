@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,14 +39,15 @@ def list_csv(spark: SparkSession, folder: str) -> list[str]:
     return list_files(spark, f"{folder.rstrip('/')}/*.csv")
 
 
-def folder_listing(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
-    """Path and size of every matching file at any depth, empty files included; no content is read."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    return (
-        spark.read.format("binaryFile").schema(schema)
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-        .load(folder).select("path", "length")
-    )
+def files_below(spark: SparkSession, folder: str, glob: str = "*.csv") -> list[str]:
+    """Paths of all matching files at any depth, empty ones too, from Spark's file listing."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    return sorted(plain_path(unquote(p)) for p in reader.load(folder).inputFiles())
+
+
+def plain_path(path: str) -> str:
+    """Local files are written with one or with three slashes; keep one."""
+    return path.replace("file:///", "file:/", 1)
 
 
 def has_line_breaks_in_cells(spark: SparkSession, paths: list[str]) -> bool:
@@ -125,13 +128,10 @@ def scan_csv_union(spark: SparkSession, pattern: str) -> DataFrame | None:
 
 def csv_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """One row: text lines minus one header per file (at least 0), and the number of files."""
-    files = folder_listing(spark, folder).agg(F.count(F.lit(1)).alias("files_seen"))
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(folder)
-        .agg(F.count(F.lit(1)).alias("lines"))
-    )
-    return files.select(
-        F.greatest(F.lit(0).cast("bigint"), lines.scalar() - F.col("files_seen")).alias("total_csv_rows"), "files_seen"
+    files = F.lit(len(files_below(spark, folder))).cast("bigint")
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(folder)
+    return lines.agg(
+        F.greatest(F.lit(0).cast("bigint"), F.count(F.lit(1)) - files).alias("total_csv_rows"), files.alias("files_seen")
     )
 
 
@@ -170,12 +170,7 @@ def looks_like_feature_matrix(df: DataFrame) -> bool:
 
 
 def answer_files(spark: SparkSession, folder: str) -> list[str]:
-    paths = [
-        r["path"]
-        for glob in ("insider*.csv", "malicious*.csv")
-        for r in folder_listing(spark, folder, glob).select("path").collect()
-    ]
-    return sorted(set(paths))
+    return sorted({p for glob in ("insider*.csv", "malicious*.csv") for p in files_below(spark, folder, glob)})
 
 
 def read_answer_users(spark: SparkSession, folder: str) -> DataFrame:
@@ -252,8 +247,11 @@ def load_logs(spark: SparkSession, folder: str) -> DataFrame | None:
 
 def load_tabular(spark: SparkSession, folder: str) -> tuple[DataFrame, dict, list[str]] | None:
     """Labelled user rows of the best wide table: most features, then most rows, then first path."""
+    paths = list_csv(spark, folder)
+    if not paths:
+        return None
     best, answers = None, read_answer_users(spark, folder)
-    for path in list_csv(spark, folder):
+    for path in paths:
         df = read_csv_tolerant(spark, path)
         if df is None:
             continue

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import named
 from ..functions.vocabulary import PIPELINE_VERSION
-from .csv_files import folder_listing
+from .csv_files import files_below
 
 WHOLE_FILE_BYTES = 64 * 1024 * 1024
 MAX_SOURCES = 200
@@ -16,29 +16,36 @@ MAX_SOURCES = 200
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
     """One digest per CSV file (path, digest).
 
-    Files up to 64 MB are hashed as a whole. Larger ones are read in splits; each line is hashed
-    with its byte block, and the counts and sums of these hashes make up the digest.
+    Files up to 64 MB are hashed as a whole. Larger ones are read in splits; count and sums of the
+    line hashes make up the digest, so it changes with any line, but not with the order of lines.
     """
-    listing = folder_listing(spark, folder)
     options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.csv"}
-    whole = (
-        spark.read.format("binaryFile").options(**options).load(folder)
-        .filter(F.col("length") <= WHOLE_FILE_BYTES)
-        .select("path", F.sha2("content", 256).alias("digest"))
-    )
-    large = listing.filter(F.col("length") > WHOLE_FILE_BYTES)
-    if not large.limit(1).count():
-        return whole
+    files = spark.read.format("binaryFile").options(**options).load(folder)
+    digests = files.filter(F.col("length") <= WHOLE_FILE_BYTES).select("path", F.sha2("content", 256).alias("digest"))
+    if not files.filter(F.col("length") > WHOLE_FILE_BYTES).select("path").isEmpty():
+        digests = digests.unionByName(_large_digests(spark, folder, options))
+    # scans skip empty files, the listing does not
+    names = spark.createDataFrame([(p,) for p in files_below(spark, folder)], "path string")
+    return names.join(digests, "path", "left").withColumn("digest", F.coalesce("digest", F.sha2(F.lit(""), 256)))
+
+
+def _large_digests(spark: SparkSession, folder: str, options: dict) -> DataFrame:
     lines = (
         spark.read.options(**options).text(folder)
-        .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
+        .select("value", _plain(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_size").alias("size"))
         .filter(F.col("size") > WHOLE_FILE_BYTES)
     )
     digest = F.md5("value")
     summed = lines.groupBy("path").agg(
         F.count(F.lit(1)).alias("n"), F.sum(_word(digest, 1)).alias("a"), F.sum(_word(digest, 9)).alias("b")
     )
-    return whole.unionByName(summed.select("path", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("digest")))
+    return summed.select("path", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("digest"))
+
+
+def _plain(uri: Column) -> Column:
+    """Column twin of the path form used by the file listing."""
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:///", "file:/")
 
 
 def _word(digest: Column, at: int) -> Column:
@@ -49,7 +56,7 @@ def _word(digest: Column, at: int) -> Column:
 def content_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """One row with a digest over names and contents of all CSV files, and the sorted sources.
 
-    The digest changes with any name or content. Per-file digests are joined in name order
+    The digest changes with any name or content (see :func:`file_digests`). Per-file digests are joined in name order
     inside 256 buckets first, then over the buckets.
     """
     files = file_digests(spark, folder).withColumn("name", F.element_at(F.split("path", "/"), -1))
