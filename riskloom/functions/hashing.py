@@ -15,27 +15,31 @@ from pyspark.sql import functions as F
 TWO_32 = 4294967296.0
 
 
-def _text(part) -> Column:
-    return part.cast("string") if isinstance(part, Column) else F.lit(str(part))
+def _hash_sql(seed, salt: str, key: str) -> str:
+    # one SQL text instead of a dozen column calls: draws are built often and in numbers
+    name = "`" + key.replace("`", "``") + "`"
+    prefix = f"{seed}:{salt}:".replace("\\", "\\\\").replace("'", "\\'")
+    return f"cast(conv(substring(md5(concat('{prefix}', cast({name} as string))), 1, 8), 16, 10) as bigint)"
 
 
-def hash32(seed, salt, key: Column) -> Column:
-    """Unsigned 32-bit integer drawn from ``seed:salt:key``."""
-    digest = F.md5(F.concat_ws(":", _text(seed), _text(salt), _text(key)))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+def _uniform_sql(seed, salt: str, key: str) -> str:
+    return f"(({_hash_sql(seed, salt, key)} + 0.5d) / {TWO_32}d)"
 
 
-def uniform(seed, salt, key: Column) -> Column:
+def hash32(seed, salt: str, key: str) -> Column:
+    """Unsigned 32-bit integer drawn from ``seed:salt:<value of the key column>``."""
+    return F.expr(_hash_sql(seed, salt, key))
+
+
+def uniform(seed, salt: str, key: str) -> Column:
     """Uniform draw strictly between 0 and 1."""
-    return (hash32(seed, salt, key) + F.lit(0.5)) / F.lit(TWO_32)
+    return F.expr(_uniform_sql(seed, salt, key))
 
 
-def normal(seed, salt, key: Column) -> Column:
+def normal(seed, salt: str, key: str) -> Column:
     """Standard normal draw (Box-Muller on two uniforms)."""
-    salt = _text(salt)
-    u1 = uniform(seed, F.concat(salt, F.lit("/a")), key)
-    u2 = uniform(seed, F.concat(salt, F.lit("/b")), key)
-    return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+    u1, u2 = _uniform_sql(seed, salt + "/a", key), _uniform_sql(seed, salt + "/b", key)
+    return F.expr(f"sqrt(-2d * ln({u1})) * cos({2.0 * math.pi!r}d * {u2})")
 
 
 def uniform_scalar(seed, salt, key) -> float:

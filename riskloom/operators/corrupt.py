@@ -27,7 +27,7 @@ def feature_noise(df: DataFrame, columns: list[str], seed=0, volume_std: float =
     Volumes get N(0, volume_std); failed attempts a step of -1, 0 or 1 and a floor at 0; all
     others N(0, max(0.03 (median|x| + 1), 0.08)), with all medians found in shared passes.
     """
-    key = F.col("row_id")
+    key = "row_id"
     others = [c for c in columns if c not in ("data_volume_mb", "failed_attempts")]
     medians = exact_percentiles(df, {c: (F.abs(named(c).cast("double")), 0.5) for c in others}) if others else {}
     changed = {}
@@ -76,7 +76,7 @@ def feature_poison(df: DataFrame, d: int, scale: float = 0.35, fraction: float =
     changed = F.array(
         *[
             F.col("features")[i] * F.lit(0.3 if i in damped else 1.0)
-            + F.lit(float(scale)) * normal(seed, f"tamper/{i}", F.col("row_id"))
+            + F.lit(float(scale)) * normal(seed, f"tamper/{i}", "row_id")
             for i in range(d)
         ]
     )

@@ -41,7 +41,7 @@ def _text_or_default(name: str | None, default: str) -> Column:
 
 def seeded_columns(seed=42, row_id: str = "row_id") -> dict[str, Column]:
     """Noise features: whole minutes 1..120 and a level 0..2, unrelated to the row's content."""
-    key = F.col(row_id)
+    key = row_id
     return {
         "session_duration": F.lit(1.0) + F.floor(F.lit(120.0) * uniform(seed, "session_duration", key)),
         "file_sensitivity": F.floor(F.lit(3.0) * uniform(seed, "file_sensitivity", key)).cast("double"),
@@ -61,7 +61,7 @@ def rule_score() -> Column:
 
 def rule_label(seed=42, row_id: str = "row_id") -> Column:
     """1 where the rule score plus uniform noise in (-0.2, 0.2) exceeds 0.5."""
-    noise = F.lit(0.4) * uniform(seed, "rule_noise", F.col(row_id)) - F.lit(0.2)
+    noise = F.lit(0.4) * uniform(seed, "rule_noise", row_id) - F.lit(0.2)
     return flag(rule_score() + noise > 0.5)
 
 

@@ -21,7 +21,7 @@ def value_codes(train: DataFrame, columns: list[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("name"), to_text(named(c)).alias("value")) for c in columns])
     distinct = train.select(F.explode(cells).alias("c")).select("c.name", "c.value").distinct()
     ranked = running_totals(distinct.withColumn("one", F.lit(1).cast("bigint")), ["name"], ["value"], ["one"])
-    return ranked.select("name", "value", (F.col("cum_one") - 1).cast("double").alias("code"))
+    return write_table(ranked.select("name", "value", (F.col("cum_one") - 1).cast("double").alias("code")), "codes")
 
 
 def ordinal_encode(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,7 +96,7 @@ def prepare(df: DataFrame, categorical: list[str] | tuple = (), seed=42, test_si
     numeric = [c for c in numeric_feature_columns(df) if c not in categorical]
     split = stratified_split(df, seed, test_size)
     train = split.filter(F.col("split") == "train")
-    codes = write_table(value_codes(train, categorical), "codes") if categorical else None
+    codes = value_codes(train, categorical) if categorical else None
     encoded = _encoded(split, numeric, categorical, codes)
     columns = numeric + [f"{c}_enc" for c in categorical]
     scaler = Scaler.fit(encoded.filter(F.col("split") == "train"), columns)

@@ -24,9 +24,7 @@ def _first_k_by_stratum(
 ) -> dict[object, Column]:
     """Predicate per stratum that holds for its first ``quota`` rows; at most 2^16 counts per stratum."""
     keyed = df.select(stratum.alias("s"), h.alias("h"), F.col(row_id).alias("id"))
-    histogram = defaultdict(list)
-    for r in keyed.groupBy("s", F.floor(F.col("h") / LOW_BITS).alias("b")).count().collect():
-        histogram[r["s"]].append((r["b"], r["count"]))
+    histogram = _counts(keyed.groupBy("s", F.floor(F.col("h") / LOW_BITS).alias("b")).count())
     sizes = {s: sum(n for _, n in buckets) for s, buckets in histogram.items()}
     quotas = quota(sizes)
 
@@ -47,14 +45,11 @@ def _first_k_by_stratum(
     if not open_bucket:
         return out
 
-    inside = F.lit(False)
-    for s, (b, _) in open_bucket.items():
-        inside = inside | (F.col("s").eqNullSafe(F.lit(s)) & F.col("h").between(b * LOW_BITS, (b + 1) * LOW_BITS - 1))
-    fine = defaultdict(list)
-    for r in keyed.filter(inside).groupBy("s", "h").count().collect():
-        fine[r["s"]].append((r["h"], r["count"]))
-    for s, (_, k) in open_bucket.items():
-        for value, n in sorted(fine[s]):
+    # the hash alone is tested, so the filter does not repeat the work behind the stratum
+    bucket = F.floor(F.col("h") / LOW_BITS)
+    fine = _counts(keyed.filter(bucket.isin([b for b, _ in open_bucket.values()])).groupBy("s", "h").count())
+    for s, (b, k) in open_bucket.items():
+        for value, n in sorted((v, n) for v, n in fine[s] if v // LOW_BITS == b):
             if n >= k:
                 break
             k -= n
@@ -68,11 +63,20 @@ def _first_k_by_stratum(
     return out
 
 
+def _counts(grouped: DataFrame) -> dict[object, list[tuple[int, int]]]:
+    """(value, count) pairs per stratum; Arrow keeps the transfer of some 10,000 rows short."""
+    out = defaultdict(list)
+    stratum, value, count = (c.to_pylist() for c in grouped.toArrow().columns)
+    for s, v, n in zip(stratum, value, count):
+        out[s].append((v, n))
+    return out
+
+
 def random_k(df: DataFrame, k_of_n: Callable[[int], int], seed, salt: str, row_id: str = "row_id",
              eligible: Column | None = None) -> Column:
     """Predicate that holds for exactly ``k_of_n(n)`` of the n eligible rows."""
     eligible = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
-    h = hash32(seed, salt, F.col(row_id))
+    h = hash32(seed, salt, row_id)
     chosen = _first_k_by_stratum(
         df.filter(eligible), h, row_id, F.lit(0), lambda sizes: {0: k_of_n(sizes.get(0, 0))}
     )
@@ -100,7 +104,7 @@ def split_quotas(sizes: dict, test_size: float = 0.25) -> dict:
 
 def stratified_split(df: DataFrame, seed=42, test_size: float = 0.25, label: str = "y", row_id: str = "row_id") -> DataFrame:
     """Add ``split`` ('train' / 'test'); sizes are exact per class and the draw is seeded."""
-    h = hash32(seed, "split", F.col(row_id))
+    h = hash32(seed, "split", row_id)
     chosen = _first_k_by_stratum(df, h, row_id, F.col(label), lambda sizes: split_quotas(sizes, test_size))
     is_test = F.lit(False)
     for c, predicate in chosen.items():

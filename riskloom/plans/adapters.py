@@ -85,10 +85,10 @@ def given_scores(spark: SparkSession, folder: str) -> DataFrame:
         .select("row_id", "user_id")
         .withColumns(
             {
-                "p": uniform(SEED, "p", F.col("row_id")),
-                "err": uniform(SEED, "err", F.col("row_id")),
-                "trust": F.greatest(F.lit(0.15), uniform(SEED, "trust", F.col("user_id"))),
-                "y": flag(uniform(SEED, "y", F.col("row_id")) < 0.2),
+                "p": uniform(SEED, "p", "row_id"),
+                "err": uniform(SEED, "err", "row_id"),
+                "trust": F.greatest(F.lit(0.15), uniform(SEED, "trust", "user_id")),
+                "y": flag(uniform(SEED, "y", "row_id") < 0.2),
             }
         )
     )
@@ -96,7 +96,7 @@ def given_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def planted_signal(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
     """Twelve features from the embeddings, shifted where a seeded label is 1."""
-    base = table(spark, folder, "embeddings").withColumn("y", flag(uniform(SEED, "y", F.col("vec_id")) < 0.12))
+    base = table(spark, folder, "embeddings").withColumn("y", flag(uniform(SEED, "y", "vec_id") < 0.12))
     columns = [(F.col("embedding")[i].cast("double") * 8.0 + F.col("y")).alias(f"f{i}") for i in range(12)]
     frame = base.select(
         F.col("vec_id").alias("row_id"), F.concat(F.lit("U"), F.col("vec_id").cast("string")).alias("user_id"), *columns, "y"
@@ -126,7 +126,7 @@ def activity_stream_columns(events: DataFrame) -> DataFrame:
 
 def scored_activity(events: DataFrame) -> DataFrame:
     """Raw events, batch or stream, with given probability, error and label."""
-    key = F.col("event_id")
+    key = "event_id"
     return events.select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user_id"),
         uniform(SEED, "p", key).alias("p"), uniform(SEED, "err", key).alias("err"),

@@ -319,7 +319,7 @@ def answers_label(spark, folder):
 def lookup_trust(spark, folder):
     rows = event_table(spark, folder).select("row_id", "user_id")
     users = rows.select("user_id").distinct().filter("cast(user_id as bigint) % 3 = 0")
-    known = users.withColumn("trust", F.greatest(F.lit(0.15), uniform(SEED, "trust", F.col("user_id"))))
+    known = users.withColumn("trust", F.greatest(F.lit(0.15), uniform(SEED, "trust", "user_id")))
     return rounded(trust_lookup(rows, known))
 
 

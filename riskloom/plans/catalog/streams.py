@@ -158,6 +158,6 @@ def trust_batch(spark, folder):
     SELECT a.batch, count(*) AS n_events, count(*) FILTER (a.ts < m.mark) AS n_late FROM a JOIN m USING (batch) GROUP BY a.batch""",
 )
 def late_count(spark, folder):
-    delay = F.floor(F.lit(3000.0) * uniform(SEED, "delay", F.col("event_id")))
+    delay = F.floor(F.lit(3000.0) * uniform(SEED, "delay", "event_id"))
     arrivals = table(spark, folder, "events").select("ts", F.floor((F.col("event_id") + delay) / 500).alias("batch"))
     return late_events(arrivals)

@@ -272,7 +272,7 @@ def several_rounds(spark, folder):
     """Three rounds of the training loop with given probabilities in the place of fitted models."""
     state = init_trust(given_scores(spark, folder).drop("trust", "p"))
     for r in range(3):
-        state = refine_round(state.withColumn("p", uniform(SEED, f"p{r}", F.col("row_id"))), 0.8, 0.12 + 0.03 * r, 0.06)
+        state = refine_round(state.withColumn("p", uniform(SEED, f"p{r}", "row_id")), 0.8, 0.12 + 0.03 * r, 0.06)
     return rounded(state.select("row_id", "trust"))
 
 
@@ -290,7 +290,7 @@ def summary_of_trust(spark, folder):
     FROM events GROUP BY user_id""",
 )
 def trust_per_user(spark, folder):
-    rows = event_table(spark, folder).select("row_id", "user_id", uniform(SEED, "t", F.col("row_id")).alias("trust"))
+    rows = event_table(spark, folder).select("row_id", "user_id", uniform(SEED, "t", "row_id").alias("trust"))
     mean = trust_map(rows, "mean").withColumnRenamed("trust", "mean_trust")
     return rounded(trust_map(rows).join(mean, "user_id"))
 

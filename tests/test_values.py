@@ -15,15 +15,16 @@ def column(df, c):
 
 
 def test_hash_is_the_published_integer(spark):
-    assert column(spark.range(1), hash32(42, 7, F.lit("")))  # any key works
     df = spark.createDataFrame([("x",)], "k string")
+    assert column(df, hash32(42, "salt", "k")) == [int(uniform_scalar(42, "salt", "x") * 2**32)]
+    assert column(df, uniform(42, "o'cl\\ock", "k")) == [uniform_scalar(42, "o'cl\\ock", "x")]
     expected = uniform_scalar(42, "salt", "x")
-    assert column(df, uniform(42, "salt", F.col("k"))) == [expected]
+    assert column(df, uniform(42, "salt", "k")) == [expected]
 
 
 def test_draws_do_not_depend_on_partitions(spark):
-    one = column(spark.range(0, 500, numPartitions=1).orderBy("id"), normal(1, "n", F.col("id")))
-    many = column(spark.range(0, 500, numPartitions=7).orderBy("id"), normal(1, "n", F.col("id")))
+    one = column(spark.range(0, 500, numPartitions=1).orderBy("id"), normal(1, "n", "id"))
+    many = column(spark.range(0, 500, numPartitions=7).orderBy("id"), normal(1, "n", "id"))
     assert one == many
     mean = sum(one) / 500
     assert abs(mean) < 0.2 and 0.8 < sum((v - mean) ** 2 for v in one) / 500 < 1.2
