@@ -23,6 +23,7 @@ from ...operators.trust import (
     trust_summary,
     trust_weights,
 )
+from ...session import write_table
 from ..adapters import SEED, drift_table, event_table, given_scores, planted_signal
 from .features import KS_CTE
 from .registry import EVENT_CTE, FEATURE_CTE, RISK, SCORE_CTE, h, normal_sql, query, r6, rounded
@@ -39,7 +40,8 @@ SPLIT_CTE = f"""cnt AS (SELECT y, count(*) AS c FROM feat GROUP BY y),
 
 
 def _labelled(spark, folder):
-    return row_features(resolve_events(event_table(spark, folder)), SEED).withColumn("y", rule_label(SEED))
+    """Labelled rows as a written table: splits and selections pass over them several times."""
+    return write_table(row_features(resolve_events(event_table(spark, folder)), SEED).withColumn("y", rule_label(SEED)), "labelled")
 
 
 @query("stratified_split", f"WITH {FEATURE_CTE}, {SPLIT_CTE} SELECT row_id, y, split FROM split")

@@ -39,6 +39,7 @@ def run_monitored(frame: DataFrame, meta: dict, provenance: DataFrame, manifest:
     audit = AuditTrail(spark, audit_folder or scratch_path(spark, "audit"))
     provenance, manifest = write_table(provenance, "provenance"), write_table(manifest, "manifest")
     audit.append("provenance", provenance)
+    audit.note("ingestion", event="batch_scan_start")
     audit.append("ingestion_manifest", manifest)
     audit.note("feature_engineering", event="start")
     run = run_experiment(frame, meta, settings)

@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import clip
 from ..functions.vocabulary import TRUST_CEILING, TRUST_FLOOR
 from ..operators.events import login_frequency
 from ..operators.prep import Preparation
-from ..operators.respond import score_rows
+from ..operators.respond import score_rows, threat_level_counts
 from ..operators.trust import anomaly_penalty, log_loss, relative_loss
+from ..sources.audit import AuditTrail
 from .activity import stream_event_features
 
 
@@ -29,6 +31,24 @@ def stream_risk_scoring(events: DataFrame, login_counts: DataFrame, preparation:
     return score_rows(prepared, scorer, classifier, trust, threshold)
 
 
+def respond_to_stream(decisions: DataFrame, folder: str, progress: str, trail: AuditTrail | None = None) -> StreamingQuery:
+    """Write the decisions of each micro-batch as JSON and audit its level counts.
+
+    A batch has its own folder, named by its number, so a repeated batch replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        target = f"{folder}/batch={number}"
+        batch.write.mode("overwrite").json(target)
+        if trail is not None:
+            written = batch.sparkSession.read.schema(batch.schema).json(target)
+            trail.append("realtime_inference_response", threat_level_counts(written))
+
+    return (
+        decisions.writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    )
+
+
 def trust_changes(events: DataFrame, high: float, mean: float, threshold: float, rate: float = 0.12, step: float = 0.06,
                   length: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Summed trust change per user and time window; partly summed before the shuffle.

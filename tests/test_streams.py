@@ -5,7 +5,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators.respond import decide, threat_level_counts
 from riskloom.session import scratch_path
+from riskloom.sources.audit import AuditTrail
 from riskloom.sources.streams import parquet_stream
 from riskloom.streaming.activity import (
     batch_sessions,
@@ -16,7 +18,7 @@ from riskloom.streaming.activity import (
     stream_sessions,
     user_activity,
 )
-from riskloom.streaming.scoring import batch_user_trust, stream_user_trust, trust_changes
+from riskloom.streaming.scoring import batch_user_trust, respond_to_stream, stream_user_trust, trust_changes
 
 START = datetime.datetime(2024, 1, 1)
 KINDS = ["logon", "logoff", "device", "email", "file"]
@@ -94,3 +96,14 @@ def test_late_events(spark):
     df = spark.createDataFrame([(b, START + datetime.timedelta(minutes=m)) for b, m in minutes], "batch long, ts timestamp")
     got = {r.batch: (r.n_events, r.n_late) for r in late_events(df).collect()}
     assert got == {0: (2, 0), 1: (2, 1), 2: (2, 1)}
+
+
+def test_decisions_reach_the_sink_and_the_audit(spark, events, folder, tmp_path):
+    decided = decide(stream(spark, events, folder).withColumn("trust", F.lit(0.85)), 0.8).drop("notes")
+    trail = AuditTrail(spark, f"{tmp_path}/audit")
+    respond_to_stream(decided, f"{tmp_path}/out", f"{tmp_path}/progress", trail).awaitTermination()
+    written = spark.read.json(f"{tmp_path}/out")
+    want = {r.threat_level: r.n for r in threat_level_counts(decide(events.withColumn("trust", F.lit(0.85)), 0.8)).collect()}
+    assert {r.threat_level: r.n for r in threat_level_counts(written).collect()} == want
+    counted = trail.entries().agg(F.sum(F.get_json_object("payload", "$.n").cast("long"))).first()[0]
+    assert counted == 1200 and written.select("batch").distinct().count() == 4
