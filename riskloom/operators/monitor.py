@@ -67,6 +67,7 @@ def ks_series_p(d: Column, n1: Column, n2: Column) -> Column:
 
 def _ks_exact_p(d: float, n1: int, n2: int) -> float:
     """Share of lattice paths from (0,0) to (n1,n2) that reach the distance d."""
+    n1, n2 = sorted((n1, n2))  # the loop runs over the smaller side
     g = math.gcd(n1, n2)
     a, b = n2 // g, n1 // g
     h = round(d * a * n1)
