@@ -66,7 +66,7 @@ PREVIEW_ROWS = 15
 MICRO_BATCH_ROWS = 50_000
 DEFAULT_TRUST = 0.85
 TRUST_FLOOR, TRUST_CEILING = 0.15, 1.0
-PIPELINE_VERSION = "trust-aware-insider-v1"
+PIPELINE_VERSION = "riskloom-1"
 
 # Lower risk bound, level, actions and note, from the highest level down.
 THREAT_LEVELS = (
@@ -85,11 +85,8 @@ OVERFIT_MESSAGE = (
 )
 OVERFIT_SUMMARY = "Model may be overfitting or dataset too simple"
 LABEL_MESSAGES = {
-    "provided": "Using provided labels from CSV.",
-    "probabilistic_rules": (
-        "Generated labels from probabilistic risk scores (failed_attempts, volume, location, "
-        "privilege) plus uniform noise; not strict logical rules."
-    ),
-    "logs": "Labels from insider answer files, or generated from aggregate activity (CERT).",
-    "tabular": "Labels from CSV column, answer files, or aggregate numeric features.",
+    "provided": "The label column of the input was used.",
+    "probabilistic_rules": "Labels come from the weighted risk rules with uniform noise added.",
+    "logs": "Labels come from answer files or, without any, from the activity percentile.",
+    "tabular": "Labels come from a column, answer files or the feature percentile.",
 }

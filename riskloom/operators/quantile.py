@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 FETCH_VALUES = 20_000  # values a final fetch may bring to the driver, over all columns
 ACCURACY = 2_000
+FIRST_MARGIN = 3.0 / ACCURACY
 
 
 class _Search:
@@ -27,7 +28,7 @@ class _Search:
         self.fraction = position - self.low_rank
         self.low, self.high = -math.inf, math.inf
         self.below, self.inside = 0, n
-        self.margin = 3.0 / ACCURACY
+        self.margin = FIRST_MARGIN
 
     def shares(self) -> tuple[float, float]:
         """Where to probe inside the bracket."""
@@ -55,10 +56,19 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) ->
     values = df.select(
         *[F.when(~F.isnan(c.cast("double")), c.cast("double")).alias(f"v{i}") for i, (c, _) in enumerate(wanted.values())]
     )
-    counts = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))]).first()
+    # the first bracket does not depend on the count, so both come from one pass
+    seen = values.agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
+        *[
+            F.percentile_approx(f"v{i}", [max(0.0, q - FIRST_MARGIN), min(1.0, q + FIRST_MARGIN)], ACCURACY).alias(f"p{i}")
+            for i, (_, q) in enumerate(wanted.values())
+        ],
+    ).first()
+    limit = max(500, FETCH_VALUES // len(names))
     search = {
-        i: _Search(wanted[name][1], counts[f"n{i}"], max(500, FETCH_VALUES // len(names))) for i, name in enumerate(names) if counts[f"n{i}"] > 0
+        i: _Search(wanted[name][1], seen[f"n{i}"], limit) for i, name in enumerate(names) if seen[f"n{i}"] > 0
     }
+    probe = seen
 
     def within(i: int) -> Column:
         s, v = search[i], F.col(f"v{i}")
@@ -68,18 +78,20 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) ->
 
     while any(s.open for s in search.values()):
         active = [i for i, s in search.items() if s.open]
-        probe = values.agg(
-            *[
-                F.percentile_approx(F.when(within(i), F.col(f"v{i}")), list(search[i].shares()), ACCURACY).alias(f"p{i}")
-                for i in active
-            ]
-        ).first()
+        if probe is None:
+            probe = values.agg(
+                *[
+                    F.percentile_approx(F.when(within(i), F.col(f"v{i}")), list(search[i].shares()), ACCURACY).alias(f"p{i}")
+                    for i in active
+                ]
+            ).first()
         counted = values.agg(
             *[F.count_if(F.col(f"v{i}") < F.lit(probe[f"p{i}"][0])).alias(f"b{i}") for i in active],
             *[F.count_if(F.col(f"v{i}").between(F.lit(probe[f"p{i}"][0]), F.lit(probe[f"p{i}"][1]))).alias(f"m{i}") for i in active],
         ).first()
         for i in active:
             search[i].accept(*probe[f"p{i}"], counted[f"b{i}"], counted[f"m{i}"])
+        probe = None
 
     result: dict[str, float | None] = {name: None for name in names}
     todo = [i for i, s in search.items() if s.low < s.high]

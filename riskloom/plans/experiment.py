@@ -125,7 +125,7 @@ def _meta(rows: DataFrame, meta: dict, preparation: Preparation, s: Settings, n_
     return rows.agg(F.count(F.lit(1)).alias("n_rows_input")).select(
         "n_rows_input",
         F.lit(source).alias("label_source"),
-        F.lit(LABEL_MESSAGES.get(source, "See warnings for label definition.")).alias("label_message"),
+        F.lit(LABEL_MESSAGES.get(source, "The caller supplied the labels.")).alias("label_message"),
         F.lit(len(preparation.names)).alias("n_features_used"),
         F.array(*[F.lit(n) for n in preparation.names]).alias("feature_names"),
         F.lit(s.noise_fraction if s.realism else 0.0).alias("evaluation_label_noise_fraction"),

@@ -228,7 +228,7 @@ def load_events(spark: SparkSession, folder: str, seed=42) -> tuple[DataFrame, d
     warnings = []
     if rows < MIN_EVENT_ROWS:
         warnings.append(
-            f"Custom insider CSV has only {rows} rows; recommend at least {MIN_EVENT_ROWS} for reliable training."
+            f"The event file has only {rows} rows; {MIN_EVENT_ROWS} or more make training meaningful."
         )
     typed = write_table(with_row_id(infer_types(texts)), "events")
     features, meta = event_features(typed, seed)
@@ -271,14 +271,14 @@ def _tabular_warnings(name: str, meta: dict) -> list[str]:
     warnings = []
     if meta["label_source"] == "percentile":
         warnings.append(
-            f"No label column in {name} and no insider answer file; generated labels from aggregate numeric features."
+            f"{name} has no label column and there is no answer file: labels follow the feature percentile."
         )
     if meta["n_rows"] < MIN_EVENT_ROWS:
-        warnings.append(f"Tabular CSV {name} has fewer than {MIN_EVENT_ROWS} rows; metrics may be unreliable.")
+        warnings.append(f"{name} has fewer than {MIN_EVENT_ROWS} rows, so metrics say little.")
     if meta["label_column"]:
-        warnings.append(f"Loaded tabular features from {name} using column '{meta['label_column']}' as label.")
+        warnings.append(f"{name} was read with '{meta['label_column']}' as the label.")
     else:
-        warnings.append(f"Loaded tabular features from {name} (no label column).")
+        warnings.append(f"{name} was read without a label column.")
     return warnings
 
 
@@ -297,7 +297,7 @@ def resolve_source(spark: SparkSession, folder: str, seed=42) -> tuple[DataFrame
         answers, warnings = read_answer_users(spark, folder), []
         if answers.isEmpty():
             users = percentile_label(users, numeric_columns(users))
-            warnings.append("No insider answer files found; generated labels from aggregate activity scores (CERT path).")
+            warnings.append("There is no answer file: labels follow the activity percentile.")
         else:
             users = label_from_answers(users, answers)
         return users.withColumn("row_id", F.col("user_id")), {"source": "cert", "label_source": "logs", "categorical": []}, warnings
