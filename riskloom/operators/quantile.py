@@ -8,6 +8,7 @@ left, and these give the exact result.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,34 +18,43 @@ ACCURACY = 2_000
 FIRST_MARGIN = 3.0 / ACCURACY
 
 
-class _Search:
-    """State of one wanted percentile: ranks and the open bracket of values."""
-
-    def __init__(self, q: float, n: int, limit: int):
-        self.limit = limit
-        position = q * (n - 1)
-        self.low_rank = math.floor(position)
-        self.high_rank = min(self.low_rank + 1, n - 1)
-        self.fraction = position - self.low_rank
-        self.low, self.high = -math.inf, math.inf
-        self.below, self.inside = 0, n
-        self.margin = FIRST_MARGIN
-
-    def shares(self) -> tuple[float, float]:
-        """Where to probe inside the bracket."""
-        a = (self.low_rank - self.below) / max(1, self.inside - 1) - self.margin
-        b = (self.high_rank - self.below) / max(1, self.inside - 1) + self.margin
-        return max(0.0, a), min(1.0, b)
-
-    def accept(self, low: float, high: float, below: int, inside: int) -> None:
-        if below <= self.low_rank and self.high_rank < below + inside and inside < self.inside:
-            self.low, self.high, self.below, self.inside = low, high, below, inside
-        else:
-            self.margin *= 2
+@dataclass
+class _Rank:
+    """Search for the value at one rank of column ``i``: it lies strictly between low and high.
 
-    @property
-    def open(self) -> bool:
-        return self.inside > self.limit and self.low < self.high
+    The ends of a bracket are tested apart from its inside. So every step either finds the value
+    or drops both ends with all their copies, however often a value repeats.
+    """
+
+    i: int
+    rank: int
+    inside: int
+    below: int = 0
+    low: float = -math.inf
+    high: float = math.inf
+    margin: float = FIRST_MARGIN
+    value: float | None = None
+
+    def within(self) -> Column:
+        v = F.col(f"v{self.i}")
+        if math.isinf(self.high):
+            return v.isNotNull()
+        return (v > F.lit(self.low)) & (v < F.lit(self.high))
+
+    def shares(self) -> list[float]:
+        at = (self.rank - self.below) / max(1, self.inside - 1)
+        return [max(0.0, at - self.margin), min(1.0, at + self.margin)]
+
+    def narrow(self, low: float, high: float, below: int, inside: int, at_low: int, at_high: int) -> None:
+        if not below <= self.rank < below + inside:
+            self.margin *= 2
+        elif self.rank < below + at_low:
+            self.value = low
+        elif self.rank >= below + inside - at_high:
+            self.value = high
+        else:
+            self.low, self.high = low, high
+            self.below, self.inside = below + at_low, inside - at_low - at_high
 
 
 def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> dict[str, float | None]:
@@ -64,64 +74,62 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) ->
             for i, (_, q) in enumerate(wanted.values())
         ],
     ).first()
-    limit = max(500, FETCH_VALUES // len(names))
-    search = {
-        i: _Search(wanted[name][1], seen[f"n{i}"], limit) for i, name in enumerate(names) if seen[f"n{i}"] > 0
-    }
-    probe = seen
-
-    def within(i: int) -> Column:
-        s, v = search[i], F.col(f"v{i}")
-        if math.isinf(s.low):
-            return v.isNotNull()
-        return v.between(F.lit(s.low), F.lit(s.high))
-
-    while any(s.open for s in search.values()):
-        active = [i for i, s in search.items() if s.open]
-        if probe is None:
-            probe = values.agg(
-                *[
-                    F.percentile_approx(F.when(within(i), F.col(f"v{i}")), list(search[i].shares()), ACCURACY).alias(f"p{i}")
-                    for i in active
-                ]
+    limit = max(500, FETCH_VALUES // (2 * len(names)))
+    search: list[_Rank] = []
+    for i, name in enumerate(names):
+        n = seen[f"n{i}"]
+        if n:
+            low = math.floor(wanted[name][1] * (n - 1))
+            search += [_Rank(i, low, n), _Rank(i, min(low + 1, n - 1), n)]
+
+    first = True
+    while True:
+        active = [s for s in search if s.value is None and s.inside > limit]
+        if not active:
+            break
+        if first:
+            brackets, first = [seen[f"p{s.i}"] for s in active], False
+        else:
+            brackets = values.agg(
+                *[F.percentile_approx(F.when(s.within(), F.col(f"v{s.i}")), s.shares(), ACCURACY) for s in active]
             ).first()
-        counted = values.agg(
-            *[F.count_if(F.col(f"v{i}") < F.lit(probe[f"p{i}"][0])).alias(f"b{i}") for i in active],
-            *[F.count_if(F.col(f"v{i}").between(F.lit(probe[f"p{i}"][0]), F.lit(probe[f"p{i}"][1]))).alias(f"m{i}") for i in active],
-        ).first()
-        for i in active:
-            search[i].accept(*probe[f"p{i}"], counted[f"b{i}"], counted[f"m{i}"])
-        probe = None
-
+        aggregates = []
+        for s, (low, high) in zip(active, brackets):
+            v = F.col(f"v{s.i}")
+            aggregates += [
+                F.count_if(v < F.lit(low)), F.count_if(v.between(F.lit(low), F.lit(high))),
+                F.count_if(v == F.lit(low)), F.count_if(v == F.lit(high)),
+            ]
+        counted = values.agg(*[a.alias(f"a{k}") for k, a in enumerate(aggregates)]).first()
+        for k, (s, (low, high)) in enumerate(zip(active, brackets)):
+            s.narrow(low, high, *counted[4 * k : 4 * k + 4])
+
+    _fetch(values, [s for s in search if s.value is None])
     result: dict[str, float | None] = {name: None for name in names}
-    todo = [i for i, s in search.items() if s.low < s.high]
-    ordered: dict[int, list[tuple[float, int]]] = {i: [(s.low, s.inside)] for i, s in search.items() if i not in todo}
-    if todo:
-        cells = F.array(
-            *[F.struct(F.lit(i).alias("i"), F.when(within(i), F.col(f"v{i}")).alias("v")) for i in todo]
-        )
-        fetched = (
-            values.select(F.explode(cells).alias("c"))
-            .filter(F.col("c.v").isNotNull())
-            .groupBy("c.i", "c.v")
-            .count()
-            .collect()
-        )
-        for r in fetched:
-            ordered.setdefault(r["i"], []).append((r["v"], r["count"]))
-    for i, s in search.items():
-        a = _at_rank(sorted(ordered[i]), s.low_rank - s.below)
-        b = _at_rank(sorted(ordered[i]), s.high_rank - s.below)
-        result[names[i]] = a + (b - a) * s.fraction
+    for a, b in zip(search[::2], search[1::2]):
+        position = wanted[names[a.i]][1] * (seen[f"n{a.i}"] - 1)
+        result[names[a.i]] = a.value + (b.value - a.value) * (position - math.floor(position))
     return result
 
 
-def _at_rank(counted: list[tuple[float, int]], rank: int) -> float:
-    for value, n in counted:
-        if rank < n:
-            return value
-        rank -= n
-    raise ValueError("rank outside the bracket")
+def _fetch(values: DataFrame, search: list[_Rank]) -> None:
+    """Bring the few values left in each bracket to the driver and pick the rank."""
+    if not search:
+        return
+    cells = F.array(
+        *[F.struct(F.lit(k).alias("k"), F.when(s.within(), F.col(f"v{s.i}")).alias("v")) for k, s in enumerate(search)]
+    )
+    left = values.select(F.explode(cells).alias("c")).filter(F.col("c.v").isNotNull()).groupBy("c.k", "c.v").count()
+    found: dict[int, list[tuple[float, int]]] = {}
+    for k, v, n in zip(*(c.to_pylist() for c in left.toArrow().columns)):
+        found.setdefault(k, []).append((v, n))
+    for k, s in enumerate(search):
+        rank = s.rank - s.below
+        for value, n in sorted(found[k]):
+            if rank < n:
+                s.value = value
+                break
+            rank -= n
 
 
 def exact_percentile(df: DataFrame, column: Column, q: float) -> float | None:

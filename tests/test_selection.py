@@ -74,6 +74,16 @@ def test_narrowing_is_really_used(spark, monkeypatch):
     assert exact_percentile(df, F.col("v"), 0.92) == pytest.approx(np.percentile(np.arange(50_000), 92))
 
 
+@pytest.mark.parametrize("q", [0.3, 0.5, 0.5005, 0.9])
+def test_percentile_between_heavy_values(spark, monkeypatch, q):
+    monkeypatch.setattr(quantile, "FETCH_VALUES", 10)
+    data = np.concatenate([np.zeros(30_000), np.linspace(0.1, 0.9, 700), np.ones(30_000)])
+    df = spark.createDataFrame([(float(v),) for v in data], "v double").repartition(4)
+    assert exact_percentile(df, F.col("v"), q) == pytest.approx(np.percentile(data, 100 * q), rel=1e-12)
+    two = df.filter("v = 0 or v = 1")
+    assert exact_percentile(two, F.col("v"), 0.5) == 0.5
+
+
 def test_percentile_skips_missing_values(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "v double")
     assert exact_percentile(df, F.col("v"), 0.5) == 2.0
