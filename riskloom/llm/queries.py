@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .packing import pack
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -23,6 +24,10 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), carry=["doc_id"]).drop("kept")
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"), carry=["doc_id"])
 
@@ -43,7 +48,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op5_exact_dedup, op7_source_mixing, op8_best_fit_packing, op10_token_counts)
+    for f in (op3_simhash_near_dedup, op5_exact_dedup, op7_source_mixing, op8_best_fit_packing, op10_token_counts)
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
