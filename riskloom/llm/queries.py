@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .interpolated_lm import score_texts
 from .mixing import mix_sources
 from .packing import pack
 from .simhash import near_duplicates
@@ -24,6 +25,10 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), carry=["doc_id"]).drop("kept")
 
@@ -48,7 +53,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_simhash_near_dedup, op5_exact_dedup, op7_source_mixing, op8_best_fit_packing, op10_token_counts)
+    for f in (op1_interpolated_lm, op3_simhash_near_dedup, op5_exact_dedup, op7_source_mixing, op8_best_fit_packing, op10_token_counts)
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
