@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
@@ -29,6 +30,11 @@ def op1_interpolated_lm(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(table(spark, folder, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_toxicity(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+    return scored.drop("text")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), carry=["doc_id"]).drop("kept")
 
@@ -53,7 +59,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_interpolated_lm, op3_simhash_near_dedup, op5_exact_dedup, op7_source_mixing, op8_best_fit_packing, op10_token_counts)
+    for f in (op1_interpolated_lm, op2_toxicity, op3_simhash_near_dedup, op5_exact_dedup, op7_source_mixing, op8_best_fit_packing, op10_token_counts)
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
