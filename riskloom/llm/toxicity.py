@@ -25,7 +25,7 @@ SPAN = 6
 SENTENCE_WORDS = 48
 LONG_WORD = 24
 RUN_BYTES = 1 << 20
-WORDS_AT_ONCE = 4000
+WORDS_AT_ONCE = 2000
 KEPT_WORDS = 3_000_000
 THRESHOLD = 0.3
 RESULT = ["held_out", "score", "predicted"]
@@ -127,8 +127,8 @@ class Kernel:
         np.add.at(self.table, (where + 1, unit), weight)
         self.table /= np.maximum(np.sqrt((self.table**2).sum(axis=0)), 1e-6)
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(starts), len(self.landmarks)), np.float32)
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: type = np.float32) -> np.ndarray:
+        out = np.zeros((len(starts), len(self.landmarks)), kind)
         for low in range(0, len(starts), WORDS_AT_ONCE):
             some = slice(low, low + WORDS_AT_ONCE)
             unit, code, weight = subsequences(data, starts[some], ends[some])
@@ -139,8 +139,9 @@ class Kernel:
             unit, row, weight = unit[known], row[known], weight[known]
             if len(unit):
                 here, first = np.unique(unit, return_index=True)
-                out[low + here] = np.add.reduceat(self.table[row] * weight[:, None], first, axis=0) / norm[here, None]
-        return np.minimum(out, 1) ** POWER
+                cosine = np.add.reduceat(self.table[row] * weight[:, None], first, axis=0) / norm[here, None]
+                out[low + here] = np.minimum(cosine, 1) ** POWER
+        return out
 
 
 class Scorer:
@@ -235,9 +236,10 @@ class _Sentences:
     def sums(self, per_unit: np.ndarray) -> np.ndarray:
         out = np.zeros((len(self.begin), per_unit.shape[1]), np.float32)
         bounds = np.append(self.begin, len(self.unit))
-        for low in range(0, len(self.begin), 5000):
-            high = min(low + 5000, len(self.begin))
-            out[low:high] = np.add.reduceat(per_unit[self.unit[bounds[low] : bounds[high]]], bounds[low:high] - bounds[low], axis=0)
+        for low in range(0, len(self.begin), 1000):
+            high = min(low + 1000, len(self.begin))
+            some = per_unit[self.unit[bounds[low] : bounds[high]]]
+            out[low:high] = np.add.reduceat(some, bounds[low:high] - bounds[low], axis=0, dtype=np.float32)
         return out
 
 
@@ -249,7 +251,7 @@ def fit(texts: list[str | None], labels: list[int], toxic_weight: float = 1.0, o
     """
     y = np.where(np.array(labels) > 0, 1.0, -1.0)
     sample = _Sentences(texts)
-    pairs = np.unique(np.stack([sample.unit, sample.text], axis=1), axis=0) if len(sample.unit) else np.zeros((0, 2), np.int64)
+    pairs = np.stack(np.divmod(np.unique(sample.unit * max(1, len(texts)) + sample.text), max(1, len(texts))), axis=1)
     curve = np.arange(len(texts)) % 4 == 3
     learns = ~curve[pairs[:, 1]]
     toxic = np.bincount(pairs[learns & (y[pairs[:, 1]] > 0), 0], minlength=len(sample.starts))
@@ -268,7 +270,7 @@ def fit(texts: list[str | None], labels: list[int], toxic_weight: float = 1.0, o
         ends = np.cumsum([len(x) for x in landmarks])
         value, vector = np.linalg.eigh((lambda k: (k + k.T) / 2)(kernel(raw, ends - [len(x) for x in landmarks], ends).astype(np.float64)))
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-        per_unit = kernel(sample.data, sample.starts, sample.ends)
+        per_unit = kernel(sample.data, sample.starts, sample.ends, np.float16)
         x = np.ones((len(sample.begin), len(landmarks) + 1), np.float32)
         x[:, :-1] = sample.sums(per_unit) @ root.astype(np.float32)
         of = sample.of_text
@@ -289,7 +291,7 @@ def fit(texts: list[str | None], labels: list[int], toxic_weight: float = 1.0, o
         if w is None:
             return Scorer(kernel, np.zeros(len(landmarks)), -1.0)
         scorer = Scorer(kernel, root @ w[:-1], float(w[-1]))
-        shares = per_unit @ scorer.weights
+        shares = np.concatenate([per_unit[i : i + 50_000].astype(np.float32) @ scorer.weights for i in range(0, len(per_unit), 50_000)] or [np.zeros(0)])
         del x, per_unit
         wrong = np.lexsort((sample.starts, -np.where((evidence < 0.5) & (other >= 1), shares, -np.inf)))[: OTHER_LANDMARKS // 2]
         common = list(dict.fromkeys([*common[: OTHER_LANDMARKS // 2], *wrong]))
