@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .interpolated_lm import score_texts
+from .licenses import BLOCK_STEP, BLOCK_WORDS, CONTAINMENT, PHRASES, TEMPLATES, least_overlap, scan_licenses, template_words
 from .mixing import mix_sources
 from .packing import pack
 from .simhash import near_duplicates
@@ -52,6 +53,10 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"), carry=["doc_id"])
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = count_tokens(table(spark, folder, "documents"), tokenizer_path(), keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -59,12 +64,51 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_interpolated_lm, op2_toxicity, op3_simhash_near_dedup, op5_exact_dedup, op7_source_mixing, op8_best_fit_packing, op10_token_counts)
+    for f in (op1_interpolated_lm, op2_toxicity, op3_simhash_near_dedup, op5_exact_dedup, op7_source_mixing, op8_best_fit_packing, op9_license_scan, op10_token_counts)
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _license_sql() -> str:
+    """Every block against every template, without index or filters."""
+    places = []
+    for phrase in PHRASES.values():
+        tests = " AND ".join(f"words[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split()))
+        places.append(f"list_filter(range(0, len(words)), lambda i: coalesce({tests}, false))")
+    rows = ", ".join(
+        f"('{name}', {template_words(notice)!r}, {least_overlap(template_words(notice), CONTAINMENT)})" for name, notice in sorted(TEMPLATES.items())
+    )
+    base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES))
+    return rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS nr, doc_id,
+                   trim(regexp_replace({_LOWERED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS plain FROM documents
+        ), w AS (
+            SELECT nr, doc_id, CASE WHEN plain = '' THEN [] ELSE string_split(plain, ' ') END AS words FROM d
+        ), p AS (
+            SELECT nr, doc_id, words, {", ".join(f"{x} AS p{k}" for k, x in enumerate(places))} FROM w
+        ), b AS (
+            SELECT nr, unnest(list_transform(range(0, len(words), {BLOCK_STEP}), lambda s: words[s + 1 : s + {BLOCK_WORDS}])) AS block FROM w
+        ), t(label, tokens, least) AS (VALUES {rows}),
+        f AS (
+            SELECT nr, list(DISTINCT label) AS found, max(common / len(tokens)::DOUBLE) AS score
+            FROM (SELECT nr, label, tokens, least, len(list_intersect(tokens, block)) AS common FROM b, t) WHERE common >= least GROUP BY nr
+        ), j AS (
+            SELECT p.*, coalesce(found, []) AS found, f.score, p0 || p1 || p2 AS places,
+                   list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM p LEFT JOIN f USING (nr)
+        )
+        SELECT doc_id, len(words)::BIGINT AS n_words, len(places)::BIGINT AS n_base,
+               list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+               coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(base || found)), ','), '') AS labels,
+               CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score
+        FROM j"""
+
+
 SQL = {
+    "op9_license_scan": _license_sql(),
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWERED}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,

@@ -14,9 +14,9 @@ from .bytescan import LOWER_AZ, flat_bytes, runs_of_bytes, span_hash, words
 from .common import crc32_of, fresh, without
 from .pieces import _Slots
 
-TOXIC_ROWS = 1500
-OTHER_ROWS = 3000
-SAMPLE_BYTES = 32_768
+TOXIC_ROWS = 1200
+OTHER_ROWS = 2400
+SAMPLE_BYTES = 16_384
 TOXIC_LANDMARKS = 80
 OTHER_LANDMARKS = 60
 POWER = 3
@@ -26,6 +26,9 @@ SENTENCE_WORDS = 48
 LONG_WORD = 24
 RUN_BYTES = 1 << 20
 WORDS_AT_ONCE = 2000
+SENTENCES_AT_ONCE = 1_000
+TEXTS_AT_ONCE = 200
+ROWS_AT_ONCE = 10_000
 KEPT_WORDS = 3_000_000
 THRESHOLD = 0.3
 RESULT = ["held_out", "score", "predicted"]
@@ -127,8 +130,8 @@ class Kernel:
         np.add.at(self.table, (where + 1, unit), weight)
         self.table /= np.maximum(np.sqrt((self.table**2).sum(axis=0)), 1e-6)
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: type = np.float32) -> np.ndarray:
-        out = np.zeros((len(starts), len(self.landmarks)), kind)
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(starts), len(self.landmarks)), np.float32)
         for low in range(0, len(starts), WORDS_AT_ONCE):
             some = slice(low, low + WORDS_AT_ONCE)
             unit, code, weight = subsequences(data, starts[some], ends[some])
@@ -192,10 +195,15 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray | None
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
-        inside = y * (x @ w.astype(x.dtype)) < 1
-        near = x[inside]
-        part = near * (cost * weight[inside])[:, None].astype(x.dtype)
-        new = np.linalg.solve(ridge + part.T @ near, part.T @ y[inside])
+        left, right = ridge.copy(), np.zeros(x.shape[1])
+        for low in range(0, len(x), ROWS_AT_ONCE):
+            near, sign, share = x[low : low + ROWS_AT_ONCE], y[low : low + ROWS_AT_ONCE], weight[low : low + ROWS_AT_ONCE]
+            inside = (sign * (near @ w.astype(x.dtype)) < 1) & (share > 0)
+            near = near[inside]
+            part = near * (cost * share[inside])[:, None].astype(x.dtype)
+            left += part.T @ near
+            right += part.T @ sign[inside].astype(x.dtype)
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-4:
             break
         w = new
@@ -221,11 +229,21 @@ class _Sentences:
     """Units of sample texts: distinct ones, and which sentence and text each stands in."""
 
     def __init__(self, texts: list[str | None]):
-        data, offsets = flat_bytes(pa.array(texts, pa.string()))
-        self.data = LOWER_AZ[data]
-        starts, ends, stop, self.text = units(self.data, offsets)
-        keys = span_hash(self.data, starts, ends)
-        _, first, self.unit = np.unique(keys, return_index=True, return_inverse=True)
+        parts = []
+        at = 0
+        for first in range(0, len(texts), TEXTS_AT_ONCE):
+            data, offsets = flat_bytes(pa.array(texts[first : first + TEXTS_AT_ONCE], pa.string()))
+            data = LOWER_AZ[data]
+            starts, ends, stop, text = units(data, offsets)
+            parts.append((data, starts + at, ends + at, stop, (text + first).astype(np.int32), span_hash(data, starts, ends)))
+            at += len(data)
+        self.data, starts, ends, stop, self.text, keys = (
+            np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
+            for k, kind in enumerate((np.uint8, np.int64, np.int64, bool, np.int32, np.uint64))
+        )
+        del parts
+        _, first, where = np.unique(keys, return_index=True, return_inverse=True)
+        self.unit = where.astype(np.int32)
         self.starts, self.ends = starts[first], ends[first]
         self.begin = np.append(0, np.flatnonzero(stop)[:-1] + 1) if len(starts) else np.zeros(0, np.int64)
         self.of_text = self.text[self.begin]
@@ -233,14 +251,21 @@ class _Sentences:
     def word(self, k: int) -> bytes:
         return self.data[self.starts[k] : self.ends[k]].tobytes()
 
-    def sums(self, per_unit: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(self.begin), per_unit.shape[1]), np.float32)
+    def rows(self, kernel: Kernel) -> np.ndarray:
+        """Kernel rows of the distinct units, as half floats."""
+        out = np.zeros((len(self.starts), len(kernel.landmarks)), np.float16)
+        for low in range(0, len(out), WORDS_AT_ONCE):
+            some = slice(low, low + WORDS_AT_ONCE)
+            out[some] = kernel(self.data, self.starts[some], self.ends[some])
+        return out
+
+    def sums(self, per_unit: np.ndarray):
+        """(first sentence, end, their sums of rows), some at a time."""
         bounds = np.append(self.begin, len(self.unit))
-        for low in range(0, len(self.begin), 1000):
-            high = min(low + 1000, len(self.begin))
+        for low in range(0, len(self.begin), SENTENCES_AT_ONCE):
+            high = min(low + SENTENCES_AT_ONCE, len(self.begin))
             some = per_unit[self.unit[bounds[low] : bounds[high]]]
-            out[low:high] = np.add.reduceat(some, bounds[low:high] - bounds[low], axis=0, dtype=np.float32)
-        return out
+            yield low, high, np.add.reduceat(some, bounds[low:high] - bounds[low], axis=0, dtype=np.float32)
 
 
 def fit(texts: list[str | None], labels: list[int], toxic_weight: float = 1.0, other_weight: float = 1.0) -> Scorer:
@@ -251,7 +276,7 @@ def fit(texts: list[str | None], labels: list[int], toxic_weight: float = 1.0, o
     """
     y = np.where(np.array(labels) > 0, 1.0, -1.0)
     sample = _Sentences(texts)
-    pairs = np.stack(np.divmod(np.unique(sample.unit * max(1, len(texts)) + sample.text), max(1, len(texts))), axis=1)
+    pairs = np.stack(np.divmod(np.unique(sample.unit * np.int64(max(1, len(texts))) + sample.text), max(1, len(texts))), axis=1)
     curve = np.arange(len(texts)) % 4 == 3
     learns = ~curve[pairs[:, 1]]
     toxic = np.bincount(pairs[learns & (y[pairs[:, 1]] > 0), 0], minlength=len(sample.starts))
@@ -262,19 +287,20 @@ def fit(texts: list[str | None], labels: list[int], toxic_weight: float = 1.0, o
     order = np.lexsort((sample.starts, -gain))
     chosen = [k for k in order[:TOXIC_LANDMARKS] if gain[k] > 0]
     common = [k for k in np.lexsort((sample.starts, -other)) if k not in set(chosen)][: OTHER_LANDMARKS // 2]
-    scorer = None
-    for _ in range(2):
+    for turn in range(2):
         landmarks = list(dict.fromkeys(sample.word(k) for k in [*chosen, *common])) or [b"a"]
         kernel = Kernel(landmarks)
         raw = np.frombuffer(b"".join(landmarks), np.uint8)
         ends = np.cumsum([len(x) for x in landmarks])
         value, vector = np.linalg.eigh((lambda k: (k + k.T) / 2)(kernel(raw, ends - [len(x) for x in landmarks], ends).astype(np.float64)))
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-        per_unit = kernel(sample.data, sample.starts, sample.ends, np.float16)
         x = np.ones((len(sample.begin), len(landmarks) + 1), np.float32)
-        x[:, :-1] = sample.sums(per_unit) @ root.astype(np.float32)
+        per_unit = sample.rows(kernel)
+        for low, high, sums in sample.sums(per_unit):
+            x[low:high, :-1] = sums @ root.astype(np.float32)
         of = sample.of_text
-        witness = sample.sums(np.maximum(evidence, 0)[:, None] * (toxic >= 3)[:, None])[:, 0]
+        held = np.append(0, np.cumsum((np.maximum(evidence, 0) * (toxic >= 3))[sample.unit]))
+        witness = held[np.append(sample.begin[1:], len(sample.unit))] - held[sample.begin] if len(of) else np.zeros(0)
         w = None
         for _ in range(3):
             if w is not None:
@@ -283,16 +309,20 @@ def fit(texts: list[str | None], labels: list[int], toxic_weight: float = 1.0, o
             np.maximum.at(best, of, witness)
             carries = (y[of] > 0) & (witness >= np.minimum(best[of], 1.0))
             use = (carries | (y[of] < 0)) & ~curve[of]
-            target = np.where(carries, 1.0, -1.0)[use]
-            if not (target > 0).any() or not (target < 0).any():
+            target = np.where(carries, 1.0, -1.0)
+            some, rest = (use & carries).sum(), (use & ~carries).sum()
+            if not some or not rest:
                 break
-            balance = np.where(target > 0, 1.0, max(0.02, min(1.0, 10 * (target > 0).sum() / (target < 0).sum())))
-            w = _svm(x[use], target, balance, w)
+            balance = np.where(use, np.where(carries, 1.0, max(0.02, min(1.0, 10 * some / rest))), 0.0)
+            w = _svm(x, target, balance, w)
         if w is None:
             return Scorer(kernel, np.zeros(len(landmarks)), -1.0)
         scorer = Scorer(kernel, root @ w[:-1], float(w[-1]))
-        shares = np.concatenate([per_unit[i : i + 50_000].astype(np.float32) @ scorer.weights for i in range(0, len(per_unit), 50_000)] or [np.zeros(0)])
-        del x, per_unit
+        del x
+        if turn:
+            break
+        shares = np.concatenate([per_unit[i : i + 50_000].astype(np.float32) @ scorer.weights for i in range(0, len(per_unit), 50_000)])
+        del per_unit
         wrong = np.lexsort((sample.starts, -np.where((evidence < 0.5) & (other >= 1), shares, -np.inf)))[: OTHER_LANDMARKS // 2]
         common = list(dict.fromkeys([*common[: OTHER_LANDMARKS // 2], *wrong]))
     data, offsets = flat_bytes(pa.array(texts, pa.string()))
