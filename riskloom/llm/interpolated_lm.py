@@ -15,7 +15,7 @@ from ..session import scratch_path
 from .bytescan import LOWER_AZ, flat_bytes, mix, span_hash, words
 from .common import crc32_of, fields
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 FOLDS = 10
 HELD_OUT, DEVELOPMENT = 0, 1
 ROUNDS = 12
@@ -83,8 +83,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
     rows with remainder 1, scored with the counts of the other training rows (held-out counts); the
     model itself counts all training rows. Base: unigrams with 0.1 added to each count.
 
-    Rows are dealt to chunks of about 8 MB by a hash of key and text. A chunk sends each distinct n-gram once, with its counts,
-    as packed blocks to the n-gram's bucket and gets back the totals over all rows; a frequent n-gram is one entry of
+    Rows are dealt to chunks of about 4 MB by a hash of key and text. A chunk sends each distinct n-gram once, with its counts,
+    as packed blocks of sorted keys' gaps to the n-gram's bucket and gets back the totals over all rows; a frequent n-gram is one entry of
     a block like any other. What a position needs (two counts) is written, so training the weights and
     scoring read that table only. An n-gram stands for itself by 48 bits besides its bucket.
 
@@ -113,14 +113,15 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
                 out["kind"].append(kind)
                 out["bucket"].append(int(bucket[a]))
                 out["n"].append(int(b - a))
-                out["keys"].append(_packed(short[a:b]))
+                out["keys"].append(_packed(np.diff(short[a:b], prepend=np.uint64(0))))
                 out["train"].append(_packed(train[a:b]))
                 out["dev"].append(_packed(dev[a:b]))
         return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("train", pa.binary()), ("dev", pa.binary())]))
 
     def total(table: pa.Table) -> pa.Table:
         n = table["n"].to_pylist()
-        columns = [np.concatenate([_unpacked(raw, k) for raw, k in zip(table[c].to_pylist(), n)]) for c in ("keys", "train", "dev")]
+        columns = [[_unpacked(raw, k) for raw, k in zip(table[c].to_pylist(), n)] for c in ("keys", "train", "dev")]
+        columns = [np.concatenate([np.cumsum(gaps) for gaps in columns[0]]), *map(np.concatenate, columns[1:])]
         distinct, where = np.unique(columns[0], return_inverse=True)
         at = np.append(0, np.cumsum(n))
         out = {c: table[c] for c in ("chunk", "kind", "bucket", "n")}
