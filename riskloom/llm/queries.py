@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .interpolated_lm import score_texts
 from .licenses import BLOCK_STEP, BLOCK_WORDS, CONTAINMENT, PHRASES, TEMPLATES, least_overlap, scan_licenses, template_words
 from .mixing import mix_sources
+from .multi_index import nearest
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -44,6 +45,10 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"), carry=["doc_id"])
 
 
+def op6_inverted_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -64,7 +69,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_interpolated_lm, op2_toxicity, op3_simhash_near_dedup, op5_exact_dedup, op7_source_mixing, op8_best_fit_packing, op9_license_scan, op10_token_counts)
+    for f in (op1_interpolated_lm, op2_toxicity, op3_simhash_near_dedup, op5_exact_dedup, op6_inverted_multi_index, op7_source_mixing, op8_best_fit_packing, op9_license_scan, op10_token_counts)
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
