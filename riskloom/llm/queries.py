@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import table
 from .exact_dedup import exact_dedup
 from .interpolated_lm import score_texts
@@ -16,6 +17,7 @@ from .multi_index import nearest
 from .packing import pack
 from .simhash import near_duplicates
 from .token_counts import count_tokens
+from .token_files import read_token_files, write_token_files
 from .toxicity import score_toxicity
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -41,6 +43,12 @@ def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), carry=["doc_id"]).drop("kept")
 
 
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    write_token_files(table(spark, folder, "documents"), path, tokenizer_path())
+    return read_token_files(spark, path)
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"), carry=["doc_id"])
 
@@ -69,7 +77,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_interpolated_lm, op2_toxicity, op3_simhash_near_dedup, op5_exact_dedup, op6_inverted_multi_index, op7_source_mixing, op8_best_fit_packing, op9_license_scan, op10_token_counts)
+    for f in (op1_interpolated_lm, op2_toxicity, op3_simhash_near_dedup, op4_token_files, op5_exact_dedup, op6_inverted_multi_index, op7_source_mixing, op8_best_fit_packing, op9_license_scan, op10_token_counts)
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
