@@ -17,7 +17,8 @@ def named(name: str) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Keep x within the bounds; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def is_number(dtype: T.DataType) -> bool:
@@ -40,8 +41,8 @@ def to_text(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit("nan"))
 
 
-def hour_or_noon(x: Column, dtype: T.DataType) -> Column:
-    """Hour of day; 12 where the time is missing or unreadable."""
+def hour_or_null(x: Column, dtype: T.DataType) -> Column:
+    """Hour of day; null where the time is missing or unreadable."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         stamp = x
     elif isinstance(dtype, T.DateType):
@@ -52,7 +53,12 @@ def hour_or_noon(x: Column, dtype: T.DataType) -> Column:
             text.try_cast("timestamp_ntz"),
             *[F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in TIME_LAYOUTS],
         )
-    return F.coalesce(F.hour(stamp), F.lit(12)).cast("int")
+    return F.hour(stamp)
+
+
+def hour_or_noon(x: Column, dtype: T.DataType) -> Column:
+    """Hour of day; 12 where the time is missing or unreadable."""
+    return F.coalesce(hour_or_null(x, dtype), F.lit(12)).cast("int")
 
 
 def flag(condition: Column) -> Column:

@@ -55,9 +55,13 @@ MISSING_WORDS = (
 )
 
 # Time layouts tried in order after the ISO layout; month comes first.
+# Month first; then 12-hour clocks, two-digit years and month names; day first is tried last, so only where unambiguous.
 TIME_LAYOUTS = (
     "M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy", "yyyy/M/d H:m:s", "yyyy/M/d H:m", "yyyy/M/d",
     "M-d-yyyy H:m:s", "M-d-yyyy H:m",
+    "M/d/yyyy h:m:s a", "M/d/yyyy h:m a", "yyyy-M-d h:m:s a", "yyyy-M-d h:m a", "M/d/yy H:m:s", "M/d/yy H:m", "M/d/yy h:m a",
+    "d MMM yyyy H:m:s", "d MMM yyyy H:m", "d MMM yyyy", "MMM d, yyyy H:m:s", "MMM d, yyyy h:m a", "MMM d, yyyy", "MMM d yyyy H:m:s",
+    "d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy", "d.M.yyyy H:m:s", "d.M.yyyy H:m", "d.M.yyyy", "d-M-yyyy H:m:s", "d-M-yyyy H:m",
 )
 
 MIN_EVENT_ROWS = 50

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import binarize_label, flag, hour_or_noon, is_number, named, row_sum, to_text
+from ..functions.vocabulary import MIN_TABULAR_ROWS
 from ..session import write_table
 from .joins import label_from_answers
 from .quantile import exact_percentile
@@ -49,10 +50,10 @@ def log_features(df: DataFrame, kind: str) -> DataFrame:
     return rows.groupBy("user_id").agg(*[F.sum(c).alias(c) for c in rows.columns if c != "user_id"])
 
 
-def user_log_features(logs: dict[str, DataFrame]) -> DataFrame:
-    """All log tables to one row per user: one union and one aggregate, so one shuffle."""
+def user_log_features(logs: dict[str, DataFrame | list[DataFrame]]) -> DataFrame:
+    """All log tables (one or several of a kind) to one row per user: one union and one aggregate, so one shuffle."""
     stacked = None
-    for kind, df in logs.items():
+    for kind, df in ((k, df) for k, dfs in logs.items() for df in (dfs if isinstance(dfs, list) else [dfs])):
         rows = log_rows(df, kind)
         stacked = rows if stacked is None else stacked.unionByName(rows, allowMissingColumns=True)
     if stacked is None:
@@ -81,7 +82,7 @@ def user_means(df: DataFrame, user_col: str, features: list[str], label: str | N
     return df.groupBy(user).agg(*aggregates)
 
 
-def tabular_user_features(df: DataFrame, answers: DataFrame | None = None) -> tuple[DataFrame, dict] | None:
+def tabular_user_features(df: DataFrame, answers: DataFrame | None = None, min_rows: int = MIN_TABULAR_ROWS) -> tuple[DataFrame, dict] | None:
     """Wide table to labelled user rows; None when it has too few rows, no user or no feature.
 
     Labels come from the label column, else the answer set, else the percentile rule.
@@ -91,7 +92,7 @@ def tabular_user_features(df: DataFrame, answers: DataFrame | None = None) -> tu
         return None
     skip = tuple(c for c in (role["user"], role["label"], "row_id") if c)
     converted, features, n = coerce_mostly_numeric(df, skip)
-    if n < 8 or not features:
+    if n < min_rows or not features:
         return None
     users = user_means(converted, role["user"], features, role["label"])
     source = "label_column"
@@ -104,14 +105,14 @@ def tabular_user_features(df: DataFrame, answers: DataFrame | None = None) -> tu
     return users.select("user_id", *[named(c) for c in features], "y"), meta
 
 
-def is_usable_table(df: DataFrame) -> bool:
-    """At least 8 rows, a user column and at least one numeric feature."""
+def is_usable_table(df: DataFrame, min_rows: int = MIN_TABULAR_ROWS) -> bool:
+    """At least ``min_rows`` rows, a user column and at least one numeric feature."""
     role = tabular_roles(df.columns)
     if role["user"] is None:
         return False
     skip = tuple(c for c in (role["user"], role["label"]) if c)
     _, features, n = coerce_mostly_numeric(df, skip)
-    return n >= 8 and bool(features)
+    return n >= min_rows and bool(features)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

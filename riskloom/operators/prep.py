@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -36,7 +35,7 @@ def ordinal_encode(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataF
 
 @dataclass(frozen=True)
 class Scaler:
-    """Mean and population deviation per column; constant columns are divided by 1."""
+    """Mean and population deviation per column; constant columns (smallest = largest) are divided by 1."""
 
     columns: tuple[str, ...]
     means: tuple[float, ...]
@@ -45,16 +44,15 @@ class Scaler:
     @staticmethod
     def fit(df: DataFrame, columns: list[str]) -> "Scaler":
         row = df.agg(
-            F.count(F.lit(1)).alias("n"),
+            *[(F.min(named(c)) == F.max(named(c))).alias(f"same{i}") for i, c in enumerate(columns)],
             *[F.avg(named(c)).alias(f"m{i}") for i, c in enumerate(columns)],
             *[F.stddev_pop(named(c)).alias(f"s{i}") for i, c in enumerate(columns)],
         ).first()
-        n, means, scales = row["n"], [], []
+        means, scales = [], []
         for i in range(len(columns)):
             mean, std = row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0
-            rounding = n * sys.float_info.epsilon * std**2 + (n * mean * sys.float_info.epsilon) ** 2
             means.append(mean)
-            scales.append(1.0 if std**2 <= rounding else std)
+            scales.append(1.0 if row[f"same{i}"] or not std else std)
         return Scaler(tuple(columns), tuple(means), tuple(scales))
 
     def features(self):

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FETCH_VALUES = 20_000  # values a final fetch may bring to the driver, over all columns
+GROUP_COLUMNS = 20
 ACCURACY = 2_000
 FIRST_MARGIN = 3.0 / ACCURACY
 
@@ -32,12 +33,13 @@ class _Rank:
     below: int = 0
     low: float = -math.inf
     high: float = math.inf
+    open: bool = True  # not narrowed yet; infinite ends are values like others
     margin: float = FIRST_MARGIN
     value: float | None = None
 
     def within(self) -> Column:
         v = F.col(f"v{self.i}")
-        if math.isinf(self.high):
+        if self.open:
             return v.isNotNull()
         return (v > F.lit(self.low)) & (v < F.lit(self.high))
 
@@ -53,16 +55,23 @@ class _Rank:
         elif self.rank >= below + inside - at_high:
             self.value = high
         else:
-            self.low, self.high = low, high
+            self.low, self.high, self.open = low, high, False
             self.below, self.inside = below + at_low, inside - at_low - at_high
 
 
 def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> dict[str, float | None]:
     """Linear-interpolated percentiles, several at once: ``{name: (column, q)}``.
 
-    Nulls and NaN are skipped; None when there is no value.
+    Nulls and NaN are skipped; None when there is no value. Columns are searched in groups, so that the final
+    fetch of a group stays within ``FETCH_VALUES`` and leaves each rank enough to finish in a few passes.
     """
     names = list(wanted)
+    if len(names) > GROUP_COLUMNS:
+        return {
+            name: value
+            for first in range(0, len(names), GROUP_COLUMNS)
+            for name, value in exact_percentiles(df, {n: wanted[n] for n in names[first : first + GROUP_COLUMNS]}).items()
+        }
     values = df.select(
         *[F.when(~F.isnan(c.cast("double")), c.cast("double")).alias(f"v{i}") for i, (c, _) in enumerate(wanted.values())]
     )
@@ -74,7 +83,7 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) ->
             for i, (_, q) in enumerate(wanted.values())
         ],
     ).first()
-    limit = max(500, FETCH_VALUES // (2 * len(names)))
+    limit = FETCH_VALUES // (2 * len(names)) if names else 0
     search: list[_Rank] = []
     for i, name in enumerate(names):
         n = seen[f"n{i}"]
@@ -108,7 +117,8 @@ def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) ->
     result: dict[str, float | None] = {name: None for name in names}
     for a, b in zip(search[::2], search[1::2]):
         position = wanted[names[a.i]][1] * (seen[f"n{a.i}"] - 1)
-        result[names[a.i]] = a.value + (b.value - a.value) * (position - math.floor(position))
+        share = position - math.floor(position)
+        result[names[a.i]] = a.value if a.value == b.value or not share else a.value + (b.value - a.value) * share
     return result
 
 

@@ -17,8 +17,8 @@ def trust_lookup(df: DataFrame, trust: DataFrame, default: float = DEFAULT_TRUST
 
 
 def risk_score(p: Column, err: Column, trust: Column, threshold: float) -> Column:
-    """0.42 p + 0.38 relative error + 0.20 distrust, kept within 0 and 1."""
-    relative = F.least(F.lit(1.0), err / F.lit(max(float(threshold), 1e-6)))
+    """0.42 p + 0.38 relative error + 0.20 distrust, kept within 0 and 1; null if one of them is missing."""
+    relative = F.when(err.isNotNull(), F.least(F.lit(1.0), err / F.lit(max(float(threshold), 1e-6))))
     return clip(F.lit(0.42) * p + F.lit(0.38) * relative + F.lit(0.20) * (F.lit(1.0) - trust), 0.0, 1.0)
 
 

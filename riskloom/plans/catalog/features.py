@@ -87,9 +87,9 @@ def ingestion_manifest(spark, folder):
 
 @query(
     "table_fingerprint",
-    """WITH d AS (SELECT md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) AS m FROM orders)
-    SELECT count(*) AS n_rows, sum(('0x' || substr(m, 1, 8))::BIGINT)::BIGINT AS hash_a,
-           sum(('0x' || substr(m, 9, 8))::BIGINT)::BIGINT AS hash_b FROM d""",
+    """WITH d AS (SELECT md5('{"c0":"' || o_orderkey || '","c1":"' || o_custkey || '","c2":"' || o_orderstatus || '","c3":"' || o_orderpriority || '"}') AS m FROM orders)
+    SELECT count(*) AS n_rows, sum(('0x' || substr(m, 1, 8))::BIGINT)::VARCHAR AS hash_a,
+           sum(('0x' || substr(m, 9, 8))::BIGINT)::VARCHAR AS hash_b FROM d""",
 )
 def fingerprint(spark, folder):
     columns = [F.col(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")]

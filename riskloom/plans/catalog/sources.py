@@ -20,32 +20,24 @@ from ..adapters import answer_set, event_table, given_scores, log_tables, order_
 from .registry import EVENT_CTE, USER_LOG_CTE, query, r6
 
 
-def _write_csv(df, path: str) -> str:
-    """A folder of part files that the readers take for one CSV."""
-    df.write.option("header", "true").option("escape", '"').csv(path)
-    return path
+PARTS = 8
+
+
+def _write_csv(df, base: str, name: str) -> None:
+    """A table as a folder ``name`` of eight part files, each with a header."""
+    df.repartition(PARTS).write.option("header", "true").option("escape", '"').csv(f"{base}/{name}")
 
 
 def _log_folder(spark, folder: str, answers: bool = True) -> str:
-    """Log tables as ``<kind>.csv`` single files, as the loaders expect them."""
+    """Log tables as ``<kind>.csv`` folders of part files."""
     base = scratch_path(spark, "logs")
     for kind, df in log_tables(spark, folder).items():
-        _single_file(spark, df, base, f"{kind}.csv")
+        _write_csv(df, base, f"{kind}.csv")
     if answers:
-        _single_file(spark, answer_set(spark, folder).distinct(), base, "insiders.csv")
+        _write_csv(answer_set(spark, folder).distinct(), base, "insiders.csv")
     return base
 
 
-def _single_file(spark, df, base: str, name: str) -> None:
-    """Give a one-part CSV output its final file name."""
-    parts = _write_csv(df.coalesce(1), f"{base}/.parts-{name}")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    files = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = files.globStatus(path(f"{parts}/part-*"))[0].getPath()
-    files.rename(part, path(f"{base}/{name}"))
-
-
 @query("read_csv_log_features", f"WITH {USER_LOG_CTE} SELECT * FROM users")
 def csv_logs(spark, folder):
     return load_logs(spark, _log_folder(spark, folder, False))
@@ -66,8 +58,11 @@ def csv_log_source(spark, folder):
 )
 def csv_event_source(spark, folder):
     base = scratch_path(spark, "eventcsv")
-    _single_file(spark, event_table(spark, folder).drop("row_id"), base, "activity.csv")
-    _single_file(spark, event_table(spark, folder).drop("row_id").limit(60), base, "activity_small.csv")
+    events = event_table(spark, folder)
+    early = F.col("row_id") % 3 == 0
+    _write_csv(events.filter(~early).drop("row_id"), base, "activity.csv")
+    renamed = {"user_id": "userid", "timestamp": "datetime", "data_volume_mb": "volume_mb"}  # other names of the same roles
+    _write_csv(events.filter(early).drop("row_id").withColumnsRenamed(renamed), base, "activity_early.csv")
     frame, _, _ = resolve_source(spark, base)
     return frame.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("data_volume_mb"), 4).alias("volume"), F.sum("failed_attempts").alias("failed"),
@@ -85,8 +80,10 @@ def csv_tabular_source(spark, folder):
     orders = order_table(spark, folder).select(
         "user_id", "price", "priority", F.when(F.col("status") == "F", "yes").otherwise("no").alias("label")
     )
-    _single_file(spark, orders, base, "wide.csv")
-    _single_file(spark, orders.select("user_id", "price"), base, "narrow.csv")
+    half = F.col("price") % 2 < 1
+    _write_csv(orders.filter(half), base, "wide_a.csv")
+    _write_csv(orders.filter(~half), base, "wide_b.csv")
+    _write_csv(orders.select("user_id", "price"), base, "narrow.csv")
     frame, _, _ = resolve_source(spark, base)
     return frame.select("user_id", r6("price").alias("price"), "y")
 
@@ -104,15 +101,15 @@ def csv_answers(spark, folder):
 def csv_union(spark, folder):
     base = scratch_path(spark, "union")
     customers = table(spark, folder, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
-    _single_file(spark, customers, base, "a.csv")
-    _single_file(spark, table(spark, folder, "supplier").select(F.col("s_nationkey").alias("nation"), "s_name"), base, "b.csv")
+    _write_csv(customers, base, "a.csv")
+    _write_csv(table(spark, folder, "supplier").select(F.col("s_nationkey").alias("nation"), "s_name"), base, "b.csv")
     rows = scan_csv_union(spark, f"{base}/*.csv")
     return rows.groupBy(F.col("nation").cast("int").alias("nation")).agg(
         F.count(F.lit(1)).alias("n"), F.count("segment").alias("n_segment")
     )
 
 
-@query("csv_inventory", "SELECT count(*) AS total_csv_rows, 4::BIGINT AS files_seen FROM events")
+@query("csv_inventory", "SELECT count(*) AS total_csv_rows, 32::BIGINT AS files_seen FROM events")
 def inventory(spark, folder):
     return csv_inventory(spark, _log_folder(spark, folder, False))
 
@@ -120,7 +117,7 @@ def inventory(spark, folder):
 @query(
     "csv_manifest",
     """SELECT 'batch_csv_files' AS transport, greatest(1, ceil(count(*) / 1000e0))::BIGINT AS micro_batches,
-      count(*) AS total_csv_rows, 4::BIGINT AS files_seen FROM events""",
+      count(*) AS total_csv_rows, 32::BIGINT AS files_seen FROM events""",
 )
 def manifest(spark, folder):
     return ingestion_manifest(spark, _log_folder(spark, folder, False), 1000)

@@ -42,7 +42,7 @@ def _activity_sql(starts: str, length: str, closed: bool) -> str:
     return f"""WITH e AS (SELECT user_id::VARCHAR AS user_id, ts, event_type, {starts} AS w FROM events)
     SELECT strftime(w, {SQL_STAMP}) AS window_start, strftime(w + INTERVAL {length}, {SQL_STAMP}) AS window_end, user_id,
       count(*) FILTER (event_type = 'signup') AS logon_count, count(*) FILTER (event_type = 'click') AS logoff_count,
-      sum(CASE WHEN hour(ts) < 7 OR hour(ts) > 19 THEN 1 ELSE 0 END)::BIGINT AS after_hours,
+      sum(CASE WHEN event_type IN ('signup', 'click') AND (hour(ts) < 7 OR hour(ts) > 19) THEN 1 ELSE 0 END)::BIGINT AS after_hours,
       count(*) FILTER (event_type = 'view') AS device_events, count(*) FILTER (event_type = 'purchase') AS email_events,
       count(*) FILTER (event_type = 'error') AS file_events
     FROM e {"WHERE w + INTERVAL " + length + " <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)" if closed else ""} GROUP BY w, user_id"""
@@ -141,8 +141,8 @@ def trust_stream(spark, folder):
     changes = trust_changes(scored_activity(_stream(spark, folder)), HIGH, MEAN, 0.8)
     closed = parquet_stream(spark, run_to_folder(changes, "changes"), changes.schema)
     running = run_to_table(stream_user_trust(closed), "trust")
-    newest = F.max_by("trust", "window_end")
-    return running.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_windows"), r6(newest).alias("trust"))
+    newest = F.max_by("trust", "n_windows")
+    return running.groupBy("user_id").agg(F.max("n_windows").alias("n_windows"), r6(newest).alias("trust"))
 
 
 @query("batch_user_trust", f"WITH {TRUST_CTE} SELECT user_id, count(*) AS n_windows, round({FOLD}, 6) AS trust FROM c GROUP BY user_id")

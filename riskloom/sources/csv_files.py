@@ -2,41 +2,49 @@
 
 from __future__ import annotations
 
+import csv
+import logging
+import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import is_number, named, to_number
+from ..functions.scalars import hour_or_null, is_number, named, to_number
 from ..functions.vocabulary import (
     CATEGORICAL_COLUMNS,
+    EVENT_ALIASES,
     MICRO_BATCH_ROWS,
     MIN_EVENT_ROWS,
+    MIN_TABULAR_ROWS,
     MISSING_WORDS,
     PREVIEW_ROWS,
 )
 from ..operators.events import event_features
 from ..operators.joins import label_from_answers
 from ..operators.logs import numeric_columns, percentile_label, tabular_user_features, user_log_features
-from ..operators.schema import has_event_columns
+from ..operators.schema import coerce_mostly_numeric, event_roles, has_event_columns, tabular_roles
 from ..session import write_table
 
 LOG_KINDS = ("logon", "device", "email", "file")
-MATRIX_SAMPLE = 30
 WHOLE_NUMBER = r"^\s*[+-]?\d{1,18}\s*$"
+#: A quoted cell that begins in this line and is not closed in it; a quote inside a plain cell is no such thing.
+OPEN_CELL = r'(^|,)\s*"([^"]|"")*$'
 
+log = logging.getLogger(__name__)
 
-def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Sorted paths that match a glob, read from the file listing only."""
+
+def list_entries(spark: SparkSession, pattern: str) -> list[str]:
+    """Sorted paths that match a glob: files, and folders of part files; read from the listing only."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(s.getPath().toString() for s in found or [] if s.isFile())
+    return sorted(s.getPath().toString() for s in found or [])
 
 
 def list_csv(spark: SparkSession, folder: str) -> list[str]:
-    return list_files(spark, f"{folder.rstrip('/')}/*.csv")
+    return list_entries(spark, f"{folder.rstrip('/')}/*.csv")
 
 
 def files_below(spark: SparkSession, folder: str, glob: str = "*.csv") -> list[str]:
@@ -50,32 +58,62 @@ def plain_path(path: str) -> str:
     return path.replace("file:///", "file:/", 1)
 
 
-def has_line_breaks_in_cells(spark: SparkSession, paths: list[str]) -> bool:
-    """True when a line has an odd number of quotes, so a quoted cell goes on in the next line."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(paths).filter(quotes % 2 == 1).isEmpty()
+def files_of(spark: SparkSession, entries: list[str]) -> dict[str, tuple[tuple[str, ...], bool]]:
+    """Header and line-break flag of every file that is not empty: one pass over all lines of all entries.
+
+    The flag is set where a quoted cell goes on in the next line.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(entries).select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"),
+    )
+    seen = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"), F.max(F.col("value").rlike(OPEN_CELL)).alias("open"))
+    return {r["path"]: (tuple(next(csv.reader([r["header"]]), [])), r["open"]) for r in seen.collect() if (r["header"] or "").strip()}
 
 
-def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """CSV with header, all cells as text, missing-value words as null.
+def read_groups(spark: SparkSession, entries: list[str]) -> list[tuple[list[str], DataFrame]]:
+    """CSV entries as text tables, one for each header: (its entries, rows).
 
-    Only files that need it are read in multi-line mode, because Spark cannot split those.
+    Files with the same header are read together, so the plan has a branch for each header, whatever the number of
+    files. Only files with line breaks inside cells are read in multi-line mode, because Spark cannot split those.
+    Folders keep the columns that their ``key=value`` folders stand for.
     """
-    df = spark.read.csv(
-        paths, header=True, multiLine=has_line_breaks_in_cells(spark, paths), escape='"', mode="PERMISSIVE"
-    )
-    return df.select(*[F.when(~named(c).isin(*MISSING_WORDS), named(c)).alias(c) for c in df.columns])
+    if not entries:
+        return []
+    groups: dict[tuple, dict] = {}
+    for path, (header, broken) in sorted(files_of(spark, entries).items()):
+        plain = plain_path(unquote(path))
+        entry = max((e for e in entries if plain == plain_path(e) or plain.startswith(plain_path(e).rstrip("/") + "/")), key=len)
+        base = entry if plain != plain_path(entry) and "=" in plain[len(plain_path(entry)) :] else None
+        part = groups.setdefault(header, {"entries": [], "reads": {}})
+        if entry not in part["entries"]:
+            part["entries"].append(entry)
+        part["reads"].setdefault((base, broken), []).append(path)
+    out = []
+    for part in groups.values():
+        frame = None
+        for (base, broken), paths in part["reads"].items():
+            reader = spark.read.option("basePath", base) if base else spark.read
+            rows = reader.csv([unquote(p) for p in paths], header=True, multiLine=broken, escape='"', mode="PERMISSIVE")
+            frame = rows if frame is None else frame.unionByName(rows, allowMissingColumns=True)
+        cells = [F.when(~named(c).cast("string").isin(*MISSING_WORDS), named(c).cast("string")).alias(c) for c in frame.columns]
+        out.append((part["entries"], frame.select(*cells)))
+    return out
+
+
+def union_groups(groups: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for frame in groups:
+        out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
+    return out
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame | None:
-    """All cells of a file as text; None when it is missing, unreadable or empty."""
-    if not list_files(spark, path):
-        return None
-    try:
-        df = _scan(spark, [path])
-    except Exception:
-        return None
-    return df if df.columns else None
+    """All cells of a CSV file or folder of part files as text; None when it is missing or empty.
+
+    Anything else that goes wrong (access, storage) rises.
+    """
+    return union_groups([frame for _, frame in read_groups(spark, list_entries(spark, path))])
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -110,19 +148,8 @@ def read_csv_tolerant(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def scan_csv_union(spark: SparkSession, pattern: str) -> DataFrame | None:
-    """All matching files as one bag of rows, columns matched by name; None without a match.
-
-    Files with the same header are read together, so the plan has one branch per header.
-    """
-    by_header: dict[tuple, list[str]] = {}
-    for path in list_files(spark, pattern):
-        header = tuple(spark.read.csv(path, header=True, escape='"').columns)
-        if header:
-            by_header.setdefault(header, []).append(path)
-    out = None
-    for paths in by_header.values():
-        part = _scan(spark, paths)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    """All matching files as one bag of rows, columns matched by name; None without a match."""
+    out = read_texts(spark, pattern)
     return None if out is None else infer_types(out)
 
 
@@ -161,110 +188,139 @@ def table_manifest(df: DataFrame, batch_rows: int = MICRO_BATCH_ROWS) -> DataFra
     )
 
 
-def looks_like_feature_matrix(df: DataFrame) -> bool:
-    """At least three columns, at least two of them numeric in the first 30 rows."""
-    if len(df.columns) < 3:
+def looks_like_feature_matrix(typed: DataFrame) -> bool:
+    """At least three columns, at least two of them numeric, judged by the types of all rows."""
+    if len(typed.columns) < 3:
         return False
-    sample = infer_types(df.limit(MATRIX_SAMPLE))
-    return sum(is_number(f.dataType) or isinstance(f.dataType, T.BooleanType) for f in sample.schema) >= 2
+    return sum(is_number(f.dataType) or isinstance(f.dataType, T.BooleanType) for f in typed.schema) >= 2
 
 
 def answer_files(spark: SparkSession, folder: str) -> list[str]:
-    return sorted({p for glob in ("insider*.csv", "malicious*.csv") for p in files_below(spark, folder, glob)})
+    """CSV files at any depth that are named, or lie in a folder named, insider*.csv or malicious*.csv."""
+    start = plain_path(list_entries(spark, folder.rstrip("/"))[0])
+    names = re.compile(r"/(insider|malicious)[^/]*\.csv(/|$)")
+    return [p for p in files_below(spark, folder) if names.search(p[len(start) :])]
 
 
 def read_answer_users(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct user ids of all answer files; feature tables with such a name are passed over."""
+    """Distinct user ids of all answer files; feature tables with such a name are passed over and logged."""
     out = spark.createDataFrame([], "user_id string")
-    for path in answer_files(spark, folder):
-        texts = read_texts(spark, path)
-        if texts is None or looks_like_feature_matrix(texts):
-            continue
+    for entries, texts in read_groups(spark, answer_files(spark, folder)):
+        typed = infer_types(texts)
         column = next((c for c in texts.columns if any(w in c.lower() for w in ("user", "insider", "employee"))), None)
-        if column:
-            ids = infer_types(texts.select(named(column)))
-            out = out.unionByName(ids.select(named(column).cast("string").alias("user_id")))
+        if looks_like_feature_matrix(typed) or column is None:
+            log.warning("not an answer list: %s", ", ".join(entries))
+            continue
+        out = out.unionByName(typed.select(named(column).cast("string").alias("user_id")))
     return out.na.drop().distinct()
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Add a ``row_id`` that depends on content only: MD5 of the cells and the occurrence number.
+    """Add a ``row_id`` that depends on content only: MD5 of the row as JSON and the occurrence number.
 
-    Equal rows are counted before the shuffle and numbered while they are expanded again, in
+    Equal rows are counted before the shuffle (written once) and numbered while they are expanded again, in
     blocks that spread over tasks, so many copies of one row do not meet in one task.
     """
-    cells = F.md5(F.concat_ws("|", *[F.coalesce(named(c).cast("string"), F.lit("nan")) for c in df.columns]))
-    counted = df.groupBy(*[named(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    names = [named(c) for c in df.columns]
+    cells = F.md5(F.to_json(F.struct(*[named(c).cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)])))
+    counted = write_table(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "distinct")
     block = 100_000
     blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block))))
-    if counted.filter(F.col("_n") > block).limit(1).count():
-        blocks = blocks.repartition("_block", *[named(c) for c in df.columns])
+    if not counted.filter(F.col("_n") > block).isEmpty():
+        blocks = blocks.repartition("_block", *names)
     first = F.col("_block") * block
     number = F.explode(F.sequence(first, F.least(first + block, F.col("_n")) - 1))
     return blocks.withColumn("_occurrence", number).select(
-        F.concat(cells, F.lit("-"), F.col("_occurrence").cast("string")).alias("row_id"), *[named(c) for c in df.columns]
+        F.concat(cells, F.lit("-"), F.col("_occurrence").cast("string")).alias("row_id"), *names
     )
 
 
-def select_event_file(spark: SparkSession, folder: str) -> tuple[str, DataFrame, int] | None:
-    """The event-schema file with most rows; the first one wins a tie."""
-    best = None
-    for path in list_csv(spark, folder):
-        texts = read_texts(spark, path)
-        if texts is None or not has_event_columns(texts.columns):
-            continue
-        rows = texts.count()
-        if rows and (best is None or rows > best[2]):
-            best = (path, texts, rows)
-    return best
-
+def event_tables(spark: SparkSession, folder: str, pick: str = "all") -> tuple[list[str], DataFrame, list[str]] | None:
+    """All rows of the folder's event-schema files under the roles' first names: (entries, rows, entries left out).
 
-def load_events(spark: SparkSession, folder: str, seed=42) -> tuple[DataFrame, dict, list[str]] | None:
-    """Labelled event features of the chosen file, its facts and warnings."""
-    best = select_event_file(spark, folder)
-    if best is None:
+    ``pick="largest"`` keeps the file with most rows only (the first one of a tie).
+    """
+    canonical = {role: aliases[0] for role, aliases in EVENT_ALIASES.items()}
+
+    def under_roles(texts: DataFrame) -> DataFrame:
+        return texts.select(*[named(c).alias(canonical[role]) for role, c in event_roles(texts.columns).items() if c])
+
+    groups = [(e, under_roles(t)) for e, t in read_groups(spark, list_csv(spark, folder)) if has_event_columns(t.columns)]
+    left: list[str] = []
+    if pick == "largest":
+        single = [(e, under_roles(read_texts(spark, e)).count()) for e in sorted(e for es, _ in groups for e in es)]
+        best = max(single, key=lambda x: x[1], default=None)
+        left = [e for e, _ in single if e != best[0]] if best else []
+        groups = [([best[0]], under_roles(read_texts(spark, best[0])))] if best else []
+    rows = union_groups([t for _, t in groups])
+    return None if rows is None else (sorted(e for es, _ in groups for e in es), rows, left)
+
+
+def load_events(spark: SparkSession, folder: str, seed=42, pick: str = "all", min_rows: int = MIN_EVENT_ROWS) -> tuple[DataFrame, dict, list[str]] | None:
+    """Labelled event features of all event files, their facts and warnings; None without such rows."""
+    found = event_tables(spark, folder, pick)
+    if found is None:
         return None
-    path, texts, rows = best
-    warnings = []
-    if rows < MIN_EVENT_ROWS:
-        warnings.append(
-            f"The event file has only {rows} rows; {MIN_EVENT_ROWS} or more make training meaningful."
-        )
+    entries, texts, left = found
     typed = write_table(with_row_id(infer_types(texts)), "events")
+    rows = typed.count()
+    if not rows:
+        return None
+    warnings = [f"Left out by choice of the largest file: {e}." for e in left]
+    if rows < min_rows:
+        warnings.append(f"The event files have only {rows} rows; {min_rows} or more make training meaningful.")
+    time = event_roles(typed.columns)["time"]
+    unread = typed.filter(named(time).isNotNull() & hour_or_null(named(time), typed.schema[time].dataType).isNull()).count()
+    if unread:
+        warnings.append(f"{unread} time cells could not be read and count as hour 12.")
     features, meta = event_features(typed, seed)
-    return features, {**meta, "n_rows": rows, "source_file": path}, warnings
+    return features, {**meta, "n_rows": rows, "source_files": entries, "n_unread_times": unread}, warnings
 
 
 def load_logs(spark: SparkSession, folder: str) -> DataFrame | None:
-    """User features of the log tables that are there; None without any."""
+    """User features of the log tables that are there; None without any.
+
+    A log of a kind is ``<kind>.csv`` (a file, or a folder of part files), ``<kind>-*.csv``, or a folder ``<kind>``; all are read.
+    """
     logs = {}
     for kind in LOG_KINDS:
-        df = read_csv_tolerant(spark, f"{folder.rstrip('/')}/{kind}.csv")
-        if df is not None and not df.isEmpty():
-            logs[kind] = df
-    return user_log_features(logs) if logs else None
+        entries = sorted({e for name in (f"{kind}.csv", f"{kind}-*.csv", kind) for e in list_entries(spark, f"{folder.rstrip('/')}/{name}")})
+        frames = [infer_types(texts) for _, texts in read_groups(spark, entries)]
+        if frames:
+            logs[kind] = frames
+    users = user_log_features(logs) if logs else None
+    return None if users is None or users.isEmpty() else users
 
 
-def load_tabular(spark: SparkSession, folder: str) -> tuple[DataFrame, dict, list[str]] | None:
-    """Labelled user rows of the best wide table: most features, then most rows, then first path."""
-    paths = list_csv(spark, folder)
-    if not paths:
-        return None
-    best, answers = None, read_answer_users(spark, folder)
-    for path in paths:
-        df = read_csv_tolerant(spark, path)
-        if df is None:
-            continue
+def load_tabular(spark: SparkSession, folder: str, min_rows: int = MIN_TABULAR_ROWS) -> tuple[DataFrame, dict, list[str]] | None:
+    """Labelled user rows of the best wide table: most features, then most rows, then first path.
+
+    Files with the same columns are one table. Tables are judged first, and only the best one is built; the files left
+    out are named in the warnings.
+    """
+    best, passed, answers = None, [], None
+    for entries, texts in read_groups(spark, list_csv(spark, folder)):
+        df = infer_types(texts)
         df = df.toDF(*[c.strip() for c in df.columns])
-        built = tabular_user_features(df, answers)
-        if built is None:
+        role = tabular_roles(df.columns)
+        if role["user"] is None:
+            passed.append(entries)
+            continue
+        _, features, n = coerce_mostly_numeric(df, tuple(c for c in (role["user"], role["label"], "row_id") if c))
+        score = (1000 * len(features) + n, [-ord(c) for c in entries[0]])
+        if n < min_rows or not features or (best is not None and score <= best[0]):
+            passed.append(entries)
             continue
-        users, meta = built
-        name = path.rsplit("/", 1)[-1]
-        score = 1000 * len(meta["feature_columns"]) + meta["n_rows"]
-        if best is None or score > best[3]:
-            best = (users, {**meta, "source_file": path}, _tabular_warnings(name, meta), score)
-    return None if best is None else best[:3]
+        if best is not None:
+            passed.append(best[1])
+        best = (score, entries, df)
+    if best is None:
+        return None
+    answers = read_answer_users(spark, folder)
+    users, meta = tabular_user_features(best[2], answers, min_rows)
+    warnings = _tabular_warnings(best[1][0].rsplit("/", 1)[-1], meta)
+    warnings += [f"Not used as the wide table: {e}." for es in passed for e in es]
+    return users, {**meta, "source_files": best[1]}, warnings
 
 
 def _tabular_warnings(name: str, meta: dict) -> list[str]:
@@ -282,13 +338,13 @@ def _tabular_warnings(name: str, meta: dict) -> list[str]:
     return warnings
 
 
-def resolve_source(spark: SparkSession, folder: str, seed=42) -> tuple[DataFrame, dict, list[str]]:
-    """Labelled rows of a folder: event file first, then log tables, then a wide table.
+def resolve_source(spark: SparkSession, folder: str, seed=42, pick: str = "all") -> tuple[DataFrame, dict, list[str]]:
+    """Labelled rows of a folder: event files first, then log tables, then a wide table.
 
     Every frame has row_id, user_id, features and y. ``meta`` names the source kind and the
     categorical columns.
     """
-    events = load_events(spark, folder, seed)
+    events = load_events(spark, folder, seed, pick)
     if events is not None:
         frame, meta, warnings = events
         return frame, {**meta, "source": "custom_insider_events", "categorical": list(CATEGORICAL_COLUMNS)}, warnings

@@ -9,37 +9,22 @@ from ..functions.scalars import named
 from ..functions.vocabulary import PIPELINE_VERSION
 from .csv_files import files_below
 
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
-MAX_SOURCES = 200
-
-
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """One digest per CSV file (path, digest).
+    """One digest per CSV file (path, digest): the same rule for files of any size.
 
-    Files up to 64 MB are hashed as a whole. Larger ones are read in splits; count and sums of the
-    line hashes make up the digest, so it changes with any line, but not with the order of lines.
+    Files are read in splits; count and sums of the line hashes make up the digest. It changes with any line, but
+    not with the order of lines.
     """
     options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.csv"}
-    files = spark.read.format("binaryFile").options(**options).load(folder)
-    digests = files.filter(F.col("length") <= WHOLE_FILE_BYTES).select("path", F.sha2("content", 256).alias("digest"))
-    if not files.filter(F.col("length") > WHOLE_FILE_BYTES).select("path").isEmpty():
-        digests = digests.unionByName(_large_digests(spark, folder, options))
-    # scans skip empty files, the listing does not
-    names = spark.createDataFrame([(p,) for p in files_below(spark, folder)], "path string")
-    return names.join(digests, "path", "left").withColumn("digest", F.coalesce("digest", F.sha2(F.lit(""), 256)))
-
-
-def _large_digests(spark: SparkSession, folder: str, options: dict) -> DataFrame:
-    lines = (
-        spark.read.options(**options).text(folder)
-        .select("value", _plain(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_size").alias("size"))
-        .filter(F.col("size") > WHOLE_FILE_BYTES)
-    )
+    lines = spark.read.options(**options).text(folder).select("value", _plain(F.col("_metadata.file_path")).alias("path"))
     digest = F.md5("value")
     summed = lines.groupBy("path").agg(
         F.count(F.lit(1)).alias("n"), F.sum(_word(digest, 1)).alias("a"), F.sum(_word(digest, 9)).alias("b")
     )
-    return summed.select("path", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("digest"))
+    digests = summed.select("path", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("digest"))
+    # scans skip empty files, the listing does not
+    names = spark.createDataFrame([(p,) for p in files_below(spark, folder)], "path string")
+    return names.join(digests, "path", "left").withColumn("digest", F.coalesce("digest", F.sha2(F.lit(""), 256)))
 
 
 def _plain(uri: Column) -> Column:
@@ -53,33 +38,35 @@ def _word(digest: Column, at: int) -> Column:
     return F.conv(F.substring(digest, at, 8), 16, 10).cast("decimal(38,0)")
 
 
-def content_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    """One row with a digest over names and contents of all CSV files, and the sorted sources.
+def content_fingerprint(spark: SparkSession, folder: str, sources: int | None = None) -> DataFrame:
+    """One row: digest over names and contents of all CSV files, their number, and their sorted paths.
 
-    The digest changes with any name or content (see :func:`file_digests`). Per-file digests are joined in name order
-    inside 256 buckets first, then over the buckets.
+    The digest changes with any name or content (see :func:`file_digests`); per-file hashes are summed like
+    those of lines, so no task needs all names. ``sources`` limits the list of paths; ``n_sources`` always counts all.
     """
     files = file_digests(spark, folder).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    entry = F.concat_ws(":", "name", "digest")
-    buckets = files.groupBy(F.substring(F.md5("name"), 1, 2).alias("bucket")).agg(
-        F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(entry))), 256).alias("digest"),
-        F.slice(F.sort_array(F.collect_list("path")), 1, MAX_SOURCES).alias("sources"),
-    )
-    return buckets.agg(
-        F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda s: s["digest"])), 256)
+    entry = F.md5(F.concat_ws(":", "name", "digest"))
+    listed = F.sort_array(F.collect_list("path"))
+    return files.agg(
+        F.sha2(F.concat_ws(":", F.count(F.lit(1)), F.sum(_word(entry, 1)), F.sum(_word(entry, 9)), F.sum(_word(entry, 17))), 256)
         .alias("content_sha256"),
-        F.slice(F.sort_array(F.flatten(F.collect_list("sources"))), 1, MAX_SOURCES).alias("sources"),
+        F.count(F.lit(1)).alias("n_sources"),
+        (listed if sources is None else F.slice(listed, 1, sources)).alias("sources"),
     )
 
 
 def table_fingerprint(df: DataFrame, columns: list[Column] | None = None) -> DataFrame:
-    """Row count and sums of row hashes: independent of row order and partitioning."""
+    """Row count and sums of row hashes: independent of row order and partitioning.
+
+    A row is hashed as JSON, so nulls, empty texts and separators inside cells differ. The sums are kept
+    as decimals, as they pass 64 bits from some four billion rows on.
+    """
     columns = columns or [named(c) for c in df.columns]
-    digest = F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]))
+    digest = F.md5(F.to_json(F.struct(*[c.cast("string").alias(f"c{i}") for i, c in enumerate(columns)])))
     return df.select(digest.alias("h")).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum(_word(F.col("h"), 1)).cast("bigint").alias("hash_a"),
-        F.sum(_word(F.col("h"), 9)).cast("bigint").alias("hash_b"),
+        F.sum(_word(F.col("h"), 1)).cast("string").alias("hash_a"),
+        F.sum(_word(F.col("h"), 9)).cast("string").alias("hash_b"),
     )
 
 
@@ -88,6 +75,7 @@ def provenance_record(spark: SparkSession, folder: str) -> DataFrame:
     return content_fingerprint(spark, folder).select(
         F.concat(F.lit("cert_batch:"), F.substring("content_sha256", 1, 16)).alias("dataset_id"),
         "content_sha256",
+        "n_sources",
         "sources",
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created_utc"),
         F.lit(PIPELINE_VERSION).alias("pipeline_version"),

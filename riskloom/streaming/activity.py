@@ -6,9 +6,6 @@ of one name take batch or stream frames alike unless stated.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,12 +41,12 @@ def stream_event_features(events: DataFrame, seed=42) -> DataFrame:
 
 
 def activity_columns() -> list[Column]:
-    """Counts of the log features over rows with ``activity`` and ``ts``."""
+    """Counts of the log features over rows with ``activity`` and ``ts``; as in the log tables, only logon records have hours."""
     kind = F.lower("activity")
     return [
         F.count_if(kind == "logon").alias("logon_count"),
         F.count_if(kind == "logoff").alias("logoff_count"),
-        F.sum(after_hours(F.hour("ts"))).alias("after_hours"),
+        F.sum(F.when(kind.isin("logon", "logoff"), after_hours(F.hour("ts"))).otherwise(0)).alias("after_hours"),
         F.count_if(kind == "device").alias("device_events"),
         F.count_if(kind == "email").alias("email_events"),
         F.count_if(kind == "file").alias("file_events"),
@@ -69,10 +66,9 @@ def user_activity(events: DataFrame, length: str = "1 day", slide: str | None =
 def stream_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Sessions of a stream: a user's events with pauses of at most ``gap``.
 
-    Turns on the session merge inside each input partition, so that a busy user's rows are
-    combined before the shuffle.
+    With ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` set in the session, a busy user's rows are
+    combined inside each input partition before the shuffle; this function changes no setting.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         events.withWatermark("ts", delay)
         .groupBy(F.session_window("ts", gap).alias("w"), "user_id")
@@ -105,21 +101,10 @@ def batch_sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     ).drop("session")
 
 
-def deduplicate(events: DataFrame, key: str = "event_id", delay: str = "1 hour", thin: bool = True) -> DataFrame:
-    """One row per key: within the watermark on a stream, overall in a batch.
-
-    A batch combines copies before the shuffle by itself. On a stream ``thin`` drops the copies
-    inside each Arrow batch first, so that many copies of one event do not meet in one task.
-    """
+def deduplicate(events: DataFrame, key: str = "event_id", delay: str = "1 hour") -> DataFrame:
+    """One row per key: within the watermark on a stream, overall in a batch (combined before the shuffle)."""
     if not events.isStreaming:
         return events.dropDuplicates([key])
-    if thin:
-
-        def first_of_each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                yield frame.drop_duplicates(subset=key)
-
-        events = events.mapInPandas(first_of_each, events.schema)
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 

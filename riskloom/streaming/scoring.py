@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -68,29 +69,36 @@ def trust_changes(events: DataFrame, high: float, mean: float, threshold: float,
 
 
 def stream_user_trust(changes: DataFrame) -> DataFrame:
-    """Running trust per user: one row for each closed window.
+    """Running trust per user: one row for each closed window, in the order in which windows end.
 
     ``changes`` is the stream of a table that :func:`trust_changes` is written to, because state
-    of one's own cannot follow a streaming aggregate in the same query. Every window is one
-    update, clipped like the batch update. The state is two numbers a user.
+    of one's own cannot follow a streaming aggregate in the same query. Every window is one update, clipped like the
+    batch update, so order matters: the state holds a user's windows (end, change, trust after it; one entry a window), and
+    a window that arrives late is put in its place and the later ones are computed again. It then gives one row with
+    the newest end. The row with the largest ``n_windows`` is the newest of a user.
     """
 
     def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        trust, windows = state.get if state.exists else (1.0, 0)
-        # a trigger closes few windows of a user, and they are already one row each
-        closed = pd.concat(list(frames)).sort_values("window_end")
+        ends, moves, after = (list(x) for x in state.get) if state.exists else ([], [], [])
+        arrived = sorted(
+            (int(end.value), float(change)) for frame in frames for end, change in zip(frame["window_end"], frame["change"])
+        )
         rows = []
-        for end, change in zip(closed["window_end"], closed["change"]):
-            trust = min(TRUST_CEILING, max(TRUST_FLOOR, trust - change))
-            windows += 1
-            rows.append((key[0], end, trust, windows))
-        state.update((trust, windows))
+        for end, change in arrived:
+            at = bisect.bisect_right(ends, end)
+            ends.insert(at, end)
+            moves.insert(at, change)
+            del after[at:]
+            for move in moves[at:]:
+                after.append(min(TRUST_CEILING, max(TRUST_FLOOR, (after[-1] if after else 1.0) - move)))
+            rows.append((key[0], pd.Timestamp(ends[-1]), after[-1], len(ends)))
+        state.update((ends, moves, after))
         yield pd.DataFrame(rows, columns=["user_id", "window_end", "trust", "n_windows"])
 
     return changes.groupBy("user_id").applyInPandasWithState(
         update,
         outputStructType="user_id string, window_end timestamp, trust double, n_windows long",
-        stateStructType="trust double, windows long",
+        stateStructType="ends array<long>, moves array<double>, after array<double>",
         outputMode="append",
         timeoutConf="NoTimeout",
     )

@@ -4,6 +4,9 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from riskloom.functions.scalars import hour_or_null
 
 from riskloom.session import scratch_dir, write_table
 from riskloom.sources.audit import AuditTrail, write_report
@@ -12,6 +15,7 @@ from riskloom.sources.csv_files import (
     infer_types,
     ingestion_manifest,
     load_events,
+    load_logs,
     load_tabular,
     looks_like_feature_matrix,
     read_answer_users,
@@ -73,7 +77,7 @@ def test_answer_files(spark, tmp_path):
     write(tmp_path / "malicious.csv", "insider_id", "5", "e1")
     write(tmp_path / "insider_dataset.csv", "user,a,b", "zz,1,2")
     assert {r.user_id for r in read_answer_users(spark, str(tmp_path)).collect()} == {"e1", "5"}
-    assert looks_like_feature_matrix(read_texts(spark, str(tmp_path / "insider_dataset.csv")))
+    assert looks_like_feature_matrix(read_csv_tolerant(spark, str(tmp_path / "insider_dataset.csv")))
 
 
 def test_row_ids_of_equal_rows(spark):
@@ -83,15 +87,49 @@ def test_row_ids_of_equal_rows(spark):
     assert sorted(ids) == sorted(r.row_id for r in with_row_id(df.repartition(5)).collect())
 
 
-def test_event_file_with_most_rows_wins(spark, tmp_path):
+def test_all_event_files_are_united(spark, tmp_path):
     header = "user_id,timestamp,location,label"
     write(tmp_path / "a.csv", header, "u1,2024-01-01 01:00:00,Pune,1")
-    write(tmp_path / "b.csv", header, "u1,2024-01-01 01:00:00,Pune,1", "u1,2024-01-01 01:00:00,Pune,1")
-    write(tmp_path / "c.csv", header, "u9,2024-01-01 01:00:00,Pune,1", "u9,2024-01-01 02:00:00,Pune,0")
+    write(tmp_path / "b.csv", "userid,time,city,y", "u1,2024-01-01 01:00:00,Pune,1", "u1,2024-01-01 01:00:00,Pune,1")
+    write(tmp_path / "c.csv" / "part-0.csv", header, "u9,2024-01-01 01:00:00,Pune,1")
+    write(tmp_path / "c.csv" / "part-1.csv", header, "u9,not a time,Pune,0")
     frame, meta, warnings = load_events(spark, str(tmp_path))
-    assert meta["source_file"].endswith("b.csv") and meta["n_rows"] == 2 and frame.count() == 2
-    assert len(warnings) == 1 and "only 2 rows" in warnings[0]
-    assert frame.first().login_frequency == 2.0
+    assert meta["n_rows"] == frame.count() == 5 and len(meta["source_files"]) == 3 and meta["n_unread_times"] == 1
+    assert any("only 5 rows" in w for w in warnings) and any("1 time cells" in w for w in warnings)
+    assert frame.filter("user_id = 'u1'").first().login_frequency == 3.0
+    frame, meta, warnings = load_events(spark, str(tmp_path), pick="largest")
+    assert meta["n_rows"] == 2 and meta["source_files"][0].endswith("b.csv") and sum("Left out" in w for w in warnings) == 2
+
+
+def test_a_stray_quote_keeps_files_split(spark, tmp_path):
+    lines = ["id,size"] + [f'{i},5" disk' for i in range(20_000)]
+    path = write(tmp_path / "a.csv", *lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        df = read_texts(spark, path)
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_partitioned_log_folder(spark, tmp_path):
+    df = spark.createDataFrame([(f"u{i % 3}", "01/02/2024 22:00:00", "Logon", i % 2) for i in range(12)], "user string, date string, activity string, day int")
+    df.write.partitionBy("day").option("header", "true").csv(str(tmp_path / "logon"))
+    df.drop("day").repartition(2).write.option("header", "true").csv(str(tmp_path / "logon-late.csv"))
+    users = {r.user_id: r for r in load_logs(spark, str(tmp_path)).collect()}
+    assert len(users) == 3 and all(r.logon_count == 8 and r.after_hours == 8 for r in users.values())
+
+
+def test_row_ids_of_cells_with_separators(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, ""), ("", None)], "x string, y string")
+    assert with_row_id(df).select("row_id").distinct().count() == 4
+
+
+def test_time_layouts(spark):
+    cells = ["01/02/2024 3:04:05 PM", "1/2/24 15:04", "2 Jan 2024 15:04", "Jan 2, 2024 3:04 PM", "25/12/2024 15:00", "25.12.2024 15:00", "never"]
+    df = spark.createDataFrame([(c,) for c in cells], "t string")
+    hours = [r[0] for r in df.select(hour_or_null(F.col("t"), T.StringType())).collect()]
+    assert hours == [15] * 6 + [None]
 
 
 def test_source_priority(spark, tmp_path):
@@ -99,7 +137,8 @@ def test_source_priority(spark, tmp_path):
     write(wide / "t.csv", "emp_id,score,label", *[f"u{i},{i},{i % 2}" for i in range(9)])
     write(wide / "small.csv", "emp_id,a,b,c,label", *[f"u{i},1,2,3,0" for i in range(7)])
     frame, meta, warnings = resolve_source(spark, str(wide))
-    assert meta["source"] == "csv_tabular" and frame.agg(F.sum("y")).first()[0] == 4 and len(warnings) == 2
+    assert meta["source"] == "csv_tabular" and frame.agg(F.sum("y")).first()[0] == 4
+    assert len(warnings) == 3 and "small.csv" in warnings[2]
     logs = tmp_path / "logs"
     write(logs / "logon.csv", "id,date,user,pc,activity", *[f"{i},01/02/2024 0{i}:00:00,u{i},p,Logon" for i in range(9)])
     frame, meta, warnings = resolve_source(spark, str(logs))
@@ -113,13 +152,16 @@ def test_source_priority(spark, tmp_path):
         resolve_source(spark, str(tmp_path / "nothing"))
 
 
-def test_equal_scores_keep_the_first_table(spark, tmp_path):
+def test_equal_tables_are_united_and_ties_keep_the_first(spark, tmp_path):
     for name in ("b.csv", "a.csv"):
         write(tmp_path / name, "user,f,y", *[f"{name}{i},{i},0" for i in range(8)])
-    assert load_tabular(spark, str(tmp_path))[1]["source_file"].endswith("a.csv")
+    write(tmp_path / "c.csv", "user,g,y", *[f"c{i},{i},0" for i in range(16)])
+    users, meta, warnings = load_tabular(spark, str(tmp_path))
+    assert [f.rsplit("/", 1)[1] for f in meta["source_files"]] == ["a.csv", "b.csv"] and users.count() == 16
+    assert any("c.csv" in w for w in warnings)
 
 
-def test_fingerprint_follows_names_and_contents(spark, tmp_path, monkeypatch):
+def test_fingerprint_follows_names_and_contents(spark, tmp_path):
     def digest(folder):
         return content_fingerprint(spark, str(folder)).first()
 
@@ -130,10 +172,8 @@ def test_fingerprint_follows_names_and_contents(spark, tmp_path, monkeypatch):
     assert first.content_sha256 == digest(tmp_path / "two").content_sha256 and len(first.sources) == 2
     write(tmp_path / "two" / "sub" / "b c+.csv", "h", "3")
     assert digest(tmp_path / "two").content_sha256 != first.content_sha256
-    monkeypatch.setattr(provenance, "WHOLE_FILE_BYTES", 1)
     found = provenance.file_digests(spark, str(tmp_path / "one")).collect()
     assert len({r.digest for r in found}) == 2 and all(not r.digest.startswith("e3b0c442") for r in found)
-    assert digest(tmp_path / "one").content_sha256 != digest(tmp_path / "two").content_sha256
     assert len(digest(tmp_path / "one").sources) == 2
     write(tmp_path / "one" / "none.csv")
     assert digest(tmp_path / "one").content_sha256 != first.content_sha256
@@ -145,6 +185,8 @@ def test_table_fingerprint_ignores_order(spark):
     df = spark.range(0, 100).withColumn("t", F.concat(F.lit("v"), "id"))
     assert table_fingerprint(df).first() == table_fingerprint(df.orderBy(F.desc("id")).repartition(7)).first()
     assert table_fingerprint(df).first() != table_fingerprint(df.filter("id <> 5")).first()
+    a, b = (spark.createDataFrame([row], "x string, y string") for row in [("", None), (None, "")])
+    assert table_fingerprint(a).first() != table_fingerprint(b).first()
 
 
 def test_audit_trail_and_report(spark, tmp_path):
