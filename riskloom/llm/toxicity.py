@@ -84,6 +84,13 @@ def units(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, stop | (place % SENTENCE_WORDS == SENTENCE_WORDS - 1), text
 
 
+def repeats(keys: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """True where a unit repeats the one before it in its sentence; such a run counts once."""
+    out = np.zeros(len(keys), bool)
+    out[1:] = (keys[1:] == keys[:-1]) & ~stop[:-1]
+    return out
+
+
 def subsequences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """(unit, code, weight) of all three-symbol subsequences within a span of six, in order of unit.
 
@@ -157,7 +164,7 @@ class Scorer:
     def __getstate__(self):
         return self.__dict__ | {"slots": None, "shares": None}
 
-    def _shares(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _shares(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """A worker keeps the shares of the units it has met, up to a bound."""
         keys = span_hash(data, starts, ends) | np.uint64(1)
         if self.slots is None or self.slots.used > KEPT_WORDS:
@@ -170,7 +177,7 @@ class Scorer:
             self.slots.add(distinct, np.arange(len(self.shares), len(self.shares) + len(found), dtype=np.int32))
             self.shares = np.append(self.shares, found)
             rows = self.slots.find(keys)
-        return self.shares[rows]
+        return np.where(repeats(keys, stop), 0.0, self.shares[rows])
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Of each text: the largest margin of its sentences; without units the bias."""
@@ -180,7 +187,7 @@ class Scorer:
             starts, ends, stop, text = units(lowered, offsets[a : b + 1] - offsets[a])
             if len(starts):
                 begin = np.append(0, np.flatnonzero(stop)[:-1] + 1)
-                sums = np.add.reduceat(self._shares(lowered, starts, ends).astype(np.float64), begin) + self.bias
+                sums = np.add.reduceat(self._shares(lowered, starts, ends, stop), begin) + self.bias
                 here, first = np.unique(text[begin], return_index=True)
                 out[a + here] = np.maximum.reduceat(sums, first)
         return out
@@ -245,6 +252,7 @@ class _Sentences:
         _, first, where = np.unique(keys, return_index=True, return_inverse=True)
         self.unit = where.astype(np.int32)
         self.starts, self.ends = starts[first], ends[first]
+        self.unit[repeats(keys, stop)] = len(first)  # stands for nothing
         self.begin = np.append(0, np.flatnonzero(stop)[:-1] + 1) if len(starts) else np.zeros(0, np.int64)
         self.of_text = self.text[self.begin]
 
@@ -252,10 +260,10 @@ class _Sentences:
         return self.data[self.starts[k] : self.ends[k]].tobytes()
 
     def rows(self, kernel: Kernel) -> np.ndarray:
-        """Kernel rows of the distinct units, as half floats."""
-        out = np.zeros((len(self.starts), len(kernel.landmarks)), np.float16)
-        for low in range(0, len(out), WORDS_AT_ONCE):
-            some = slice(low, low + WORDS_AT_ONCE)
+        """Kernel rows of the distinct units, as half floats, and a row of zeros for repeats."""
+        out = np.zeros((len(self.starts) + 1, len(kernel.landmarks)), np.float16)
+        for low in range(0, len(self.starts), WORDS_AT_ONCE):
+            some = slice(low, min(low + WORDS_AT_ONCE, len(self.starts)))
             out[some] = kernel(self.data, self.starts[some], self.ends[some])
         return out
 
@@ -277,6 +285,7 @@ def fit(texts: list[str | None], labels: list[int], toxic_weight: float = 1.0, o
     y = np.where(np.array(labels) > 0, 1.0, -1.0)
     sample = _Sentences(texts)
     pairs = np.stack(np.divmod(np.unique(sample.unit * np.int64(max(1, len(texts))) + sample.text), max(1, len(texts))), axis=1)
+    pairs = pairs[pairs[:, 0] < len(sample.starts)]
     curve = np.arange(len(texts)) % 4 == 3
     learns = ~curve[pairs[:, 1]]
     toxic = np.bincount(pairs[learns & (y[pairs[:, 1]] > 0), 0], minlength=len(sample.starts))
@@ -299,7 +308,7 @@ def fit(texts: list[str | None], labels: list[int], toxic_weight: float = 1.0, o
         for low, high, sums in sample.sums(per_unit):
             x[low:high, :-1] = sums @ root.astype(np.float32)
         of = sample.of_text
-        held = np.append(0, np.cumsum((np.maximum(evidence, 0) * (toxic >= 3))[sample.unit]))
+        held = np.append(0, np.cumsum(np.append(np.maximum(evidence, 0) * (toxic >= 3), 0)[sample.unit]))
         witness = held[np.append(sample.begin[1:], len(sample.unit))] - held[sample.begin] if len(of) else np.zeros(0)
         w = None
         for _ in range(3):
@@ -321,7 +330,7 @@ def fit(texts: list[str | None], labels: list[int], toxic_weight: float = 1.0, o
         del x
         if turn:
             break
-        shares = np.concatenate([per_unit[i : i + 50_000].astype(np.float32) @ scorer.weights for i in range(0, len(per_unit), 50_000)])
+        shares = np.concatenate([per_unit[i : i + 50_000].astype(np.float32) @ scorer.weights for i in range(0, len(per_unit), 50_000)])[:-1]
         del per_unit
         wrong = np.lexsort((sample.starts, -np.where((evidence < 0.5) & (other >= 1), shares, -np.inf)))[: OTHER_LANDMARKS // 2]
         common = list(dict.fromkeys([*common[: OTHER_LANDMARKS // 2], *wrong]))
@@ -363,7 +372,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     """Every row with ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold).
 
     The kernel of two units counts their common three-letter subsequences, those with gaps less; normalised and
-    raised to the third power, and summed over the units of a sentence. Landmark units span the space in which the
+    raised to the third power, and summed over the units of a sentence (a repeated unit counts once). Landmark units span the space in which the
     machine is trained (Nyström). Of a text the sentence with the largest margin counts, wherever it stands.
 
     Scoring is one narrow pass: a text's bytes go to Arrow functions and a number comes back. Null and empty texts
