@@ -146,7 +146,8 @@ def nearest(table: DataFrame, every: int = 50, neighbours: int = NEIGHBOURS, sha
     entries = index.select("id", "vector", "row", "j", "i", F.pmod(F.xxhash64("row"), of_i).alias("part")).withColumn(
         "asking", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     )
-    spread = asked.select("id", "vector", "row").repartition("row")
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that few queries still spread
+    spread = asked.select("id", "vector", "row").repartition(tasks, "row")
     probes = spread.mapInArrow(probe, "id long, vector array<double>, row long, i int, cells binary").select(
         "id", "vector", "row", "cells", "i", F.explode(F.sequence(F.lit(0).cast("long"), of_i.cast("long") - 1)).alias("part"),
         F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int").alias("asking"),
