@@ -84,10 +84,8 @@ THREAT_LEVELS = (
 )
 
 # Message formats.
-OVERFIT_MESSAGE = (
-    "Clean model %s=%.3f exceeds %.2f: possible overfitting or an overly separable dataset."
-)
-OVERFIT_SUMMARY = "Model may be overfitting or dataset too simple"
+OVERFIT_MESSAGE = "The clean model's %s of %.3f is above %.2f, which real data seldom allow."
+OVERFIT_SUMMARY = "Look for leaked labels or classes that are too easy to tell apart."
 LABEL_MESSAGES = {
     "provided": "The label column of the input was used.",
     "probabilistic_rules": "Labels come from the weighted risk rules with uniform noise added.",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +17,16 @@ from ..functions.scalars import flag
 from .quantile import exact_percentile
 
 MIN_BENIGN = 10
+log = logging.getLogger(__name__)
 
 
-def benign_subset(df: DataFrame, label: str = "y") -> DataFrame:
-    """Rows labelled 0, or all rows when fewer than 10 are."""
+def benign_subset(df: DataFrame, label: str = "y", least: int = MIN_BENIGN) -> DataFrame:
+    """Rows labelled 0, or all rows when fewer than ``least`` are (logged)."""
     benign = df.filter(F.col(label) == 0)
-    return benign if benign.limit(MIN_BENIGN).count() >= MIN_BENIGN else df
+    if benign.limit(least).count() >= least:
+        return benign
+    log.warning("fewer than %d benign rows: all rows are used", least)
+    return df
 
 
 def squared_norm(x: Column) -> Column:
@@ -62,9 +67,7 @@ def fit_linear(benign: DataFrame, d: int, latent: int = 8) -> LinearScorer:
     return LinearScorer(model, tuple(float(v) for v in mean.toArray()))
 
 
-# A small bottleneck network d -> h -> L -> h -> d with ReLU after the first three layers. Each
-# task trains on its own rows in small batches; the weights are averaged over tasks after every
-# round, weighted by rows.
+# A small bottleneck network d -> h -> L -> h -> d with ReLU after the first three layers.
 
 
 def _shapes(d: int, latent: int) -> list[tuple[int, int]]:
@@ -119,8 +122,12 @@ class NetworkScorer:
         return df.withColumn(out, error(F.col(features)))
 
 
-def fit_network(benign: DataFrame, d: int, latent: int = 8, rounds: int = 45, batch: int = 128, rate: float = 1e-3, seed=42) -> NetworkScorer:
-    """Train the network by averaged local Adam steps, one Spark job per round."""
+def fit_network(benign: DataFrame, d: int, latent: int = 8, rounds: int = 45, rate: float = 2e-2, seed=42) -> NetworkScorer:
+    """Train the network by Adam on the gradient over all rows, one Spark job per round.
+
+    Tasks return gradient sums (as many numbers as the network has weights), so the result does not depend on how
+    rows are partitioned, but for the order of sums.
+    """
     latent = min(latent, d)
     rng = np.random.default_rng(seed)
     start = []
@@ -128,43 +135,33 @@ def fit_network(benign: DataFrame, d: int, latent: int = 8, rounds: int = 45, ba
         bound = 1.0 / np.sqrt(rows)
         start += [rng.uniform(-bound, bound, rows * cols), rng.uniform(-bound, bound, cols)]
     flat = np.concatenate(start)
-    moments = np.zeros((2, flat.size))
-    steps_done = 0
+    m, v = np.zeros(flat.size), np.zeros(flat.size)
     rows = benign.select("features")
-    for _ in range(max(5, rounds)):
-        state = benign.sparkSession.sparkContext.broadcast((flat, moments, steps_done))
+    for step in range(1, max(5, rounds) + 1):
+        state = benign.sparkSession.sparkContext.broadcast(flat)
 
-        def train(frames, state=state):
-            weights, (m, v), t = state.value[0].copy(), state.value[1].copy(), state.value[2]
-            seen, first = 0, t
+        def gradients(frames, state=state):
+            layers = _unpack(state.value, d, latent)
+            seen, total = 0, np.zeros(flat.size)
             for frame in frames:
-                if frame.empty:
-                    continue
-                x = np.stack(frame["features"].to_numpy())
-                for at in range(0, len(x), batch):
-                    part = x[at : at + batch]
-                    g = _gradient(part, _unpack(weights, d, latent))
-                    t += 1
-                    m = 0.9 * m + 0.1 * g
-                    v = 0.999 * v + 0.001 * g * g
-                    weights = weights - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-                    seen += len(part)
+                if len(frame):
+                    x = np.stack(frame["features"].to_numpy())
+                    total += _gradient(x, layers) * x.size
+                    seen += x.size
             if seen:
-                packed = np.concatenate([weights, m, v, [t - first]])
-                yield pd.DataFrame({"n": [seen], "w": [packed]})
-
-        trained = rows.mapInPandas(train, "n long, w array<double>")
-        averaged = (
-            trained.select("n", F.posexplode("w").alias("i", "value"))
-            .groupBy("i")
-            .agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("value"))
-            .orderBy("i")
-            .collect()
+                yield pd.DataFrame({"n": [seen], "g": [total]})
+
+        sums = (
+            rows.mapInPandas(gradients, "n long, g array<double>")
+            .select("n", F.posexplode("g").alias("i", "value"))
+            .groupBy("i").agg(F.sum("value").alias("value"), F.sum("n").alias("n")).orderBy("i").collect()
         )
-        packed = np.array([r["value"] for r in averaged])
-        flat, moments = packed[: flat.size], packed[flat.size : -1].reshape(2, -1)
-        steps_done += int(round(packed[-1]))
         state.unpersist()
+        if not sums:
+            break
+        g = np.array([r["value"] for r in sums]) / sums[0]["n"]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        flat = flat - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return NetworkScorer(flat, d, latent)
 
 

@@ -1,15 +1,15 @@
-"""Which features drive a model's score: Shapley values against a background sample.
+"""Which features drive a model's score: Shapley values against background rows.
 
 For every leaf only the conditions on its path matter. A row meets some of them; a background
 row meets some of them. How much each feature moves the score depends on nothing but these two
-sets, so the background is folded into one small table per leaf on the driver. Scoring a row is
+sets, so all background rows are counted by pattern and folded into one small table per leaf. Scoring a row is
 then a table lookup per leaf, whatever the size of the background.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -51,36 +51,55 @@ def _patterns(x: np.ndarray, features, low, high) -> np.ndarray:
 
 def _leaf_table(value: float, counts: np.ndarray, k: int) -> np.ndarray:
     """Mean contribution over the background for each of the 2^k row patterns."""
-    table = np.zeros((1 << k, k))
-    total = counts.sum()
-    for row in range(1 << k):
-        for back in np.nonzero(counts)[0]:
-            if row | int(back) != (1 << k) - 1:
-                continue  # a condition that neither side meets: the leaf is never reached
-            only_row = [i for i in range(k) if row >> i & 1 and not int(back) >> i & 1]
-            only_back = [i for i in range(k) if int(back) >> i & 1 and not row >> i & 1]
-            a, b = len(only_row), len(only_back)
-            for i in only_row:
-                table[row, i] += counts[back] * math.factorial(a - 1) * math.factorial(b) / math.factorial(a + b)
-            for i in only_back:
-                table[row, i] -= counts[back] * math.factorial(a) * math.factorial(b - 1) / math.factorial(a + b)
-    return value * table / total
-
-
-def background_rows(df: DataFrame, size: int = 120, order: str = "row_id") -> np.ndarray:
-    """The first rows by row key: the fixed small sample the model is compared with."""
-    rows = df.orderBy(order).limit(size).select("features").collect()
-    return np.array([r["features"] for r in rows], dtype="float64")
-
-
-def with_shapley(df: DataFrame, classifier: Classifier, background: np.ndarray) -> DataFrame:
-    """Add ``shapley``: one value per feature, in log-odds; they sum to score minus mean background score."""
-    d = background.shape[1]
+    full, patterns = (1 << k) - 1, np.arange(1 << k)
+    row, back = patterns[:, None], patterns[None, :]
+    only_row, only_back = row & ~back, back & ~row
+    a, b = np.bitwise_count(only_row).astype(int), np.bitwise_count(only_back).astype(int)
+    factorial = np.array([math.factorial(i) for i in range(2 * k + 1)], float)
+    # a condition that neither side meets: the leaf is never reached
+    weight = np.where((row | back) == full, counts[None, :], 0) / factorial[a + b]
+    gain, loss = weight * factorial[np.maximum(a - 1, 0)] * factorial[b], weight * factorial[a] * factorial[np.maximum(b - 1, 0)]
+    table = np.stack([(gain * (only_row >> i & 1)).sum(axis=1) - (loss * (only_back >> i & 1)).sum(axis=1) for i in range(k)], axis=1)
+    return value * table / max(counts.sum(), 1)
+
+
+def _background_counts(background: DataFrame, leaves: list[_Leaf]) -> list[np.ndarray]:
+    """Of each leaf, how many background rows meet each pattern of its conditions: one pass over all rows.
+
+    Tasks count their rows first; what comes back is bounded by leaves and patterns.
+    """
+    shared = background.sparkSession.sparkContext.broadcast(leaves)
+
+    def count(frames):
+        totals = [np.zeros(1 << len(leaf.features), np.int64) for leaf in shared.value]
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame["features"].to_numpy())
+                for leaf, total in zip(shared.value, totals):
+                    total += np.bincount(_patterns(x, leaf.features, leaf.low, leaf.high), minlength=len(total))
+        for k, total in enumerate(totals):
+            at = np.flatnonzero(total)
+            if len(at):
+                yield pd.DataFrame({"leaf": k, "pattern": at, "n": total[at]})
+
+    counted = background.select("features").mapInPandas(count, "leaf long, pattern long, n long").groupBy("leaf", "pattern").agg(F.sum("n").alias("n"))
+    out = [np.zeros(1 << len(leaf.features), np.int64) for leaf in leaves]
+    for r in counted.collect():
+        out[r["leaf"]][r["pattern"]] = r["n"]
+    return out
+
+
+def with_shapley(df: DataFrame, classifier: Classifier, background: DataFrame, d: int) -> DataFrame:
+    """Add ``shapley``: one value per feature, in log-odds; they sum to score minus mean background score.
+
+    The background is all rows of ``background``.
+    """
     if classifier.kind == "constant":
         return df.withColumn("shapley", F.array_repeat(F.lit(0.0), d))
     if classifier.kind == "logistic":
         weights = F.array(*[F.lit(float(w)) for w in classifier.model.coefficients.toArray()])
-        means = F.array(*[F.lit(float(m)) for m in background.mean(axis=0)])
+        mean = background.agg(*[F.avg(F.col("features")[j]).alias(f"m{j}") for j in range(d)]).first()
+        means = F.array(*[F.lit(float(m or 0.0)) for m in mean])
         centred = F.zip_with(F.col("features"), means, lambda x, m: x - m)
         return df.withColumn("shapley", F.zip_with(centred, weights, lambda x, w: x * w))
 
@@ -93,8 +112,9 @@ def with_shapley(df: DataFrame, classifier: Classifier, background: np.ndarray)
             features = np.array(sorted(path))
             low = np.array([path[f][0] for f in features])
             high = np.array([path[f][1] for f in features])
-            counts = np.bincount(_patterns(background, features, low, high), minlength=1 << len(features))
-            leaves.append(_Leaf(features, low, high, _leaf_table(2.0 * weight * value, counts, len(features))))
+            leaves.append(_Leaf(features, low, high, np.array(2.0 * weight * value)))
+    counts = _background_counts(background, leaves)
+    leaves = [replace(leaf, table=_leaf_table(float(leaf.table), n, len(leaf.features))) for leaf, n in zip(leaves, counts)]
     shared = df.sparkSession.sparkContext.broadcast(leaves)
 
     @F.pandas_udf("array<double>")

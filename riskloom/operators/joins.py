@@ -5,77 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
 BROADCAST_ROWS = 200_000
-BROADCAST_KEY_BYTES = 32 * 1024 * 1024
-HOT_SHARE = 1000
+BROADCAST_BYTES = 32 * 1024 * 1024
+HOT_ROWS = 1_000_000
 STREAM_SALTS = 16
 
 
-def fits_broadcast(lookup: DataFrame, key: str) -> bool:
-    """True when a count shows that the narrow lookup stays under the broadcast bound."""
+def fits_broadcast(lookup: DataFrame) -> bool:
+    """True when a count shows that the lookup, with all its columns, stays under the broadcast bound."""
     size = (
-        lookup.select(F.octet_length(F.col(key).cast("string")).alias("b"))
+        lookup.select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
         .limit(BROADCAST_ROWS + 1)
         .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"))
         .first()
     )
-    return size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_KEY_BYTES
+    return size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left", small: bool | None = None) -> DataFrame:
+def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left", small: bool | None = None,
+                counted: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join each row with the at most one lookup row of its key.
 
-    A lookup of checked size is broadcast. A larger one is shuffled, after the keys that hold
-    more than 1/1000 of the rows (fewer than 1000 keys by that definition) and the rows without
-    a key are split off, so no task gets a hot key. The keys of a stream are not known
-    beforehand, so there every key is spread over 16 salts.
+    A lookup of checked size is broadcast. Otherwise both sides are shuffled, and a key with more than ``hot_rows`` rows is
+    spread over as many tasks as it has that many rows; so no task gets more of one key. Keys are counted
+    in ``counted`` (default ``df``), the only extra pass. The lookup is read up to twice and should be a written table. The
+    keys of a stream are not known beforehand, so there every key is spread over 16 salts.
     """
     if small is None:
-        small = fits_broadcast(lookup, key)
+        small = fits_broadcast(lookup)
     if small:
         return df.join(F.broadcast(lookup), key, how)
     if df.isStreaming:
-        return _salted_join(df, lookup, key, how)
-    return _split_join(df, lookup, key, how)
+        salts = F.lit(STREAM_SALTS)
+        return _salted_join(df.withColumn("_salts", salts), lookup.withColumn("_salts", salts), key, how)
+    counted = df if counted is None else counted
+    hot = write_table(
+        counted.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        .select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")),
+        "hot",
+    )
+    if not fits_broadcast(hot):
+        salts = F.lit(STREAM_SALTS)
+        return _salted_join(df.withColumn("_salts", salts), lookup.withColumn("_salts", salts), key, how)
+    known = F.coalesce("_salts", F.lit(1))
+    left, right = (x.join(F.broadcast(hot), key, "left").withColumn("_salts", known) for x in (df, lookup))
+    return _salted_join(left, right, key, how)
 
 
 def _salted_join(df: DataFrame, lookup: DataFrame, key: str, how: str) -> DataFrame:
-    rest = [F.col(c).cast("string") for c in df.columns if c != key and df.schema[c].dataType.typeName() in ("long", "integer", "string", "double")]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*(rest or [F.col(key)])), F.lit(STREAM_SALTS)))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(STREAM_SALTS - 1).cast("bigint"))))
+    """Both sides say in ``_salts`` over how many places a key goes; rows without a key go to any."""
+    atoms = ("long", "integer", "string", "double")
+    rest = [F.col(c).cast("string") for c in df.columns if c not in (key, "_salts") and df.schema[c].dataType.typeName() in atoms]
+    places = F.when(F.col(key).isNull(), STREAM_SALTS * 16).otherwise(F.col("_salts"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*(rest or [F.col(key)])), places).cast("int")).drop("_salts")
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
-def _split_join(df: DataFrame, lookup: DataFrame, key: str, how: str) -> DataFrame:
-    total = df.count()
-    hot = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > total / HOT_SHARE)
-        .select(key)
-    )
-    hot_lookup = lookup.join(F.broadcast(hot), key, "left_semi")
-    keyed = df.filter(F.col(key).isNotNull())
-    parts = [
-        keyed.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(hot_lookup), key, how),
-        keyed.join(F.broadcast(hot), key, "left_anti").join(lookup, key, how),
-    ]
-    if how == "left":
-        extra = [f for f in lookup.schema if f.name != key]
-        parts.append(
-            df.filter(F.col(key).isNull()).select(
-                key,
-                *[c for c in df.columns if c != key],
-                *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra],
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def merge_user_tables(tables: list[DataFrame]) -> DataFrame:
     """Full outer merge of per-user tables on ``user_id``, missing values 0.
 
@@ -92,6 +80,6 @@ def merge_user_tables(tables: list[DataFrame]) -> DataFrame:
 
 def label_from_answers(users: DataFrame, answers: DataFrame, key: str = "user_id") -> DataFrame:
     """``y`` = 1 where the user is in the answer set, compared as exact text."""
-    marked = answers.select(F.col(key).cast("string").alias(key)).na.drop().distinct().withColumn("_hit", F.lit(1))
+    marked = write_table(answers.select(F.col(key).cast("string").alias(key)).na.drop().distinct().withColumn("_hit", F.lit(1)), "answers")
     joined = lookup_join(users.withColumn(key, F.col(key).cast("string")), marked, key)
     return joined.withColumn("y", F.coalesce(F.col("_hit"), F.lit(0)).cast("int")).drop("_hit")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vocabulary import OVERFIT_MESSAGE, OVERFIT_SUMMARY
+from ..session import write_table
 from .ordering import running_totals
 
 EXACT_ROWS = 10_000
@@ -31,8 +32,9 @@ def ks_statistics(df: DataFrame, names: list[str], current: Column, features: st
         .groupBy("j", "value")
         .agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     )
+    counted = write_table(counted, "counted")
     running = running_totals(counted, ["j"], ["value"], ["a", "b"])
-    totals = running.groupBy("j").agg(
+    totals = counted.groupBy("j").agg(
         F.sum("a").alias("n1"),
         F.sum("b").alias("n2"),
         F.count_if(F.col("a") > 0).alias("d1"),
@@ -99,23 +101,24 @@ def _ks_exact_p(d: float, n1: int, n2: int) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def ks_exact_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    """Exact p-value, one row per feature."""
-    return pd.Series(
-        [_ks_exact_p(float(x), int(m), int(n)) if max(m, n) <= EXACT_ROWS else math.nan for x, m, n in zip(d, n1, n2)],
-        dtype="float64",
-    )
+    """Exact p-value, one row per feature; raises where a side has too many rows for it."""
+    if len(d) and max(n1.max(), n2.max()) > EXACT_ROWS:
+        raise ValueError(f"exact p-values need {EXACT_ROWS} rows or fewer on a side; use the asymptotic method")
+    return pd.Series([_ks_exact_p(float(x), int(m), int(n)) for x, m, n in zip(d, n1, n2)], dtype="float64")
 
 
-def ks_drift(df: DataFrame, names: list[str], current: Column, alpha: float = 0.05, features: str = "features", exact: bool = True) -> DataFrame:
+def ks_drift(df: DataFrame, names: list[str], current: Column, alpha: float = 0.05, features: str = "features",
+             method: str = "asymptotic") -> DataFrame:
     """Distance, p-value and drift flag per feature.
 
-    The p-value is exact up to 10,000 rows on a side (unless ``exact`` is off), else asymptotic.
+    ``method`` names how p-values are found, at every size: ``asymptotic``, or ``exact`` (lattice paths), which raises with more
+    than 10,000 rows on a side.
     """
+    if method not in ("asymptotic", "exact"):
+        raise ValueError(f"unknown method {method!r}")
     stats = ks_statistics(df, names, current, features)
     d, n1, n2 = F.col("ks_statistic"), F.col("n1").cast("double"), F.col("n2").cast("double")
-    p = ks_series_p(d, n1, n2)
-    if exact:
-        p = F.when(F.greatest("n1", "n2") <= EXACT_ROWS, ks_exact_p(d, F.col("n1"), F.col("n2"))).otherwise(p)
+    p = ks_exact_p(d, F.col("n1"), F.col("n2")) if method == "exact" else ks_series_p(d, n1, n2)
     p = F.when(F.col("constant"), 1.0).otherwise(p)
     return stats.withColumn("p_value", p).select(
         "feature", "ks_statistic", "p_value", (F.col("p_value") < alpha).alias("drift_flag")

@@ -24,11 +24,15 @@ def value_codes(train: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def ordinal_encode(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
-    """Add ``<c>_enc``; values that are not in the code table become -1."""
-    small = fits_broadcast(codes, "value")
+    """Add ``<c>_enc``; values that are not in the code table become -1.
+
+    Keys are counted in the input as it came, so a column adds at most one scan of it.
+    """
+    small, base = fits_broadcast(codes), df
     for c in columns:
         table = codes.filter(F.col("name") == c).select(F.col("value").alias(f"_{c}"), F.col("code").alias(f"{c}_enc"))
-        df = lookup_join(df.withColumn(f"_{c}", to_text(named(c))), table, f"_{c}", "left", small or None)
+        df = lookup_join(df.withColumn(f"_{c}", to_text(named(c))), table, f"_{c}", "left", small,
+                         None if small else base.select(to_text(named(c)).alias(f"_{c}")))
         df = df.withColumn(f"{c}_enc", F.coalesce(F.col(f"{c}_enc"), F.lit(-1.0))).drop(f"_{c}")
     return df
 

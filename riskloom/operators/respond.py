@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
 from ..functions.vocabulary import DEFAULT_TRUST, THREAT_LEVELS
+from ..session import write_table
 from .joins import lookup_join
 
 
 def trust_lookup(df: DataFrame, trust: DataFrame, default: float = DEFAULT_TRUST, small: bool | None = None) -> DataFrame:
     """Add the user's trust; users without one get the default."""
-    joined = lookup_join(df, trust.select("user_id", "trust"), "user_id", "left", small)
+    table = trust.select("user_id", "trust") if small else write_table(trust.select("user_id", "trust"), "trust_lookup")
+    joined = lookup_join(df, table, "user_id", "left", small)
     return joined.withColumn("trust", F.coalesce(F.col("trust"), F.lit(default)))
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators.anomaly import anomaly_threshold, fit_linear, fit_network
-from ...operators.attribution import background_rows, feature_attribution, with_shapley
+from ...operators.attribution import feature_attribution, with_shapley
 from ...operators.learn import evaluate, fit_classifier
-from ...operators.monitor import realism_summary, top_features
+from ...operators.monitor import top_features
 from ...operators.prep import prepare
 from ...operators.respond import score_rows
 from ...operators.trust import trust_map, trust_training
@@ -15,13 +15,12 @@ from ...sources.csv_files import table_manifest
 from ...sources.provenance import table_provenance
 from ...session import write_table
 from ..adapters import labelled_events, planted_signal, table
-from ..experiment import Settings, run_experiment
+from ..experiment import Settings, dataset_facts, run_experiment
 from ..monitored import run_monitored
 from .registry import query, rounded
 
-# small trees keep the check short; every parameter is an argument
-TREES = {"kind": "trees", "trees": 10, "depth": 3}
-LIGHT = Settings(classifier="logistic", rounds=2)
+# the runs over all events are checked with the logistic classifier; tree queries take the defaults (200 trees, depth 5)
+LOGISTIC = Settings(classifier="logistic")
 
 
 def _planted(spark, folder):
@@ -40,7 +39,7 @@ def linear_errors(spark, folder):
 @query("fit_reconstruction_network")
 def network_errors(spark, folder):
     train, test, preparation = _planted(spark, folder)
-    scorer = fit_network(train.filter("y = 0"), len(preparation.names), rounds=10)
+    scorer = fit_network(train.filter("y = 0"), len(preparation.names))
     return rounded(scorer.with_error(train.unionByName(test)).select("row_id", "y", "split", "err"))
 
 
@@ -48,7 +47,7 @@ def network_errors(spark, folder):
 def tree_metrics(spark, folder):
     train, test, _ = _planted(spark, folder)
     weighted = train.withColumn("w", F.when(F.col("y") == 1, 2.0).otherwise(1.0))
-    return rounded(evaluate(fit_classifier(weighted, weight="w", **TREES).score(test), "trees"))
+    return rounded(evaluate(fit_classifier(weighted, weight="w").score(test), "trees"))
 
 
 @query("fit_weighted_logistic")
@@ -63,15 +62,15 @@ def trained_trust(spark, folder):
     train, _, preparation = _planted(spark, folder)
     scored = fit_linear(train.filter("y = 0"), len(preparation.names)).with_error(train)
     threshold = anomaly_threshold(scored.filter("y = 0"))
-    _, state = trust_training(scored, threshold, rounds=2, power=1.6, kind="logistic")
+    _, state = trust_training(scored, threshold, rounds=LOGISTIC.rounds, power=LOGISTIC.power, kind="logistic")
     return rounded(state.select("row_id", "user_id", "y", "trust"))
 
 
 @query("feature_attribution")
 def attribution(spark, folder):
     train, test, preparation = _planted(spark, folder)
-    model = fit_classifier(train, **TREES)
-    explained = with_shapley(test, model, background_rows(train))
+    model = fit_classifier(train)
+    explained = with_shapley(test, model, train, len(preparation.names))
     return rounded(top_features(feature_attribution(explained, preparation.names)))
 
 
@@ -81,27 +80,26 @@ def scored_rows(spark, folder):
     scorer = fit_linear(train.filter("y = 0"), len(preparation.names))
     scored = scorer.with_error(train)
     threshold = anomaly_threshold(scored.filter("y = 0"))
-    model, state = trust_training(scored, threshold, rounds=1, kind="logistic")
+    model, state = trust_training(scored, threshold, rounds=LOGISTIC.rounds, power=LOGISTIC.power, kind="logistic")
     return rounded(score_rows(test, scorer, model, trust_map(state), threshold))
 
 
 @query("model_comparison")
 def comparison(spark, folder):
     frame, meta = planted_signal(spark, folder)
-    return rounded(run_experiment(frame, meta, Settings(classifier="trees", trees=5, depth=3, rounds=2)).metrics)
+    return rounded(run_experiment(frame, meta).metrics)
 
 
 @query("dataset_facts")
 def facts(spark, folder):
     frame, meta = planted_signal(spark, folder)
-    return run_experiment(frame, meta, LIGHT).meta
+    return dataset_facts(frame, meta)
 
 
 @query("realism_summary")
 def realism(spark, folder):
-    train, test, _ = _planted(spark, folder)
-    metrics = evaluate(fit_classifier(train, "logistic").score(test), "clean")
-    return realism_summary(metrics, 0.08, 0, True)
+    frame, meta = planted_signal(spark, folder)
+    return run_experiment(frame, meta, LOGISTIC).realism
 
 
 @query("monitored_run")
@@ -110,7 +108,7 @@ def monitored(spark, folder):
     frame, meta = labelled_events(spark, folder)
     frame = write_table(frame, "source")
     events = table(spark, folder, "events")
-    run = run_monitored(frame, meta, table_provenance(events, "events"), table_manifest(events), LIGHT)
+    run = run_monitored(frame, meta, table_provenance(events, "events"), table_manifest(events), LOGISTIC)
     return rounded(run.decisions.select("row_id", "user_id", "threat_level", "risk_score", "trust"))
 
 
@@ -118,5 +116,5 @@ def monitored(spark, folder):
 def monitored_audit(spark, folder):
     frame, meta = planted_signal(spark, folder)
     source = table(spark, folder, "embeddings").select("vec_id", "label")
-    run = run_monitored(frame, meta, table_provenance(source, "embeddings"), table_manifest(source), LIGHT)
+    run = run_monitored(frame, meta, table_provenance(source, "embeddings"), table_manifest(source), LOGISTIC)
     return run.audit.tail(40).select("seq", "stage", "payload")

@@ -11,7 +11,7 @@ from ..functions.vocabulary import LABEL_MESSAGES
 from ..operators.anomaly import anomaly_threshold, benign_subset, fit_scorer, with_anomaly_flag
 from ..operators.corrupt import feature_noise, feature_poison, label_noise, label_poison
 from ..operators.learn import Classifier, confusion_metrics, evaluate, fit_classifier
-from ..operators.monitor import overfit_flags
+from ..operators.monitor import overfit_flags, realism_summary
 from ..operators.prep import Preparation, prepare
 from ..operators.schema import numeric_feature_columns
 from ..operators.trust import trust_summary, trust_training
@@ -53,6 +53,24 @@ class Experiment:
     warnings: DataFrame  # message
     meta: DataFrame
     preview: DataFrame
+    realism: DataFrame  # the noise that was applied and what looks too good
+
+
+def with_noise(frame: DataFrame, s: Settings) -> tuple[DataFrame, int]:
+    """The rows with the evaluation noise of the settings, written once, and the number of flipped labels."""
+    if not s.realism:
+        return frame, 0
+    frame = feature_noise(frame, numeric_feature_columns(frame), s.seed + 11)
+    # written once: the draws are costly and later passes read a few columns each
+    frame = write_table(label_noise(frame, s.noise_fraction, s.seed + 13), "noisy")
+    return frame.drop("label_flipped"), frame.filter("label_flipped").count()
+
+
+def dataset_facts(frame: DataFrame, meta: dict, settings: Settings = Settings()) -> DataFrame:
+    """One row of facts about the data set as a run would see it; no model is needed for them."""
+    noisy, flips = with_noise(frame, settings)
+    prepared, preparation = prepare(noisy, meta.get("categorical", []), settings.seed)
+    return _meta(prepared, meta, preparation, settings, flips)
 
 
 def run_experiment(frame: DataFrame, meta: dict, settings: Settings = Settings()) -> Experiment:
@@ -62,13 +80,7 @@ def run_experiment(frame: DataFrame, meta: dict, settings: Settings = Settings()
     every percentile reads such a table instead of repeating what led to it.
     """
     s = settings
-    n_flips = 0
-    if s.realism:
-        frame = feature_noise(frame, numeric_feature_columns(frame), s.seed + 11)
-        # written once: the draws are costly and the passes below read a few columns each
-        frame = write_table(label_noise(frame, s.noise_fraction, s.seed + 13), "noisy")
-        n_flips = frame.filter("label_flipped").count()
-        frame = frame.drop("label_flipped")
+    frame, n_flips = with_noise(frame, s)
     prepared, preparation = prepare(frame, meta.get("categorical", []), s.seed)
     d = len(preparation.names)
 
@@ -111,6 +123,7 @@ def run_experiment(frame: DataFrame, meta: dict, settings: Settings = Settings()
         rows=rows, trained=trained, preparation=preparation, scorer=scorer, threshold=threshold, model=model,
         metrics=metrics, trust=trust_summary(trained), warnings=overfit_flags(clean_metrics),
         meta=_meta(rows, meta, preparation, s, n_flips), preview=preview(frame),
+        realism=realism_summary(clean_metrics, s.noise_fraction if s.realism else 0.0, n_flips, s.realism),
     )
 
 

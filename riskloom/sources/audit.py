@@ -15,14 +15,21 @@ class AuditTrail:
         self.spark, self.folder = spark, folder
         self._seq = 0
 
-    def append(self, stage: str, payload: DataFrame) -> None:
-        """One entry per payload row; the row is stored as JSON text."""
+    def append(self, stage: str, payload: DataFrame, batch: int | None = None) -> None:
+        """One entry per payload row; the row is stored as JSON text.
+
+        Entries of a numbered ``batch`` have a folder of their own, so a repeated batch replaces its entries.
+        """
+        seq = self._seq if batch is None else batch
         entries = payload.select(
-            F.current_timestamp().alias("ts"), F.lit(self._seq).cast("bigint").alias("seq"),
+            F.current_timestamp().alias("ts"), F.lit(seq).cast("bigint").alias("seq"),
             F.lit(stage).alias("stage"), F.to_json(F.struct("*")).alias("payload"),
         )
-        self._seq += 1
-        entries.write.mode("append").json(self.folder)
+        if batch is None:
+            self._seq += 1
+            entries.write.mode("append").json(f"{self.folder}/notes")
+        else:
+            entries.write.mode("overwrite").json(f"{self.folder}/{stage}-{batch}")
 
     def note(self, stage: str, **values) -> None:
         """An entry with plain values."""
@@ -30,7 +37,7 @@ class AuditTrail:
         self.append(stage, self.spark.range(1).select(*cells))
 
     def entries(self) -> DataFrame:
-        return self.spark.read.schema(AUDIT_SCHEMA).json(self.folder)
+        return self.spark.read.schema(AUDIT_SCHEMA).option("recursiveFileLookup", "true").json(self.folder)
 
     def tail(self, n: int = 30) -> DataFrame:
         return audit_tail(self.entries(), n)

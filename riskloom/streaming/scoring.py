@@ -35,7 +35,7 @@ def stream_risk_scoring(events: DataFrame, login_counts: DataFrame, preparation:
 def respond_to_stream(decisions: DataFrame, folder: str, progress: str, trail: AuditTrail | None = None) -> StreamingQuery:
     """Write the decisions of each micro-batch as JSON and audit its level counts.
 
-    A batch has its own folder, named by its number, so a repeated batch replaces itself.
+    A batch and its audit entries have folders of their own, named by its number, so a repeated batch replaces itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -43,7 +43,7 @@ def respond_to_stream(decisions: DataFrame, folder: str, progress: str, trail: A
         batch.write.mode("overwrite").json(target)
         if trail is not None:
             written = batch.sparkSession.read.schema(batch.schema).json(target)
-            trail.append("realtime_inference_response", threat_level_counts(written))
+            trail.append("realtime_inference_response", threat_level_counts(written), batch=number)
 
     return (
         decisions.writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start()

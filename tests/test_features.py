@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import joins
+from riskloom.operators.prep import ordinal_encode, value_codes
 from riskloom.operators.events import event_features, login_frequency
 from riskloom.operators.joins import label_from_answers, lookup_join, merge_user_tables
 from riskloom.operators.logs import (
@@ -121,12 +122,23 @@ def test_lookup_join_ways_agree(spark, monkeypatch, how):
     small = result()
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
     assert result() == small
-    monkeypatch.setattr(joins, "HOT_SHARE", 10)
-    assert result() == small
-    salted = joins._salted_join(df, lookup, "k", how).select("id", "k", "v").collect()
+    split = lookup_join(df, lookup, "k", how, hot_rows=100).select("id", "k", "v")
+    assert sorted(map(tuple, split.collect()), key=str) == small
+    salts = F.lit(joins.STREAM_SALTS)
+    salted = joins._salted_join(df.withColumn("_salts", salts), lookup.withColumn("_salts", salts), "k", how).select("id", "k", "v").collect()
     assert sorted(map(tuple, salted), key=str) == small
 
 
+def test_encoding_scans_grow_linearly(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(f"a{i}", f"b{i}", f"c{i}") for i in range(50)], "a string, b string, c string").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    codes = value_codes(df, ["a", "b", "c"])
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 100)  # the codes are large, the hot keys few
+    plan = ordinal_encode(df, codes, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [a#") == 1
+    assert ordinal_encode(df, codes, ["a", "b", "c"]).agg(F.sum("a_enc"), F.sum("c_enc")).first()[:] == (1225.0, 1225.0)
+
+
 def test_login_frequency_with_large_lookup(spark, monkeypatch):
     df = spark.createDataFrame([(i, "a" if i < 60 else f"u{i}") for i in range(100)], "row_id long, user_id string")
     small = sorted(map(tuple, login_frequency(df).collect()))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators.anomaly import LinearScorer, anomalies, benign_subset, fit_linear, fit_network
-from riskloom.operators.attribution import background_rows, feature_attribution, with_shapley
+from riskloom.operators.attribution import feature_attribution, with_shapley
 from riskloom.operators.corrupt import damped_columns, feature_noise, feature_poison, label_noise, label_poison
 from riskloom.operators.learn import confusion_metrics, evaluate, fit_classifier, roc_auc
 from riskloom.operators.prep import Scaler, prepare
@@ -118,6 +118,11 @@ def test_linear_errors_match_svd(rows):
     assert isinstance(scorer, LinearScorer)
 
 
+def test_network_does_not_depend_on_partitions(rows):
+    a, b = (fit_network(benign_subset(rows).repartition(n), 4, rounds=8).flat for n in (1, 8))
+    assert np.abs(a - b).max() < 1e-9
+
+
 def test_network_learns(rows):
     benign = rows.filter("y = 0").repartition(2, "row_id")
     early = fit_network(benign, 4, rounds=5).with_error(benign).agg(F.avg("err")).first()[0]
@@ -215,8 +220,9 @@ def test_trust_map_and_summary(spark):
 
 def test_tree_shapley_matches_subsets(rows):
     model = fit_classifier(rows, "trees", trees=4, depth=3)
-    background = background_rows(rows, 15)
-    explained = with_shapley(model.score(rows.limit(12)), model, background).collect()
+    sample = rows.orderBy("row_id").limit(15)
+    background = np.array([r.features for r in sample.collect()])
+    explained = with_shapley(model.score(rows.limit(12)), model, sample, 4).collect()
 
     def margin(points):
         df = rows.sparkSession.createDataFrame([([float(v) for v in p],) for p in points], "features array<double>")
@@ -248,10 +254,10 @@ def test_tree_shapley_matches_subsets(rows):
 
 def test_linear_attribution_sums_to_score(rows):
     model = fit_classifier(rows, "logistic")
-    background = background_rows(rows, 30)
-    scored = with_shapley(model.score(rows), model, background).limit(5).collect()
+    background = np.array([r.features for r in rows.collect()])
+    scored = with_shapley(model.score(rows), model, rows, 4).limit(5).collect()
     mean = np.mean(background @ model.model.coefficients.toArray() + model.model.intercept)
     for r in scored:
         assert sum(r.shapley) == pytest.approx(math.log(r.p / (1 - r.p)) - mean)
-    top = feature_attribution(with_shapley(rows, model, background), list("abcd"))
+    top = feature_attribution(with_shapley(rows, model, rows, 4), list("abcd"))
     assert top.count() == 4

@@ -101,3 +101,15 @@ def test_running_totals_over_partitions(spark):
             assert got[g, i] == total
     top = {r.o: r.cum_v for r in running_totals(df.filter("g = 0"), [], ["o"], ["v"], how="max", before=True).collect()}
     assert top[0] is None and top[5] == max((i * 7) % 11 for i in range(5))
+
+
+def test_percentile_with_infinite_values(spark):
+    df = spark.range(60_000).select(F.when(F.col("id") >= 57_012, F.lit(float("inf"))).otherwise(F.col("id").cast("double")).alias("x"))
+    assert exact_percentile(df, F.col("x"), 0.95) == pytest.approx(56_999.05)
+    assert exact_percentile(df, F.col("x"), 0.999) == float("inf")
+
+
+def test_percentiles_of_many_columns(spark):
+    df = spark.range(2000).select(*[(F.col("id") * (k + 1)).cast("double").alias(f"c{k}") for k in range(45)])
+    got = exact_percentiles(df, {f"c{k}": (F.col(f"c{k}"), 0.5) for k in range(45)})
+    assert all(got[f"c{k}"] == pytest.approx(999.5 * (k + 1)) for k in range(45))

@@ -2,12 +2,15 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.hashing import hash32, normal, uniform, uniform_scalar
-from riskloom.functions.scalars import binarize_label, hour_or_noon, row_sum, to_number
+from riskloom.functions.scalars import binarize_label, clip, hour_or_noon, row_sum, to_number
 from riskloom.operators.logs import after_hours
+from riskloom.operators.prep import Scaler
+from riskloom.operators.respond import risk_score
 
 
 def column(df, c):
@@ -61,3 +64,17 @@ def test_numbers_of_texts(spark):
 def test_row_sum_skips_nulls(spark):
     df = spark.createDataFrame([(1.0, None, 2)], "a double, b double, c int")
     assert column(df, row_sum(["a", "b", "c"])) == [3.0]
+
+
+def test_clip_and_risk_keep_nulls(spark):
+    row = spark.range(1).select(
+        clip(F.lit(None).cast("double"), 0.0, 1.0).alias("a"), clip(F.lit(7.0), 0.0, 1.0).alias("b"),
+        risk_score(F.lit(None).cast("double"), F.lit(0.1), F.lit(0.9), 1.0).alias("c"), risk_score(F.lit(0.5), F.lit(None).cast("double"), F.lit(0.9), 1.0).alias("d"),
+    ).first()
+    assert tuple(row) == (None, 1.0, None, None)
+
+
+def test_scaler_with_a_large_mean(spark):
+    df = spark.range(1000).select((F.lit(1.7e9) + F.col("id") % 2).alias("t"), F.lit(5.5).alias("c"))
+    scaler = Scaler.fit(df, ["t", "c"])
+    assert scaler.scales[0] == pytest.approx(0.5) and scaler.scales[1] == 1.0
