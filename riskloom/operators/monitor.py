@@ -14,7 +14,7 @@ from ..functions.vocabulary import OVERFIT_MESSAGE, OVERFIT_SUMMARY
 from ..session import write_table
 from .ordering import running_totals
 
-EXACT_ROWS = 10_000
+EXACT_ROWS = 200_000
 SERIES_TERMS = 100
 
 
@@ -112,7 +112,7 @@ def ks_drift(df: DataFrame, names: list[str], current: Column, alpha: float = 0.
     """Distance, p-value and drift flag per feature.
 
     ``method`` names how p-values are found, at every size: ``asymptotic``, or ``exact`` (lattice paths), which raises with more
-    than 10,000 rows on a side.
+    than 200,000 rows on a side.
     """
     if method not in ("asymptotic", "exact"):
         raise ValueError(f"unknown method {method!r}")

@@ -1,6 +1,6 @@
 """Registered queries and the SQL they are checked against."""
 
-from . import features, learning, sources, streams, trust  # noqa: F401
+from . import facts, features, learning, sources, streams, trust  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
