@@ -13,7 +13,7 @@ from ...operators.prep import prepare
 from ...operators.respond import threat_columns
 from ...operators.trust import init_trust, trust_map, trust_training
 from ...session import scratch_path, write_table
-from ...sources.csv_files import table_manifest
+from ...sources.csv_files import files_below, table_manifest
 from ...sources.provenance import content_fingerprint, provenance_record, table_provenance
 from ...streaming.activity import run_to_table
 from ...streaming.scoring import stream_risk_scoring
@@ -98,7 +98,7 @@ def scoring_facts(spark, folder):
     return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.coalesce(same, F.lit(False))).alias("n_different"))
 
 
-@query("fingerprint_facts", "SELECT true AS same_when_repeated, true AS other_for_other_files, 40::BIGINT AS n_sources, 40 AS listed, true AS id_follows")
+@query("fingerprint_facts", "SELECT true AS same_when_repeated, true AS other_for_other_files, true AS all_listed, true AS id_follows")
 def fingerprint_facts(spark, folder):
     first, second = _log_folder(spark, folder), _log_folder(spark, folder)
     digest = lambda path: content_fingerprint(spark, path).first()
@@ -109,7 +109,7 @@ def fingerprint_facts(spark, folder):
     return spark.range(1).select(
         F.lit(one.content_sha256 == again.content_sha256).alias("same_when_repeated"),
         F.lit(len({one.content_sha256, digest(second).content_sha256, digest(names).content_sha256}) == 3).alias("other_for_other_files"),
-        F.lit(one.n_sources).cast("bigint").alias("n_sources"), F.lit(len(record.sources)).alias("listed"),
+        F.lit(one.n_sources == len(record.sources) == len(files_below(spark, first))).alias("all_listed"),
         F.lit(record.dataset_id == "cert_batch:" + one.content_sha256[:16]).alias("id_follows"),
     )
 
