@@ -15,7 +15,7 @@ from ..session import scratch_path
 from .bytescan import LOWER_AZ, flat_bytes, mix, span_hash, words
 from .common import crc32_of, fields
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 FOLDS = 10
 HELD_OUT, DEVELOPMENT = 0, 1
 ROUNDS = 12
@@ -83,7 +83,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
     rows with remainder 1, scored with the counts of the other training rows (held-out counts); the
     model itself counts all training rows. Base: unigrams with 0.1 added to each count.
 
-    Rows are dealt to chunks of about 4 MB by a hash of key and text. A chunk sends each distinct n-gram once, with its counts,
+    Rows are dealt to chunks of about 8 MB by a hash of key and text. A chunk sends each distinct n-gram once, with its counts,
     as packed blocks of sorted keys' gaps to the n-gram's bucket and gets back the totals over all rows; a frequent n-gram is one entry of
     a block like any other. What a position needs (two counts) is written, so training the weights and
     scoring read that table only. An n-gram stands for itself by 48 bits besides its bucket.
@@ -128,6 +128,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
         sums = [np.bincount(where, weights=c, minlength=len(distinct)).astype(np.int64) for c in columns[1:]]
         for name, found in zip(("train", "dev"), sums):
             spread = found[where]
+            if name == "dev":  # only the chunk's own development rows ask for these
+                spread[columns[2] == 0] = 0
             out[name] = pa.array([_packed(spread[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())
         known = np.zeros(len(n), np.int64)
         known[int(np.argmin(table["chunk"].to_numpy()))] = int((sums[0] > 0).sum()) if table["kind"][0].as_py() == 0 else 0
