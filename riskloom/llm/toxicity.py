@@ -25,11 +25,11 @@ SPAN = 6
 SENTENCE_WORDS = 48
 LONG_WORD = 24
 RUN_BYTES = 1 << 20
-WORDS_AT_ONCE = 2000
+WORDS_AT_ONCE = 1000
 SENTENCES_AT_ONCE = 1_000
 TEXTS_AT_ONCE = 200
 ROWS_AT_ONCE = 10_000
-KEPT_WORDS = 3_000_000
+KEPT_WORDS = 1_500_000
 THRESHOLD = 0.3
 RESULT = ["held_out", "score", "predicted"]
 
