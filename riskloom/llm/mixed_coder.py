@@ -18,7 +18,7 @@ import numpy as np
 
 BLOCK_IDS = 2048
 LEAST_IDS = 256
-LANES = 2048
+LANES = 4096
 MAGIC = b"TKM1"
 FRAME, HEAD = struct.Struct("<4sBI"), struct.Struct("<III")
 
@@ -29,7 +29,7 @@ _ONE, _SURE2, _SURE0 = 1 << _ID_BITS, 3 << _ID_BITS, 15 << _ID_BITS
 _RATE = 0.04
 _KEEP = np.float32(1 - _RATE)
 _SHOWN = np.eye(4, dtype=np.float32) * np.float32(_RATE)
-_FADE, _FLOOR, _WEIGH_EVERY, _PLACE_EVERY = np.float32(0.95), np.float32(0.05 / 3), 8, 2
+_FADE, _FLOOR, _WEIGH_EVERY, _PLACE_EVERY = np.float32(0.95), np.float32(0.05 / 3), 16, 4
 _SHARE_RATE = 4
 _STEPS = np.arange(16)
 #: Cumulative shares of 4096 that half bytes move towards, with the total as a 17th column.
@@ -121,10 +121,10 @@ class _Reader:
 
 def _search(rows: np.ndarray, first: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Place of the value among each row's 16 cumulative shares."""
-    flat = rows.reshape(-1)
-    at = first + 8 * (flat.take(first + 8) <= value)
-    for step in (4, 2, 1):
-        at += step * (flat.take(at + step) <= value)
+    flat, value = rows.reshape(-1), value.astype(np.int16)
+    at = first + ((flat.take(first + 8) <= value) << 3)
+    for shift in (2, 1, 0):
+        at += (flat.take(at + (1 << shift)) <= value) << shift
     return at - first
 
 
@@ -169,11 +169,12 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
 
         if reader is None:
             value = ids[step]
+            narrow = value.astype(np.uint32)
             spot = ((value * 0x9E3779B1) >> 13) & 255
             at0 = base0 + spot
             kept0 = store0.take(at0)
             told0 = kept0 & _ID_MASK
-            right2, right1, right0 = told2 == value, told1 == value, told0 == value
+            right2, right1, right0 = told2 == narrow, told1 == narrow, told0 == narrow
             only1 = right1 & ~right2
             by_place = right0 & ~(right1 | right2)
             by_digits = ~(right0 | right1 | right2)
@@ -216,14 +217,15 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
                 digit = (digit << 16) | digit2
         if reader is not None:
             place = (high << 4) + low
-            value = np.where(outcome == 0, told2, told1).astype(np.int64)
-            value = np.where(by_place, store0.take(base0 + place) & _ID_MASK, np.where(by_digits, digit, value))
+            value = np.where(outcome == 0, told2, told1)
+            value = np.where(by_digits, digit, np.where(by_place, store0.take(base0 + place) & _ID_MASK, value))
             found[step] = value
+            narrow = value.astype(np.uint32)
             spot = ((value * 0x9E3779B1) >> 13) & 255
             at0 = base0 + spot
             kept0 = store0.take(at0)
             told0 = kept0 & _ID_MASK
-            right2, right1, right0 = told2 == value, told1 == value, told0 == value
+            right2, right1, right0 = told2 == narrow, told1 == narrow, told0 == narrow
             # tables move by the true place, whichever way the id was told
             if step % _PLACE_EVERY == 0:
                 high, low = spot >> 4, spot & 15
@@ -246,7 +248,6 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
         for table, rows, half in ((high_at, high_rows, high), (low_at + high, low_rows, low)) if step % _PLACE_EVERY == 0 else ():
             rows += (_TARGET.take(half, axis=0) - rows) >> _SHARE_RATE
             place_rows.put(table, rows.view(_ROW).reshape(-1))
-        narrow = value.astype(np.uint32)
         store2[at2] = np.where(right2, kept2 + ((kept2 < _SURE2) * np.uint32(_ONE)), narrow)
         store1[at1] = np.where(right1, kept1 + ((kept1 < _SURE2) * np.uint32(_ONE)), narrow)
         kept0 = np.where(right0, kept0 + (kept0 < _SURE0) * np.uint32(_ONE), np.where(kept0 >= _ONE, kept0 - np.uint32(_ONE), narrow))
