@@ -68,9 +68,10 @@ def _blocks(keys: np.ndarray, buckets: int):
     short = keys & np.uint64((1 << 8 * KEY_BYTES) - 1)
     order = np.lexsort((short, bucket)) if buckets > 1 << 16 else np.argsort((bucket << np.uint64(48)) | short)
     b, s = bucket[order], short[order]
+    del bucket, short
     new = np.append(True, (b[1:] != b[:-1]) | (s[1:] != s[:-1])) if len(keys) else np.zeros(0, bool)
-    where = np.empty(len(keys), np.int64)
-    where[order] = np.cumsum(new) - 1
+    where = np.empty(len(keys), np.int32)
+    where[order] = np.cumsum(new, dtype=np.int32) - 1
     return b[new].astype(np.int64), s[new], where
 
 
@@ -146,7 +147,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
             where = _blocks(keys, chunks)[2]
             for c in ("train", "dev"):
                 whole = np.concatenate([_unpacked(raw, k) for raw, k in zip(own[c].to_pylist(), n)])
-                found.append(whole[where])
+                found.append((whole.astype(np.int32) if whole.max(initial=0) < 1 << 31 else whole)[where])
+            del where, keys
         at = np.append(0, np.cumsum(sizes))
         spans = list(zip(at[:-1], at[1:]))
         known = np.zeros(len(sizes), np.int64)
