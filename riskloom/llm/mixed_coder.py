@@ -131,7 +131,7 @@ def _search(rows: np.ndarray, first: np.ndarray, value: np.ndarray) -> np.ndarra
 def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _Reader | None):
     """Code ``ids`` [step, lane], or decode them with ``reader``; the model moves alike in both."""
     writer = _Writer(lanes, steps, digits) if reader is None else None
-    found = np.empty((steps, lanes), np.int64) if reader is not None else ids
+    found = np.empty((steps, lanes), np.uint32) if reader is not None else None
     lane = np.arange(lanes, dtype=np.int64)
     store2, store1, store0 = (np.zeros(lanes << b, np.uint32) for b in (_ORDER2, _ORDER1, _ORDER0))
     base2, base1, base0 = lane << _ORDER2, lane << _ORDER1, lane << _ORDER0
@@ -168,8 +168,8 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
         np.add(bounds[:, 2], whole[:, 2] + 4, out=bounds[:, 3])
 
         if reader is None:
-            value = ids[step]
-            narrow = value.astype(np.uint32)
+            narrow = ids[step]
+            value = narrow.astype(np.int64)
             spot = ((value * 0x9E3779B1) >> 13) & 255
             at0 = base0 + spot
             kept0 = store0.take(at0)
@@ -219,8 +219,7 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
             place = (high << 4) + low
             value = np.where(outcome == 0, told2, told1)
             value = np.where(by_digits, digit, np.where(by_place, store0.take(base0 + place) & _ID_MASK, value))
-            found[step] = value
-            narrow = value.astype(np.uint32)
+            narrow = found[step] = value.astype(np.uint32)
             spot = ((value * 0x9E3779B1) >> 13) & 255
             at0 = base0 + spot
             kept0 = store0.take(at0)
@@ -261,9 +260,10 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
 
     A short frame takes shorter blocks (256 ids at least), so that steps are few. Ids are below 2**24.
     """
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids)
     if len(ids) and (ids.min() < 0 or ids.max() > _ID_MASK):
         raise ValueError("ids must be from 0 to 2**24 - 1")
+    ids = ids.astype(np.uint32)
     digits = 1 if ids.max(initial=0) < 65536 else 2
     block = min(block, max(LEAST_IDS, -(-len(ids) // LANES)))
     count = -(-len(ids) // block)
@@ -271,12 +271,12 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
     for first in range(0, count, LANES):
         lanes = min(LANES, count - first)
         own = ids[first * block : (first + lanes) * block]
-        padded = np.zeros(lanes * block, np.int64)
+        padded = np.zeros(lanes * block, np.uint32)
         padded[: len(own)] = own
         steps = min(block, len(own))
         bodies = _run(lanes, steps, digits, np.ascontiguousarray(padded.reshape(lanes, block).T[:steps]), None)
         for k, body in enumerate(bodies):
-            part = own[k * block : (k + 1) * block].astype("<u4")
+            part = own[k * block : (k + 1) * block].astype("<u4", copy=False)
             out += [HEAD.pack(len(part), len(body), zlib.crc32(part.tobytes())), body]
     return b"".join(out)
 
