@@ -9,21 +9,20 @@ from ...operators.anomaly import anomaly_threshold, fit_linear, reconstruction_e
 from ...operators.attribution import with_shapley
 from ...operators.events import login_counts
 from ...operators.learn import fit_classifier
-from ...operators.prep import prepare
 from ...operators.respond import threat_columns
-from ...operators.trust import init_trust, trust_map, trust_training
-from ...session import scratch_path, write_table
+from ...operators.trust import trust_training
+from ...session import scratch_path
 from ...sources.csv_files import files_below, table_manifest
 from ...sources.provenance import content_fingerprint, provenance_record, table_provenance
 from ...streaming.activity import run_to_table
 from ...streaming.scoring import stream_risk_scoring
-from ..adapters import SEED, event_columns, labelled_events, planted_signal, table
+from ..adapters import event_columns, labelled_events, planted_signal, table
 from ..experiment import dataset_facts
 from ..monitored import run_monitored
 from .learning import LOGISTIC, _planted
 from .registry import query
 from .sources import _log_folder, _write_csv
-from .streams import _stream
+from .streams import _stream, trusted_scoring
 
 
 @query(
@@ -84,13 +83,9 @@ def trust_facts(spark, folder):
 def scoring_facts(spark, folder):
     """The stream gives every event the decision that the batch gives it."""
     frame, meta = labelled_events(spark, folder)
-    rows, preparation = prepare(frame, meta["categorical"], SEED)
-    train = rows.filter("split = 'train'")
-    scorer = fit_linear(train.filter("y = 0"), len(preparation.names))
-    threshold = anomaly_threshold(write_table(scorer.with_error(train).filter("y = 0").select("err"), "errors"))
-    model, trust, counts = fit_classifier(train, "logistic"), trust_map(init_trust(train)), login_counts(frame)
+    counts, fitted = login_counts(frame), trusted_scoring(frame, meta)
     batch, stream = (
-        stream_risk_scoring(event_columns(source), counts, preparation, scorer, model, trust, threshold).select("row_id", "threat_level", "risk_score")
+        stream_risk_scoring(event_columns(source), counts, *fitted).select("row_id", "threat_level", "risk_score")
         for source in (table(spark, folder, "events"), _stream(spark, folder))
     )
     both = batch.join(run_to_table(stream, "decisions").toDF("row_id", "level", "risk"), "row_id", "full")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ...functions.hashing import uniform
 from ...operators.anomaly import anomaly_threshold, fit_linear
 from ...operators.events import login_counts
-from ...operators.learn import fit_classifier
 from ...operators.prep import prepare
-from ...operators.trust import init_trust, trust_map
+from ...operators.trust import trust_map, trust_training
+from ...session import write_table
 from ...sources.streams import parquet_stream
 from ...streaming.activity import (
     batch_sessions,
@@ -23,6 +23,7 @@ from ...streaming.activity import (
 )
 from ...streaming.scoring import batch_user_trust, stream_risk_scoring, stream_user_trust, trust_changes
 from ..adapters import SEED, activity_stream_columns, event_columns, labelled_events, scored_activity, table
+from .learning import LOGISTIC
 from .registry import EVENT_CTE, h, query, r6, rounded
 
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -108,18 +109,21 @@ def features_stream(spark, folder):
     return run_to_table(rows.select("row_id", "user_id", "hour", "is_night", "high_data_transfer", "session_duration"), "features")
 
 
-@query("stream_risk_scoring")
-def scoring_stream(spark, folder):
-    frame, meta = labelled_events(spark, folder)
+def trusted_scoring(frame, meta):
+    """What decisions on events need, fitted on the training rows: encoder and scaler, scorer, classifier and trust after all rounds, threshold."""
     rows, preparation = prepare(frame, meta["categorical"], SEED)
     train = rows.filter("split = 'train'")
     scorer = fit_linear(train.filter("y = 0"), len(preparation.names))
-    scored = scorer.with_error(train)
+    scored = write_table(scorer.with_error(train), "scored")
     threshold = anomaly_threshold(scored.filter("y = 0"))
-    model = fit_classifier(train, "logistic")
-    decisions = stream_risk_scoring(
-        event_columns(_stream(spark, folder)), login_counts(frame), preparation, scorer, model, trust_map(init_trust(train)), threshold
-    )
+    model, state = trust_training(scored, threshold, rounds=LOGISTIC.rounds, power=LOGISTIC.power, kind="logistic")
+    return preparation, scorer, model, trust_map(state), threshold
+
+
+@query("stream_risk_scoring")
+def scoring_stream(spark, folder):
+    frame, meta = labelled_events(spark, folder)
+    decisions = stream_risk_scoring(event_columns(_stream(spark, folder)), login_counts(frame), *trusted_scoring(frame, meta))
     return rounded(run_to_table(decisions, "decisions").select("row_id", "user_id", "threat_level", "risk_score"))
 
 

@@ -6,7 +6,13 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators.anomaly import anomaly_threshold, fit_linear
+from riskloom.operators.prep import prepare
 from riskloom.operators.respond import decide, threat_level_counts
+from riskloom.operators.trust import trust_map, trust_training
+from riskloom.plans.adapters import labelled_events
+from riskloom.plans.catalog import QUERIES, facts, streams
+from riskloom.plans.experiment import Settings
 from riskloom.session import scratch_path
 from riskloom.sources.audit import AuditTrail
 from riskloom.sources.streams import parquet_stream
@@ -122,3 +128,27 @@ def test_decisions_reach_the_sink_and_the_audit(spark, events, folder, tmp_path)
     assert {r.threat_level: r.n for r in threat_level_counts(written).collect()} == want
     counted = trail.entries().agg(F.sum(F.get_json_object("payload", "$.n").cast("long"))).first()[0]
     assert counted == 1200 and written.select("batch").distinct().count() == 4
+
+
+def test_stream_scoring_takes_trust_of_all_rounds(spark, monkeypatch):
+    """The query and its facts give the stream the trust that training rows have after the last round, not the first value."""
+    seen = []
+    for module in (streams, facts):
+        def scored(events, counts, preparation, scorer, model, trust, threshold, score=module.stream_risk_scoring):
+            seen.append({r.user_id: r.trust for r in trust.collect()})
+            return score(events, counts, preparation, scorer, model, trust, threshold)
+
+        monkeypatch.setattr(module, "stream_risk_scoring", scored)
+    folder = "/root/testdata/sf0.001"
+    risks = {r.row_id: r.risk_score for r in QUERIES["stream_risk_scoring"](spark, folder).collect()}
+    assert len(risks) == 1000
+    QUERIES["stream_scoring_facts"](spark, folder)
+    frame, meta = labelled_events(spark, folder)
+    rows, preparation = prepare(frame, meta["categorical"], 42)
+    train = rows.filter("split = 'train'")
+    scored = fit_linear(train.filter("y = 0"), len(preparation.names)).with_error(train)
+    settings = Settings()
+    _, state = trust_training(scored, anomaly_threshold(scored.filter("y = 0")), settings.rounds, settings.power, kind="logistic")
+    want = {r.user_id: pytest.approx(r.trust, abs=1e-6) for r in trust_map(state).collect()}
+    assert len(seen) == 3 and all(trust == want for trust in seen)
+    assert min(seen[0].values()) < 1
