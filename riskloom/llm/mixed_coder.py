@@ -29,7 +29,7 @@ _ONE, _SURE2, _SURE0 = 1 << _ID_BITS, 3 << _ID_BITS, 15 << _ID_BITS
 _RATE = 0.04
 _KEEP = np.float32(1 - _RATE)
 _SHOWN = np.eye(4, dtype=np.float32) * np.float32(_RATE)
-_FADE, _FLOOR, _WEIGH_EVERY, _PLACE_EVERY = np.float32(0.95), np.float32(0.05 / 3), 16, 4
+_FADE, _FLOOR = np.float32(0.95), np.float32(0.05 / 3)
 _SHARE_RATE = 4
 _STEPS = np.arange(16)
 #: Cumulative shares of 4096 that half bytes move towards, with the total as a 17th column.
@@ -226,17 +226,15 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
             told0 = kept0 & _ID_MASK
             right2, right1, right0 = told2 == narrow, told1 == narrow, told0 == narrow
             # tables move by the true place, whichever way the id was told
-            if step % _PLACE_EVERY == 0:
-                high, low = spot >> 4, spot & 15
-                low_rows = places.take(low_at + high, axis=0)
+            high, low = spot >> 4, spot & 15
+            low_rows = places.take(low_at + high, axis=0)
 
         # learn
-        if step % _WEIGH_EVERY == 0:
-            here = row4 + outcome
-            fit2, fit1, fit0 = own2.reshape(-1).take(here) * weights[0], own1.reshape(-1).take(here) * weights[1], shares0.reshape(-1).take(here) * weights[2]
-            scale = _FADE / (fit2 + fit1 + fit0)
-            weights[0], weights[1], weights[2] = fit2 * scale + _FLOOR, fit1 * scale + _FLOOR, fit0 * scale + _FLOOR
-            spread = np.repeat(weights, 4, axis=1).reshape(3, lanes, 4)
+        here = row4 + outcome
+        fit2, fit1, fit0 = own2.reshape(-1).take(here) * weights[0], own1.reshape(-1).take(here) * weights[1], shares0.reshape(-1).take(here) * weights[2]
+        scale = _FADE / (fit2 + fit1 + fit0)
+        weights[0], weights[1], weights[2] = fit2 * scale + _FLOOR, fit1 * scale + _FLOOR, fit0 * scale + _FLOOR
+        spread = np.repeat(weights, 4, axis=1).reshape(3, lanes, 4)
         shown = _SHOWN.take(outcome, axis=0)
         for own, rows, state in ((own2, rows2, state2), (own1, rows1, state1)):
             own *= _KEEP
@@ -244,7 +242,7 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
             rows[state] = own.view(np.complex128).reshape(-1)
         shares0 *= _KEEP
         shares0 += shown
-        for table, rows, half in ((high_at, high_rows, high), (low_at + high, low_rows, low)) if step % _PLACE_EVERY == 0 else ():
+        for table, rows, half in ((high_at, high_rows, high), (low_at + high, low_rows, low)):
             rows += (_TARGET.take(half, axis=0) - rows) >> _SHARE_RATE
             place_rows.put(table, rows.view(_ROW).reshape(-1))
         store2[at2] = np.where(right2, kept2 + ((kept2 < _SURE2) * np.uint32(_ONE)), narrow)

@@ -73,6 +73,16 @@ def test_coder_round_trip():
         mixed_coder.encode(np.array([1 << 24]))
 
 
+def test_coder_learns_at_every_id():
+    """Short blocks of skewed ids: with weights or places learned at every second id or rarer, the frame is longer."""
+    rng = np.random.default_rng(3)
+    share = 1 / np.arange(1, 301) ** 1.1
+    ids = rng.permutation(40_000)[:300][rng.choice(300, 60_000, p=share / share.sum())]
+    frame = mixed_coder.encode(ids)
+    assert (mixed_coder.decode(frame) == ids).all()
+    assert 8 * len(frame) / len(ids) < 10.85
+
+
 def test_blocks_are_independent_and_checked():
     ids = np.arange(5000) % 700
     frame = bytearray(mixed_coder.encode(ids))
