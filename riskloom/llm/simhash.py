@@ -28,6 +28,7 @@ PAIRS_AT_ONCE = 1 << 20
 CELL_ROWS = 4096
 ESTIMATE_BITS = 11
 PROBE_COST = 2.0
+SAMPLE = 1024
 RESULT = ["fingerprint", "component_id", "kept"]
 
 
@@ -144,12 +145,8 @@ class Plan:
             total = np.stack([sum(total[:, i] * own[:, d - i] for i in range(d + 1)) for d in range(self.distance + 1)], axis=1)
         return np.cumsum(total, axis=1)
 
-    def thresholds(self, values: np.ndarray) -> np.ndarray:
-        """[value, part]: allowed differing bits in each part, -1 for none, by dynamic programming.
-
-        Thresholds of sum distance - parts + 1 lose no pair: a pair that is above all of them differs in at least
-        (sum + parts) = distance + 1 bits.
-        """
+    def _allocate(self, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Least cost of each value, infinite if no part can take enough bits, and by part the units taken."""
         units, n = self.distance + 1, len(values)
         best = np.full((n, units + 1), np.inf)
         best[:, 0] = 0
@@ -167,6 +164,22 @@ class Plan:
                     options[:, u, k] = best[:, u - k] + cost[:, k]
             taken.append(options.argmin(axis=2))
             best = options.min(axis=2)
+        return best[:, units], taken
+
+    def cost(self, values: np.ndarray) -> float:
+        """Mean estimated cost of a value: probes and candidates."""
+        return float(self._allocate(values)[0].mean())
+
+    def thresholds(self, values: np.ndarray) -> np.ndarray:
+        """[value, part]: allowed differing bits in each part, -1 for none, by dynamic programming.
+
+        Thresholds of sum distance - parts + 1 lose no pair: a pair that is above all of them differs in at least
+        (sum + parts) = distance + 1 bits. Raises if the parts cannot take that many.
+        """
+        units, n = self.distance + 1, len(values)
+        best, taken = self._allocate(values)
+        if not np.isfinite(best).all():
+            raise ValueError(f"{len(self.parts)} parts cannot hold a distance of {self.distance}")
         out, left = np.empty((n, len(self.masks)), np.int64), np.full(n, units)
         for part in range(len(self.masks) - 1, -1, -1):
             k = taken[part][np.arange(n), left]
@@ -175,7 +188,7 @@ class Plan:
         return out
 
     def cell(self, part: int, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(8) + np.uint64(part)).view(np.int64)
+        return (keys.astype(np.uint64) * np.uint64(BITS) + np.uint64(part)).view(np.int64)
 
     def probes(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(cells, values) to look into."""
@@ -191,6 +204,14 @@ class Plan:
                         yield self.cell(part, (keys[few][:, None] ^ masks).ravel()), np.repeat(values[few], len(masks))
 
 
+def cheapest(plans: list[Plan], sample: np.ndarray) -> Plan:
+    """The plan with the least estimated cost over the sampled values; raises if none can hold the distance."""
+    costs = [plan.cost(sample) if len(sample) else len(plan.parts) for plan in plans]
+    if not np.isfinite(costs).any():
+        raise ValueError(f"no number of parts can hold a distance of {plans[0].distance}")
+    return plans[int(np.argmin(costs))]
+
+
 # ---- links --------------------------------------------------------------------------------------
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +258,8 @@ def _cell_links(cells: np.ndarray, probe: np.ndarray, value: np.ndarray, distanc
 def fingerprint_links(values: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (u, v) that join exactly the fingerprints ``fp`` (distinct longs) reachable over ``distance`` or fewer bits.
 
-    The bits are put into parts by their correlation over all fingerprints. Per fingerprint, thresholds for the
+    The bits are put into parts by their correlation over all fingerprints; the number of parts is that with the least
+    estimated cost over 1,024 of them, up to three or as many as are wider than the bits of the row count. Per fingerprint, thresholds for the
     parts come from dynamic programming on estimated candidates, and it probes the cells of all part values within its
     thresholds. Rows meet by cell; every candidate is checked. A cell with more than ``cell_rows`` stored fingerprints is
     split into blocks on both sides, and each pair of blocks meets in a group of its own. A group passes on a
@@ -245,7 +267,6 @@ def fingerprint_links(values: DataFrame, distance: int = DISTANCE, cell_rows: in
     """
     spark = values.sparkSession
     rows = values.count()
-    groups = max(2, min(distance + 1, int(BITS // (math.log2(max(rows, 2)) + 1))))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BITS, BITS), np.int64)
@@ -258,22 +279,28 @@ def fingerprint_links(values: DataFrame, distance: int = DISTANCE, cell_rows: in
     together = np.zeros(BITS * BITS, np.int64)
     for r in values.mapInArrow(pairs, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         together[r["at"]] = r["n"]
-    plan = Plan(bit_groups(together.reshape(BITS, BITS), rows, groups), distance)
+    most = max(2, min(distance + 1, max(3, int(BITS // (math.log2(max(rows, 2)) + 1)))))
+    plans = [Plan(bit_groups(together.reshape(BITS, BITS), rows, groups), distance) for groups in range(2, most + 1)]
+    flat = [bits for plan in plans for bits in plan.flat]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(1 << len(bits), np.int64) for bits in plan.flat]
+        total = [np.zeros(1 << len(bits), np.int64) for bits in flat]
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
-            for k, bits in enumerate(plan.flat):
+            for k, bits in enumerate(flat):
                 total[k] += np.bincount(gather_bits(fp, bits).astype(np.int64), minlength=len(total[k]))
         for k, found in enumerate(total):
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(found[at])], ["piece", "at", "n"])
 
-    histograms = [np.zeros(1 << len(bits)) for bits in plan.flat]
+    histograms = [np.zeros(1 << len(bits)) for bits in flat]
     for r in values.mapInArrow(count, "piece long, at long, n long").groupBy("piece", "at").agg(F.sum("n").alias("n")).collect():
         histograms[r["piece"]][r["at"]] = r["n"]
-    plan.learn(histograms, rows)
+    for each in plans:
+        each.learn(histograms[: len(each.flat)], rows)
+        del histograms[: len(each.flat)]
+    sample = values.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    plan = cheapest(plans, np.array([r["fp"] for r in sample], np.int64).view(np.uint64))
 
     def batch_of(cells: np.ndarray, fp: np.ndarray, probe: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(len(fp), probe)), pa.array(fp.view(np.int64))], ["cell", "probe", "fp"])

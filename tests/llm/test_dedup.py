@@ -13,7 +13,7 @@ from data import documents, empty, lower_az, split_words, texts
 from riskloom.llm import exact_dedup as exact
 from riskloom.llm.components import components
 from riskloom.llm.mixing import emit_copies, mix_sources
-from riskloom.llm.simhash import Plan, bit_groups, fingerprint_links, near_duplicates
+from riskloom.llm.simhash import Plan, bit_groups, cheapest, fingerprint_links, near_duplicates
 
 
 @pytest.mark.parametrize("words", [1 << 20, 1])
@@ -156,3 +156,24 @@ def test_mixing_meets_its_targets(spark):
     )
     for r in mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
         assert r.taken == pytest.approx(r.target, rel=0.03)
+
+
+def spread_plans(distance, rows, numbers):
+    """Plans over ``rows`` evenly spread fingerprints."""
+    plans = [Plan([list(map(int, p)) for p in np.array_split(np.arange(64), n)], distance) for n in numbers]
+    for plan in plans:
+        plan.learn([np.full(1 << len(bits), rows / (1 << len(bits))) for bits in plan.flat], rows)
+    return plans
+
+
+def test_parts_by_cost():
+    sample = np.random.default_rng(5).integers(0, 1 << 63, 50).astype(np.uint64)
+    probes = lambda plan: sum(len(cells) for cells, _ in plan.probes(sample)) / len(sample)
+    two, three = spread_plans(4, 1 << 22, (2, 3))
+    assert len(cheapest(spread_plans(4, 1 << 22, range(2, 6)), sample).parts) == 3
+    assert probes(two) == 562 and 44 <= probes(three) <= 47
+    with pytest.raises(ValueError):
+        spread_plans(10, 1 << 22, (2,))[0].thresholds(sample)
+    with pytest.raises(ValueError):
+        cheapest(spread_plans(10, 1 << 22, (2,)), sample)
+    assert (cheapest(spread_plans(10, 1 << 22, range(2, 12)), sample).thresholds(sample) >= 0).any()
