@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .collocations import collocations
 from .common import table
 from .exact_dedup import exact_dedup
 from .interpolated_lm import score_texts
@@ -75,9 +76,16 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_interpolated_lm, op2_toxicity, op3_simhash_near_dedup, op4_token_files, op5_exact_dedup, op6_inverted_multi_index, op7_source_mixing, op8_best_fit_packing, op9_license_scan, op10_token_counts)
+    for f in (
+        op1_interpolated_lm, op2_toxicity, op3_simhash_near_dedup, op4_token_files, op5_exact_dedup, op6_inverted_multi_index, op7_source_mixing,
+        op8_best_fit_packing, op9_license_scan, op10_token_counts, op11_phrase_collocations,
+    )
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,6 +129,32 @@ def _license_sql() -> str:
 
 
 SQL = {
+    "op11_phrase_collocations": rf"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p
+        ), s AS (
+            SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w
+        ), f AS (
+            SELECT lang, k AS m, array_to_string(words[i : i + k - 1], ' ') AS phrase, count(*) AS f
+            FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(words) GROUP BY ALL
+        ), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE m > 1 AND f >= 30),
+        inside AS (
+            SELECT DISTINCT c.lang, c.f, array_to_string(words[i : i + k - 1], ' ') AS phrase
+            FROM c, (SELECT unnest([1, 2, 3, 4]) AS i), (SELECT unnest([2, 3]) AS k) WHERE k < m AND i + k - 1 <= m
+        ), dropped AS (
+            SELECT DISTINCT c.lang, c.phrase FROM c JOIN inside USING (lang, phrase) WHERE 100::HUGEINT * inside.f >= 80::HUGEINT * c.f
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.f AS a, k, array_to_string(words[1:k], ' ') AS first_part, array_to_string(words[k + 1 :], ' ') AS rest
+            FROM c ANTI JOIN dropped USING (lang, phrase), (SELECT unnest([1, 2, 3]) AS k) WHERE k < m
+        ), scored AS (
+            SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first_part JOIN f y ON y.lang = cuts.lang AND y.phrase = rest
+        ), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM weakest JOIN n USING (lang) QUALIFY rank <= 2000""",
     "op9_license_scan": _license_sql(),
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWERED}) AS text_sha256 FROM documents)
