@@ -1,4 +1,4 @@
-"""Byte-level BPE of whole Arrow batches with the tokenizers library, each distinct piece encoded once.
+"""BPE of whole Arrow batches, each distinct piece encoded once by the tokenizer's library.
 
 A text falls into pieces at places where the pre-tokenizer surely ends a token, so the ids of a
 text are the ids of its pieces one after another. Natural text repeats its pieces, so a worker keeps the
@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-from .bytescan import runs_of_bytes, span_hash
+from .bytescan import IS_SPACE, runs_of_bytes, span_hash
 
 RUN_BYTES = 2 << 20
 KEPT_PIECES = 2_000_000
@@ -27,14 +27,31 @@ _CLASS[32], _CLASS[10], _CLASS[39] = _SPACE, _LINE, _QUOTE
 _CLASS[128:] = _HIGH
 
 
+def _solid(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """True where the byte ends a character that is surely no white space.
+
+    Of the characters beyond ASCII these are all but U+0085, U+00A0, U+1680, U+180E, U+2000 to U+200A, U+2028, U+2029, U+202F,
+    U+205F and U+3000.
+    """
+    high = kind == _HIGH
+    solid = high | ((kind >= _LETTER) & (kind != _SPACE) & (kind != _LINE))
+    if high.any():
+        one, two = np.append(np.uint8(0), data[:-1]), np.append(np.zeros(2, np.uint8), data[:-2])[: len(data)]
+        solid &= ~((one == 0xC2) & ((data == 0x85) | (data == 0xA0)))
+        solid &= ~((two == 0xE2) & (one == 0x80) & ((data <= 0x8A) | (data == 0xA8) | (data == 0xA9) | (data == 0xAF)))
+        for a, b, c in ((0xE1, 0x9A, 0x80), (0xE1, 0xA0, 0x8E), (0xE2, 0x81, 0x9F), (0xE3, 0x80, 0x80)):
+            solid &= ~((two == a) & (one == b) & (data == c))
+    return solid
+
+
 def safe_cuts(data: np.ndarray) -> np.ndarray:
     """True where a text may be cut before the byte without a change of its tokens.
 
     The pre-tokenizer's tokens are contractions, runs of letters, digits or other marks with one space
     before them, and runs of white space, whose last character stays back if it is followed by more. So a
-    token ends (a) before a space or line end that follows a letter, digit or mark, (b) between letter and
+    token ends (a) before a space or line end that follows any character of any script but white space, (b) between letter and
     mark, either way round, but for apostrophes, (c) after a single line end that is followed by a letter,
-    digit or mark. Other characters than ASCII count only if they are two-byte letters under lead 0xC3.
+    digit or mark. In (b) and (c) other characters than ASCII count only if they are two-byte letters under lead 0xC3.
     """
     n = len(data)
     cut = np.zeros(n, bool)
@@ -43,7 +60,7 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
     kind = _CLASS[data]
     ends_letter = kind == _LETTER
     ends_letter[1:] |= (kind[1:] == _HIGH) & (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-    solid = ends_letter | (kind == _DIGIT) | (kind == _MARK) | (kind == _QUOTE)
+    solid = _solid(data, kind)
     here, mark = kind[1:], kind[1:] == _MARK
     cut[1:] = (solid[:-1] & ((here == _SPACE) | (here == _LINE))) | (ends_letter[:-1] & mark)
     cut[1:] |= (kind[:-1] == _MARK) & (here == _LETTER)
@@ -51,6 +68,22 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
     return cut
 
 
+def gap_cuts(data: np.ndarray) -> np.ndarray:
+    """True before a space or line end that follows any character of any script but white space."""
+    cut = np.zeros(len(data), bool)
+    kind = _CLASS[data]
+    cut[1:] = _solid(data, kind)[:-1] & ((kind[1:] == _SPACE) | (kind[1:] == _LINE))
+    return cut
+
+
+def word_cuts(data: np.ndarray) -> np.ndarray:
+    """True before each run of ASCII white space: for tokenizers that drop white space and take no token across it."""
+    gap = IS_SPACE[data]
+    cut = gap.copy()
+    cut[1:] &= ~gap[:-1]
+    return cut
+
+
 class _Slots:
     """Open addressing over numpy arrays: 64-bit key to a row number."""
 
@@ -99,19 +132,18 @@ class _Slots:
 
 
 class PieceEncoder:
-    """Ids of texts under one tokenizer file, without begin, end or other added tokens.
+    """Ids of texts under one tokenizer, without begin, end or other added tokens.
 
+    ``encode`` gives the ids of each of a list of texts, ``cuts`` the places where a text may be cut, ``whole`` strings that must not be.
     Two pieces count as the same if their 64-bit hashes are the same; among 10 million pieces the chance of any
     wrong match is under one in a hundred thousand.
-    """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    Memory: about 2 MB of text at a time, longer texts in stretches between cuts. A stretch without any cut (one
+    endless run of characters that are no white space) goes to the library whole, as it may be one token sequence.
+    """
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            self.whole = [t["content"].encode() for t in json.load(file).get("added_tokens", []) if len(t["content"]) > 1]
+    def __init__(self, encode, cuts=safe_cuts, whole: list[bytes] = ()):
+        self.encode, self.cuts, self.whole = encode, cuts, whole
         self._clear()
 
     def _clear(self) -> None:
@@ -126,7 +158,7 @@ class PieceEncoder:
         for first in range(0, len(keys), LIBRARY_BATCH):
             some = slice(first, first + LIBRARY_BATCH)
             texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[some], ends[some])]
-            found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            found = self.encode(texts)
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             at = int(self.ends[self.rows - 1]) if self.rows else 0
             total = at + int(lengths.sum())
@@ -155,8 +187,8 @@ class PieceEncoder:
         return rows
 
     def _spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cut = safe_cuts(data)
-        raw = data.tobytes()
+        cut = self.cuts(data)
+        raw = data.tobytes() if self.whole else b""
         for token in self.whole:
             at = raw.find(token)
             while at >= 0:
@@ -166,7 +198,7 @@ class PieceEncoder:
         starts = np.flatnonzero(cut)
         return starts, np.append(starts[1:], len(data))
 
-    def _stretches(self, data: np.ndarray, low: int, high: int):
+    def stretches(self, data: np.ndarray, low: int, high: int):
         """Ends of the stretches of about RUN_BYTES that a text falls into, each at a safe cut."""
         span = RUN_BYTES
         while high - low > span:
@@ -186,7 +218,7 @@ class PieceEncoder:
         """
         for first, last in runs_of_bytes(offsets, RUN_BYTES):
             low, at = int(offsets[first]), offsets[first : last + 1]
-            for high in self._stretches(data, low, int(offsets[last])) if last - first == 1 else (int(offsets[last]),):
+            for high in self.stretches(data, low, int(offsets[last])) if last - first == 1 else (int(offsets[last]),):
                 if high > low:
                     where = np.clip(at - low, 0, high - low)
                     starts, ends = self._spans(data[low:high], where)
@@ -229,11 +261,28 @@ class PieceEncoder:
             yield np.zeros(0, np.int32), np.zeros(n - done, np.int64)
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple, PieceEncoder] = {}
+
+
+def file_encoder(path: str, cuts, special: bool = True) -> PieceEncoder:
+    """The worker's encoder of a tokenizers file, kept between tasks; with ``special`` unset, special strings in texts are plain text."""
+    if (path, special) not in _encoders:
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = not special
+        with open(path, encoding="utf-8") as file:
+            whole = [t["content"].encode() for t in json.load(file).get("added_tokens", []) if special and len(t["content"]) > 1]
+        _encoders[path, special] = PieceEncoder(lambda texts: [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)], cuts, whole)
+    return _encoders[path, special]
 
 
 def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder of a tokenizer file, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    """Byte-level BPE that keeps white space."""
+    return file_encoder(path, safe_cuts)
+
+
+def word_encoder(path: str) -> PieceEncoder:
+    """BPE of words that drops white space."""
+    return file_encoder(path, word_cuts)

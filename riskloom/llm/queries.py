@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .alignment import align_tokens
 from .collocations import collocations
 from .common import table
 from .exact_dedup import exact_dedup
@@ -17,6 +18,7 @@ from .mixing import mix_sources
 from .multi_index import nearest
 from .packing import pack
 from .simhash import near_duplicates
+from .slack_packing import pack_windows
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .toxicity import score_toxicity
@@ -80,11 +82,19 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"))
 
 
+def op12_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_windows(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokens(table(spark, folder, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_interpolated_lm, op2_toxicity, op3_simhash_near_dedup, op4_token_files, op5_exact_dedup, op6_inverted_multi_index, op7_source_mixing,
-        op8_best_fit_packing, op9_license_scan, op10_token_counts, op11_phrase_collocations,
+        op8_best_fit_packing, op9_license_scan, op10_token_counts, op11_phrase_collocations, op12_slack_packing, op13_token_alignment,
     )
 }
 

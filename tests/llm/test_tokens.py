@@ -1,8 +1,11 @@
 """Pieces, token counts, token files and packing against the tokenizers library itself."""
 
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -26,6 +29,11 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
+def new_encoder(path, cuts=pieces.safe_cuts, special=True):
+    pieces._encoders.clear()
+    return pieces.file_encoder(path, cuts, special)
+
+
 def ids_of(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
@@ -36,7 +44,7 @@ def test_pieces_give_the_librarys_ids(library, monkeypatch):
     parts = ["a", "b", "'s", "'", "'re", " ", "  ", "\n", "\n\n", "\t", "\r\n", ".", ",", "!!", "é", "ß", "×", "÷", "漢字", " ", "　",
              "1", "23", "<|endoftext|>", "<|end", "I'm", "\x1c", "\x00", "😀", "the", "The", "\x85", "²", "_", "-", "́"]
     some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(5000)] + texts()
-    encoder = pieces.PieceEncoder(PATH)
+    encoder = new_encoder(PATH)
     data, offsets = flat_bytes(pa.array(some, pa.string()))
     got = []
     for ids, sizes in encoder.texts(data, offsets):
@@ -46,9 +54,52 @@ def test_pieces_give_the_librarys_ids(library, monkeypatch):
     assert encoder.lengths(data, offsets).tolist() == [len(x) for x in want]
 
 
+ALPHABETS = {"Chinese": "漢字語彙日本中文學", "Cyrillic": "абвгдеёжзийк", "Greek": "αβγδεςσ", "Devanagari": "कखगघङा", "Arabic": "ابتثج"}
+
+
+@pytest.mark.parametrize("script", ALPHABETS)
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_cuts_in_every_script(script, name, monkeypatch):
+    """Texts fall into pieces at spaces and line ends whatever the script, also next to the white space of Unicode."""
+    monkeypatch.setattr(pieces, "RUN_BYTES", 300)
+    path, rng = public_tokenizers.path(name), random.Random(4)
+    parts = [*ALPHABETS[script], *ALPHABETS[script], " ", "\n", "\u00a0", "\u2003", "\u3000", "\u2028", "\u180e", "。", "«", "'s", "e\u0301", "<|endoftext|>"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 400))) for _ in range(150)]
+    library = Tokenizer.from_file(path)
+    want = [library.encode(t, add_special_tokens=False).ids for t in some]
+    cuts = pieces.safe_cuts if name.startswith("byte") else pieces.word_cuts
+    got = [x.tolist() for ids, sizes in new_encoder(path, cuts).texts(*flat_bytes(pa.array(some))) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == want
+
+
+@pytest.mark.parametrize("script", ["Chinese", "Cyrillic"])
+def test_long_texts_in_bounded_memory(script):
+    """20 MB with a line end every 40 characters, in a process of its own: ids of the stretches are those of its lines, memory stays low."""
+    code = f"""
+import resource, numpy as np, random
+from tokenizers import Tokenizer
+from riskloom.llm import pieces
+rng, letters = random.Random(1), {ALPHABETS[script]!r}
+lines = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(2000)]
+raw = ("\\n".join(lines) + "\\n").encode()
+data = np.frombuffer(raw * -(-20_000_000 // len(raw)), np.uint8)
+one = pieces.file_encoder({PATH!r}, pieces.safe_cuts)
+few = one.lengths(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+got = one.lengths(data, np.array([0, len(data)]))[0]
+library = Tokenizer.from_file({PATH!r})
+assert few == len(library.encode(raw.decode(), add_special_tokens=False).ids)
+assert abs(got - few * (len(data) // len(raw))) <= 1, (got, few)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=str(Path(__file__).resolve().parents[2]))
+    assert out.returncode == 0, out.stderr[-800:]
+    assert int(out.stdout) < 250
+
+
 def test_kept_pieces_make_room(library, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_PIECES", 50)
-    encoder = pieces.PieceEncoder(PATH)
+    encoder = new_encoder(PATH)
     some = [" ".join(f"word{i * 7 + k}" for k in range(30)) for i in range(20)]
     for text in some:
         assert encoder.lengths(*flat_bytes(pa.array([text]))).tolist() == [len(ids_of(library, text))]
