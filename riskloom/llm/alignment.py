@@ -16,9 +16,11 @@ from pyspark.sql import types as T
 from ..session import write_table
 from .bytescan import flat_bytes, runs_of_bytes
 from .common import fields
-from .pieces import RUN_BYTES, PieceEncoder, file_encoder, gap_cuts
+from .pieces import PieceEncoder, file_encoder, gap_cuts
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
+KEPT_PIECES = 500_000
 PAIR_BITS = 20
 
 _RESULT = ["n_a", "n_b", "n_groups", "n_links"]
@@ -70,7 +72,7 @@ def _model_encoder(model) -> PieceEncoder:
         ids = model.encode([t[1:] if t.startswith(" ") else t for t in texts], num_threads=1)
         return [[space] if t == " " else x if t.startswith(" ") else x[1:] for t, x in zip(texts, ids)]
 
-    return PieceEncoder(encode, gap_cuts)
+    return PieceEncoder(encode, gap_cuts, kept=KEPT_PIECES)
 
 
 _sides: dict[tuple[str, str], tuple] = {}
@@ -84,7 +86,7 @@ def _both(tokenizer: str, model: str):
 
         pieces = sentencepiece.SentencePieceProcessor(model_file=model)
         _sides[tokenizer, model] = (
-            file_encoder(tokenizer, gap_cuts, special=False), TokenBytes(byte_level_entries(Tokenizer.from_file(tokenizer))),
+            file_encoder(tokenizer, gap_cuts, special=False, kept=KEPT_PIECES), TokenBytes(byte_level_entries(Tokenizer.from_file(tokenizer))),
             _model_encoder(pieces), TokenBytes(piece_entries(pieces)),
         )
     return _sides[tokenizer, model]
@@ -228,8 +230,8 @@ def align_tokens(docs: DataFrame, tokenizer: str, model: str, key: str = "doc_id
     these counts over a text's links, ``n_best`` counts the links whose pair is the most frequent of its B id (ties
     included). ``groups_sha256`` is the hash of the groups written as ``a1,a2|b1;a3|b2,b3``.
 
-    Texts are tokenised and aligned in batches of about 2 MB; a longer text comes in stretches cut before a space or line end that
-    follows other characters, where no token of either side can cross. About 16 MB of text make a chunk, which names each of its pairs once;
+    Texts are tokenised and aligned in batches of about 1 MB; a longer text comes in stretches cut before a space or line end that
+    follows other characters, where no token of either side can cross. About 8 MB of text make a chunk, which names each of its pairs once;
     pairs are counted over all chunks, and each chunk gets the counts of its own pairs back. A document's links are held as places in the
     chunk's pairs and written, so the second step reads that table only. Only the best count of each B id is broadcast, bounded by
     the vocabulary. An endless run of characters without such a cut is aligned whole.
@@ -272,13 +274,13 @@ def align_tokens(docs: DataFrame, tokenizer: str, model: str, key: str = "doc_id
         keys, done = [], []
         for batch in batches:
             data, offsets = _with_space(*flat_bytes(batch.column(0)))
-            for first, last in runs_of_bytes(offsets, RUN_BYTES):
+            for first, last in runs_of_bytes(offsets, BATCH_BYTES):
                 new, at = [_Aligned() for _ in range(first, last)], offsets[first : last + 1]
                 low = int(at[0])
                 if last - first > 1:
                     align_batch(sides, data[low : int(at[-1])], at - low, new)
                 else:
-                    for high in sides[0].stretches(data, low, int(at[-1])):
+                    for high in sides[0].stretches(data, low, int(at[-1]), BATCH_BYTES):
                         align_batch(sides, data[low:high], np.array([0, high - low]), new)
                         low = high
                 keys.append(batch.column(1).slice(first, last - first))

@@ -142,8 +142,8 @@ class PieceEncoder:
     endless run of characters that are no white space) goes to the library whole, as it may be one token sequence.
     """
 
-    def __init__(self, encode, cuts=safe_cuts, whole: list[bytes] = ()):
-        self.encode, self.cuts, self.whole = encode, cuts, whole
+    def __init__(self, encode, cuts=safe_cuts, whole: list[bytes] = (), kept: int | None = None):
+        self.encode, self.cuts, self.whole, self.kept = encode, cuts, whole, kept
         self._clear()
 
     def _clear(self) -> None:
@@ -153,7 +153,7 @@ class PieceEncoder:
         self.rows = 0
 
     def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if self.rows + len(keys) > KEPT_PIECES:
+        if self.rows + len(keys) > (self.kept or KEPT_PIECES):
             self._clear()
         for first in range(0, len(keys), LIBRARY_BATCH):
             some = slice(first, first + LIBRARY_BATCH)
@@ -198,9 +198,9 @@ class PieceEncoder:
         starts = np.flatnonzero(cut)
         return starts, np.append(starts[1:], len(data))
 
-    def stretches(self, data: np.ndarray, low: int, high: int):
-        """Ends of the stretches of about RUN_BYTES that a text falls into, each at a safe cut."""
-        span = RUN_BYTES
+    def stretches(self, data: np.ndarray, low: int, high: int, run: int | None = None):
+        """Ends of the stretches of about ``run`` (RUN_BYTES) bytes that a text falls into, each at a safe cut."""
+        span = run = run or RUN_BYTES
         while high - low > span:
             starts = self._spans(data[low : low + span], np.zeros(1, np.int64))[0]
             end = int(starts[starts < span - 64].max(initial=0))
@@ -208,7 +208,7 @@ class PieceEncoder:
                 span *= 2
                 continue
             yield low + end
-            low, span = low + end, RUN_BYTES
+            low, span = low + end, run
         yield high
 
     def _runs(self, data: np.ndarray, offsets: np.ndarray):
@@ -264,7 +264,7 @@ class PieceEncoder:
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
-def file_encoder(path: str, cuts, special: bool = True) -> PieceEncoder:
+def file_encoder(path: str, cuts, special: bool = True, kept: int | None = None) -> PieceEncoder:
     """The worker's encoder of a tokenizers file, kept between tasks; with ``special`` unset, special strings in texts are plain text."""
     if (path, special) not in _encoders:
         from tokenizers import Tokenizer
@@ -274,7 +274,7 @@ def file_encoder(path: str, cuts, special: bool = True) -> PieceEncoder:
         library.encode_special_tokens = not special
         with open(path, encoding="utf-8") as file:
             whole = [t["content"].encode() for t in json.load(file).get("added_tokens", []) if special and len(t["content"]) > 1]
-        _encoders[path, special] = PieceEncoder(lambda texts: [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)], cuts, whole)
+        _encoders[path, special] = PieceEncoder(lambda texts: [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)], cuts, whole, kept)
     return _encoders[path, special]
 
 
