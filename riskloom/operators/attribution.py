@@ -27,20 +27,19 @@ class _Leaf:
     table: np.ndarray  # [pattern of met conditions, feature on the path]
 
 
-def _tree_leaves(tree) -> list[tuple[float, dict[int, tuple[float, float]]]]:
-    """Value and path conditions of every leaf of a fitted tree."""
+def tree_leaves(feature: np.ndarray, threshold: np.ndarray, value: np.ndarray) -> list[tuple[float, dict[int, tuple[float, float]], int]]:
+    """Value, path conditions (low < x <= high) and node of every leaf of a tree, from its node arrays."""
     leaves = []
-    open_nodes = [(tree._call_java("rootNode"), {})]
+    open_nodes = [(0, {})]
     while open_nodes:
         node, path = open_nodes.pop()
-        if node.subtreeDepth() == 0:
-            leaves.append((node.prediction(), path))
+        f, t = int(feature[node]), float(threshold[node])
+        if f < 0:
+            leaves.append((float(value[node]), path, node))
             continue
-        split = node.split()
-        f, t = split.featureIndex(), split.threshold()
         low, high = path.get(f, (-math.inf, math.inf))
-        open_nodes.append((node.leftChild(), {**path, f: (low, min(high, t))}))
-        open_nodes.append((node.rightChild(), {**path, f: (max(low, t), high)}))
+        open_nodes.append((2 * node + 1, {**path, f: (low, min(high, t))}))
+        open_nodes.append((2 * node + 2, {**path, f: (max(low, t), high)}))
     return leaves
 
 
@@ -104,15 +103,15 @@ def with_shapley(df: DataFrame, classifier: Classifier, background: DataFrame, d
         return df.withColumn("shapley", F.zip_with(centred, weights, lambda x, w: x * w))
 
     leaves: list[_Leaf] = []
-    # the model's probability is 1 / (1 + exp(-2 margin)), so log-odds are twice the margin
-    for tree, weight in zip(classifier.model.trees, classifier.model.treeWeights):
-        for value, path in _tree_leaves(tree):
+    model = classifier.model
+    for tree in zip(model.feature, model.threshold, model.value):
+        for value, path, _ in tree_leaves(*tree):
             if not path:
                 continue
             features = np.array(sorted(path))
             low = np.array([path[f][0] for f in features])
             high = np.array([path[f][1] for f in features])
-            leaves.append(_Leaf(features, low, high, np.array(2.0 * weight * value)))
+            leaves.append(_Leaf(features, low, high, np.array(value)))
     counts = _background_counts(background, leaves)
     leaves = [replace(leaf, table=_leaf_table(float(leaf.table), n, len(leaf.features))) for leaf, n in zip(leaves, counts)]
     shared = df.sparkSession.sparkContext.broadcast(leaves)

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import fit_trees
+
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
 
@@ -24,6 +26,8 @@ class Classifier:
     def score(self, df: DataFrame, features: str = "features") -> DataFrame:
         if self.kind == "constant":
             return df.withColumn("p", F.lit(float(self.model)))
+        if self.kind == "trees":
+            return df.withColumn("p", self.model.probability(F.col(features)))
         ready = df.withColumn("_vector", array_to_vector(F.col(features)))
         out = self.model.transform(ready).withColumn("p", vector_to_array("_probability")[1])
         return out.drop("_vector", "_raw", "_probability", "_prediction")
@@ -35,24 +39,19 @@ def fit_classifier(df: DataFrame, kind: str = "trees", label: str = "y", weight:
 
     One class only gives a constant classifier.
     """
-    span = df.agg(F.min(label).alias("lo"), F.max(label).alias("hi")).first()
+    size = F.max(F.size("features")).alias("d")
+    span = df.agg(F.min(label).alias("lo"), F.max(label).alias("hi"), size).first()
     if span["lo"] == span["hi"]:
         return Classifier("constant", float(span["lo"] or 0))
-    columns = [array_to_vector("features").alias("_vector"), F.col(label).cast("double").alias("_label")]
-    if weight:
-        columns.append(F.col(weight).alias("_weight"))
-    names = dict(featuresCol="_vector", labelCol="_label", predictionCol="_prediction")
     if kind == "trees":
-        learner = GBTClassifier(
-            maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=share,
-            featureSubsetStrategy=str(share), seed=seed, lossType="logistic", **names,
-        )
-    elif kind == "logistic":
-        learner = LogisticRegression(maxIter=iterations, regParam=1e-3, **names)
-    else:
+        return Classifier(kind, fit_trees(df, span["d"], label, weight, seed=seed, trees=trees, depth=depth, rate=rate, share=share))
+    if kind != "logistic":
         raise ValueError(f"unknown classifier {kind!r}")
+    columns = [array_to_vector("features").alias("_vector"), F.col(label).cast("double").alias("_label")]
+    learner = LogisticRegression(maxIter=iterations, regParam=1e-3, featuresCol="_vector", labelCol="_label", predictionCol="_prediction")
     learner = learner.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     if weight:
+        columns.append(F.col(weight).alias("_weight"))
         learner = learner.setWeightCol("_weight")
     return Classifier(kind, learner.fit(df.select(*columns)))
 

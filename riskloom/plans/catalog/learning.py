@@ -19,8 +19,7 @@ from ..experiment import Settings, dataset_facts, run_experiment
 from ..monitored import run_monitored
 from .registry import query, rounded
 
-# the runs over all events are checked with the logistic classifier; tree queries take the defaults (200 trees, depth 5)
-LOGISTIC = Settings(classifier="logistic")
+SETTINGS = Settings()
 
 
 def _planted(spark, folder):
@@ -62,7 +61,7 @@ def trained_trust(spark, folder):
     train, _, preparation = _planted(spark, folder)
     scored = fit_linear(train.filter("y = 0"), len(preparation.names)).with_error(train)
     threshold = anomaly_threshold(scored.filter("y = 0"))
-    _, state = trust_training(scored, threshold, rounds=LOGISTIC.rounds, power=LOGISTIC.power, kind="logistic")
+    _, state = trust_training(scored, threshold, rounds=SETTINGS.rounds, power=SETTINGS.power)
     return rounded(state.select("row_id", "user_id", "y", "trust"))
 
 
@@ -80,7 +79,7 @@ def scored_rows(spark, folder):
     scorer = fit_linear(train.filter("y = 0"), len(preparation.names))
     scored = scorer.with_error(train)
     threshold = anomaly_threshold(scored.filter("y = 0"))
-    model, state = trust_training(scored, threshold, rounds=LOGISTIC.rounds, power=LOGISTIC.power, kind="logistic")
+    model, state = trust_training(scored, threshold, rounds=SETTINGS.rounds, power=SETTINGS.power)
     return rounded(score_rows(test, scorer, model, trust_map(state), threshold))
 
 
@@ -99,7 +98,7 @@ def facts(spark, folder):
 @query("realism_summary")
 def realism(spark, folder):
     frame, meta = planted_signal(spark, folder)
-    return run_experiment(frame, meta, LOGISTIC).realism
+    return run_experiment(frame, meta).realism
 
 
 @query("monitored_run")
@@ -108,7 +107,7 @@ def monitored(spark, folder):
     frame, meta = labelled_events(spark, folder)
     frame = write_table(frame, "source")
     events = table(spark, folder, "events")
-    run = run_monitored(frame, meta, table_provenance(events, "events"), table_manifest(events), LOGISTIC)
+    run = run_monitored(frame, meta, table_provenance(events, "events"), table_manifest(events))
     return rounded(run.decisions.select("row_id", "user_id", "threat_level", "risk_score", "trust"))
 
 
@@ -116,5 +115,5 @@ def monitored(spark, folder):
 def monitored_audit(spark, folder):
     frame, meta = planted_signal(spark, folder)
     source = table(spark, folder, "embeddings").select("vec_id", "label")
-    run = run_monitored(frame, meta, table_provenance(source, "embeddings"), table_manifest(source), LOGISTIC)
+    run = run_monitored(frame, meta, table_provenance(source, "embeddings"), table_manifest(source))
     return run.audit.tail(40).select("seq", "stage", "payload")

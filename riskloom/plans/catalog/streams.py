@@ -23,7 +23,7 @@ from ...streaming.activity import (
 )
 from ...streaming.scoring import batch_user_trust, stream_risk_scoring, stream_user_trust, trust_changes
 from ..adapters import SEED, activity_stream_columns, event_columns, labelled_events, scored_activity, table
-from .learning import LOGISTIC
+from .learning import SETTINGS
 from .registry import EVENT_CTE, h, query, r6, rounded
 
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -116,7 +116,7 @@ def trusted_scoring(frame, meta):
     scorer = fit_linear(train.filter("y = 0"), len(preparation.names))
     scored = write_table(scorer.with_error(train), "scored")
     threshold = anomaly_threshold(scored.filter("y = 0"))
-    model, state = trust_training(scored, threshold, rounds=LOGISTIC.rounds, power=LOGISTIC.power, kind="logistic")
+    model, state = trust_training(scored, threshold, rounds=SETTINGS.rounds, power=SETTINGS.power)
     return preparation, scorer, model, trust_map(state), threshold
 
 
