@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,3 +42,11 @@ def fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
 def crc32_of(key: Column) -> Column:
     """Unsigned CRC-32 of the key as text; null counts as an empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+
+
+def give_back() -> None:
+    """Return the memory that a worker has freed to the machine, where the C library can; a reused worker else keeps its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 from .bytescan import LOWER_AZ, flat_bytes, mix, span_hash, words
-from .common import crc32_of, fields
+from .common import crc32_of, fields, give_back
 
 CHUNK_BYTES = 8 << 20
 FOLDS = 10
@@ -33,10 +33,17 @@ def _packed(values: np.ndarray) -> bytes:
 
 
 def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
+    """Values of byte planes, in 32 bits where they need no more than three planes."""
+    small = len(raw) <= 3 * n
+    out = np.zeros((n, 4 if small else 8), np.uint8)
     if n:
         out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
-    return out.reshape(-1).view("<u8").astype(np.int64)
+    return out.reshape(-1).view("<i4" if small else "<i8")
+
+
+def _all_unpacked(column: pa.ChunkedArray, n: list[int]) -> np.ndarray:
+    """The values of all rows of a column of byte planes end to end."""
+    return np.concatenate([_unpacked(raw.as_buffer(), k) for raw, k in zip(column, n)])
 
 
 def text_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,20 +91,21 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
     rows with remainder 1, scored with the counts of the other training rows (held-out counts); the
     model itself counts all training rows. Base: unigrams with 0.1 added to each count.
 
-    Rows are dealt to chunks of about 8 MB by a hash of key and text. A chunk sends each distinct n-gram once, with its counts,
+    Rows are dealt to chunks of about 8 MB by their place in the input, so equal rows spread like others; ``docs`` must come in the
+    same order when read again, as tables do. A chunk sends each distinct n-gram once, with its counts,
     as packed blocks of sorted keys' gaps to the n-gram's bucket and gets back the totals over all rows; a frequent n-gram is one entry of
     a block like any other. What a position needs (two counts) is written, so training the weights and
     scoring read that table only. An n-gram stands for itself by 48 bits besides its bucket.
 
-    Null and empty texts are one end token. Rows of equal key and text are scored and counted each (they share
-    a chunk); a null key counts as an empty one. Other columns are not read. An empty table gives an empty one.
+    Null and empty texts are one end token. Rows of equal key and text are scored and counted each; a null key counts as an empty one. Other columns are not read. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     fold = F.pmod(crc32_of(F.col(key)), F.lit(FOLDS)).cast("int")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), fold.alias("fold"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     chunks = max(1, -(-size // chunk_bytes))
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(chunks)))
+    # by place, so that equal rows spread; both readers take one shuffle, and files come in the same order when they are read again
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)))
 
     def send(table: pa.Table) -> pa.Table:
         tokens, sizes = text_tokens(table["text"])
@@ -117,24 +125,32 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
                 out["keys"].append(_packed(np.diff(short[a:b], prepend=np.uint64(0))))
                 out["train"].append(_packed(train[a:b]))
                 out["dev"].append(_packed(dev[a:b]))
+            del bucket, short, where, train, dev
+        give_back()
         return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("train", pa.binary()), ("dev", pa.binary())]))
 
     def total(table: pa.Table) -> pa.Table:
         n = table["n"].to_pylist()
-        columns = [[_unpacked(raw, k) for raw, k in zip(table[c].to_pylist(), n)] for c in ("keys", "train", "dev")]
-        columns = [np.concatenate([np.cumsum(gaps) for gaps in columns[0]]), *map(np.concatenate, columns[1:])]
-        distinct, where = np.unique(columns[0], return_inverse=True)
         at = np.append(0, np.cumsum(n))
+        keys = np.concatenate([np.cumsum(_unpacked(raw.as_buffer(), k), dtype=np.int64) for raw, k in zip(table["keys"], n)])
+        distinct, where = np.unique(keys, return_inverse=True)
+        size, where = len(distinct), where.astype(np.int32)
+        del keys, distinct
         out = {c: table[c] for c in ("chunk", "kind", "bucket", "n")}
-        sums = [np.bincount(where, weights=c, minlength=len(distinct)).astype(np.int64) for c in columns[1:]]
-        for name, found in zip(("train", "dev"), sums):
-            spread = found[where]
+        for name in ("train", "dev"):  # one column at a time
+            own = _all_unpacked(table[name], n)
+            sums = np.bincount(where, weights=own, minlength=size).astype(np.int64)
+            seen = int((sums > 0).sum()) if name == "train" else seen
+            spread = sums[where]
             if name == "dev":  # only the chunk's own development rows ask for these
-                spread[columns[2] == 0] = 0
+                spread[own == 0] = 0
             out[name] = pa.array([_packed(spread[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())
+            del own, sums, spread
         known = np.zeros(len(n), np.int64)
-        known[int(np.argmin(table["chunk"].to_numpy()))] = int((sums[0] > 0).sum()) if table["kind"][0].as_py() == 0 else 0
+        known[int(np.argmin(table["chunk"].to_numpy()))] = seen if table["kind"][0].as_py() == 0 else 0
         out["known"] = pa.array(known)
+        del where
+        give_back()
         return pa.table(out)
 
     def receive(group, table: pa.Table, totals: pa.Table) -> pa.Table:
@@ -146,9 +162,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
             n = own["n"].to_pylist()
             where = _blocks(keys, chunks)[2]
             for c in ("train", "dev"):
-                whole = np.concatenate([_unpacked(raw, k) for raw, k in zip(own[c].to_pylist(), n)])
-                found.append((whole.astype(np.int32) if whole.max(initial=0) < 1 << 31 else whole)[where])
-            del where, keys
+                found.append(_all_unpacked(own[c], n)[where])
+            del where, keys, own
         at = np.append(0, np.cumsum(sizes))
         spans = list(zip(at[:-1], at[1:]))
         known = np.zeros(len(sizes), np.int64)
@@ -158,6 +173,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
         for name, values in zip(("word", "dev_word", "pair", "dev_pair"), found):
             keep = [f == DEVELOPMENT for f in fold_of] if name.startswith("dev") else [True] * len(spans)
             out[name] = pa.array([_packed(values[a:b]) if k else b"" for (a, b), k in zip(spans, keep)], pa.binary())
+        del found, values, tokens
+        give_back()
         return pa.table(out)
 
     parts = "chunk long, kind int, bucket long, n long"
