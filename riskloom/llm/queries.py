@@ -13,7 +13,7 @@ from .collocations import collocations
 from .common import table
 from .exact_dedup import exact_dedup
 from .interpolated_lm import score_texts
-from .licenses import BLOCK_STEP, BLOCK_WORDS, CONTAINMENT, PHRASES, TEMPLATES, least_overlap, scan_licenses, template_words
+from .licenses import PHRASES, TEMPLATES, scan_licenses, step_of, template_words
 from .mixing import mix_sources
 from .multi_index import nearest
 from .packing import pack
@@ -108,9 +108,8 @@ def _license_sql() -> str:
     for phrase in PHRASES.values():
         tests = " AND ".join(f"words[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split()))
         places.append(f"list_filter(range(0, len(words)), lambda i: coalesce({tests}, false))")
-    rows = ", ".join(
-        f"('{name}', {template_words(notice)!r}, {least_overlap(template_words(notice), CONTAINMENT)})" for name, notice in sorted(TEMPLATES.items())
-    )
+    rows = ", ".join(f"('{name}', {template_words(notice)!r}, {step_of(notice)}, {names!r})" for name, (notice, names) in sorted(TEMPLATES.items()))
+    known = ", ".join(sorted({repr(w) for notice, _ in TEMPLATES.values() for w in template_words(notice)}))
     base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES))
     return rf"""
         WITH d AS (
@@ -120,12 +119,25 @@ def _license_sql() -> str:
             SELECT nr, doc_id, CASE WHEN plain = '' THEN [] ELSE string_split(plain, ' ') END AS words FROM d
         ), p AS (
             SELECT nr, doc_id, words, {", ".join(f"{x} AS p{k}" for k, x in enumerate(places))} FROM w
+        ), t(label, tokens, step, names) AS (VALUES {rows}),
+        total AS (SELECT coalesce(sum(len(words)), 0)::BIGINT AS total FROM w),
+        seen AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM w) GROUP BY word),
+        weights AS (
+            SELECT map_from_entries(list((word, greatest(1, length(ltrim(bin(total // greatest(coalesce(n, 1), 1)), '0'))))))  AS weight
+            FROM (SELECT unnest([{known}]) AS word) LEFT JOIN seen USING (word), total
         ), b AS (
-            SELECT nr, unnest(list_transform(range(0, len(words), {BLOCK_STEP}), lambda s: words[s + 1 : s + {BLOCK_WORDS}])) AS block FROM w
-        ), t(label, tokens, least) AS (VALUES {rows}),
-        f AS (
-            SELECT nr, list(DISTINCT label) AS found, max(common / len(tokens)::DOUBLE) AS score
-            FROM (SELECT nr, label, tokens, least, len(list_intersect(tokens, block)) AS common FROM b, t) WHERE common >= least GROUP BY nr
+            SELECT nr, step, unnest(list_transform(range(0, len(words), step), lambda s: words[s + 1 : s + 2 * step])) AS block
+            FROM w, (SELECT DISTINCT step FROM t)
+        ), f AS (
+            SELECT nr, list(DISTINCT label) AS found, max(common / whole::DOUBLE) AS score
+            FROM (
+                SELECT nr, label, names, block, list_sum(list_transform(list_intersect(tokens, block), lambda x: weight[x]))::BIGINT AS common,
+                       list_sum(list_transform(tokens, lambda x: weight[x]))::BIGINT AS whole
+                FROM b JOIN t USING (step), weights
+            )
+            WHERE 10 * common >= 8 * whole
+              AND len(list_filter(names, lambda n: NOT contains(' ' || array_to_string(block, ' ') || ' ', ' ' || n || ' '))) = 0
+            GROUP BY nr
         ), j AS (
             SELECT p.*, coalesce(found, []) AS found, f.score, p0 || p1 || p2 AS places,
                    list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM p LEFT JOIN f USING (nr)
