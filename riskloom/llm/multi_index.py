@@ -18,8 +18,8 @@ CENTROIDS = 128
 SAMPLE_ROWS = 20_000
 SHARE = 0.35
 ROUNDS = 10
-LEAST_BLOCK, MOST_BLOCK = 256, 4096
-QUERY_BLOCK = 4096
+LEAST_BLOCK, MOST_BLOCK = 256, 32_768
+PROBES_AT_ONCE = 64
 
 
 def usable(table: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
@@ -94,8 +94,9 @@ def nearest(table: DataFrame, every: int = 50, neighbours: int = NEIGHBOURS, sha
     exactly, in double precision, on the original vectors. Without cluster structure a recall above 0.9 needs a third
     of the entries; with it a smaller share will do.
 
-    Entries and queries meet by the first half's centroid, in blocks of at most 4096 of either, so a centroid with any
-    number of entries is spread; a block gives at most ``neighbours`` rows a query. Ties go to the smaller id. Rows
+    Entries and queries meet by the first half's centroid, whose entries lie in blocks of at most 32,768, so a centroid with any
+    number of entries is spread. Every entry goes to one block, a query to the blocks of the centroids it opens; there its probes pass
+    by the block's entries. What is shuffled grows with entries and probes; a block gives at most ``neighbours`` rows a query. Ties go to the smaller id. Rows
     of equal id are rows of their own: each is a query, and only the row itself is left out. Other columns are not read.
     An empty table gives an empty one.
     """
@@ -142,46 +143,56 @@ def nearest(table: DataFrame, every: int = 50, neighbours: int = NEIGHBOURS, sha
     blocks = np.maximum(1, -(-counts.sum(axis=1) // block)).tolist()
     of_i = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("i") + 1)
     asked = index.filter(F.col("id") % every == 0)
-    query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    entries = index.select("id", "vector", "row", "j", "i", F.pmod(F.xxhash64("row"), of_i).alias("part")).withColumn(
-        "asking", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    )
+    entries = index.select("i", F.pmod(F.xxhash64("row"), of_i).cast("long").alias("part"), F.lit(0).alias("kind"), "id", "vector", "row", "j", F.lit(None).cast("binary").alias("cells"))
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that few queries still spread
     spread = asked.select("id", "vector", "row").repartition(tasks, "row")
     probes = spread.mapInArrow(probe, "id long, vector array<double>, row long, i int, cells binary").select(
-        "id", "vector", "row", "cells", "i", F.explode(F.sequence(F.lit(0).cast("long"), of_i.cast("long") - 1)).alias("part"),
-        F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int").alias("asking"),
+        "i", F.explode(F.sequence(F.lit(0).cast("long"), of_i.cast("long") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "vector", "row", F.lit(0).alias("j"), "cells",
     )
     result = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())])
 
-    def compare(group, held: pa.Table, asks: pa.Table) -> pa.Table:
+    def compare(held: list[pa.RecordBatch], asks: pa.RecordBatch) -> pa.RecordBatch:
         out = {name: [] for name in result.names}
-        if held.num_rows and asks.num_rows:
-            x, q = _matrix(held["vector"].combine_chunks(), d), _matrix(asks["vector"].combine_chunks(), d)
-            length, own = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-            ids, rows_, j = (held[c].to_numpy() for c in ("id", "row", "j"))
-            about = (q / own[:, None]) @ (x / length[:, None]).T
-            open_ = np.unpackbits(np.frombuffer(b"".join(asks["cells"].to_pylist()), np.uint8).reshape(len(q), -1), axis=1)[:, j]
-            asking = asks["row"].to_numpy()
-            about[(open_ == 0) | (rows_ == asking[:, None])] = -np.inf
-            for k, query in enumerate(asks["id"].to_pylist()):
-                found = np.flatnonzero(about[k] > -np.inf)
-                if len(found) > neighbours:
-                    least = np.partition(about[k], -neighbours)[-neighbours]
-                    found = np.flatnonzero(about[k] >= least - 1e-9)
-                score = (x[found] * q[k]).sum(axis=1) / (length[found] * own[k])
-                best = np.lexsort((rows_[found], ids[found], -score))[:neighbours]
-                out["query_row"] += [int(asking[k])] * len(best)
-                out["query_id"] += [query] * len(best)
-                out["vec_id"] += ids[found[best]].tolist()
-                out["row"] += rows_[found[best]].tolist()
-                out["score"] += score[best].tolist()
-        return pa.table(out, schema=result)
-
-    found = (
-        entries.groupBy("i", "part", "asking").cogroup(probes.groupBy("i", "part", "asking"))
-        .applyInArrow(compare, "query_row long, query_id long, vec_id long, row long, score double")
-    )
+        entries_ = pa.Table.from_batches(held)
+        x, q = _matrix(entries_["vector"].combine_chunks(), d), _matrix(asks.column("vector"), d)
+        length, own = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+        ids, rows_, j = (entries_[c].to_numpy() for c in ("id", "row", "j"))
+        about = (q / own[:, None]) @ (x / length[:, None]).T
+        open_ = np.unpackbits(np.frombuffer(b"".join(asks.column("cells").to_pylist()), np.uint8).reshape(len(q), -1), axis=1)[:, j]
+        asking = asks.column("row").to_numpy()
+        about[(open_ == 0) | (rows_ == asking[:, None])] = -np.inf
+        for k, query in enumerate(asks.column("id").to_pylist()):
+            found = np.flatnonzero(about[k] > -np.inf)
+            if len(found) > neighbours:
+                least = np.partition(about[k], -neighbours)[-neighbours]
+                found = np.flatnonzero(about[k] >= least - 1e-9)
+            score = (x[found] * q[k]).sum(axis=1) / (length[found] * own[k])
+            best = np.lexsort((rows_[found], ids[found], -score))[:neighbours]
+            out["query_row"] += [int(asking[k])] * len(best)
+            out["query_id"] += [query] * len(best)
+            out["vec_id"] += ids[found[best]].tolist()
+            out["row"] += rows_[found[best]].tolist()
+            out["score"] += score[best].tolist()
+        return pa.RecordBatch.from_pydict(out, schema=result)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The entries of a block come first and are held; the probes that follow pass by them, some at a time."""
+        now, held = None, []
+        for batch in batches:
+            group = np.stack([batch.column(c).to_numpy() for c in ("i", "part", "kind")], axis=1)
+            bounds = np.append(np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1))), len(batch))
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                i, part, kind = group[low].tolist()
+                if (i, part) != now:
+                    now, held = (i, part), []
+                if not kind:
+                    held.append(batch.slice(low, high - low))
+                elif held:
+                    for at in range(low, high, PROBES_AT_ONCE):
+                        yield compare(held, batch.slice(at, min(PROBES_AT_ONCE, high - at)))
+
+    dealt = entries.unionByName(probes).repartition(tasks, "i", "part").sortWithinPartitions("i", "part", "kind")
+    found = dealt.mapInArrow(meet, "query_row long, query_id long, vec_id long, row long, score double")
     order = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id", "row")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= neighbours)
     return ranked.select("query_id", "rank", "vec_id", "score")
