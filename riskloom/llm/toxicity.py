@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import LOWER_AZ, flat_bytes, runs_of_bytes, span_hash, words
+from .bytescan import IS_SPACE, LOWER_AZ, flat_bytes, runs_of_bytes, span_hash, words
 from .common import crc32_of, fresh, without
 from .pieces import _Slots
 
@@ -24,6 +24,7 @@ GAP = 0.6
 SPAN = 6
 SENTENCE_WORDS = 48
 LONG_WORD = 24
+OVERLAP = 12
 RUN_BYTES = 1 << 20
 WORDS_AT_ONCE = 1000
 SENTENCES_AT_ONCE = 1_000
@@ -45,11 +46,24 @@ _SENTENCE_END[[10, 33, 46, 63]] = True
 
 # ---- words and sentences ------------------------------------------------------------------------
 
+def stretches(data: np.ndarray, low: int, high: int):
+    """Ends of the stretches of at most RUN_BYTES of a long text: behind a line end, else before a space, else anywhere."""
+    while high - low > RUN_BYTES:
+        window = data[low : low + RUN_BYTES]
+        found = np.flatnonzero(window == 10) + 1
+        if not len(found):
+            found = np.flatnonzero(IS_SPACE[window[1:]]) + 1
+        low += int(found[-1]) if len(found) else RUN_BYTES
+        yield low
+    yield high
+
+
 def units(data: np.ndarray, offsets: np.ndarray):
     """Start and end of each unit, whether a sentence ends with it, and the units of each text (data in lower case).
 
     A unit is a word; three or more words of one byte in a row are one unit (an insult spelled out); a word of more
-    than 24 bytes is windows of 24 bytes that overlap by 8. A sentence ends with a unit that closes with . ! ? or
+    than 24 bytes is windows of 24 bytes that overlap by 12, and what is spelled out in more than 48 bytes is windows of 48 that overlap
+    by 24, so memory does not grow with a unit. A sentence ends with a unit that closes with . ! ? or
     before a line end, and after 48 units.
     """
     starts, ends, counts = words(data, offsets)
@@ -69,11 +83,13 @@ def units(data: np.ndarray, offsets: np.ndarray):
         last = np.append(first[1:], n) - 1
     starts, ends, text = starts[first], ends[last], text[first]
     size = ends - starts
-    windows = np.where((size > LONG_WORD) & (last == first), -(-(size - 8) // 16), 1)
+    long = np.where(last == first, LONG_WORD, 2 * LONG_WORD)  # spelled out: a letter and a space
+    shared = np.where(last == first, OVERLAP, 2 * OVERLAP)
+    windows = np.where(size > long, -(-(size - shared) // (long - shared)), 1)
     if (windows > 1).any():
         step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-        starts = np.repeat(starts, windows) + 16 * step
-        ends = np.where(np.repeat(windows, windows) > 1, np.minimum(starts + LONG_WORD, np.repeat(ends, windows)), np.repeat(ends, windows))
+        starts = np.repeat(starts, windows) + np.repeat(long - shared, windows) * step
+        ends = np.where(np.repeat(windows, windows) > 1, np.minimum(starts + np.repeat(long, windows), np.repeat(ends, windows)), np.repeat(ends, windows))
         text = np.repeat(text, windows)
     after = np.minimum(ends, len(data) - 1)
     stop = _SENTENCE_END[data[ends - 1]] | (data[after] == 10)
@@ -181,16 +197,19 @@ class Scorer:
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Of each text: the largest margin of its sentences; without units the bias."""
-        out = np.full(len(offsets) - 1, self.bias)
+        out = np.full(len(offsets) - 1, -np.inf)
         for a, b in runs_of_bytes(offsets, RUN_BYTES):
-            lowered = LOWER_AZ[data[offsets[a] : offsets[b]]]
-            starts, ends, stop, text = units(lowered, offsets[a : b + 1] - offsets[a])
-            if len(starts):
-                begin = np.append(0, np.flatnonzero(stop)[:-1] + 1)
-                sums = np.add.reduceat(self._shares(lowered, starts, ends, stop), begin) + self.bias
-                here, first = np.unique(text[begin], return_index=True)
-                out[a + here] = np.maximum.reduceat(sums, first)
-        return out
+            low, high = int(offsets[a]), int(offsets[b])
+            for cut in stretches(data, low, high) if b - a == 1 else (high,):
+                lowered = LOWER_AZ[data[low:cut]]
+                starts, ends, stop, text = units(lowered, np.array([0, cut - low]) if b - a == 1 else offsets[a : b + 1] - low)
+                low = cut
+                if len(starts):
+                    begin = np.append(0, np.flatnonzero(stop)[:-1] + 1)
+                    sums = np.add.reduceat(self._shares(lowered, starts, ends, stop), begin) + self.bias
+                    here, first = np.unique(text[begin], return_index=True)
+                    out[a + here] = np.maximum(out[a + here], np.maximum.reduceat(sums, first))
+        return np.where(out == -np.inf, self.bias, out)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(data, offsets) + self.shift, -500, 500)))
@@ -375,8 +394,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     raised to the third power, and summed over the units of a sentence (a repeated unit counts once). Landmark units span the space in which the
     machine is trained (Nyström). Of a text the sentence with the largest margin counts, wherever it stands.
 
-    Scoring is one narrow pass: a text's bytes go to Arrow functions and a number comes back. Null and empty texts
-    get the score of a text without units. ``held_out``: CRC-32 of the key as text is 2 modulo 4; never learned from.
+    Scoring is one narrow pass: a text's bytes go to Arrow functions and a number comes back. A text of more than 1 MB is scored in
+    stretches cut at line ends, or at spaces where there are none. Null and empty texts get the score of a text without units; equal
+    rows score alike, and an empty table gives an empty one. ``held_out``: CRC-32 of the key as text is 2 modulo 4; never learned from.
     Without labels of both kinds every score is below one half. An input column with the name of a result is replaced.
     """
     scorer = learn(docs, labels, key, text, label)

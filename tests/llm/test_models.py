@@ -2,8 +2,11 @@
 
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +75,34 @@ def test_units():
     assert stop[[3, 4]].all() and not stop[[0, 1, 2]].any() and of[-1] == 2
 
 
+def test_long_units_fall_into_windows():
+    """What is spelled out over many letters, and long words: windows that overlap, each letter in one of them."""
+    for text, longest, shared in (("a b c d e f g h i j " * 40, 48, 24), ("abcdefghij" * 40, 24, 12)):
+        data, offsets = flat_bytes(pa.array([text.strip()]))
+        starts, ends, _, _ = toxicity.units(data, offsets)
+        assert starts[0] == 0 and ends[-1] == len(data) and (ends - starts <= longest).all()
+        assert (ends[:-1] - starts[1:] == shared).all()
+
+
+def test_spelled_out_text_in_bounded_memory():
+    code = """
+import resource, numpy as np
+from riskloom.llm import toxicity
+kernel = toxicity.Kernel([b"idiot", b"house"])
+scorer = toxicity.Scorer(kernel, np.ones(2), 0.0)
+texts = [b"a b c d " * 2_500_000, b"x" * 20_000_000, b"the house\\n" * 2_000_000]
+data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+short = np.frombuffer(b"the house\\n" * 50, np.uint8)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = scorer.margins(data, offsets)
+assert abs(found[2] - scorer.margins(short, np.array([0, len(short)]))[0]) < 1e-6
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=str(Path(__file__).resolve().parents[2]))
+    assert out.returncode == 0, out.stderr[-800:]
+    assert int(out.stdout) < 300
+
+
 def test_held_out_accuracy(spark):
     rows = labelled()
     docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows] + [(None, None, 0.1), (10_000, "", 0.1), (10_001, "b " * 100_000, 0.1), (0, rows[0][1], 0.1)], "doc_id long, text string, score double")
