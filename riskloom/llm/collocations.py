@@ -15,9 +15,8 @@ from .bytescan import LOWER_AZ, flat_bytes, mix, runs_of_bytes, span_hash
 
 CHUNK_BYTES = 8 << 20
 GROUP_WORDS = 2_000_000
-BUCKETS_A_ROUND = 1024
+BUCKETS_A_ROUND = 128
 HOT_SHARE = 1024
-FILTER_BITS = 1 << 27
 LONGEST = 4
 SCALE = 2_000_000
 
@@ -182,38 +181,12 @@ def _parts(hot: dict, lang: str, w: list[np.ndarray], parts: int) -> np.ndarray:
     return np.where(is_hot, 1 + (mix(w[2], 9) >> np.uint64(33)).astype(np.int64) % parts, 0)
 
 
-def _word_filter(frequent: DataFrame) -> np.ndarray:
-    """Bits of the frequent words' hashes, two a word: about 20 a word, at most ``FILTER_BITS`` (16 MB) for any number of words."""
-    n = frequent.count()
-    bits = min(FILTER_BITS, max(1 << 10, 1 << int(20 * n).bit_length()))
-    places = frequent.select(F.explode(F.array(F.col("w"), F.shiftright("w", 32))).alias("h")).select(F.col("h").bitwiseAND(bits - 1).alias("at"))
-    found = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
-def _may_be_frequent(filter_bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    last = np.uint64(8 * len(filter_bits) - 1)
-    out = np.ones(len(h), bool)
-    for at in (h & last, (h >> np.uint64(32)) & last):
-        out &= (filter_bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
-def _send(buckets: dict[str, int], hot: dict, parts: int, known):
-    """Chunks of text to blocks of counters; ``known`` is the broadcast filter of frequent words.
-
-    A phrase with a rare word is rare, so such a word ends a phrase like a mark. What the filter takes for frequent by mistake is
-    merely counted in vain.
-    """
+def _send(buckets: dict[str, int], hot: dict, parts: int):
+    """Chunks of text to blocks of counters."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, starts, ends, same, own, lang, names in _chunks(batches):
-            h = _hashes(data, starts, ends)
-            often = _may_be_frequent(known.value, h)
-            same &= np.append(often[1:], False) & often
-            hashes, places = np.unique(h, return_inverse=True)
+            hashes, places = np.unique(_hashes(data, starts, ends), return_inverse=True)
             hashes = np.append(np.uint64(0), hashes)
             rows, goes_on = [(places + 1).astype(np.int32)], np.ones(len(places), bool)
             for _ in range(LONGEST - 1):
@@ -322,9 +295,9 @@ def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int =
 
     Stripes: a pair of words keys the nested counters of the words that follow it. Each chunk of about 8 MB of text sends its counters
     packed, in blocks by a hash of the pair; merged elementwise, one structure gives the phrases, their prefixes' totals and the largest
-    extension. The pairs that hold a thousandth of all words or more (at most 1,024) are spread by their third word. A language has a
-    bucket for every two million words; blocks of one that needs more than 1,024 buckets are merged and dealt again, so they never get tiny. Words that a filter of frequent
-    words (at most 16 MB) does not hold end a phrase, as no frequent phrase has them. All else
+    extension. The pairs that hold a thousandth of all words or more (at most 1,024) are spread by their third word. The first round
+    deals to 128 buckets, shared by the languages in proportion, so what an entry costs does not depend on the size of the input; where a
+    bucket would hold more than two million words, merged blocks are dealt again to up to 128 times as many. All else
     works on frequent words and phrases only. A word stands for itself by 64 bits inside the counters; its text comes
     from the table of words.
 
@@ -344,19 +317,18 @@ def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int =
         hot.setdefault(r.lang, []).append(mix(pair[:1], 7) + pair[1:])
     hot = {k: np.sort(np.concatenate(v)) for k, v in hot.items()}
 
-    # languages that need more than one bucket; at most one for each ``group_words`` of the input
-    wanted = {r.lang: -(-r.n // group_words) for r in sizes.filter(F.col("n") > group_words).collect()}
-    most = max(wanted.values(), default=1)
-    known = docs.sparkSession.sparkContext.broadcast(_word_filter(words.filter(F.col("n") >= least)))
-    tasks, now = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), round_buckets
-    blocks = rows.mapInArrow(_send({k: min(n, now) for k, n in wanted.items()}, hot, parts, known), _BLOCK_DDL)
+    # languages that get more than one bucket: at most one for each ``group_words`` of the input, and ``round_buckets``
+    some = sizes.filter((F.col("n") > group_words) | (F.col("n") * round_buckets > total)).collect()
+    wanted = {r.lang: -(-r.n // group_words) for r in some}
+    now = {r.lang: -(-r.n * round_buckets // total) for r in some}
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(sum(wanted.values()), 20_000))
+    blocks = rows.mapInArrow(_send(now, hot, parts), _BLOCK_DDL)
     while True:
-        groups = sum(min(n, now) for n in wanted.values())
-        dealt = blocks.repartition(max(tasks, min(groups, 20_000)), "lang", "bucket", "part").sortWithinPartitions("lang", "bucket", "part")
-        if now >= most:
+        dealt = blocks.repartition(tasks, "lang", "bucket", "part").sortWithinPartitions("lang", "bucket", "part")
+        if all(wanted[k] <= now[k] for k in now):
             break
-        now *= round_buckets
-        blocks = dealt.mapInArrow(_again({k: min(n, now) for k, n in wanted.items()}), _BLOCK_DDL)
+        now = {k: max(now[k], min(wanted[k], now[k] * round_buckets)) for k in now}
+        blocks = dealt.mapInArrow(_again(now), _BLOCK_DDL)
     found = dealt.mapInArrow(_frequent(least), "lang string, words array<long>, a long, right long")
     phrases = write_table(found.groupBy("lang", "words").agg(F.sum("a").alias("a"), F.max("right").alias("right")).filter(F.col("a") >= least), "phrases")
     scored = _scored(phrases, words.filter(F.col("n") >= least), least, covered)

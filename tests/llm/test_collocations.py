@@ -3,7 +3,6 @@
 import random
 import re
 from collections import Counter, defaultdict
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +78,7 @@ def test_stretches_of_long_texts(monkeypatch):
 
     def found():
         hot = {"en": np.zeros(1, np.uint64)}
-        every = SimpleNamespace(value=np.full(128, 255, np.uint8))
-        blocks = sorted((r for b in module._send({"en": 3}, hot, 2, every)(iter([batch])) for r in b.to_pylist()), key=lambda r: (r["lang"], r["bucket"], r["part"]))
+        blocks = sorted((r for b in module._send({"en": 3}, hot, 2)(iter([batch])) for r in b.to_pylist()), key=lambda r: (r["lang"], r["bucket"], r["part"]))
         return sorted((lang, tuple(w), a, r) for b in module._frequent(2)(iter([pa.RecordBatch.from_pylist(blocks, module._BLOCK)])) for lang, w, a, r in zip(*(c.to_pylist() for c in b.columns)))
 
     whole = found()
