@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import lookup_join
 from ..session import write_table
 from .bytescan import LOWER_AZ, flat_bytes, mix, runs_of_bytes, span_hash
+from .common import give_back
 
 CHUNK_BYTES = 8 << 20
 GROUP_WORDS = 2_000_000
@@ -114,6 +115,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(np.append(n, pair_n[hot]))],
             ["lang", "w", "word", "follows", "n"],
         )
+        del h, key, at, n, text, twice, pair_at, pair_n
+        give_back()
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -209,6 +212,8 @@ def _send(buckets: dict[str, int], hot: dict, parts: int):
                 return names[number], at - int(offset[number]), of_part
 
             yield from _blocks(group, label, hashes, rows, None)
+            del group, dense, part, w, rows, places, hashes, goes_on
+            give_back()
 
     return send
 
@@ -235,7 +240,8 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tup
     """Blocks of the same (lang, bucket, part), which come one after another; at most about ``most`` rows at a time."""
     held, key, size = [], None, 0
     for batch in batches:
-        for b in batch.to_pylist():
+        for row in range(len(batch)):
+            b = {name: column[row].as_py() for name, column in zip(batch.schema.names, batch.columns)}
             now = (b["lang"], b["bucket"], b["part"])
             if held and (now != key or (most and size >= most)):
                 yield key, held
@@ -276,6 +282,8 @@ def _frequent(least: int):
                 words = np.stack([hashes[r[at[keep]]] for r in rows[: d + 2]], axis=1).reshape(-1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * (d + 2)), pa.array(words))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keep), pa.string()), lists, pa.array(total[keep]), pa.array(after[keep])], schema=_PHRASE)
+            del blocks, rows, shared, counts, firsts, totals
+            give_back()
 
     return frequent
 
