@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,9 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flag
+from ..session import write_table
 from .quantile import exact_percentile
 
 MIN_BENIGN = 10
+SHARD_ROWS = 250_000
+#: Rows that are put in a drawn order together.
+SHUFFLE_ROWS = 20_000
 log = logging.getLogger(__name__)
 
 
@@ -104,9 +109,12 @@ def _gradient(x: np.ndarray, layers) -> np.ndarray:
 
 @dataclass(frozen=True)
 class NetworkScorer:
+    """Weights of a trained network; ``updates`` says how many steps on a batch all shards made together."""
+
     flat: np.ndarray
     d: int
     latent: int
+    updates: int = 0
 
     def with_error(self, df: DataFrame, features: str = "features", out: str = "err") -> DataFrame:
         flat, d, latent = self.flat, self.d, self.latent
@@ -122,47 +130,115 @@ class NetworkScorer:
         return df.withColumn(out, error(F.col(features)))
 
 
-def fit_network(benign: DataFrame, d: int, latent: int = 8, rounds: int = 45, rate: float = 2e-2, seed=42) -> NetworkScorer:
-    """Train the network by Adam on the gradient over all rows, one Spark job per round.
-
-    Tasks return gradient sums (as many numbers as the network has weights), so the result does not depend on how
-    rows are partitioned, but for the order of sums.
-    """
-    latent = min(latent, d)
+def initial_weights(d: int, latent: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     start = []
     for rows, cols in _shapes(d, latent):
         bound = 1.0 / np.sqrt(rows)
         start += [rng.uniform(-bound, bound, rows * cols), rng.uniform(-bound, bound, cols)]
-    flat = np.concatenate(start)
-    m, v = np.zeros(flat.size), np.zeros(flat.size)
-    rows = benign.select("features")
-    for step in range(1, max(5, rounds) + 1):
-        state = benign.sparkSession.sparkContext.broadcast(flat)
-
-        def gradients(frames, state=state):
-            layers = _unpack(state.value, d, latent)
-            seen, total = 0, np.zeros(flat.size)
-            for frame in frames:
-                if len(frame):
-                    x = np.stack(frame["features"].to_numpy())
-                    total += _gradient(x, layers) * x.size
-                    seen += x.size
-            if seen:
-                yield pd.DataFrame({"n": [seen], "g": [total]})
+    return np.concatenate(start)
+
+
+@dataclass
+class _Adam:
+    """Weights, both moments and the number of steps behind them, as one vector ``state`` of 3 w + 1 numbers."""
+
+    state: np.ndarray
+    rate: float
+
+    def step(self, x: np.ndarray, d: int, latent: int) -> None:
+        size = (len(self.state) - 1) // 3
+        flat, m, v = (self.state[i * size : (i + 1) * size] for i in range(3))
+        g = _gradient(x, _unpack(flat, d, latent))
+        self.state[-1] += 1
+        t = self.state[-1]
+        m += 0.1 * (g - m)
+        v += 0.001 * (g * g - v)
+        flat -= self.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+
+
+def _batches(frames: Iterator[pd.DataFrame], seed: int, epoch: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, rows) of at most ``size`` rows in an order drawn anew for each window of rows and epoch; a batch has rows of one shard."""
+    held: list[np.ndarray] = []
+    shard, window = None, 0
+
+    def drain() -> Iterator[tuple[int, np.ndarray]]:
+        x = np.concatenate(held)
+        order = np.random.default_rng([seed, epoch, shard, window]).permutation(len(x))
+        for low in range(0, len(x), size):
+            yield shard, x[order[low : low + size]]
+
+    for frame in frames:
+        for own, part in frame.groupby("shard", sort=False):
+            if held and (own != shard or sum(map(len, held)) + len(part) > SHUFFLE_ROWS):
+                yield from drain()
+                held.clear()
+                window = window + 1 if own == shard else 0
+            elif own != shard:
+                window = 0
+            shard = int(own)
+            held.append(np.stack(part["features"].to_numpy()))
+    if held:
+        yield from drain()
+
+
+def train_epoch(frames: Iterator[pd.DataFrame], state: np.ndarray, d: int, latent: int, seed: int, epoch: int, rate: float,
+                size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(rows, updates, state) of each shard after one pass over its rows in batches, from the common ``state`` on."""
+    shard, adam, rows, updates = None, None, 0, 0
+    for own, x in _batches(frames, seed, epoch, size):
+        if own != shard:
+            if rows:
+                yield rows, updates, adam.state
+            shard, adam, rows, updates = own, _Adam(state.copy(), rate), 0, 0
+        adam.step(x, d, latent)
+        rows, updates = rows + len(x), updates + 1
+    if rows:
+        yield rows, updates, adam.state
+
+
+def fit_network(benign: DataFrame, d: int, latent: int = 8, rounds: int = 45, rate: float = 1e-3, seed=42, batch: int = 128,
+                key: str = "row_id", shard_rows: int = SHARD_ROWS) -> NetworkScorer:
+    """Train the network by Adam on seeded batches of at most ``batch`` rows: local updates, averaged after each epoch.
+
+    Rows are dealt once by a hash of ``key`` and features to shards of about ``shard_rows``, sorted by it and written. An epoch is one
+    job: every shard starts from the common weights, moments and step number, makes its own updates batch by batch, and the mean over
+    the shards, weighted by rows, is where the next epoch starts. So the number of updates grows with the rows, a task holds a window of
+    rows whatever its shard's size, a lost task repeats one shard of one epoch, and the driver gets three times the network's weights.
+    Up to ``shard_rows`` rows this is plain training on one machine. The model does not depend on the partitioning of the
+    input as long as keys tell rows apart; rows without a key column are dealt evenly.
+
+    Rows with null features take no part. Without any row the network keeps its first weights.
+    """
+    latent = min(latent, d)
+    start = initial_weights(d, latent, seed)
+    state = np.concatenate([start, np.zeros(2 * start.size + 1)])
+    rows = benign.filter("features is not null")
+    shards = max(1, -(-rows.count() // shard_rows))
+    keyed = key in rows.columns
+    rows = rows.select("features", (F.xxhash64(key, "features") if keyed else F.xxhash64("features")).alias("k"))
+    rows = rows.withColumn("shard", F.pmod("k", F.lit(shards)).cast("int")).repartition(shards, "shard") if keyed else (
+        rows.repartition(shards).withColumn("shard", F.spark_partition_id()))
+    placed = write_table(rows.sortWithinPartitions("shard", "k"), "shards").select("shard", "features")
+    updates = 0
+    for epoch in range(max(5, rounds)):
+        common = benign.sparkSession.sparkContext.broadcast(state)
+
+        def train(frames, common=common, epoch=epoch):
+            for n, steps, after in train_epoch(frames, common.value, d, latent, seed, epoch, rate, batch):
+                yield pd.DataFrame({"n": [n], "steps": [steps], "state": [after * n]})
 
         sums = (
-            rows.mapInPandas(gradients, "n long, g array<double>")
-            .select("n", F.posexplode("g").alias("i", "value"))
-            .groupBy("i").agg(F.sum("value").alias("value"), F.sum("n").alias("n")).orderBy("i").collect()
+            placed.mapInPandas(train, "n long, steps long, state array<double>")
+            .select("n", "steps", F.posexplode("state").alias("i", "value"))
+            .groupBy("i").agg(F.sum("value").alias("value"), F.sum("n").alias("n"), F.sum("steps").alias("steps")).toPandas().sort_values("i")
         )
-        state.unpersist()
-        if not sums:
+        common.unpersist()
+        if sums.empty:
             break
-        g = np.array([r["value"] for r in sums]) / sums[0]["n"]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        flat = flat - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return NetworkScorer(flat, d, latent)
+        state = sums["value"].to_numpy() / sums["n"].to_numpy()
+        updates += int(sums["steps"].iloc[0])
+    return NetworkScorer(state[: start.size], d, latent, updates)
 
 
 def fit_scorer(benign: DataFrame, d: int, kind: str = "linear", latent: int = 8, seed=42, rounds: int = 45):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import LABEL_MESSAGES
-from ..operators.anomaly import anomaly_threshold, benign_subset, fit_scorer, with_anomaly_flag
+from ..operators.anomaly import MIN_BENIGN, anomaly_threshold, benign_subset, fit_scorer, with_anomaly_flag
 from ..operators.corrupt import feature_noise, feature_poison, label_noise, label_poison
 from ..operators.learn import Classifier, confusion_metrics, evaluate, fit_classifier
 from ..operators.monitor import overfit_flags, realism_summary
@@ -106,8 +106,13 @@ def run_experiment(frame: DataFrame, meta: dict, settings: Settings = Settings()
         rows.agg(
             F.count_if(F.col("split") == "train").cast("double").alias("n_train"),
             F.count_if(F.col("split") == "test").cast("double").alias("n_test"),
+            F.count_if((F.col("split") == "train") & (F.col("y") == 0)).cast("double").alias("n_benign"),
+        )
+        .withColumn("scorer_saw_all_rows", (F.col("n_benign") < MIN_BENIGN).cast("double"))
+        .select(
+            "*", F.lit(float(d)).alias("n_features"), F.lit(float(threshold)).alias("threshold"),
+            F.lit(float(getattr(scorer, "updates", 0))).alias("scorer_updates"),
         )
-        .select("*", F.lit(float(d)).alias("n_features"), F.lit(float(threshold)).alias("threshold"))
     )
     facts = counts.select(
         "*", trained.agg(F.count_if("poisoned").cast("double")).scalar().alias("label_poisoned_rows")

@@ -4,10 +4,22 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators.anomaly import LinearScorer, anomalies, benign_subset, fit_linear, fit_network
+from riskloom.operators.anomaly import (
+    LinearScorer,
+    _batches,
+    _forward,
+    _gradient,
+    _unpack,
+    anomalies,
+    benign_subset,
+    fit_linear,
+    fit_network,
+    initial_weights,
+)
 from riskloom.operators.attribution import feature_attribution, with_shapley
 from riskloom.operators.corrupt import damped_columns, feature_noise, feature_poison, label_noise, label_poison
 from riskloom.operators.learn import confusion_metrics, evaluate, fit_classifier, roc_auc
@@ -119,17 +131,54 @@ def test_linear_errors_match_svd(rows):
 
 
 def test_network_does_not_depend_on_partitions(rows):
-    a, b = (fit_network(benign_subset(rows).repartition(n), 4, rounds=8).flat for n in (1, 8))
-    assert np.abs(a - b).max() < 1e-9
+    a, b = (fit_network(benign_subset(rows).repartition(n), 4, rounds=8, shard_rows=60) for n in (1, 8))
+    assert np.abs(a.flat - b.flat).max() < 1e-9 and a.updates == b.updates
 
 
 def test_network_learns(rows):
     benign = rows.filter("y = 0").repartition(2, "row_id")
     early = fit_network(benign, 4, rounds=5).with_error(benign).agg(F.avg("err")).first()[0]
-    late = fit_network(benign, 4, rounds=40, rate=1e-2).with_error(benign).agg(F.avg("err")).first()[0]
+    late = fit_network(benign, 4, rounds=40).with_error(benign).agg(F.avg("err")).first()[0]
     assert late < early
 
 
+def test_network_shards_match_one_machine(rows):
+    """Averaged shards reach the error of the same schedule on one machine, written here as a plain loop."""
+    benign = rows.filter("y = 0")
+    x = arrays(benign)[1]
+    flat = initial_weights(4, 2, 42)
+    m, v, t, rng = np.zeros(flat.size), np.zeros(flat.size), 0, np.random.default_rng(1)
+    for _ in range(45):
+        order = rng.permutation(len(x))
+        for low in range(0, len(x), 16):
+            g = _gradient(x[order[low : low + 16]], _unpack(flat, 4, 2))
+            t, m, v = t + 1, 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            flat = flat - 1e-2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    want = ((_forward(x, _unpack(flat, 4, 2))[-1] - x) ** 2).mean()
+    for shard_rows in (10**6, len(x) // 3):
+        scorer = fit_network(benign, 4, 2, rounds=45, rate=1e-2, batch=16, shard_rows=shard_rows)
+        got = scorer.with_error(benign).agg(F.avg("err")).first()[0]
+        assert got < 1.1 * want
+        assert scorer.updates >= 45 * (len(x) // 16)
+
+
+def test_network_batches():
+    """Every row is in one batch of its shard; the order changes with the epoch and repeats with the seed."""
+    frames = [pd.DataFrame({"shard": s, "features": [np.array([float(i)]) for i in r]}) for s, r in ((0, range(7)), (0, range(7, 9)), (3, range(9, 30)))]
+    got = [[(s, *x.ravel()) for s, x in _batches(iter(frames), 1, epoch, 4)] for epoch in (0, 0, 1)]
+    assert got[0] == got[1] != got[2]
+    assert sorted(i for _, *x in got[0] for i in x) == list(range(30)) and max(len(b) for b in got[0]) == 5
+    assert all(max(x) < 9 if s == 0 else min(x) >= 9 for s, *x in got[0])
+
+
+def test_network_rows_without_features_or_key(spark):
+    schema = "features array<double>"
+    empty = fit_network(spark.createDataFrame([(None,)], schema), 2)
+    assert empty.updates == 0 and np.array_equal(empty.flat, initial_weights(2, 2, 42))
+    equal = fit_network(spark.createDataFrame([([1.0, 2.0],)] * 30 + [(None,)], schema), 2, rounds=5, batch=10, shard_rows=10)
+    assert equal.updates == 15
+
+
 def test_benign_subset_falls_back_to_all(rows):
     few = rows.filter("y = 1 or row_id < 8")
     n_benign = few.filter("y = 0").count()
