@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..functions.scalars import clip
 from ..functions.vocabulary import TRUST_CEILING, TRUST_FLOOR
@@ -19,6 +18,8 @@ from ..operators.trust import anomaly_penalty, log_loss, relative_loss
 from ..sources.audit import AuditTrail
 from .activity import stream_event_features
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream_risk_scoring(events: DataFrame, login_counts: DataFrame, preparation: Preparation, scorer, classifier,
                         trust: DataFrame, threshold: float, seed=42) -> DataFrame:
@@ -68,39 +69,82 @@ def trust_changes(events: DataFrame, high: float, mean: float, threshold: float,
     )
 
 
-def stream_user_trust(changes: DataFrame) -> DataFrame:
-    """Running trust per user: one row for each closed window, in the order in which windows end.
+class _RunningTrust(StatefulProcessor):
+    """A user's open windows, and what all closed ones came to.
 
-    ``changes`` is the stream of a table that :func:`trust_changes` is written to, because state
-    of one's own cannot follow a streaming aggregate in the same query. Every window is one update, clipped like the
-    batch update, so order matters: the state holds a user's windows (end, change, trust after it; one entry a window), and
-    a window that arrives late is put in its place and the later ones are computed again. It then gives one row with
-    the newest end. The row with the largest ``n_windows`` is the newest of a user.
+    ``open`` maps the end of a window that others may still precede to its changes; ``closed`` is trust, number and newest end
+    of the windows behind the watermark. A timer at a window's end folds it into ``closed`` once the watermark has passed it.
     """
 
-    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ends, moves, after = (list(x) for x in state.get) if state.exists else ([], [], [])
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "window_end long", "changes array<double>")
+        self.closed = handle.getValueState("closed", "trust double, n long, window_end long")
+
+    def _fold(self, upto: int | None = None) -> tuple[float, int, int, list[int]]:
+        """Trust, number and newest end after the closed windows and the open ones up to ``upto``, and the ends of the latter."""
+        trust, n, newest = self.closed.get() if self.closed.exists() else (1.0, 0, -(1 << 62))
+        taken = sorted((end[0], changes[0]) for end, changes in self.open.iterator() if upto is None or end[0] <= upto)
+        for end, changes in taken:
+            for change in sorted(changes):
+                trust, n = min(TRUST_CEILING, max(TRUST_FLOOR, trust - change)), n + 1
+            newest = max(newest, end)
+        return trust, n, newest, [end for end, _ in taken]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = sorted(
-            (int(end.value), float(change)) for frame in frames for end, change in zip(frame["window_end"], frame["change"])
+            (_micros(end), float(change)) for frame in rows for end, change in zip(frame["window_end"], frame["change"]) if end == end and change == change
         )
-        rows = []
+        out = []
         for end, change in arrived:
-            at = bisect.bisect_right(ends, end)
-            ends.insert(at, end)
-            moves.insert(at, change)
-            del after[at:]
-            for move in moves[at:]:
-                after.append(min(TRUST_CEILING, max(TRUST_FLOOR, (after[-1] if after else 1.0) - move)))
-            rows.append((key[0], pd.Timestamp(ends[-1]), after[-1], len(ends)))
-        state.update((ends, moves, after))
-        yield pd.DataFrame(rows, columns=["user_id", "window_end", "trust", "n_windows"])
-
-    return changes.groupBy("user_id").applyInPandasWithState(
-        update,
-        outputStructType="user_id string, window_end timestamp, trust double, n_windows long",
-        stateStructType="ends array<long>, moves array<double>, after array<double>",
-        outputMode="append",
-        timeoutConf="NoTimeout",
+            earlier = self.open.getValue((end,)) if self.open.containsKey((end,)) else None
+            if earlier is None:
+                self.handle.registerTimer(-(-end // 1000))
+            self.open.updateValue((end,), ([*(earlier[0] if earlier else []), change],))
+            trust, n, newest, ends = self._fold()
+            out.append((key[0], pd.Timestamp(newest, unit="us"), trust, n, len(ends)))
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "window_end", "trust", "n_windows", "n_open"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        trust, n, newest, ends = self._fold(expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        if ends:
+            self.closed.update((trust, n, newest))
+            for end in ends:
+                self.open.removeKey((end,))
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def _micros(end) -> int:
+    return pd.Timestamp(end).value // 1000
+
+
+def stream_user_trust(changes: DataFrame, delay: str = "7 days") -> DataFrame:
+    """Running trust per user: one row for each closed window, in the order in which windows end.
+
+    ``changes`` is the stream of a table that :func:`trust_changes` is written to, because state
+    of one's own cannot follow a streaming aggregate in the same query. Every window is one update, clipped like the
+    batch update, so order matters: a window that arrives up to ``delay`` (of event time) late is put in its place and the later
+    ones are computed again. It then gives one row with the newest end. Windows behind the watermark are folded into one number,
+    so a user's state holds the windows of one ``delay``, however long the stream runs; later ones are dropped by the watermark
+    and counted in the query's progress. Rows without an end or a change are passed over.
+
+    The row with the largest ``n_windows`` is the newest of a user; ``n_open`` is the number of windows its state holds. Timers need
+    the RocksDB state store; the function selects it in the session where another one is set.
+    """
+    spark = changes.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return (
+        changes.withWatermark("window_end", delay).groupBy("user_id").transformWithStateInPandas(
+            _RunningTrust(),
+            outputStructType="user_id string, window_end timestamp, trust double, n_windows long, n_open long",
+            outputMode="Append",
+            timeMode="EventTime",
+        )
     )
 
 

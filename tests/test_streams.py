@@ -1,6 +1,7 @@
 """Streams equal their batch twins on closed windows, also over several files and triggers."""
 
 import datetime
+import random
 import time
 
 import pytest
@@ -112,6 +113,35 @@ def test_windows_out_of_order(spark, tmp_path):
     assert newest[0] == pytest.approx(batch_user_trust(part).first().trust) and newest[1] == 4 and newest[2] == days[3]
 
 
+def test_state_of_trust_is_bounded(spark, tmp_path):
+    """A thousand windows in twenty files: the state holds the windows of one delay, and the trust is that of the batch."""
+    schema = "user_id string, window_end timestamp, change double, n long"
+    rng = random.Random(4)
+    rows = [(u, START + datetime.timedelta(hours=h), rng.uniform(-0.3, 0.35), 1) for h in range(1000) for u in ("a", "b")]
+    for number in range(20):
+        part = rows[number * 100 : number * 100 + 100]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    parts = spark.read.schema(schema).parquet(f"{tmp_path}/t")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/t")
+    got = run_to_table(stream_user_trust(source, "30 hours"), "t").groupBy("user_id").agg(
+        F.max_by("trust", "n_windows"), F.max("n_windows"), F.max("n_open"))
+    want = {r.user_id: (pytest.approx(r.trust), r.n_windows) for r in batch_user_trust(parts).collect()}
+    found = {r[0]: r[1:] for r in got.collect()}
+    assert {u: f[:2] for u, f in found.items()} == want and all(f[1] == 1000 for f in found.values())
+    assert max(f[2] for f in found.values()) <= 30 + 2 * 50 + 2
+
+
+def test_trust_changes_without_values(spark, tmp_path):
+    """Rows without end or change are passed over; a window given twice counts twice; null users share one state."""
+    schema = "user_id string, window_end timestamp, change double, n long"
+    rows = [("a", START, 0.2, 1), ("a", START, 0.2, 1), ("a", START, None, 1), ("b", None, 0.3, 1), (None, START, 0.5, 1), (None, START, 0.1, 1)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/t")
+    running = run_to_table(stream_user_trust(parquet_stream(spark, f"{tmp_path}/t", spark.read.parquet(f"{tmp_path}/t").schema)), "t")
+    newest = {r[0]: (round(r[1], 6), r[2]) for r in running.groupBy("user_id").agg(F.max_by("trust", "n_windows"), F.max("n_windows")).collect()}
+    assert newest == {"a": (0.6, 2), None: (0.4, 2)}
+
+
 def test_late_events(spark):
     minutes = [(0, 0), (0, 200), (1, 130), (1, 150), (2, 210), (2, 139)]
     df = spark.createDataFrame([(b, START + datetime.timedelta(minutes=m)) for b, m in minutes], "batch long, ts timestamp")
