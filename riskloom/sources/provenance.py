@@ -4,24 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import named
 from ..functions.vocabulary import PIPELINE_VERSION
 from .csv_files import files_below
 
+#: Digests are polynomials over the whole numbers below this prime: sum of (hash of line i) x base^i.
+PRIME = (1 << 31) - 1
+BASES = (1_000_003, 40_014_111, 742_938_285, 1_226_874_159)
+DIGIT_BITS, DIGITS = 6, 6  # line numbers below 2^36 in digits of 6 bits
+
+
+def _times(a: Column, b: Column) -> Column:
+    """Product below the prime; both factors are, so it fits 62 bits."""
+    return F.pmod(a * b, F.lit(PRIME))
+
+
+def _power(base: int, exponent: Column) -> Column:
+    """base^exponent below the prime, from a table of powers for each digit of the exponent."""
+    out = None
+    for digit in range(DIGITS):
+        powers = ", ".join(f"{pow(base, k << (DIGIT_BITS * digit), PRIME)}L" for k in range(1 << DIGIT_BITS))
+        at = F.shiftright(exponent, DIGIT_BITS * digit).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)).cast("int")
+        factor = F.get(F.expr(f"array({powers})"), at)
+        out = factor if out is None else _times(out, factor)
+    return out
+
+
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """One digest per CSV file (path, digest): the same rule for files of any size.
+    """One digest per CSV file (path, digest): the same rule for files of any size and any splits of them.
 
-    Files are read in splits; count and sums of the line hashes make up the digest. It changes with any line, but
-    not with the order of lines.
+    The digest is over the lines and their order: a polynomial in four bases whose coefficients are the four words of each line's MD5.
+    Polynomials of two neighbouring stretches combine by a shift (a power of the base) and a sum, so every split of a file
+    is summed on its own in the one pass over the lines, and only one row a split is ordered.
     """
     options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.csv"}
-    lines = spark.read.options(**options).text(folder).select("value", _plain(F.col("_metadata.file_path")).alias("path"))
-    digest = F.md5("value")
-    summed = lines.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(_word(digest, 1)).alias("a"), F.sum(_word(digest, 9)).alias("b")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # counts the lines of a task, which may read several splits
+    lines = spark.read.options(**options).text(folder).select(
+        F.md5("value").alias("h"), row.alias("at"), _plain(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    terms = [_times(F.pmod(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("bigint"), F.lit(PRIME)), _power(base, F.col("at")))
+             for i, base in enumerate(BASES)]
+    split = lines.groupBy("path", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"),
+        *[F.pmod(F.sum(t), F.lit(PRIME)).alias(f"s{i}") for i, t in enumerate(terms)],
     )
-    digests = summed.select("path", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("digest"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = split.withColumn("before", before)
+    moved = [
+        _times(_times(F.col(f"s{i}"), _power(pow(base, -1, PRIME), F.col("first"))), _power(base, F.col("before")))
+        for i, base in enumerate(BASES)
+    ]
+    whole = placed.groupBy("path").agg(F.sum("n").alias("n"), *[F.pmod(F.sum(m), F.lit(PRIME)).alias(f"s{i}") for i, m in enumerate(moved)])
+    digests = whole.select("path", F.sha2(F.concat_ws(":", "n", *[f"s{i}" for i in range(len(BASES))]), 256).alias("digest"))
     # scans skip empty files, the listing does not
     names = spark.createDataFrame([(p,) for p in files_below(spark, folder)], "path string")
     return names.join(digests, "path", "left").withColumn("digest", F.coalesce("digest", F.sha2(F.lit(""), 256)))

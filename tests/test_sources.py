@@ -1,5 +1,6 @@
 """CSV reading, choice of the input, provenance and audit on small literal files."""
 
+import hashlib
 import json
 
 import pytest
@@ -181,6 +182,34 @@ def test_fingerprint_follows_names_and_contents(spark, tmp_path):
     assert record.dataset_id.startswith("cert_batch:") and record.metadata["root"] == str(tmp_path / "one")
 
 
+def plain_digest(lines):
+    """The digest of a file as defined, line by line."""
+    sums = [0, 0, 0, 0]
+    for i, line in enumerate(lines):
+        h = hashlib.md5(line.encode()).hexdigest()
+        sums = [(s + int(h[8 * k : 8 * k + 8], 16) * pow(b, i, provenance.PRIME)) % provenance.PRIME for k, (s, b) in enumerate(zip(sums, provenance.BASES))]
+    return hashlib.sha256(":".join(map(str, [len(lines), *sums])).encode()).hexdigest()
+
+
+def test_digest_sees_the_order_of_lines_at_any_split(spark, tmp_path):
+    lines = [f"{i % 13},value {i * 7919 % 101}" for i in range(3000)] + ["", "ümlaut,1", "", "same", "same"]
+    swapped = [*lines[:1500], lines[1501], lines[1500], *lines[1502:]]
+    for name, rows in (("a", lines), ("b", swapped), ("c", lines[::-1]), ("d", ["one"])):
+        (tmp_path / f"{name}.csv").write_text("\n".join(rows) + "\n")
+    (tmp_path / "e.csv").write_text("")
+    want = {"a": plain_digest(lines), "b": plain_digest(swapped), "c": plain_digest(lines[::-1]), "d": plain_digest(["one"])}
+    want["e"] = hashlib.sha256(b"").hexdigest()
+    assert len(set(want.values())) == 5
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in (size, "5000", "777"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            got = {r.path.rsplit("/", 1)[-1][0]: r.digest for r in provenance.file_digests(spark, str(tmp_path)).collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert got == want
+
+
 def test_table_fingerprint_ignores_order(spark):
     df = spark.range(0, 100).withColumn("t", F.concat(F.lit("v"), "id"))
     assert table_fingerprint(df).first() == table_fingerprint(df.orderBy(F.desc("id")).repartition(7)).first()
