@@ -9,6 +9,7 @@ from ..functions.scalars import clip
 from ..functions.vocabulary import DEFAULT_TRUST, THREAT_LEVELS
 from ..session import write_table
 from .joins import lookup_join
+from .ordering import as_of_join
 
 
 def trust_lookup(df: DataFrame, trust: DataFrame, default: float = DEFAULT_TRUST, small: bool | None = None) -> DataFrame:
@@ -18,6 +19,17 @@ def trust_lookup(df: DataFrame, trust: DataFrame, default: float = DEFAULT_TRUST
     return joined.withColumn("trust", F.coalesce(F.col("trust"), F.lit(default)))
 
 
+def trust_at(rows: DataFrame, versions: DataFrame, time: str = "ts", default: float = DEFAULT_TRUST) -> DataFrame:
+    """Add the trust that a row's user had at the time of the row; before the first version it is the default.
+
+    ``versions`` are rows (user_id, window_end, trust, n_windows), as the running trust of a stream writes them. Where a late
+    window corrected an end, the row with most windows counts.
+    """
+    newest = versions.groupBy("user_id", "window_end").agg(F.max_by("trust", "n_windows").alias("trust"))
+    found = as_of_join(rows, newest, "user_id", time, "trust", version_time="window_end")
+    return found.withColumn("trust", F.coalesce("trust", F.lit(default)))
+
+
 def risk_score(p: Column, err: Column, trust: Column, threshold: float) -> Column:
     """0.42 p + 0.38 relative error + 0.20 distrust, kept within 0 and 1; null if one of them is missing."""
     relative = F.when(err.isNotNull(), F.least(F.lit(1.0), err / F.lit(max(float(threshold), 1e-6))))

@@ -124,10 +124,11 @@ def activity_stream_columns(events: DataFrame) -> DataFrame:
     )
 
 
-def scored_activity(events: DataFrame) -> DataFrame:
-    """Raw events, batch or stream, with given probability, error and label."""
+def scored_activity(events: DataFrame, *kept: str) -> DataFrame:
+    """Raw events, batch or stream, with given probability, error and label, and the columns ``kept``."""
     key = "event_id"
     return events.select(
+        *kept,
         F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user_id"),
         uniform(SEED, "p", key).alias("p"), uniform(SEED, "err", key).alias("err"),
         flag(uniform(SEED, "y", key) < 0.2).alias("y"),

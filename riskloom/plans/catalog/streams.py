@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.hashing import uniform
+from ...functions.vocabulary import DEFAULT_TRUST
 from ...operators.anomaly import anomaly_threshold, fit_linear
 from ...operators.events import login_counts
 from ...operators.prep import prepare
+from ...operators.respond import decide, trust_at
 from ...operators.trust import trust_map, trust_training
 from ...session import write_table
 from ...sources.streams import parquet_stream
@@ -132,6 +134,7 @@ TRUST_CTE = f"""e AS (SELECT user_id::VARCHAR AS user_id, date_trunc('day', ts)
         {h('err', 'event_id')} AS err, CASE WHEN {h('y', 'event_id')} < 0.2e0 THEN 1 ELSE 0 END AS y FROM events),
       c AS (SELECT user_id, w, sum(0.12e0 * (greatest(0e0, least(1e0, ({LOSS}) / 2e0)) - 0.4e0)
         + CASE WHEN y = 0 AND err > 0.8e0 THEN 0.06e0 WHEN y = 1 AND err <= 0.8e0 THEN 0.03e0 ELSE 0e0 END) AS change FROM e GROUP BY user_id, w)"""
+FOLD_MOVES = "list_reduce(list_prepend(1e0, moves), lambda t, d: greatest(0.15e0, least(1e0, t - d)))"
 FOLD = "list_reduce(list_prepend(1e0, list(change ORDER BY w)), lambda t, d: greatest(0.15e0, least(1e0, t - d)))"
 
 
@@ -149,6 +152,25 @@ def trust_stream(spark, folder):
     return running.groupBy("user_id").agg(F.max("n_windows").alias("n_windows"), r6(newest).alias("trust"))
 
 
+@query(
+    "decisions_at_event_time",
+    f"""WITH {TRUST_CTE}, d AS (SELECT * FROM c WHERE w <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)),
+      l AS (SELECT user_id, w, list(change) OVER (PARTITION BY user_id ORDER BY w ROWS UNBOUNDED PRECEDING) AS moves FROM d),
+      v AS (SELECT user_id, w, {FOLD_MOVES} AS trust FROM l),
+      e2 AS (SELECT event_id, user_id::VARCHAR AS user_id, ts, {h('p', 'event_id')} AS p, {h('err', 'event_id')} AS err FROM events),
+      a AS (SELECT event_id, e2.user_id, p, err, coalesce(trust, {DEFAULT_TRUST}e0) AS trust FROM e2 ASOF LEFT JOIN v ON e2.user_id = v.user_id AND e2.ts >= v.w)
+    SELECT event_id AS row_id, user_id, round(trust, 6) AS trust,
+      round(greatest(0e0, least(1e0, 0.42e0 * p + 0.38e0 * least(1e0, err / 0.8e0) + 0.2e0 * (1e0 - trust))), 6) AS risk_score FROM a""",
+)
+def timed_decisions(spark, folder):
+    """Decisions on all events with the trust that the stream had given their user by then."""
+    changes = trust_changes(scored_activity(_stream(spark, folder)), HIGH, MEAN, 0.8)
+    closed = parquet_stream(spark, run_to_folder(changes, "changes"), changes.schema)
+    versions = run_to_table(stream_user_trust(closed), "trust")
+    rows = scored_activity(table(spark, folder, "events"), "event_id").withColumnRenamed("event_id", "row_id")
+    return rounded(decide(trust_at(rows, versions), 0.8).select("row_id", "user_id", "trust", "risk_score"))
+
+
 @query("batch_user_trust", f"WITH {TRUST_CTE} SELECT user_id, count(*) AS n_windows, round({FOLD}, 6) AS trust FROM c GROUP BY user_id")
 def trust_batch(spark, folder):
     return rounded(batch_user_trust(trust_changes(scored_activity(table(spark, folder, "events")), HIGH, MEAN, 0.8)))

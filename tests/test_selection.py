@@ -1,6 +1,7 @@
 """Exact-size selection, splits, percentiles and running totals against brute force."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import uniform_scalar
 from riskloom.operators import quantile, selection
-from riskloom.operators.ordering import running_totals
+from riskloom.operators.ordering import as_of_join, running_totals
 from riskloom.operators.quantile import exact_percentile, exact_percentiles
 from riskloom.operators.selection import random_k, split_quotas, stratified_split
 
@@ -113,3 +114,25 @@ def test_percentiles_of_many_columns(spark):
     df = spark.range(2000).select(*[(F.col("id") * (k + 1)).cast("double").alias(f"c{k}") for k in range(45)])
     got = exact_percentiles(df, {f"c{k}": (F.col(f"c{k}"), 0.5) for k in range(45)})
     assert all(got[f"c{k}"] == pytest.approx(999.5 * (k + 1)) for k in range(45))
+
+
+def test_as_of_join_against_brute_force(spark):
+    """A hot key over many partitions, ties at one time, gaps, missing keys and times."""
+    rng = random.Random(5)
+    rows = [(i, "hot" if i % 3 else f"k{i % 9}", rng.randrange(200), "x") for i in range(3000)]
+    rows += [(3000 + i, "hot", 77, None) for i in range(500)] + [(4000, None, 5, "y"), (4001, "hot", None, "y"), (4002, "alone", 9, "y")]
+    versions = [("hot", t, t / 7) for t in range(50, 200, 3)] + [(f"k{i}", 60 + i, float(i)) for i in range(0, 9, 2)]
+    versions += [("hot", 77, 99.0), ("hot", 80, None), (None, 1, 5.0), ("k1", None, 5.0), ("unused", 3, 1.0)]
+    left = spark.createDataFrame(rows, "row_id long, k string, t int, value string")
+    right = spark.createDataFrame(versions, "k string, at int, value double")
+    got = as_of_join(left.repartition(5), right, "k", "t", "value", version_time="at")
+    assert got.columns == ["row_id", "k", "t", "value"]
+
+    def brute(k, t):
+        known = [(at, v) for key, at, v in versions if None not in (k, t, key, at, v) and key == k and at <= t]
+        return max(known)[1] if known else None
+
+    assert {r.row_id: r.value for r in got.collect()} == {i: brute(k, t) for i, k, t, _ in rows}
+    assert got.count() == len(rows)
+    assert as_of_join(left, right.limit(0), "k", "t", "value", version_time="at").filter("value is not null").isEmpty()
+    assert as_of_join(left.limit(0), right, "k", "t", "value", version_time="at").isEmpty()
