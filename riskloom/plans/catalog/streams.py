@@ -12,7 +12,7 @@ from ...operators.prep import prepare
 from ...operators.respond import decide, trust_at
 from ...operators.trust import trust_map, trust_training
 from ...session import write_table
-from ...sources.streams import parquet_stream
+from ...sources.streams import dead_letters, message_events, parquet_stream
 from ...streaming.activity import (
     batch_sessions,
     deduplicate,
@@ -111,6 +111,32 @@ def features_stream(spark, folder):
     return run_to_table(rows.select("row_id", "user_id", "hour", "is_night", "high_data_transfer", "session_duration"), "features")
 
 
+def _messages(events):
+    """Events as JSON messages in four partitions; every 50th is cut off, every 51st has no user."""
+    k = F.col("row_id")
+    user = F.when(k % 51 != 0, F.col("user_id")).alias("User-ID")
+    text = F.to_json(F.struct(user, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("event_time"), "action", "device",
+                              F.col("data_volume_mb").alias("volume"), F.col("failed_attempts").alias("failures")))
+    value = F.when(k % 50 == 0, F.substring(text, 1, 20)).otherwise(text).cast("binary")
+    return event_columns(events).select(k.alias("offset"), (k % 4).cast("int").alias("partition"), value.alias("value"))
+
+
+@query(
+    "stream_message_events",
+    f"""WITH {EVENT_CTE}, m AS (SELECT row_id % 4 || '-' || row_id AS row_id, CASE WHEN row_id % 50 = 0 THEN 'not a JSON object'
+        WHEN row_id % 51 = 0 THEN 'no user' END AS error, user_id, hour(ts)::DOUBLE AS hour,
+        CASE WHEN data_volume_mb > 500 THEN 1e0 ELSE 0e0 END AS high_data_transfer FROM ev)
+    SELECT row_id, error, CASE WHEN error IS NULL THEN user_id END AS user_id, CASE WHEN error IS NULL THEN hour END AS hour,
+      CASE WHEN error IS NULL THEN high_data_transfer END AS high_data_transfer FROM m""",
+)
+def message_stream(spark, folder):
+    """Messages become events with features; what is none goes to the dead letters."""
+    features = run_to_table(stream_event_features(message_events(_messages(_stream(spark, folder))), SEED), "features")
+    broken = run_to_table(dead_letters(_messages(_stream(spark, folder))), "dead")
+    rows = features.select("row_id", "user_id", "hour", "high_data_transfer")
+    return rows.unionByName(broken.select("row_id", "error"), allowMissingColumns=True)
+
+
 def trusted_scoring(frame, meta):
     """What decisions on events need, fitted on the training rows: encoder and scaler, scorer, classifier and trust after all rounds, threshold."""
     rows, preparation = prepare(frame, meta["categorical"], SEED)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.vocabulary import EVENT_ALIASES
 
 # Environment names that stand in for missing arguments.
 KAFKA_DEFAULTS = {"subscribe": "KAFKA_TOPIC", "kafka.bootstrap.servers": "KAFKA_BOOTSTRAP_SERVERS"}
@@ -31,6 +34,47 @@ def kafka_source(spark: SparkSession, topic: str | None = None, brokers: str | N
     return spark.readStream.format("kafka").options(**options).load().select("offset", "partition", "value")
 
 
+def read_messages(messages: DataFrame) -> DataFrame:
+    """Messages (offset, partition, value), batch or stream, as event rows under the roles' first names, and what is wrong with them.
+
+    A value is a JSON object whose keys are any accepted names of the roles, in any case, with blanks or hyphens for underscores. Of
+    several names of one role the first accepted one counts, as for files; of equal keys the first. ``row_id`` is partition and offset,
+    so a message read twice gives the same row. ``error`` is null for an event; else it says why the message is none (not an object, no
+    user, no time, a time that cannot be read), and ``raw`` keeps its text. Roles that a message does not name are null.
+    """
+    raw = F.col("value").cast("string")
+    read = messages.select(
+        F.concat_ws("-", F.col("partition").cast("string"), F.col("offset").cast("string")).alias("row_id"), raw.alias("raw"),
+        F.map_entries(F.from_json(raw, "map<string,string>")).alias("_cells"),
+    )
+
+    def cell(aliases: tuple[str, ...]) -> Column:
+        def named(alias: str) -> Column:
+            return F.get(F.filter("_cells", lambda e: F.lower(F.translate(F.trim(e["key"]), " -", "__")) == alias), F.lit(0))["value"]
+
+        return F.coalesce(*[named(a) for a in aliases])
+
+    roles = {aliases[0]: cell(aliases) for aliases in EVENT_ALIASES.values()}
+    rows = read.select("row_id", "raw", F.col("_cells").isNull().alias("_broken"), *[c.alias(n) for n, c in roles.items()])
+    time = F.try_to_timestamp("timestamp")
+    error = (
+        F.when(F.col("_broken"), "not a JSON object").when(F.col("user_id").isNull(), "no user")
+        .when(F.col("timestamp").isNull(), "no time").when(time.isNull(), "unreadable time")
+    )
+    numbers = {c: F.col(c).try_cast("double") for c in ("data_volume_mb", "failed_attempts", "label")}
+    return rows.withColumn("error", error).withColumns({"timestamp": time, **numbers}).drop("_broken")
+
+
+def message_events(messages: DataFrame) -> DataFrame:
+    """The events of :func:`read_messages`, ready for the event features; the label stays out where nothing gives one yet."""
+    return read_messages(messages).filter("error is null").drop("error", "raw", "label")
+
+
+def dead_letters(messages: DataFrame) -> DataFrame:
+    """Messages that are no events: row_id, error, raw text."""
+    return read_messages(messages).filter("error is not null").select("row_id", "error", "raw")
+
+
 def parquet_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
     """A folder of parquet files as a stream."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)

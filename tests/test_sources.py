@@ -28,7 +28,7 @@ from riskloom.sources.csv_files import (
 )
 from riskloom.sources import provenance
 from riskloom.sources.provenance import content_fingerprint, provenance_record, table_fingerprint
-from riskloom.sources.streams import kafka_source
+from riskloom.sources.streams import dead_letters, kafka_source, message_events
 
 
 def write(path, *lines):
@@ -233,6 +233,26 @@ def test_kafka_is_optional(spark, monkeypatch):
     assert kafka_source(spark, "topic") is None
 
 
+def test_messages_become_events_or_dead_letters(spark):
+    values = [
+        '{"User-ID": "u1", "Event Time": "2024-03-01 05:10:00", "VOLUME": 700.5, "failures": "3", "extra": {"a": 1}}',
+        '{"userid": "second", "user_id": "first", "date": "2024-03-01T23:00:00", "volume": "many"}',
+        '{"user": "u", "user": "v", "time": "2024-03-01", "label": 1}',
+        '{"user_id": "u1"}', '{"timestamp": "2024-03-01"}', '{"user_id": "u1", "time": "soon"}', "[1]", "{\"user_id\": ", "", None,
+    ]
+    rows = [(i, i % 2, None if v is None else bytearray(v.encode())) for i, v in enumerate(values)]
+    messages = spark.createDataFrame(rows, "offset long, partition int, value binary")
+    events = {r.row_id: r for r in message_events(messages).collect()}
+    assert sorted(events) == ["0-0", "0-2", "1-1"]
+    first = events["0-0"]
+    assert (first.user_id, first.timestamp.hour, first.data_volume_mb, first.failed_attempts) == ("u1", 5, 700.5, 3.0)
+    assert events["1-1"].user_id == "first" and events["1-1"].data_volume_mb is None
+    broken = {r.row_id: r.error for r in dead_letters(messages).collect()}
+    object_ = "not a JSON object"
+    assert broken == {"1-3": "no time", "0-4": "no user", "1-5": "unreadable time", "0-6": object_, "1-7": object_, "0-8": object_, "1-9": object_}
+    assert message_events(messages.limit(0)).isEmpty()
+
+
 def test_written_tables_live_in_the_scratch_folder(spark):
     df = write_table(spark.range(10), "numbers")
     assert df.count() == 10 and scratch_dir(spark) in df.inputFiles()[0]
