@@ -347,6 +347,8 @@ def resolve_source(spark: SparkSession, folder: str, seed=42, pick: str = "all")
     events = load_events(spark, folder, seed, pick)
     if events is not None:
         frame, meta, warnings = events
+        rest = sorted(set(list_csv(spark, folder)) - set(meta["source_files"]))
+        warnings = warnings + [f"Not used, as event files come first: {e}." for e in rest if f"file: {e}." not in " ".join(warnings)]
         return frame, {**meta, "source": "custom_insider_events", "categorical": list(CATEGORICAL_COLUMNS)}, warnings
     users = load_logs(spark, folder)
     if users is not None:
@@ -356,6 +358,9 @@ def resolve_source(spark: SparkSession, folder: str, seed=42, pick: str = "all")
             warnings.append("There is no answer file: labels follow the activity percentile.")
         else:
             users = label_from_answers(users, answers)
+        known = [e for kind in LOG_KINDS for name in (f"{kind}.csv", f"{kind}-*.csv") for e in list_entries(spark, f"{folder.rstrip('/')}/{name}")]
+        rest = sorted(set(list_csv(spark, folder)) - set(known))
+        warnings += [f"Not used, as log tables come first: {e}." for e in rest if not re.search(r"/(insider|malicious)[^/]*$", e)]
         return users.withColumn("row_id", F.col("user_id")), {"source": "cert", "label_source": "logs", "categorical": []}, warnings
     tabular = load_tabular(spark, folder)
     if tabular is not None:

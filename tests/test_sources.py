@@ -233,6 +233,17 @@ def test_kafka_is_optional(spark, monkeypatch):
     assert kafka_source(spark, "topic") is None
 
 
+def test_files_not_used_are_named(spark, tmp_path):
+    events = [f"u{i},2024-01-0{1 + i % 9} 10:00:00,{i}" for i in range(12)]
+    write(tmp_path / "one" / "events.csv", "user_id,timestamp,data_volume_mb", *events)
+    write(tmp_path / "one" / "logon.csv", "date,user,activity", "2024-01-01 08:00:00,u1,Logon")
+    write(tmp_path / "two" / "logon.csv", "date,user,activity", *[f"2024-01-01 08:00:00,u{i},Logon" for i in range(9)])
+    write(tmp_path / "two" / "wide.csv", "user_id,a,b", "u1,1,2")
+    write(tmp_path / "two" / "insiders.csv", "user", "u1")
+    named = {n: [w.rsplit("/", 1)[-1] for w in resolve_source(spark, str(tmp_path / n))[2] if w.startswith("Not used")] for n in ("one", "two")}
+    assert named == {"one": ["logon.csv."], "two": ["wide.csv."]}
+
+
 def test_messages_become_events_or_dead_letters(spark):
     values = [
         '{"User-ID": "u1", "Event Time": "2024-03-01 05:10:00", "VOLUME": 700.5, "failures": "3", "extra": {"a": 1}}',
