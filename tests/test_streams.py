@@ -114,12 +114,12 @@ def test_windows_out_of_order(spark, tmp_path):
 
 
 def test_state_of_trust_is_bounded(spark, tmp_path):
-    """A thousand windows in twenty files: the state holds the windows of one delay, and the trust is that of the batch."""
+    """A thousand windows in fifty files: the state holds the windows of one delay, and the trust is that of the batch."""
     schema = "user_id string, window_end timestamp, change double, n long"
     rng = random.Random(4)
     rows = [(u, START + datetime.timedelta(hours=h), rng.uniform(-0.3, 0.35), 1) for h in range(1000) for u in ("a", "b")]
-    for number in range(20):
-        part = rows[number * 100 : number * 100 + 100]
+    for number in range(50):
+        part = rows[number * 40 : number * 40 + 40]
         rng.shuffle(part)
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
     parts = spark.read.schema(schema).parquet(f"{tmp_path}/t")
@@ -129,7 +129,7 @@ def test_state_of_trust_is_bounded(spark, tmp_path):
     want = {r.user_id: (pytest.approx(r.trust), r.n_windows) for r in batch_user_trust(parts).collect()}
     found = {r[0]: r[1:] for r in got.collect()}
     assert {u: f[:2] for u, f in found.items()} == want and all(f[1] == 1000 for f in found.values())
-    assert max(f[2] for f in found.values()) <= 30 + 2 * 50 + 2
+    assert max(f[2] for f in found.values()) <= 30 + 2 * 20 + 2
 
 
 def test_trust_changes_without_values(spark, tmp_path):
