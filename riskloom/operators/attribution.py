@@ -1,9 +1,13 @@
 """Which features drive a model's score: Shapley values against background rows.
 
-For every leaf only the conditions on its path matter. A row meets some of them; a background
-row meets some of them. How much each feature moves the score depends on nothing but these two
-sets, so all background rows are counted by pattern and folded into one small table per leaf. Scoring a row is
-then a table lookup per leaf, whatever the size of the background.
+For every leaf only the conditions on its path matter. There are two ways to say what a feature that is not known does:
+
+* ``background``: it takes the values of the background rows. A row meets some conditions; a background row meets some of
+  them. How much each feature moves the score depends on nothing but these two sets, so all background rows are counted
+  by pattern and folded into one table of 2^k rows per leaf. Scoring a row is then a table lookup per leaf.
+* ``path``: a row goes down both sides of a split, in the shares in which the background rows that came there did. A leaf then
+  is a product of one factor a feature, and its Shapley values are integrals of polynomials of degree below k, which
+  k / 2 points of Gauss and Legendre give exactly. Time and memory grow with k^2, so trees may have any depth.
 """
 
 from __future__ import annotations
@@ -16,8 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import Trees
 from .learn import Classifier
 
+MOST_CONDITIONS = 10  # features on a path that the tables of the background method may have
+
 
 @dataclass(frozen=True)
 class _Leaf:
@@ -88,11 +95,108 @@ def _background_counts(background: DataFrame, leaves: list[_Leaf]) -> list[np.nd
     return out
 
 
-def with_shapley(df: DataFrame, classifier: Classifier, background: DataFrame, d: int) -> DataFrame:
+def node_counts(background: DataFrame, model: Trees) -> np.ndarray:
+    """[tree, node]: how many background rows come to each node, in one pass over all rows.
+
+    Tasks count first; what comes back is bounded by the nodes of the model.
+    """
+    shared = background.sparkSession.sparkContext.broadcast(model)
+
+    def count(frames):
+        model = shared.value
+        totals = np.zeros(model.feature.shape, np.int64)
+        for frame in frames:
+            x = np.stack(frame["features"].to_numpy()) if len(frame) else np.zeros((0, 1))
+            rows = np.arange(len(x))
+            for feature, threshold, total in zip(model.feature, model.threshold, totals) if len(x) else ():
+                at = np.zeros(len(x), np.int64)
+                inside = rows
+                total[0] += len(x)
+                for _ in range(model.depth):
+                    inside = inside[feature[at[inside]] >= 0]
+                    node = at[inside]
+                    at[inside] = 2 * node + 1 + (x[inside, feature[node]] > threshold[node])
+                    total += np.bincount(at[inside], minlength=len(total))
+        tree, node = np.nonzero(totals)
+        yield pd.DataFrame({"tree": tree, "node": node, "n": totals[tree, node]})
+
+    found = background.select("features").mapInPandas(count, "tree long, node long, n long").groupBy("tree", "node").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(model.feature.shape, np.int64)
+    out[found["tree"].to_numpy(), found["node"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def path_shares(feature: np.ndarray, counts: np.ndarray, leaf: int) -> dict[int, float]:
+    """For each feature on the path to a leaf the share of the background that its splits send on towards the leaf.
+
+    Where no background row came to a split, each side gets half.
+    """
+    shares: dict[int, float] = {}
+    while leaf:
+        parent = (leaf - 1) // 2
+        share = counts[leaf] / counts[parent] if counts[parent] else 0.5
+        f = int(feature[parent])
+        shares[f] = shares.get(f, 1.0) * share
+        leaf = parent
+    return shares
+
+
+def path_values(met: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Shapley values of the product over features of (met if known, else share) for each row of ``met`` [row, feature].
+
+    A value is the integral over t in [0, 1] of (met - share) times the other factors t met + (1 - t) share. The products
+    leave one factor out by running products from both ends, as a factor may be zero.
+    """
+    k = len(shares)
+    points, weights = np.polynomial.legendre.leggauss((k + 1) // 2)
+    out = np.zeros(met.shape)
+    for point, weight in zip((points + 1) / 2, weights / 2):
+        factors = point * met + (1 - point) * shares
+        before = np.cumprod(np.column_stack([np.ones(len(met)), factors[:, :-1]]), axis=1)
+        after = np.cumprod(np.column_stack([np.ones(len(met)), factors[:, :0:-1]]), axis=1)[:, ::-1]
+        out += weight * before * after
+    return out * (met - shares)
+
+
+def _with_path_shapley(df: DataFrame, model: Trees, background: DataFrame, d: int) -> DataFrame:
+    counts = node_counts(background, model)
+    leaves = []
+    for feature, threshold, value, n in zip(model.feature, model.threshold, model.value, counts):
+        for leaf_value, path, node in tree_leaves(feature, threshold, value):
+            if path and leaf_value:
+                shares = path_shares(feature, n, node)
+                features = np.array(sorted(path))
+                low, high = (np.array([path[f][side] for f in features]) for side in (0, 1))
+                leaves.append((leaf_value, features, low, high, np.array([shares[f] for f in features])))
+    shared = df.sparkSession.sparkContext.broadcast(leaves)
+
+    @F.pandas_udf("array<double>")
+    def shapley(column: pd.Series) -> pd.Series:
+        if column.empty:
+            return pd.Series([], dtype="object")
+        x = np.stack(column.to_numpy())
+        out = np.zeros((len(x), d))
+        for value, features, low, high, shares in shared.value:
+            met = (x[:, features] > low) & (x[:, features] <= high)
+            # rows that meet the same conditions have the same values
+            different, which = np.unique(np.packbits(met, axis=1), axis=0, return_inverse=True)
+            patterns = np.unpackbits(different, axis=1, count=len(features)).astype(float)
+            out[:, features] += value * path_values(patterns, shares)[which.ravel()]
+        return pd.Series(list(out))
+
+    return df.withColumn("shapley", shapley(F.col("features")))
+
+
+def with_shapley(df: DataFrame, classifier: Classifier, background: DataFrame, d: int, method: str = "background") -> DataFrame:
     """Add ``shapley``: one value per feature, in log-odds; they sum to score minus mean background score.
 
-    The background is all rows of ``background``.
+    The background is all rows of ``background``. ``method`` says how trees treat features that are not known: ``background``
+    takes their values from the background rows together, for at most ten different features on a path, and raises beyond;
+    ``path`` takes the shares of the background rows at each split, for any depth. Without background rows the values of
+    ``background`` are zero, and ``path`` takes equal shares.
     """
+    if method not in ("background", "path"):
+        raise ValueError(f"unknown method {method!r}")
     if classifier.kind == "constant":
         return df.withColumn("shapley", F.array_repeat(F.lit(0.0), d))
     if classifier.kind == "logistic":
@@ -102,12 +206,16 @@ def with_shapley(df: DataFrame, classifier: Classifier, background: DataFrame, d
         centred = F.zip_with(F.col("features"), means, lambda x, m: x - m)
         return df.withColumn("shapley", F.zip_with(centred, weights, lambda x, w: x * w))
 
+    if method == "path":
+        return _with_path_shapley(df, classifier.model, background, d)
     leaves: list[_Leaf] = []
     model = classifier.model
     for tree in zip(model.feature, model.threshold, model.value):
         for value, path, _ in tree_leaves(*tree):
             if not path:
                 continue
+            if len(path) > MOST_CONDITIONS:
+                raise ValueError(f"{len(path)} features on a path: use method='path'")
             features = np.array(sorted(path))
             low = np.array([path[f][0] for f in features])
             high = np.array([path[f][1] for f in features])

@@ -69,6 +69,28 @@ def attribution_facts(spark, folder):
     return out
 
 
+@query(
+    "path_attribution_facts",
+    """SELECT 5::INT AS depth, 0::BIGINT AS n_wrong, count(*) AS n_rows FROM embeddings
+    UNION ALL SELECT 12, 0, count(*) FROM embeddings""",
+)
+def path_facts(spark, folder):
+    """Values by path shares sum to a row's score minus the mean score of the background, for shallow and deep trees."""
+    train, test, preparation = _planted(spark, folder)
+    out = None
+    for depth, trees in ((5, 200), (12, 40)):
+        model = fit_classifier(train, trees=trees, depth=depth)
+        odds = F.log(F.col("p") / (1 - F.col("p")))
+        mean = model.score(train).agg(F.avg(odds)).first()[0]
+        explained = with_shapley(model.score(train.unionByName(test)), model, train, len(preparation.names), "path")
+        total = F.aggregate("shapley", F.lit(0.0), lambda a, b: a + b)
+        one = explained.agg(
+            F.lit(depth).alias("depth"), F.count_if(F.abs(total - (odds - F.lit(mean))) > 1e-6).alias("n_wrong"), F.count(F.lit(1)).alias("n_rows")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "boosting_facts",
     f"""WITH r AS (SELECT vec_id, CASE WHEN {h('y', 'vec_id')} < 0.12e0 THEN 1 ELSE 0 END AS y, vec_id % 5 + 1 AS w FROM embeddings),
