@@ -12,7 +12,7 @@ from ..session import write_table
 from .joins import fits_broadcast, lookup_join
 from .ordering import running_totals
 from .schema import numeric_feature_columns
-from .selection import stratified_split
+from .selection import split_by_group, stratified_split
 
 
 def value_codes(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -88,15 +88,18 @@ def _encoded(df: DataFrame, numeric, categorical, codes) -> DataFrame:
     return ordinal_encode(df, codes, list(categorical)) if categorical else df
 
 
-def prepare(df: DataFrame, categorical: list[str] | tuple = (), seed=42, test_size: float = 0.25) -> tuple[DataFrame, Preparation]:
+def prepare(df: DataFrame, categorical: list[str] | tuple = (), seed=42, test_size: float = 0.25,
+            split_by: str = "row") -> tuple[DataFrame, Preparation]:
     """Split rows, fit encoder and scaler on the train side, and return the model rows.
 
     Result columns: row_id, user_id, y, split, features. The frame is written once, because
-    every later stage reads it.
+    every later stage reads it. ``split_by`` is ``row``, or ``user`` to keep all rows of a user on one side.
     """
+    if split_by not in ("row", "user"):
+        raise ValueError(f"unknown split {split_by!r}")
     categorical = [c for c in categorical if c in df.columns]
     numeric = [c for c in numeric_feature_columns(df) if c not in categorical]
-    split = stratified_split(df, seed, test_size)
+    split = split_by_group(df, "user_id", seed, test_size) if split_by == "user" else stratified_split(df, seed, test_size)
     train = split.filter(F.col("split") == "train")
     codes = value_codes(train, categorical) if categorical else None
     encoded = _encoded(split, numeric, categorical, codes)

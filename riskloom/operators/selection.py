@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32
+from ..session import write_table
+from .joins import lookup_join
 
 LOW_BITS = 1 << 16
 
@@ -110,3 +112,46 @@ def stratified_split(df: DataFrame, seed=42, test_size: float = 0.25, label: str
     for c, predicate in chosen.items():
         is_test = is_test | ((F.col(label) == F.lit(c)) & predicate)
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
+
+
+def split_by_group(df: DataFrame, group: str = "user_id", seed=42, test_size: float = 0.25, label: str = "y") -> DataFrame:
+    """Add ``split`` ('train' / 'test') so that all rows of a group are on one side; the draw is seeded.
+
+    Groups with a row of the largest label and the others are drawn apart, in the order of a hash of the group, until the test side has its
+    share of the rows. What one stratum has too many or too few is made up for in the next, so the test side is off by less than one largest group.
+    The cut-off comes from a histogram of rows over 16 bits of the hash and a second one in one bucket; groups with equal hashes count as
+    one. Rows are joined with the sides of their groups, split further where a group is hot. Rows without a group are one group, rows
+    without a label count as label 0. A side that would be empty raises, and so does a single group.
+    """
+    keyed = df.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit("")))
+    sizes = write_table(
+        keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(label), F.lit(0)).cast("double").alias("s"))
+        .withColumn("h", hash32(seed, "split", "_group")), "groups",
+    )
+    buckets = _counts(sizes.groupBy("s", F.floor(F.col("h") / LOW_BITS).alias("b")).agg(F.sum("n")))
+    owed, cuts = 0.0, {}
+    for s in sorted(buckets, reverse=True):
+        want = test_size * sum(n for _, n in buckets[s]) + owed
+        taken = 0
+        for b, n in sorted(buckets[s]):
+            if taken + n > want:
+                break
+            taken += n
+        else:
+            cuts[s], owed = (1 << 32) - 1, want - taken
+            continue
+        cuts[s] = b * LOW_BITS - 1
+        inside = sizes.filter((F.col("s") == s) & (F.floor(F.col("h") / LOW_BITS) == b)).groupBy("s", "h").agg(F.sum("n"))
+        for value, n in sorted(_counts(inside)[s]):
+            if taken + n - want > want - taken:  # without this group it is nearer
+                break
+            taken, cuts[s] = taken + n, value
+        owed = want - taken
+    is_test = F.lit(False)
+    for s, cut in cuts.items():
+        is_test = is_test | ((F.col("s") == s) & (F.col("h") <= cut))
+    sides = write_table(sizes.select("_group", is_test.alias("_test")), "sides")
+    if sides.agg(F.count_distinct("_test")).first()[0] < 2:
+        raise ValueError("too few groups to split")
+    joined = lookup_join(keyed, sides, "_group", counted=keyed.select("_group"))
+    return joined.select(*df.drop("split").columns, F.when(F.col("_test"), "test").otherwise("train").alias("split"))

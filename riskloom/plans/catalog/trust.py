@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.hashing import uniform
+from ...functions.scalars import flag
 from ...operators.anomaly import anomaly_threshold, reconstruction_error, with_anomaly_flag
 from ...operators.corrupt import feature_noise, feature_poison, label_noise, label_poison
 from ...operators.events import resolve_events, row_features, rule_label
@@ -12,7 +13,7 @@ from ...operators.learn import confusion_metrics, evaluate
 from ...operators.monitor import ks_drift, overfit_flags
 from ...operators.prep import Scaler, ordinal_encode, value_codes
 from ...operators.respond import decide, threat_level_counts
-from ...operators.selection import stratified_split
+from ...operators.selection import split_by_group, stratified_split
 from ...operators.trust import (
     init_trust,
     log_loss,
@@ -26,7 +27,7 @@ from ...operators.trust import (
 from ...session import write_table
 from ..adapters import SEED, drift_table, event_table, given_scores, planted_signal
 from .features import KS_CTE
-from .registry import EVENT_CTE, FEATURE_CTE, RISK, SCORE_CTE, h, normal_sql, query, r6, rounded
+from .registry import EVENT_CTE, FEATURE_CTE, RISK, SCORE_CTE, h, h32, normal_sql, query, r6, rounded
 
 LOSS = """(CASE WHEN y = 1 THEN -ln(greatest(1e-7, least(1 - 1e-7, p))) ELSE -ln(1 - greatest(1e-7, least(1 - 1e-7, p))) END)"""
 
@@ -353,3 +354,19 @@ def decisions(spark, folder):
 )
 def level_counts(spark, folder):
     return threat_level_counts(decide(given_scores(spark, folder), 0.8))
+
+
+@query(
+    "split_by_user",
+    f"""WITH g AS (SELECT user_id::VARCHAR AS user_id, count(*) AS n, max(CASE WHEN {h('y', 'user_id')} < 0.2e0 THEN 1 ELSE 0 END) AS s,
+        any_value({h32('split', 'user_id')}) AS k FROM events GROUP BY user_id),
+      r AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY k) AS upto FROM g),
+      a AS (SELECT 0.25e0 * coalesce(sum(n) FILTER (s = 1), 0) AS want1, 0.25e0 * coalesce(sum(n) FILTER (s = 0), 0) AS want0 FROM g),
+      t AS (SELECT coalesce(sum(n), 0) AS taken FROM r, a WHERE s = 1 AND upto - n / 2e0 <= want1)
+    SELECT user_id, s AS y, n, CASE WHEN upto - n / 2e0 <= CASE WHEN s = 1 THEN want1 ELSE want0 + want1 - taken END THEN 'test' ELSE 'train' END AS split
+    FROM r, a, t""",
+)
+def user_split(spark, folder):
+    """All events of a user on one side; users with and without a seeded label apart."""
+    rows = event_table(spark, folder).select("row_id", "user_id").withColumn("y", flag(uniform(SEED, "y", "user_id") < 0.2))
+    return split_by_group(rows, "user_id", SEED).groupBy("user_id", "split").agg(F.max("y").alias("y"), F.count(F.lit(1)).alias("n"))

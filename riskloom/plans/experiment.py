@@ -34,6 +34,7 @@ class Settings:
     classifier: str = "trees"
     trees: int = 200
     depth: int = 5
+    split_by: str = "row"  # row, or user: no user on both sides
     score_on: str = "clean"  # rows the anomaly scores of the trust updates come from: clean or poisoned
 
     def fit_options(self) -> dict:
@@ -69,7 +70,7 @@ def with_noise(frame: DataFrame, s: Settings) -> tuple[DataFrame, int]:
 def dataset_facts(frame: DataFrame, meta: dict, settings: Settings = Settings()) -> DataFrame:
     """One row of facts about the data set as a run would see it; no model is needed for them."""
     noisy, flips = with_noise(frame, settings)
-    prepared, preparation = prepare(noisy, meta.get("categorical", []), settings.seed)
+    prepared, preparation = prepare(noisy, meta.get("categorical", []), settings.seed, split_by=settings.split_by)
     return _meta(prepared, meta, preparation, settings, flips)
 
 
@@ -81,7 +82,7 @@ def run_experiment(frame: DataFrame, meta: dict, settings: Settings = Settings()
     """
     s = settings
     frame, n_flips = with_noise(frame, s)
-    prepared, preparation = prepare(frame, meta.get("categorical", []), s.seed)
+    prepared, preparation = prepare(frame, meta.get("categorical", []), s.seed, split_by=s.split_by)
     d = len(preparation.names)
 
     benign = benign_subset(prepared.filter(F.col("split") == "train"))

@@ -11,7 +11,7 @@ from riskloom.functions.hashing import uniform_scalar
 from riskloom.operators import quantile, selection
 from riskloom.operators.ordering import as_of_join, running_totals
 from riskloom.operators.quantile import exact_percentile, exact_percentiles
-from riskloom.operators.selection import random_k, split_quotas, stratified_split
+from riskloom.operators.selection import random_k, split_by_group, split_quotas, stratified_split
 
 
 @pytest.mark.parametrize("k", [0, 1, 137, 999, 1000, 2000])
@@ -136,3 +136,44 @@ def test_as_of_join_against_brute_force(spark):
     assert got.count() == len(rows)
     assert as_of_join(left, right.limit(0), "k", "t", "value", version_time="at").filter("value is not null").isEmpty()
     assert as_of_join(left.limit(0), right, "k", "t", "value", version_time="at").isEmpty()
+
+
+@pytest.fixture(scope="module")
+def owned(spark):
+    """Users of 1 to 40 rows and one with a third of all rows; labels by user."""
+    rng = np.random.default_rng(8)
+    users = [f"u{k}" for k, n in enumerate(rng.integers(1, 40, 120)) for _ in range(n)]
+    users += ["hot"] * (len(users) // 2) + [None] * 7
+    rows = [(i, u, None if u is None else int(u.endswith("7"))) for i, u in enumerate(users)]
+    return spark.createDataFrame(rows, "row_id long, user_id string, y int").cache()
+
+
+def test_split_by_group_keeps_users_whole(owned):
+    largest = owned.groupBy("user_id").count().agg(F.max("count")).first()[0]
+    total = owned.count()
+    for seed in range(4):
+        split = split_by_group(owned, seed=seed)
+        assert split.columns == [*owned.columns, "split"] and split.count() == total
+        assert split.groupBy("user_id").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
+        assert abs(split.filter("split = 'test'").count() - 0.25 * total) < largest
+
+
+def test_split_by_group_is_exact_without_hot_users(owned):
+    small = owned.filter("user_id <> 'hot'")
+    split = split_by_group(small)
+    assert abs(split.filter("split = 'test'").count() - 0.25 * small.count()) <= 20
+    sides = {(r.split, r.y) for r in split.filter("y is not null").collect()}
+    assert len(sides) == 4
+
+
+def test_split_by_group_does_not_depend_on_partitions(owned):
+    one, many = ({r.row_id: r.split for r in split_by_group(owned.repartition(n)).collect()} for n in (1, 9))
+    assert one == many
+    again = split_by_group(split_by_group(owned))
+    assert {r.row_id: r.split for r in again.collect()} == one
+
+
+def test_split_by_group_raises_on_one_group(owned):
+    for rows in (owned.filter("user_id = 'hot'"), owned.limit(0)):
+        with pytest.raises(ValueError):
+            split_by_group(rows)
