@@ -10,7 +10,7 @@ from ...operators.anomaly import anomaly_threshold, fit_linear
 from ...operators.events import login_counts
 from ...operators.prep import prepare
 from ...operators.respond import decide, trust_at
-from ...operators.trust import trust_map, trust_training
+from ...operators.trust import log_loss, trust_map, trust_training
 from ...session import write_table
 from ...sources.streams import dead_letters, message_events, parquet_stream
 from ...streaming.activity import (
@@ -23,7 +23,7 @@ from ...streaming.activity import (
     stream_sessions,
     user_activity,
 )
-from ...streaming.scoring import batch_user_trust, stream_risk_scoring, stream_user_trust, trust_changes
+from ...streaming.scoring import batch_user_trust, loss_profiles, loss_sketches, stream_risk_scoring, stream_user_trust, trust_changes
 from ..adapters import SEED, activity_stream_columns, event_columns, labelled_events, scored_activity, table
 from .learning import SETTINGS
 from .registry import EVENT_CTE, h, query, r6, rounded
@@ -197,6 +197,36 @@ def timed_decisions(spark, folder):
     return rounded(decide(trust_at(rows, versions), 0.8).select("row_id", "user_id", "trust", "risk_score"))
 
 
+PROFILE_SLACK = 0.015
+
+
+@query(
+    "stream_loss_profiles",
+    f"""WITH d AS (SELECT date_trunc('day', ts) + INTERVAL 1 DAY AS w FROM events),
+      c AS (SELECT w, count(*) AS n FROM d WHERE w <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY w),
+      t AS (SELECT DISTINCT unnest([w, w + INTERVAL 1 DAY]) AS t FROM c)
+    SELECT strftime(t, {SQL_STAMP}) AS window_end, sum(n)::BIGINT AS n_earlier, 0 AS n_wrong
+    FROM t JOIN c ON w < t AND w >= t - INTERVAL 7 DAY GROUP BY t""",
+)
+def profiles_stream(spark, folder):
+    """Percentile and mean loss ahead of every window, from the sketches that the stream left for the windows it closed.
+
+    ``n_wrong`` counts which of the two is off by more than 0.015 (of the rank, of the mean) against all losses themselves.
+    """
+    sketches = run_to_table(loss_sketches(scored_activity(_stream(spark, folder))), "sketches")
+    profiles = write_table(loss_profiles(sketches), "profiles")
+    events = scored_activity(table(spark, folder, "events")).select(F.window("ts", "1 day")["end"].alias("of"), log_loss(F.col("p"), F.col("y")).alias("loss"))
+    closed = events.join(F.broadcast(sketches.select(F.col("window_end").alias("of"))), "of", "left_semi")
+    later = closed.withColumn("window_end", F.explode(F.expr("sequence(of + interval 1 day, of + interval 7 days, interval 1 day)")))
+    exact = later.join(F.broadcast(profiles), "window_end").groupBy("window_end").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("loss") <= F.col("high")).alias("below"),
+        F.avg(F.least(F.lit(1.0), F.col("loss") / F.col("high"))).alias("exact_mean"),
+    )
+    off = [F.abs(F.col("below") / F.col("n") - 0.9) > PROFILE_SLACK, F.abs(F.col("mean") - F.col("exact_mean")) > PROFILE_SLACK, F.col("n") != F.col("n_earlier")]
+    rows = profiles.join(F.broadcast(exact), "window_end", "left").withColumn("n_wrong", sum(F.coalesce(o, F.lit(True)).cast("int") for o in off))
+    return _stamped(rows.select("window_end", "n_earlier", "n_wrong"), "window_end")
+
+
 @query("batch_user_trust", f"WITH {TRUST_CTE} SELECT user_id, count(*) AS n_windows, round({FOLD}, 6) AS trust FROM c GROUP BY user_id")
 def trust_batch(spark, folder):
     return rounded(batch_user_trust(trust_changes(scored_activity(table(spark, folder, "events")), HIGH, MEAN, 0.8)))

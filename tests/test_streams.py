@@ -26,7 +26,9 @@ from riskloom.streaming.activity import (
     stream_sessions,
     user_activity,
 )
-from riskloom.streaming.scoring import batch_user_trust, respond_to_stream, stream_user_trust, trust_changes
+from riskloom.operators.trust import log_loss
+from riskloom.session import write_table
+from riskloom.streaming.scoring import batch_user_trust, loss_profiles, loss_sketches, respond_to_stream, stream_user_trust, trust_changes
 
 START = datetime.datetime(2024, 1, 1)
 KINDS = ["logon", "logoff", "device", "email", "file"]
@@ -182,3 +184,47 @@ def test_stream_scoring_takes_trust_of_all_rounds(spark, monkeypatch):
     want = {r.user_id: pytest.approx(r.trust, abs=1e-6) for r in trust_map(state).collect()}
     assert len(seen) == 3 and all(trust == want for trust in seen)
     assert min(seen[0].values()) < 1
+
+
+def test_loss_profiles_follow_the_windows_ahead(spark, events):
+    """Percentile and mean of the two windows ahead, against the losses themselves; no row counts in its own window."""
+    length = datetime.timedelta(hours=12)
+    profiles = {r.window_end: r for r in loss_profiles(loss_sketches(events, "12 hours"), "12 hours", before=2).collect()}
+    rows = [(r.e, r.loss) for r in events.select(F.window("ts", "12 hours")["end"].alias("e"), log_loss(F.col("p"), F.col("y")).alias("loss")).collect()]
+    ends = sorted({e for e, _ in rows})
+    assert set(profiles) == {*ends[1:], ends[-1] + length}
+    for end, found in profiles.items():
+        ahead = sorted(x for e, x in rows if end - 2 * length <= e < end)
+        assert found.n_earlier == len(ahead)
+        assert abs(sum(x <= found.high for x in ahead) / len(ahead) - 0.9) < 0.02
+        assert abs(sum(min(1, x / found.high) for x in ahead) / len(ahead) - found.mean) < 0.01
+
+
+def test_trust_changes_take_the_profile_of_their_window(spark, events, folder):
+    """The stream agrees with a plain sum; windows without a profile take the numbers given."""
+    profiles = write_table(loss_profiles(loss_sketches(events, "12 hours"), "12 hours"), "profiles")
+    options = dict(high=2.0, mean=0.3, threshold=0.8, length="12 hours", profiles=profiles)
+    got = {(r.user_id, r.window_end): (r.change, r.n) for r in run_to_table(trust_changes(stream(spark, events, folder), **options), "c").collect()}
+    known = {r.window_end: (r.high, r.mean) for r in profiles.collect()}
+    want = {}
+    for r in events.select("*", F.window("ts", "12 hours")["end"].alias("e"), log_loss(F.col("p"), F.col("y")).alias("loss")).collect():
+        high, mean = known.get(r.e, (2.0, 0.3))
+        step = 0.06 if r.y == 0 and r.err > 0.8 else 0.03 if r.y == 1 and r.err <= 0.8 else 0.0
+        change, n = want.get((r.user_id, r.e), (0.0, 0))
+        want[r.user_id, r.e] = (change + 0.12 * (min(1, max(0, r.loss / high)) - mean) + step, n + 1)
+    limit = events.agg(F.max("ts")).first()[0] - datetime.timedelta(hours=1)
+    want = {k: v for k, v in want.items() if k[1] <= limit}
+    assert set(got) == set(want)
+    assert all(got[k] == (pytest.approx(want[k][0]), want[k][1]) for k in want)
+
+
+def test_profiles_without_losses(spark):
+    """Rows without a loss do not count; a table without any gives no profile."""
+    schema = "ts timestamp, p double, y int"
+    none = spark.createDataFrame([(START, None, 1), (START, 0.5, None)], schema)
+    assert loss_profiles(loss_sketches(none)).count() == 0
+    assert loss_profiles(loss_sketches(none.limit(0))).count() == 0
+    some = none.unionByName(spark.createDataFrame([(START, 0.5, 1)] * 3, schema))
+    found = loss_profiles(loss_sketches(some)).collect()
+    assert len(found) == 1 and found[0].n_earlier == 3 and found[0].high == pytest.approx(0.693147, abs=1e-5)
+    assert found[0].mean == pytest.approx(1.0)
