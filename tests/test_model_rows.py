@@ -62,6 +62,16 @@ def test_prepare_encodes_and_scales(spark):
     assert all(np.allclose(again[r.row_id], r.features) for r in prepared.collect())
 
 
+def test_prepare_can_keep_users_whole(spark):
+    data = [(i, f"u{i % 20}", float(i), i % 20 % 2) for i in range(200)]
+    frame = spark.createDataFrame(data, "row_id long, user_id string, v double, y int")
+    prepared, _ = prepare(frame, split_by="user")
+    assert prepared.groupBy("user_id").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
+    assert 40 <= prepared.filter("split = 'test'").count() <= 60
+    with pytest.raises(ValueError, match="unknown split"):
+        prepare(frame, split_by="day")
+
+
 def test_unseen_category_is_minus_one(spark):
     data = [(i, f"u{i}", "b" if i % 2 else "a", float(i), i % 2) for i in range(40)]
     frame = spark.createDataFrame(data, "row_id long, user_id string, action string, v double, y int")
