@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,9 @@ from ..functions.vocabulary import OVERFIT_MESSAGE, OVERFIT_SUMMARY
 from ..session import write_table
 from .ordering import running_totals
 
-EXACT_ROWS = 200_000
 SERIES_TERMS = 100
+PI = Decimal("3.14159265358979323846264338327950288419716939937510582097")
+STIRLING = ((1, 12, 1), (-1, 360, 3), (1, 1260, 5), (-1, 1680, 7), (1, 1188, 9))
 
 
 def ks_statistics(df: DataFrame, names: list[str], current: Column, features: str = "features") -> DataFrame:
@@ -67,43 +69,69 @@ def ks_series_p(d: Column, n1: Column, n2: Column) -> Column:
     return F.when(z2 < 0.01, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
+def _log_factorial(n: int) -> Decimal:
+    """Logarithm of n! to some 28 digits, as a difference of such logarithms must keep those behind the point."""
+    if n < 256:
+        return Decimal(math.factorial(n)).ln()
+    x = Decimal(n)
+    series = sum(Decimal(top) / Decimal(bottom) / x**power for top, bottom, power in STIRLING)
+    return (x + Decimal("0.5")) * x.ln() - x + (2 * PI).ln() / 2 + series
+
+
 def _ks_exact_p(d: float, n1: int, n2: int) -> float:
-    """Share of lattice paths from (0,0) to (n1,n2) that reach the distance d."""
-    n1, n2 = sorted((n1, n2))  # the loop runs over the smaller side
+    """Share of lattice paths from (0,0) to (n1,n2) that reach the distance d.
+
+    Paths are counted from one diagonal i + j = s to the next, only at the places nearer than d, so time is (rows of both sides) x (places
+    on a diagonal, at most 2 d n1) and memory the latter. A step in j counts n2 / n1 times, which keeps all counts of a diagonal in the
+    range of doubles. Where the distance is so large that the share is proven to be below the rounding of these sums (by the bound of
+    Dvoretzky, Kiefer, Wolfowitz and Massart for each side) it is 0 without them; so a diagonal has at most some ten times sqrt(n1) places.
+    """
+    n1, n2 = sorted((n1, n2))
     g = math.gcd(n1, n2)
     a, b = n2 // g, n1 // g
     h = round(d * a * n1)
     if h == 0:
         return 1.0
-    rows = np.zeros(n2 + 1)
-    inside = np.arange(n2 + 1)
-    rows[(inside * b < h)] = 1.0
-    log_scale = 0.0
-    for i in range(1, n1 + 1):
-        low = max(0, math.floor((i * a - h) / b) + 1)
-        high = min(n2, math.ceil((i * a + h) / b) - 1)
-        if low > high:
+    if 4 * math.exp(-2 * d * d * n1 * n2 / (math.sqrt(n1) + math.sqrt(n2)) ** 2) < (n1 + n2) * 2.0**-53:
+        return 0.0
+    ratio = n2 / n1
+    steps = max(1, int(500 / math.log2(1 + ratio)))  # diagonals without a change of the unit
+    size = 2 * min(n1 + 1, 2 * h // (a + b) + 2) + steps + 2
+    here, there = np.zeros(size), np.zeros(size)  # here[i - start]: counts at (i, s - i) in units of 2**bits, with a zero on either side
+    here[1] = 1.0
+    start, bits = -1, 0
+    for first in range(1, n1 + n2 + 1, steps):
+        s = np.arange(first, min(first + steps, n1 + n2 + 1))
+        low = np.maximum(np.maximum(0, s - n2), (s * b - h) // (a + b) + 1)
+        high = np.minimum(np.minimum(n1, s), (s * b + h - 1) // (a + b))
+        if (low > high).any():
             return 1.0
-        band = np.cumsum(rows[low : high + 1])
-        rows[:] = 0.0
-        rows[low : high + 1] = band
-        top = band[-1]
-        if top == 0.0:
+        shift = int(low[0]) - 2 - start
+        if int(high[-1]) + 1 - start >= size:  # what is left goes to the front
+            here[: size - shift] = here[shift:].copy()
+            here[size - shift :] = 0.0
+            start += shift
+        for lower, upper in zip((low - start).tolist(), (high - start + 1).tolist()):
+            new = there[lower:upper]
+            np.multiply(here[lower:upper], ratio, out=new)
+            new += here[lower - 1 : upper - 1]
+            there[lower - 1] = there[upper] = 0.0
+            here, there = there, here
+        top = here[lower:upper].max()
+        if top <= 0.0:
             return 1.0
-        if top > 1e200:
-            rows /= top
-            log_scale += math.log(top)
-    if rows[n2] <= 0.0:
-        return 1.0
-    log_total = math.lgamma(n1 + n2 + 1) - math.lgamma(n1 + 1) - math.lgamma(n2 + 1)
-    return min(1.0, max(0.0, 1.0 - math.exp(math.log(rows[n2]) + log_scale - log_total)))
+        unit = math.frexp(top)[1]
+        here[lower:upper] *= 2.0**-unit
+        bits += unit
+    with localcontext(prec=50):
+        total = _log_factorial(n1 + n2) - _log_factorial(n1) - _log_factorial(n2)
+        inside = float(Decimal(float(here[n1 - start])).ln() + bits * Decimal(2).ln() - n2 * Decimal(ratio).ln() - total)
+    return min(1.0, max(0.0, -math.expm1(inside)))
 
 
 @F.pandas_udf(T.DoubleType())
 def ks_exact_p(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    """Exact p-value, one row per feature; raises where a side has too many rows for it."""
-    if len(d) and max(n1.max(), n2.max()) > EXACT_ROWS:
-        raise ValueError(f"exact p-values need {EXACT_ROWS} rows or fewer on a side; use the asymptotic method")
+    """Exact p-value, one row per feature."""
     return pd.Series([_ks_exact_p(float(x), int(m), int(n)) for x, m, n in zip(d, n1, n2)], dtype="float64")
 
 
@@ -111,12 +139,14 @@ def ks_drift(df: DataFrame, names: list[str], current: Column, alpha: float = 0.
              method: str = "asymptotic") -> DataFrame:
     """Distance, p-value and drift flag per feature.
 
-    ``method`` names how p-values are found, at every size: ``asymptotic``, or ``exact`` (lattice paths), which raises with more
-    than 200,000 rows on a side.
+    ``method`` names how p-values are found, at every size: ``asymptotic``, or ``exact`` (lattice paths), whose time for a feature grows
+    with the rows of a side to the power 1.5; every feature is a task of its own.
     """
     if method not in ("asymptotic", "exact"):
         raise ValueError(f"unknown method {method!r}")
     stats = ks_statistics(df, names, current, features)
+    if method == "exact":  # a row a feature, written for the sampling of the ranges
+        stats = write_table(stats, "distances").repartitionByRange(max(1, len(names)), "feature")
     d, n1, n2 = F.col("ks_statistic"), F.col("n1").cast("double"), F.col("n2").cast("double")
     p = ks_exact_p(d, F.col("n1"), F.col("n2")) if method == "exact" else ks_series_p(d, n1, n2)
     p = F.when(F.col("constant"), 1.0).otherwise(p)

@@ -49,6 +49,20 @@ def test_exact_p_of_large_samples_is_near_the_series():
     assert _ks_exact_p(d, n1, n2) == pytest.approx(series, rel=0.1)
 
 
+def test_exact_p_beyond_200000_rows_on_a_side(spark):
+    """Sides of equal size have a closed form by reflection; other sizes run through the query's path."""
+    n, k = 1_000_000, 1200
+    ratios = [1.0]
+    for j in range(1, 10 * k + 1):  # C(2n, n - j) / C(2n, n)
+        ratios.append(ratios[-1] * (n - j + 1) / (n + j))
+    assert _ks_exact_p(k / n, n, n) == pytest.approx(2 * sum((-1) ** (j - 1) * ratios[j * k] for j in range(1, 11)), abs=1e-9)
+    assert _ks_exact_p(0.5, n, n + 1) == 0.0
+    m = F.col("id")
+    df = spark.range(430_000).select((m % 2).cast("int").alias("side"), F.array((m % 1009).cast("double"), F.floor(m / 2) % 7 + 3.0 * (m % 2)).alias("features"))
+    got = {r.feature: r for r in ks_drift(df, ["same", "moved"], F.col("side"), method="exact").collect()}
+    assert got["same"].p_value > 0.99 and got["moved"].p_value == 0.0 and got["moved"].drift_flag
+
+
 def test_drift_of_features(spark):
     rng = np.random.default_rng(3)
     a = np.round(rng.normal(size=(200, 3)), 1)
