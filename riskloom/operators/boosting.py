@@ -1,29 +1,34 @@
-"""Second-order boosting of regression trees on histograms, one barrier stage a fit."""
+"""Second-order boosting of regression trees on histograms: one task for a small table, else a job a level over cached blocks."""
 
 from __future__ import annotations
 
-import base64
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import BarrierTaskContext
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 256
 CELL_BITS = 18
-ROWS_A_TASK = 4_000_000
-MOST_TASKS = 32
-BLOCK_ROWS = 1 << 16
+ONE_TASK_ROWS = 2_000_000
+TASK_ROWS = 250_000
+MOST_TASKS = 64
+BLOCK_ROWS = 1 << 18
+COUNT_ROWS = 1 << 16
+MOST_CELLS = 1 << 20  # cells of the histograms that are measured at a time
+REBASE_TREES = 50
 LEAST_HESSIAN = 1.0
 LEAST_GAIN = 1e-6
 
 _NODES = "tree int, node int, feature int, threshold double, value double, g double, h double"
+_BLOCK = "bins binary, y binary, w binary, key binary, margin binary"
 
 
 @dataclass(frozen=True)
@@ -46,14 +51,22 @@ class Trees:
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of class 1 for each row."""
         out = np.full(len(x), self.base)
-        rows = np.arange(len(x))
+        flat, first = np.ascontiguousarray(x, np.float64).ravel(), np.arange(len(x)) * (x.shape[1] if x.ndim > 1 else 1)
+        inner = (1 << self.depth) - 1
         for feature, threshold, value in zip(self.feature, self.threshold, self.value):
+            # a leaf above the last level hands its value down to both sides
+            feature, value = feature.astype(np.int64), value.copy()
+            for node in np.flatnonzero(feature[:inner] < 0):
+                feature[node] = 0
+                value[2 * node + 1] = value[2 * node + 2] = value[node]
+                feature[2 * node + 1] = feature[2 * node + 2] = -1
             at = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
-                f = feature[at]
-                right = x[rows, np.maximum(f, 0)] > threshold[at]
-                at = np.where(f < 0, at, 2 * at + 1 + right)
-            out += value[at]
+                right = flat.take(first + feature.take(at)) > threshold.take(at)
+                at *= 2
+                at += 1
+                at += right
+            out += value.take(at)
         return out
 
     def probability(self, features: Column) -> Column:
@@ -109,22 +122,6 @@ def thresholds(df: DataFrame, d: int, bins: int = BINS) -> list[np.ndarray]:
     return out
 
 
-class _Together:
-    """Sums over the tasks of a barrier stage. The summands are whole numbers below 2**53, so the order does not matter."""
-
-    def __init__(self, tasks: int):
-        self.context = BarrierTaskContext.get() if tasks > 1 else None
-
-    def __call__(self, values: np.ndarray) -> np.ndarray:
-        if self.context is None:
-            return values
-        message = base64.b64encode(zlib.compress(values.tobytes(), 1)).decode()
-        total = np.zeros(values.size)
-        for other in self.context.allGather(message):
-            total += np.frombuffer(zlib.decompress(base64.b64decode(other)))
-        return total.reshape(values.shape)
-
-
 def _uniform(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """A draw in [0, 1) for each row key and tree."""
     h = keys + np.uint64((seed * 0x9E3779B97F4A7C15 + tree * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & (1 << 64) - 1)
@@ -133,84 +130,244 @@ def _uniform(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))).astype(np.float64) / 2.0**64
 
 
-def _histogram(bins: np.ndarray, columns: np.ndarray, place: np.ndarray, g: np.ndarray, h: np.ndarray, nodes: int, width: int) -> np.ndarray:
-    """[gradient or hessian, node, column, bin] sums over the rows with a place."""
-    out = np.zeros((2, nodes * len(columns) * width))
-    offset = np.arange(len(columns)) * width
-    for low in range(0, len(place), BLOCK_ROWS):
-        part = slice(low, low + BLOCK_ROWS)
-        here = np.flatnonzero((place[part] >= 0) & (h[part] != 0))
-        at = (place[part][here, None] * (len(columns) * width) + bins[part][here][:, columns] + offset).ravel()
-        for total, weights in zip(out, (g, h)):
-            total += np.bincount(at, np.repeat(weights[part][here], len(columns)), total.size)
-    return out.reshape(2, nodes, len(columns), width)
+@dataclass(frozen=True)
+class _Plan:
+    """What all trees of a fit have in common."""
 
+    cuts: list[np.ndarray]
+    base: float
+    scale: float
+    trees: int
+    depth: int
+    rate: float
+    share: float
+    penalty: float
+    seed: int
+
+    @property
+    def width(self) -> int:
+        return max(map(len, self.cuts)) + 1
+
+    @property
+    def size(self) -> int:
+        return (1 << (self.depth + 1)) - 1
+
+    def columns(self, tree: int) -> np.ndarray:
+        d = len(self.cuts)
+        return np.sort(np.random.default_rng([self.seed, tree]).choice(d, max(1, int(self.share * d)), replace=False))
+
+
+class _Rows:
+    """Some rows: bins [feature, row], label, weight, key and log-odds so far; while a tree grows also gradients and the node of each row."""
+
+    def __init__(self, bins: np.ndarray, y: np.ndarray, weight: np.ndarray, keys: np.ndarray, margin: np.ndarray):
+        self.bins, self.y, self.weight, self.keys, self.margin = bins, y, weight, keys, margin
+        self.rows = np.arange(len(y))
+
+    def start(self, tree: int, plan: _Plan) -> None:
+        p = 1.0 / (1.0 + np.exp(-self.margin))
+        drawn = self.weight * (_uniform(self.keys, tree, plan.seed) < plan.share) * plan.scale
+        self.g, self.h = np.rint((p - self.y) * drawn), np.rint(np.maximum(p * (1 - p), 1e-16) * drawn)
+        self.at = np.zeros(len(self.y), np.int64)
+
+    def loss(self, plan: _Plan) -> np.ndarray:
+        """Summed loss and weight, both in whole units."""
+        loss = np.logaddexp(0.0, np.where(self.y > 0, -self.margin, self.margin))
+        return np.array([np.rint(loss * self.weight * plan.scale).sum(), np.rint(self.weight * plan.scale).sum()])
+
+    def descend(self, feature: np.ndarray, bin_: np.ndarray) -> None:
+        """One level down, for the rows whose node is split."""
+        leaf, ids = feature < 0, np.arange(len(feature))
+        first = np.where(leaf, 0, feature) * len(self.y)
+        place = first.take(self.at)
+        place += self.rows
+        beyond = self.bins.ravel().take(place) > np.where(leaf, np.iinfo(self.bins.dtype).max, bin_).take(self.at)
+        self.at = np.where(leaf, ids, 2 * ids + 1).take(self.at)
+        self.at += beyond
+
+    def histogram(self, nodes: np.ndarray, columns: np.ndarray, plan: _Plan) -> np.ndarray:
+        """[gradient or hessian, node, column, bin] sums over the rows in the given nodes."""
+        width, place_of = plan.width, np.full(plan.size, -1)
+        place_of[nodes] = np.arange(len(nodes)) * width
+        out = np.zeros((2, len(columns), len(nodes) * width))
+        place = place_of.take(self.at)
+        here = np.flatnonzero((place >= 0) & (self.h != 0))
+        step = max(COUNT_ROWS, len(nodes) * width)  # a count clears as many cells
+        for low in range(0, len(here), step):
+            part = here[low : low + step]
+            at, g, h = place[part], self.g[part], self.h[part]
+            for k, j in enumerate(columns):
+                cell = at + self.bins[j][part]
+                out[0, k] += np.bincount(cell, g, out.shape[2])
+                out[1, k] += np.bincount(cell, h, out.shape[2])
+        return out.reshape(2, len(columns), len(nodes), width).transpose(0, 2, 1, 3)
+
+    def finish(self, value: np.ndarray) -> None:
+        self.margin = self.margin + value.take(self.at)
+
+
+Node = dict[str, np.ndarray]
+Measure = Callable[[Node, int, np.ndarray], np.ndarray]
+
+
+def _grow(tree: int, plan: _Plan, measure: Measure) -> Node:
+    """The node arrays of one tree. ``measure`` gives the histograms of nodes of a level, summed over all rows in whole units.
+
+    Of two children only the one with the smaller hessian is measured; the other is what is left of their parent. All sums are whole
+    numbers below 2**53, so neither order nor difference changes them.
+    """
+    columns, width, size = plan.columns(tree), plan.width, plan.size
+    may_split = np.arange(width)[None, :] < np.array([len(c) for c in plan.cuts])[columns][:, None]
+    node = {"feature": np.full(size, -1), "bin": np.zeros(size, np.int64), "threshold": np.zeros(size), "g": np.zeros(size), "h": np.zeros(size)}
+    most = max(1, MOST_CELLS // (len(columns) * width))
+    active, parents = np.array([0]), {}
+    for level in range(plan.depth):
+        known: dict[int, np.ndarray] = {}
+        following = []
+        pairs = active.reshape(-1, 2) if level else active.reshape(1, 1)
+        for low in range(0, len(pairs), most):
+            part = pairs[low : low + most]
+            first = part[:, 0] if not level else np.where(node["h"][part[:, 0]] <= node["h"][part[:, 1]], part[:, 0], part[:, 1])
+            for i, hist in zip(first.tolist(), measure(node, level, first).transpose(1, 0, 2, 3)):
+                both = [(i, hist)]
+                if level:
+                    both.append((i + 1 if i % 2 else i - 1, parents.pop((i - 1) // 2) - hist))
+                for k, whole in sorted(both, key=lambda b: b[0]):
+                    if _split(node, k, whole / plan.scale, plan, columns, may_split):
+                        following += [2 * k + 1, 2 * k + 2]
+                        if level + 1 < plan.depth:
+                            known[k] = whole
+        if not following:
+            break
+        active, parents = np.array(following), known
+    node["value"] = np.where(node["feature"] < 0, -plan.rate * node["g"] / (node["h"] + plan.penalty), 0.0)
+    return node
+
+
+def _split(node: Node, i: int, hist: np.ndarray, plan: _Plan, columns: np.ndarray, may_split: np.ndarray) -> bool:
+    """Enter the best split of a node with the histogram [gradient or hessian, column, bin], if it gains anything."""
+    left = np.cumsum(hist, axis=2)
+    all_ = left[:, :, -1:]
+    right = all_ - left
+    if not i:
+        node["g"][0], node["h"][0] = all_[:, 0, 0]
+    gain = _score(left, plan.penalty) + _score(right, plan.penalty) - _score(all_, plan.penalty)
+    gain[~(may_split & (left[1] >= LEAST_HESSIAN) & (right[1] >= LEAST_HESSIAN))] = -np.inf
+    column, cut = divmod(int(gain.argmax()), plan.width)
+    if not gain[column, cut] > LEAST_GAIN:
+        return False
+    f = columns[column]
+    node["feature"][i], node["bin"][i], node["threshold"][i] = f, cut, plan.cuts[f][cut]
+    for name, lower, upper in zip("gh", left[:, column, cut], right[:, column, cut]):
+        node[name][2 * i + 1], node[name][2 * i + 2] = lower, upper
+    return True
 
-def boost(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, keys: np.ndarray, cuts: list[np.ndarray], together, *, base: float, scale: float,
-          trees: int, depth: int, rate: float, share: float, penalty: float, seed: int) -> Iterator[tuple[int, dict[str, np.ndarray], float]]:
-    """(number, node arrays, mean loss before it) of each tree; after the last once more for its loss.
 
-    ``bins`` are this task's rows, ``together`` sums over all tasks, which then take the same decisions.
-    """
-    d, width, size = len(cuts), max(map(len, cuts)) + 1, (1 << (depth + 1)) - 1
-    margin = np.full(len(y), base)
-    open_bins = np.array([len(c) for c in cuts])
-    for tree in range(trees + 1):
-        p = 1.0 / (1.0 + np.exp(-margin))
-        loss = np.where(y > 0, np.logaddexp(0.0, -margin), np.logaddexp(0.0, margin))
-        sums = np.array([np.rint(loss * weight * scale).sum(), np.rint(weight * scale).sum()])
-        if tree == trees:
-            sums = together(sums)
-            yield tree, {}, sums[0] / max(sums[1], 1.0)
+def _score(sums: np.ndarray, penalty: float) -> np.ndarray:
+    return sums[0] ** 2 / (sums[1] + penalty)
+
+
+def _boost_here(rows: _Rows, plan: _Plan) -> Iterator[tuple[int, Node, float]]:
+    """(number, node arrays, mean loss before it) of each tree over rows in memory; after the last once more for its loss."""
+    for tree in range(plan.trees + 1):
+        total, weight = rows.loss(plan)
+        loss = total / max(weight, 1.0)
+        if tree == plan.trees:
+            yield tree, {}, loss
             return
-        drawn = weight * (_uniform(keys, tree, seed) < share)
-        g, h = np.rint((p - y) * drawn * scale), np.rint(np.maximum(p * (1 - p), 1e-16) * drawn * scale)
-        columns = np.sort(np.random.default_rng([seed, tree]).choice(d, max(1, int(share * d)), replace=False))
-        may_split = np.arange(width)[None, :] < open_bins[columns][:, None]
-        node = {"feature": np.full(size, -1), "bin": np.zeros(size, np.int64), "threshold": np.zeros(size), "g": np.zeros(size), "h": np.zeros(size)}
-        at = np.zeros(len(y), np.int64)
-        active = np.array([0])
-        for level in range(depth):
-            place_of = np.full(size, -1)
-            place_of[active] = np.arange(len(active))
-            hist = _histogram(bins, columns, place_of[at], g, h, len(active), width)
-            if not level:  # the loss goes along
-                found = together(np.append(hist.ravel(), sums))
-                hist, sums = found[:-2].reshape(hist.shape), found[-2:]
-            else:
-                hist = together(hist)
-            hist = hist / scale
-            left = np.cumsum(hist, axis=3)
-            all_ = left[:, :, :, -1:]
-            right = all_ - left
-            gain = _score(left, penalty) + _score(right, penalty) - _score(all_, penalty)
-            gain[~(may_split[None] & (left[1] >= LEAST_HESSIAN) & (right[1] >= LEAST_HESSIAN))] = -np.inf
+        rows.start(tree, plan)
+        seen = 0
+
+        def measure(node: Node, level: int, nodes: np.ndarray, tree=tree) -> np.ndarray:
+            nonlocal seen
+            if level > seen:
+                rows.descend(node["feature"], node["bin"])
+                seen = level
+            return rows.histogram(nodes, plan.columns(tree), plan)
+
+        node = _grow(tree, plan, measure)
+        for _ in range(seen, plan.depth):
+            rows.descend(node["feature"], node["bin"])
+        rows.finish(node["value"])
+        yield tree, node, loss
+
+
+def _advance(nodes: list[Node], depth: int, block: tuple) -> tuple:
+    """The block after some more trees."""
+    rows = _Rows(*block)
+    for node in nodes:
+        rows.at = np.zeros(len(rows.y), np.int64)
+        for _ in range(depth):
+            rows.descend(node["feature"], node["bin"])
+        rows.finish(node["value"])
+    return (*block[:4], rows.margin)
+
+
+def _count(tree: int, plan: _Plan, node: Node, level: int, nodes: np.ndarray, blocks: Iterator[tuple]) -> Iterator[bytes]:
+    """Histograms and, for a root, losses over the blocks of a task. Gradients and nodes are worked out again: cheaper than keeping them."""
+    total = None
+    for block in blocks:
+        rows = _Rows(*block)
+        rows.start(tree, plan)
+        for _ in range(level):
+            rows.descend(node["feature"], node["bin"])
+        found = [] if tree == plan.trees else [rows.histogram(nodes, plan.columns(tree), plan).ravel()]
+        found = np.concatenate([*found, [] if level else rows.loss(plan)])
+        total = found if total is None else total + found
+    if total is not None:
+        yield zlib.compress(total.tobytes(), 1)
+
+
+def _boost_apart(blocks: RDD, plan: _Plan) -> Iterator[tuple[int, Node, float]]:
+    """The same over cached blocks, a job for each level of a tree; the driver adds the tasks' histograms and takes the decisions.
+
+    Blocks with the log-odds after a tree are cached in the first job of the next one. A lost block is computed again from the ones
+    before; every ``REBASE_TREES`` trees from the first blocks and all trees, so that a lineage stays short.
+    """
+    blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    state, nodes = blocks, []
+    for tree in range(plan.trees + 1):
+        older = None
+        if tree:
+            older, fresh = state, tree % REBASE_TREES == 0
+            state = (blocks if fresh else state).map(partial(_advance, nodes if fresh else nodes[-1:], plan.depth)).persist(StorageLevel.MEMORY_AND_DISK)
+        sums = np.zeros(2)
+
+        def measure(node: Node, level: int, wanted: np.ndarray, tree=tree, state=state) -> np.ndarray:
+            found = state.mapPartitions(partial(_count, tree, plan, node, level, wanted)).collect()
+            total = sum(np.frombuffer(zlib.decompress(f)) for f in found)
             if not level:
-                node["g"][0], node["h"][0] = all_[:, 0, 0, 0]
-            best = gain.reshape(len(active), -1).argmax(axis=1)
-            column, cut = np.divmod(best, width)
-            number = np.arange(len(active))
-            split = gain[number, column, cut] > LEAST_GAIN
-            for k in np.flatnonzero(split):
-                i, f, b = active[k], columns[column[k]], cut[k]
-                node["feature"][i], node["bin"][i], node["threshold"][i] = f, b, cuts[f][b]
-                for name, lower, upper in zip("gh", left[:, k, column[k], b], right[:, k, column[k], b]):
-                    node[name][2 * i + 1], node[name][2 * i + 2] = lower, upper
-            active = active[split]
-            if not len(active):
-                break
-            feature = node["feature"][at]
-            goes = (feature >= 0) & (place_of[at] >= 0)
-            beyond = bins[np.arange(len(y)), np.maximum(feature, 0)] > node["bin"][at]
-            at = np.where(goes, 2 * at + 1 + beyond, at)
-            active = np.sort(np.append(2 * active + 1, 2 * active + 2))
-        node["value"] = np.where(node["feature"] < 0, -rate * node["g"] / (node["h"] + penalty), 0.0)
-        margin += node["value"][at]
-        yield tree, node, sums[0] / max(sums[1], 1.0)
+                sums[:], total = total[-2:], total[:-2]
+            return total.reshape(2, len(wanted), -1, plan.width) if len(wanted) else total
 
+        if tree == plan.trees:
+            measure({}, 0, np.zeros(0, np.int64))
+        else:
+            nodes.append(_grow(tree, plan, measure))
+        if older is not None and older is not blocks:
+            older.unpersist()
+        yield tree, nodes[-1] if tree < plan.trees else {}, sums[0] / max(sums[1], 1.0)
+    if state is not blocks:
+        state.unpersist()
+    blocks.unpersist()
 
-def _score(sums: np.ndarray, penalty: float) -> np.ndarray:
-    return sums[0] ** 2 / (sums[1] + penalty)
+
+def _table(tree: int, node: Node, loss: float) -> dict[str, pa.Array]:
+    """The used nodes of a tree, and one (-1) with its loss."""
+    used = np.flatnonzero((node["feature"] >= 0) | (node["h"] > 0)) if node else np.zeros(0, np.int64)
+    last = {"feature": -1, "value": loss}
+    columns = {c: np.append(node[c][used] if node else [], [last.get(c, 0)]) for c in ("feature", "threshold", "value", "g", "h")}
+    whole = {"tree": np.full(len(used) + 1, tree), "node": np.append(used, -1), "feature": columns.pop("feature")}
+    return {**{k: pa.array(c.astype(np.int32)) for k, c in whole.items()}, **{k: pa.array(c.astype(np.float64)) for k, c in columns.items()}}
+
+
+def _packed(block: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()) for part in block], ["bins", "y", "w", "key", "margin"])
+
+
+def _unpacked(d: int, kind: type, row) -> tuple:
+    y, weights, margin = (np.frombuffer(row[c]) for c in ("y", "w", "margin"))
+    return np.frombuffer(row["bins"], kind).reshape(d, len(y)), y, weights, np.frombuffer(row["key"], np.uint64), margin
 
 
 def fit_trees(df: DataFrame, d: int, label: str = "y", weight: str | None = None, key: str = "row_id", seed: int = 42, trees: int = 200, depth: int = 5,
@@ -218,14 +375,13 @@ def fit_trees(df: DataFrame, d: int, label: str = "y", weight: str | None = None
     """Boosted trees for the log loss: leaves are -rate G / (H + penalty), splits maximise the gain of G^2 / (H + penalty).
 
     Each tree draws ``share`` of the rows (by a hash of ``key``, or of features and label where there is no such
-    column) and of the features. Features are cut into at most ``bins`` bins once. Then one barrier stage fits all trees: a task holds
-    the bins of its rows (one or two bytes a feature and row) and all tasks exchange the histograms of each level. Gradients are
-    rounded to whole multiples of a unit chosen so that sums of all rows are exact; so the model is the same for any
-    partitioning. A lost task restarts the stage, which reads its input again.
-
-    One task takes 4 million rows, at most 32 tasks (or the slots there are) share larger inputs, as each gets the histograms of
-    all. An exchange takes up to a second, because a barrier looks for its answer once a second; there are ``depth`` a tree, and none for one task. A row
-    without label or with a weight that is null or not positive takes no part.
+    column) and of the features. Features are cut into at most ``bins`` bins once; a row is its bins (one or two bytes a feature), label,
+    weight, key and log-odds. Gradients are rounded to whole multiples of a unit chosen so that sums of all rows are exact; so the model
+    is the same for any partitioning.
+
+    Up to two million rows are fitted in one task. Larger tables are cached as blocks, and every level of a tree is a job over them: tasks
+    return histograms of at most ``MOST_CELLS`` cells, never rows, which the driver adds to choose the splits. A lost task is repeated on
+    its own. ``tasks`` sets their number. A row without label or with a weight that is null or not positive takes no part.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     row_key = F.xxhash64(key) if key in df.columns else F.xxhash64("features", label)
@@ -237,29 +393,35 @@ def fit_trees(df: DataFrame, d: int, label: str = "y", weight: str | None = None
     # a row's summand is at most 64 w (its loss): all rows together stay below 2**52
     scale = 2.0 ** (52 - 6 - math.ceil(math.log2(facts["n"] * max(facts["w"], 1e-9) + 1)))
     if tasks is None:
-        tasks = max(1, min(-(-facts["n"] // ROWS_A_TASK), MOST_TASKS, df.sparkSession.sparkContext.defaultParallelism))
+        tasks = 1 if facts["n"] <= ONE_TASK_ROWS else max(2, min(-(-facts["n"] // TASK_ROWS), MOST_TASKS, df.sparkSession.sparkContext.defaultParallelism))
     kind = np.uint8 if max(map(len, cuts), default=0) < 256 else np.uint16
+    plan = _Plan(cuts, base, scale, trees, depth, rate, share, penalty, seed)
+
+    def block(parts: list[pa.RecordBatch]) -> tuple:
+        """Bins [feature, row], label, weight, key and first log-odds of some batches."""
+        each = [np.stack([np.searchsorted(c, x) for c, x in zip(cuts, _rows(part, d).T)]).astype(kind) for part in parts]
+        y, weights, keys = (np.concatenate([part.column(n).to_numpy(zero_copy_only=False) for part in parts]) for n in ("y", "w", "key"))
+        return np.concatenate(each, axis=1), y, weights, keys.astype(np.int64).view(np.uint64), np.full(len(y), base)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[], [], [], []]
+        for found in _boost_here(_Rows(*block([b for b in batches if len(b)])), plan):
+            yield pa.RecordBatch.from_pydict(_table(*found))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            x = _rows(batch, d)
-            parts[0].append(np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)], axis=1).astype(kind))
-            for part, name in zip(parts[1:], ("y", "w", "key")):
-                part.append(batch.column(name).to_numpy(zero_copy_only=False))
-        mine = [np.concatenate(p) if p else np.zeros((0, d) if k == 0 else 0, kind if k == 0 else np.float64) for k, p in enumerate(parts)]
-        keys = mine[3].astype(np.int64).view(np.uint64)
-        context = BarrierTaskContext.get()
-        for tree, node, loss in boost(mine[0], mine[1], mine[2], keys, cuts, _Together(tasks), base=base, scale=scale,
-                                      trees=trees, depth=depth, rate=rate, share=share, penalty=penalty, seed=seed):
-            if context.partitionId() == 0:  # all tasks have the same trees
-                used = np.flatnonzero((node["feature"] >= 0) | (node["h"] > 0)) if node else np.zeros(0, np.int64)
-                names = ("feature", "threshold", "value", "g", "h")
-                columns = [np.append(node[c][used] if node else [], [-1 if c == "feature" else loss if c == "value" else 0]) for c in names]
-                ids = [np.full(len(used) + 1, tree), np.append(used, -1), columns[0]]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32)) for c in ids], *[pa.array(c.astype(np.float64)) for c in columns[1:]]], ["tree", "node", "feature", "threshold", "value", "g", "h"])
-
-    found = rows.repartition(tasks).mapInArrow(fit, _NODES, barrier=True).toArrow()
+            held += [batch] if len(batch) else []
+            if sum(map(len, held)) >= BLOCK_ROWS:
+                yield _packed(block(held))
+                held = []
+        if held:
+            yield _packed(block(held))
+
+    if tasks == 1:
+        found = rows.repartition(1).mapInArrow(fit, _NODES).toArrow()
+    else:
+        packed = rows.repartition(tasks).mapInArrow(pack, _BLOCK)
+        found = pa.concat_tables(pa.table(_table(*f)) for f in _boost_apart(packed.rdd.map(partial(_unpacked, d, kind)), plan))
     tree, node = found["tree"].to_numpy(), found["node"].to_numpy()
     size = (1 << (depth + 1)) - 1
     arrays = {}

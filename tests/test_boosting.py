@@ -1,9 +1,12 @@
 """Boosted trees: same model for any partitioning, sums of leaves, falling loss, scores of plain and weighted rows."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators import boosting
 from riskloom.operators.boosting import _cell, fit_trees, thresholds
 
 
@@ -43,6 +46,22 @@ def test_same_model_for_any_partitioning(rows):
             assert (getattr(one, name) == getattr(other, name)).all()
 
 
+def test_several_tasks_do_not_wait_for_a_barrier(rows):
+    """Ten trees of three levels over two tasks: an exchange of a barrier stage took a second."""
+    started = time.monotonic()
+    several = fit_trees(rows, 4, trees=10, depth=3, tasks=2)
+    assert time.monotonic() - started < 25
+    assert (several.value == fit_trees(rows, 4, trees=10, depth=3).value).all()
+
+
+def test_state_is_computed_again_from_the_first_blocks(rows, monkeypatch):
+    one = fit_trees(rows, 4, trees=5, depth=2)
+    monkeypatch.setattr(boosting, "REBASE_TREES", 2)
+    monkeypatch.setattr(boosting, "MOST_CELLS", 1)  # a node at a time
+    several = fit_trees(rows, 4, trees=5, depth=2, tasks=3)
+    assert all((getattr(one, c) == getattr(several, c)).all() for c in ("feature", "threshold", "value", "g", "h", "losses"))
+
+
 def test_first_tree_against_plain_sums(rows):
     model = fit_trees(rows, 4, weight="w", trees=1, depth=3, share=1.0)
     data = rows.collect()
