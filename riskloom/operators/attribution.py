@@ -13,6 +13,7 @@ For every leaf only the conditions on its path matter. There are two ways to say
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 from .boosting import Trees
 from .learn import Classifier
 
+MOST_COMPARISONS = 4096  # comparisons of a batch that are kept
+MOST_BITS = 14  # conditions whose patterns are told apart by a table of places
+TABLE_BITS = 6  # conditions for whose patterns a task keeps all values
 MOST_CONDITIONS = 10  # features on a path that the tables of the background method may have
 
 
@@ -50,9 +54,38 @@ def tree_leaves(feature: np.ndarray, threshold: np.ndarray, value: np.ndarray) -
     return leaves
 
 
-def _patterns(x: np.ndarray, features, low, high) -> np.ndarray:
-    met = (x[:, features] > low) & (x[:, features] <= high)
-    return met @ (1 << np.arange(len(features)))
+def _columns(x: pd.Series) -> np.ndarray:
+    """[feature, row] of a column of arrays; none without rows."""
+    return np.ascontiguousarray(np.stack(x.to_numpy()).T) if len(x) else np.zeros((0, 0))
+
+
+class _Conditions:
+    """Which conditions the rows of a batch meet. Leaves of one tree share the comparisons with its thresholds."""
+
+    def __init__(self, columns: np.ndarray):
+        self.columns, self.beyond = columns, {}
+
+    def _above(self, feature: int, threshold: float) -> np.ndarray:
+        if (feature, threshold) not in self.beyond:
+            if len(self.beyond) >= MOST_COMPARISONS:
+                self.beyond.clear()
+            self.beyond[feature, threshold] = self.columns[feature] > threshold
+        return self.beyond[feature, threshold]
+
+    def met(self, features, low, high) -> Iterator[np.ndarray]:
+        """For each condition low < x <= high the rows that meet it; a missing number meets only low."""
+        for f, a, b in zip(features, low, high):
+            inside = self._above(f, a) if a > -math.inf else None
+            below = ~self._above(f, b) if b < math.inf else None
+            yield below if inside is None else inside if below is None else inside & below
+
+    def patterns(self, features, low, high) -> np.ndarray:
+        """The met conditions of each row as bits of a whole number."""
+        kind = np.uint8 if len(features) <= 8 else np.uint16 if len(features) <= 16 else np.int64
+        out = np.zeros(self.columns.shape[1], kind)
+        for k, met in enumerate(self.met(features, low, high)):
+            out |= np.multiply(met, kind(1 << k), dtype=kind)
+        return out.astype(np.intp)
 
 
 def _leaf_table(value: float, counts: np.ndarray, k: int) -> np.ndarray:
@@ -80,9 +113,9 @@ def _background_counts(background: DataFrame, leaves: list[_Leaf]) -> list[np.nd
         totals = [np.zeros(1 << len(leaf.features), np.int64) for leaf in shared.value]
         for frame in frames:
             if len(frame):
-                x = np.stack(frame["features"].to_numpy())
+                rows = _Conditions(_columns(frame["features"]))
                 for leaf, total in zip(shared.value, totals):
-                    total += np.bincount(_patterns(x, leaf.features, leaf.low, leaf.high), minlength=len(total))
+                    total += np.bincount(rows.patterns(leaf.features, leaf.low, leaf.high), minlength=len(total))
         for k, total in enumerate(totals):
             at = np.flatnonzero(total)
             if len(at):
@@ -171,22 +204,38 @@ def _with_path_shapley(df: DataFrame, model: Trees, background: DataFrame, d: in
     shared = df.sparkSession.sparkContext.broadcast(leaves)
 
     @F.pandas_udf("array<double>")
-    def shapley(column: pd.Series) -> pd.Series:
-        if column.empty:
-            return pd.Series([], dtype="object")
-        x = np.stack(column.to_numpy())
-        out = np.zeros((len(x), d))
-        for value, features, low, high, shares in shared.value:
-            met = (x[:, features] > low) & (x[:, features] <= high)
-            # rows that meet the same conditions have the same values
-            different, which = np.unique(np.packbits(met, axis=1), axis=0, return_inverse=True)
-            patterns = np.unpackbits(different, axis=1, count=len(features)).astype(float)
-            out[:, features] += value * path_values(patterns, shares)[which.ravel()]
-        return pd.Series(list(out))
+    def shapley(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tables: list[np.ndarray | None] = [None] * len(shared.value)  # of all patterns, where these are few
+        for column in columns:
+            out, rows = np.zeros((d, len(column))), _Conditions(_columns(column))
+            for number, (value, features, low, high, shares) in enumerate(shared.value if len(column) else ()):
+                k = len(features)
+                if k <= MOST_BITS:
+                    pattern = rows.patterns(features, low, high)
+                    if k <= TABLE_BITS:
+                        if tables[number] is None:
+                            tables[number] = value * path_values(_bits(np.arange(1 << k), k), shares)
+                        table = tables[number]
+                    else:  # rows that meet the same conditions have the same values
+                        found = np.flatnonzero(np.bincount(pattern, minlength=1 << k))
+                        place = np.zeros(1 << k, np.intp)
+                        place[found] = np.arange(len(found))
+                        table, pattern = value * path_values(_bits(found, k), shares), place.take(pattern)
+                else:
+                    met = np.packbits(np.stack(list(rows.met(features, low, high)), axis=1), axis=1)
+                    different, pattern = np.unique(met, axis=0, return_inverse=True)
+                    table, pattern = value * path_values(np.unpackbits(different, axis=1, count=k).astype(float), shares), pattern.ravel()
+                for f, values in zip(features, np.ascontiguousarray(table.T)):
+                    out[f] += values.take(pattern)
+            yield pd.Series(list(out.T.copy()), dtype="object")
 
     return df.withColumn("shapley", shapley(F.col("features")))
 
 
+def _bits(patterns: np.ndarray, k: int) -> np.ndarray:
+    return (patterns[:, None] >> np.arange(k) & 1).astype(float)
+
+
 def with_shapley(df: DataFrame, classifier: Classifier, background: DataFrame, d: int, method: str = "background") -> DataFrame:
     """Add ``shapley``: one value per feature, in log-odds; they sum to score minus mean background score.
 
@@ -228,11 +277,12 @@ def with_shapley(df: DataFrame, classifier: Classifier, background: DataFrame, d
     def shapley(column: pd.Series) -> pd.Series:
         if column.empty:
             return pd.Series([], dtype="object")
-        x = np.stack(column.to_numpy())
-        out = np.zeros((len(x), d))
+        out, rows = np.zeros((d, len(column))), _Conditions(_columns(column))
         for leaf in shared.value:
-            out[:, leaf.features] += leaf.table[_patterns(x, leaf.features, leaf.low, leaf.high)]
-        return pd.Series(list(out))
+            pattern = rows.patterns(leaf.features, leaf.low, leaf.high)
+            for f, values in zip(leaf.features, leaf.table.T):
+                out[f] += values.take(pattern)
+        return pd.Series(list(out.T.copy()))
 
     return df.withColumn("shapley", shapley(F.col("features")))
 

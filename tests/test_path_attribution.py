@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators import attribution
 from riskloom.operators import attribution
 from riskloom.operators.attribution import node_counts, path_values, tree_leaves, with_shapley
 from riskloom.operators.learn import fit_classifier
@@ -98,3 +99,23 @@ def test_empty_sides(rows):
     assert with_shapley(rows.limit(0), model, rows, 4, "path").count() == 0
     without = with_shapley(rows.limit(5), model, rows.limit(0), 4, "path").collect()
     assert all(np.isfinite(r.shapley).all() for r in without)
+
+
+def test_conditions_share_comparisons_and_keep_patterns():
+    """Patterns of conditions on one batch come from one comparison a threshold, also where few are kept."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 5)).round(1)
+    x[3, 2] = np.nan
+    for most in (4096, 2):
+        attribution.MOST_COMPARISONS, kept = most, attribution.MOST_COMPARISONS
+        try:
+            rows = attribution._Conditions(np.ascontiguousarray(x.T))
+            for k in (1, 5, 9, 17):
+                features = rng.integers(0, 5, k)
+                low = np.where(rng.random(k) < 0.5, -np.inf, rng.normal(size=k).round(1) - 1)
+                high = np.where(np.isinf(low) | (rng.random(k) < 0.5), rng.normal(size=k).round(1) + 1, np.inf)
+                met = ~(x[:, features] <= low) & ~(x[:, features] > high)
+                assert (rows.patterns(features, low, high) == met @ (1 << np.arange(k)))[np.arange(200) != 3].all()
+            assert len(rows.beyond) <= most
+        finally:
+            attribution.MOST_COMPARISONS = kept
