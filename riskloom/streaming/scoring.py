@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -124,52 +125,74 @@ def trust_changes(events: DataFrame, high: float, mean: float, threshold: float,
 class _RunningTrust(StatefulProcessor):
     """A user's open windows, and what all closed ones came to.
 
-    ``open`` maps the end of a window that others may still precede to its changes; ``closed`` is trust, number and newest end
-    of the windows behind the watermark. A timer at a window's end folds it into ``closed`` once the watermark has passed it.
+    ``open`` holds the ends of windows that others may still precede, in order, with their changes; ``closed`` is trust, number and newest
+    end of the windows behind the watermark. One timer a user, at the end of the first open window, folds into ``closed`` all that the
+    watermark has passed. Each of the two is read and written once a call, however many windows come.
     """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "window_end long", "changes array<double>")
+        self.open = handle.getValueState("open", "ends array<long>, changes array<double>")
         self.closed = handle.getValueState("closed", "trust double, n long, window_end long")
 
-    def _fold(self, upto: int | None = None) -> tuple[float, int, int, list[int]]:
-        """Trust, number and newest end after the closed windows and the open ones up to ``upto``, and the ends of the latter."""
-        trust, n, newest = self.closed.get() if self.closed.exists() else (1.0, 0, -(1 << 62))
-        taken = sorted((end[0], changes[0]) for end, changes in self.open.iterator() if upto is None or end[0] <= upto)
-        for end, changes in taken:
-            for change in sorted(changes):
-                trust, n = min(TRUST_CEILING, max(TRUST_FLOOR, trust - change)), n + 1
-            newest = max(newest, end)
-        return trust, n, newest, [end for end, _ in taken]
+    def _state(self) -> tuple[list[tuple[int, float]], tuple[float, int, int]]:
+        open_ = list(zip(*self.open.get())) if self.open.exists() else []
+        return open_, self.closed.get() if self.closed.exists() else (1.0, 0, -(1 << 62))
+
+    def _wait(self, end: int) -> None:
+        self.handle.registerTimer(-(-end // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = sorted(
             (_micros(end), float(change)) for frame in rows for end, change in zip(frame["window_end"], frame["change"]) if end == end and change == change
         )
-        out = []
-        for end, change in arrived:
-            earlier = self.open.getValue((end,)) if self.open.containsKey((end,)) else None
-            if earlier is None:
-                self.handle.registerTimer(-(-end // 1000))
-            self.open.updateValue((end,), ([*(earlier[0] if earlier else []), change],))
-            trust, n, newest, ends = self._fold()
-            out.append((key[0], pd.Timestamp(newest, unit="us"), trust, n, len(ends)))
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "window_end", "trust", "n_windows", "n_open"])
+        if not arrived:
+            return
+        windows, start = self._state()
+        first = windows[0][0] if windows else None
+        out, states = [], [start]  # states[i]: trust, number and newest end after i open windows
+        for window in windows:
+            states.append(_after(states[-1], window))
+        n_open = len({end for end, _ in windows})
+        for window in arrived:
+            at = bisect_right(windows, window)
+            n_open += all(windows[i][0] != window[0] for i in (at - 1, at) if 0 <= i < len(windows))
+            windows.insert(at, window)
+            del states[at + 1 :]
+            for later in windows[at:]:
+                states.append(_after(states[-1], later))
+            trust, n, newest = states[-1]
+            out.append((key[0], pd.Timestamp(newest, unit="us"), trust, n, n_open))
+        self.open.update(tuple(map(list, zip(*windows))))
+        if first is None or windows[0][0] < first:
+            self._wait(windows[0][0])
+        yield pd.DataFrame(out, columns=["user_id", "window_end", "trust", "n_windows", "n_open"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        trust, n, newest, ends = self._fold(expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        if ends:
-            self.closed.update((trust, n, newest))
-            for end in ends:
-                self.open.removeKey((end,))
+        windows, state = self._state()
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        taken = bisect_right(windows, upto, key=lambda w: w[0])
+        if taken:
+            for window in windows[:taken]:
+                state = _after(state, window)
+            self.closed.update(state)
+            if taken == len(windows):
+                self.open.clear()
+            else:
+                self.open.update(tuple(map(list, zip(*windows[taken:]))))
+                self._wait(windows[taken][0])
         yield from ()
 
     def close(self) -> None:
         pass
 
 
+def _after(state: tuple[float, int, int], window: tuple[int, float]) -> tuple[float, int, int]:
+    """Trust, number and newest end after one more window."""
+    trust, n, newest = state
+    return min(TRUST_CEILING, max(TRUST_FLOOR, trust - window[1])), n + 1, max(newest, window[0])
+
+
 def _micros(end) -> int:
     return pd.Timestamp(end).value // 1000
 

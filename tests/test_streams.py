@@ -228,3 +228,50 @@ def test_profiles_without_losses(spark):
     found = loss_profiles(loss_sketches(some)).collect()
     assert len(found) == 1 and found[0].n_earlier == 3 and found[0].high == pytest.approx(0.693147, abs=1e-5)
     assert found[0].mean == pytest.approx(1.0)
+
+
+def test_running_trust_reads_and_writes_its_state_once_a_call():
+    """However many windows come: state calls of a user do not grow with them, and late windows change the later ones."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from riskloom.streaming.scoring import _RunningTrust
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    timers = []
+    handle = SimpleNamespace(getValueState=lambda name, schema: Value(), registerTimer=timers.append)
+    trust = _RunningTrust()
+    trust.init(handle)
+    day = lambda k: pd.Timestamp("2024-01-01") + pd.Timedelta(days=k)
+    given = [(k, 0.02 * (k % 5 - 1)) for k in range(60) if k != 7]
+    first = pd.concat(trust.handleInputRows(("u",), iter([pd.DataFrame({"window_end": [day(k) for k, _ in given], "change": [c for _, c in given]})]), None))
+    assert len(first) == 59 and len(calls) <= 4 and len(timers) == 1 and first["n_open"].tolist() == list(range(1, 60))
+    late = pd.concat(trust.handleInputRows(("u",), iter([pd.DataFrame({"window_end": [day(7), day(9)], "change": [0.3, 0.1]})]), None))
+    expected = 1.0
+    for _, change in sorted([*given, (7, 0.3), (9, 0.1)]):
+        expected = min(1.0, max(0.15, expected - change))
+    assert late["trust"].tolist()[-1] == expected and late["n_windows"].tolist() == [60, 61] and late["n_open"].tolist() == [60, 60]
+    mark = day(30).value // 1_000_000
+    assert list(trust.handleExpiredTimer(("u",), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), SimpleNamespace(getExpiryTimeInMs=lambda: timers[0]))) == []
+    assert len(trust.open.held[0]) == 29 and trust.closed.held[1] == 32 and timers[-1] == day(31).value // 1_000_000
+    last = pd.concat(trust.handleInputRows(("u",), iter([pd.DataFrame({"window_end": [day(60)], "change": [0.0]})]), None))
+    assert last["trust"].tolist() == [expected] and last["n_windows"].tolist() == [62] and last["n_open"].tolist() == [30]
