@@ -47,15 +47,17 @@ def read_messages(messages: DataFrame) -> DataFrame:
         F.concat_ws("-", F.col("partition").cast("string"), F.col("offset").cast("string")).alias("row_id"), raw.alias("raw"),
         F.map_entries(F.from_json(raw, "map<string,string>")).alias("_cells"),
     )
+    # Keys are brought to one form once a message. The row of one element keeps filters on what is read above the parsing: pushed below
+    # it, they would parse every message again for each name they look up.
+    normal = F.transform("_cells", lambda e: F.lower(F.translate(F.trim(e["key"]), " -", "__")))
+    once = F.explode(F.array(F.struct(normal.alias("keys"), F.col("_cells.value").alias("values")))).alias("_message")
+    read = read.select("row_id", "raw", once).select("row_id", "raw", F.col("_message.keys").alias("_keys"), F.col("_message.values").alias("_values"))
 
     def cell(aliases: tuple[str, ...]) -> Column:
-        def named(alias: str) -> Column:
-            return F.get(F.filter("_cells", lambda e: F.lower(F.translate(F.trim(e["key"]), " -", "__")) == alias), F.lit(0))["value"]
-
-        return F.coalesce(*[named(a) for a in aliases])
+        return F.coalesce(*[F.get("_values", F.array_position("_keys", alias).cast("int") - 1) for alias in aliases])
 
     roles = {aliases[0]: cell(aliases) for aliases in EVENT_ALIASES.values()}
-    rows = read.select("row_id", "raw", F.col("_cells").isNull().alias("_broken"), *[c.alias(n) for n, c in roles.items()])
+    rows = read.select("row_id", "raw", F.col("_keys").isNull().alias("_broken"), *[c.alias(n) for n, c in roles.items()])
     time = F.try_to_timestamp("timestamp")
     error = (
         F.when(F.col("_broken"), "not a JSON object").when(F.col("user_id").isNull(), "no user")

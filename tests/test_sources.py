@@ -272,3 +272,24 @@ def test_written_tables_live_in_the_scratch_folder(spark):
 def test_infer_types_of_an_empty_column(spark):
     df = infer_types(spark.createDataFrame([(None,), (None,)], "x string"))
     assert df.dtypes == [("x", "double")]
+
+
+def test_message_keys_are_normalised_once(spark):
+    """One lambda over the keys of a message, not one for each accepted name; of equal keys the first counts, of names the first accepted one."""
+    import contextlib
+    import io
+
+    from riskloom.sources.streams import message_events, read_messages
+
+    texts = ['{"User-ID": "a", "user_id": "b", "TIME": "2024-01-01 10:00:00", "date": "2024-01-02 10:00:00", "Volume": "3.5"}',
+             '{"USER ID": null, "user": "c", "event_time": "2024-01-03 10:00:00"}', '{"user": "d"}', "[1]", None]
+    messages = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "offset long, partition int, value string").withColumn("value", F.col("value").cast("binary"))
+    rows = read_messages(messages)
+    got = {r.row_id: r for r in rows.collect()}
+    assert (got["0-0"].user_id, str(got["0-0"].timestamp), got["0-0"].data_volume_mb) == ("a", "2024-01-02 10:00:00", 3.5)
+    assert got["0-1"].user_id == "c" and got["0-1"].error is None and got["0-2"].error == "no time"
+    assert got["0-3"].error == got["0-4"].error == "not a JSON object"
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        message_events(messages.withColumn("value", F.upper(F.col("value").cast("string")))).explain()
+    assert plan.getvalue().count("lambdafunction(") <= 2 and plan.getvalue().count("from_json(") == 1
