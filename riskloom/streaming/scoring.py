@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ from .activity import stream_event_features
 SKETCH_K = 400  # ranks are within 0.8 percent in 99 of 100 cases, also after merging
 PROFILE_POINTS = 500
 
+TRUST_BUCKETS = 4096
+_NEW = (1.0, 0, -(1 << 62))  # trust, number and newest end before any window
+_CLOSED = np.dtype([("size", "<i8"), ("trust", "<f8"), ("n", "<i8"), ("newest", "<i8")])
+_OPEN = np.dtype([("end", "<i8"), ("change", "<f8")])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -137,7 +142,7 @@ class _RunningTrust(StatefulProcessor):
 
     def _state(self) -> tuple[list[tuple[int, float]], tuple[float, int, int]]:
         open_ = list(zip(*self.open.get())) if self.open.exists() else []
-        return open_, self.closed.get() if self.closed.exists() else (1.0, 0, -(1 << 62))
+        return open_, self.closed.get() if self.closed.exists() else _NEW
 
     def _wait(self, end: int) -> None:
         self.handle.registerTimer(-(-end // 1000))
@@ -150,19 +155,7 @@ class _RunningTrust(StatefulProcessor):
             return
         windows, start = self._state()
         first = windows[0][0] if windows else None
-        out, states = [], [start]  # states[i]: trust, number and newest end after i open windows
-        for window in windows:
-            states.append(_after(states[-1], window))
-        n_open = len({end for end, _ in windows})
-        for window in arrived:
-            at = bisect_right(windows, window)
-            n_open += all(windows[i][0] != window[0] for i in (at - 1, at) if 0 <= i < len(windows))
-            windows.insert(at, window)
-            del states[at + 1 :]
-            for later in windows[at:]:
-                states.append(_after(states[-1], later))
-            trust, n, newest = states[-1]
-            out.append((key[0], pd.Timestamp(newest, unit="us"), trust, n, n_open))
+        out = [(key[0], pd.Timestamp(newest, unit="us"), *counts) for newest, *counts in _placed(windows, start, arrived)]
         self.open.update(tuple(map(list, zip(*windows))))
         if first is None or windows[0][0] < first:
             self._wait(windows[0][0])
@@ -187,6 +180,86 @@ class _RunningTrust(StatefulProcessor):
         pass
 
 
+class _BucketTrust(StatefulProcessor):
+    """The same for a bucket of users: their open windows, and what the closed ones of each came to, are one value.
+
+    A call between Spark and Python costs far more than the few windows of a user, so the state is read and written once a bucket and call.
+    Users stand in the value one after another, with ``size`` open windows each; numbers are packed as in :data:`_CLOSED` and :data:`_OPEN`.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.users = handle.getValueState("users", "users array<string>, closed binary, open binary")
+
+    def _state(self) -> dict[str | None, tuple[list[tuple[int, float]], tuple[float, int, int]]]:
+        held = self.users.get()
+        if not held:
+            return {}
+        closed, open_ = np.frombuffer(bytes(held[1]), _CLOSED).tolist(), np.frombuffer(bytes(held[2]), _OPEN).tolist()
+        users, at = {}, 0
+        for user, (size, *state) in zip(held[0], closed):
+            users[user] = (open_[at : at + size], tuple(state))
+            at += size
+        return users
+
+    def _keep(self, users: dict, waiting: int | None) -> None:
+        """Write the state; a timer waits at the first open window unless one does already."""
+        closed = [(len(windows), *state) for windows, state in users.values()]
+        open_ = [window for windows, _ in users.values() for window in windows]
+        self.users.update((list(users), np.array(closed, _CLOSED).tobytes(), np.array(open_, _OPEN).tobytes()))
+        first = min((windows[0][0] for windows, _ in users.values() if windows), default=None)
+        if first is not None and (waiting is None or first < waiting):
+            self.handle.registerTimer(-(-first // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = {}
+        for frame in rows:
+            for user, end, change in zip(frame["user_id"].tolist(), frame["end_micros"].tolist(), frame["change"].tolist()):
+                if end == end and change == change and end is not None and change is not None:
+                    arrived.setdefault(user, []).append((int(end), float(change)))
+        if not arrived:
+            return
+        users = self._state()
+        waiting = min((windows[0][0] for windows, _ in users.values() if windows), default=None)
+        out = []
+        for user, windows in arrived.items():
+            held, state = users.setdefault(user, ([], _NEW))
+            out.extend((user, *version) for version in _placed(held, state, sorted(windows)))
+        self._keep(users, waiting)
+        yield pd.DataFrame(out, columns=["user_id", "newest_micros", "trust", "n_windows", "n_open"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        users = self._state()
+        for user, (windows, state) in users.items():
+            taken = bisect_right(windows, upto, key=lambda w: w[0])
+            for window in windows[:taken]:
+                state = _after(state, window)
+            users[user] = (windows[taken:], state)
+        self._keep(users, None)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def _placed(windows: list[tuple[int, float]], start: tuple[float, int, int], arrived: list[tuple[int, float]]) -> Iterator[tuple[int, float, int, int]]:
+    """Put windows, in order, among the open ones; newest end, trust, number of windows and of open ones after each."""
+    states = [start]  # states[i]: trust, number and newest end after i open windows
+    for window in windows:
+        states.append(_after(states[-1], window))
+    n_open = len({end for end, _ in windows})
+    for window in arrived:
+        at = bisect_right(windows, window)
+        n_open += all(windows[i][0] != window[0] for i in (at - 1, at) if 0 <= i < len(windows))
+        windows.insert(at, window)
+        del states[at + 1 :]
+        for later in windows[at:]:
+            states.append(_after(states[-1], later))
+        trust, n, newest = states[-1]
+        yield newest, trust, n, n_open
+
+
 def _after(state: tuple[float, int, int], window: tuple[int, float]) -> tuple[float, int, int]:
     """Trust, number and newest end after one more window."""
     trust, n, newest = state
@@ -197,7 +270,7 @@ def _micros(end) -> int:
     return pd.Timestamp(end).value // 1000
 
 
-def stream_user_trust(changes: DataFrame, delay: str = "7 days") -> DataFrame:
+def stream_user_trust(changes: DataFrame, delay: str = "7 days", buckets: int | None = TRUST_BUCKETS) -> DataFrame:
     """Running trust per user: one row for each closed window, in the order in which windows end.
 
     ``changes`` is the stream of a table that :func:`trust_changes` is written to, because state
@@ -207,20 +280,28 @@ def stream_user_trust(changes: DataFrame, delay: str = "7 days") -> DataFrame:
     so a user's state holds the windows of one ``delay``, however long the stream runs; later ones are dropped by the watermark
     and counted in the query's progress. Rows without an end or a change are passed over.
 
+    Users share a state by a hash of their id, in so many ``buckets``, as a call costs far more than a user's few windows. A call reads and
+    writes the whole bucket, so their number should grow with that of users (hundreds to a few thousand a bucket) and stay the same for a
+    stream's life. With None every user has a state of its own, for streams whose batches touch few users.
+
     The row with the largest ``n_windows`` is the newest of a user; ``n_open`` is the number of windows its state holds. Timers need
     the RocksDB state store; the function selects it in the session where another one is set.
     """
     spark = changes.sparkSession
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return (
-        changes.withWatermark("window_end", delay).groupBy("user_id").transformWithStateInPandas(
-            _RunningTrust(),
-            outputStructType="user_id string, window_end timestamp, trust double, n_windows long, n_open long",
-            outputMode="Append",
-            timeMode="EventTime",
+    options = {"outputMode": "Append", "timeMode": "EventTime"}
+    marked = changes.withWatermark("window_end", delay)
+    if buckets is None:
+        return marked.groupBy("user_id").transformWithStateInPandas(
+            _RunningTrust(), outputStructType="user_id string, window_end timestamp, trust double, n_windows long, n_open long", **options
         )
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket")
+    arriving = marked.select(bucket, "user_id", "window_end", F.unix_micros("window_end").alias("end_micros"), "change")
+    versions = arriving.groupBy("bucket").transformWithStateInPandas(
+        _BucketTrust(), outputStructType="user_id string, newest_micros long, trust double, n_windows long, n_open long", **options
     )
+    return versions.select("user_id", F.timestamp_micros("newest_micros").alias("window_end"), "trust", "n_windows", "n_open")
 
 
 def batch_user_trust(changes: DataFrame) -> DataFrame:

@@ -275,3 +275,87 @@ def test_running_trust_reads_and_writes_its_state_once_a_call():
     assert len(trust.open.held[0]) == 29 and trust.closed.held[1] == 32 and timers[-1] == day(31).value // 1_000_000
     last = pd.concat(trust.handleInputRows(("u",), iter([pd.DataFrame({"window_end": [day(60)], "change": [0.0]})]), None))
     assert last["trust"].tolist() == [expected] and last["n_windows"].tolist() == [62] and last["n_open"].tolist() == [30]
+
+
+def test_users_of_a_bucket_share_their_state_calls():
+    """State calls do not grow with the users of a bucket, and each user gets the trust of a state of their own, closed windows and late ones included."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from riskloom.streaming.scoring import _BucketTrust, _RunningTrust
+
+    calls, timers = [], []
+
+    class Value:
+        held = None
+
+        def __init__(self, counted):
+            self.counted = counted
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            self.counted.append("get")
+            return self.held
+
+        def update(self, value):
+            self.counted.append("update")
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    def started(processor, counted, waits):
+        processor.init(SimpleNamespace(getValueState=lambda name, schema: Value(counted), registerTimer=waits.append))
+        return processor
+
+    day = lambda k: pd.Timestamp("2024-01-01") + pd.Timedelta(days=k)
+    users = [f"u{k}" for k in range(200)] + [None]
+    bucket, alone, own_timers = started(_BucketTrust(), calls, timers), {}, {u: [] for u in users}
+    for u in users:
+        alone[u] = started(_RunningTrust(), [], own_timers[u])
+    parts = [
+        [(u, day(k + i % 3), 0.02 * ((k + i) % 7 - 2)) for i, u in enumerate(users) for k in range(12)],
+        [(u, day(5), 0.1) for u in users[:50]] + [(users[3], None, 0.1), (users[4], day(6), float("nan"))],
+        [(u, day(15), -0.05) for u in users[20:]],
+    ]
+    marks = [day(4).value // 1_000_000, day(8).value // 1_000_000, day(20).value // 1_000_000]
+    columns = ["user_id", "newest_micros", "trust", "n_windows", "n_open"]
+    for part, mark in zip(parts, marks):
+        frame = pd.DataFrame(part, columns=["user_id", "window_end", "change"])
+        frame["end_micros"] = [None if pd.isna(e) else e.value // 1000 for e in frame["window_end"]]
+        frames = [frame[:700], frame[700:]] if len(frame) > 700 else [frame]
+        got = pd.concat(bucket.handleInputRows((7,), iter(frames), None))[columns]
+        want = []
+        for u in users:
+            mine = frame[frame["user_id"].isna()] if u is None else frame[frame["user_id"] == u]
+            for out in alone[u].handleInputRows((u,), iter([mine]), None):
+                want += [(u, r.window_end.value // 1000, r.trust, r.n_windows, r.n_open) for r in out.itertuples()]
+        assert sorted(got.itertuples(index=False, name=None), key=repr) == sorted(want, key=repr)
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)  # noqa: B023
+        while timers and timers[-1] <= mark:
+            at = timers.pop()
+            assert list(bucket.handleExpiredTimer((7,), times, SimpleNamespace(getExpiryTimeInMs=lambda: at))) == []  # noqa: B023
+        for u in users:
+            while own_timers[u] and own_timers[u][-1] <= mark:
+                at = own_timers[u].pop()
+                list(alone[u].handleExpiredTimer((u,), times, SimpleNamespace(getExpiryTimeInMs=lambda: at)))  # noqa: B023
+    assert len(calls) <= 15 and not timers
+
+
+def test_running_trust_is_the_same_in_buckets_and_alone(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(f"u{u}" if u else None, start + timedelta(days=d), 0.05 * ((u + d) % 5 - 1), 1) for u in range(12) for d in range(1, 25) if (u * d) % 7 != 3]
+    frame = spark.createDataFrame(rows, "user_id string, window_end timestamp, change double, n long")
+    for k, (low, high) in enumerate([(10, 25), (1, 10)]):  # the first days come last and are dropped in part
+        part = frame.filter((F.dayofmonth("window_end") >= low) & (F.dayofmonth("window_end") < high))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    found = []
+    for buckets in (None, 1, 5):
+        source = parquet_stream(spark, f"{tmp_path}/t", frame.schema, files_per_trigger=1)
+        found.append(sorted(run_to_table(stream_user_trust(source, buckets=buckets), "t").collect(), key=repr))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
