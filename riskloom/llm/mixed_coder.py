@@ -32,10 +32,11 @@ _SHOWN = np.eye(4, dtype=np.float32) * np.float32(_RATE)
 _FADE, _FLOOR = np.float32(0.95), np.float32(0.05 / 3)
 _SHARE_RATE = 4
 _STEPS = np.arange(16)
-#: Cumulative shares of 4096 that half bytes move towards, with the total as a 17th column.
-_TARGET = np.hstack([np.where(_STEPS[None, :] <= _STEPS[:, None], _STEPS, 4096 - 16 + _STEPS), np.full((16, 1), 4096)]).astype(np.int16)
-_FIRST = np.append(256 * _STEPS, 4096).astype(np.int16)
-_ROW = np.dtype("V34")
+#: Where the shares of half bytes end, of 4096, and what these ends move towards. The first share starts at 0.
+_ENDS = _STEPS + 1
+_TARGET = np.where(_ENDS[None, :] <= _STEPS[:, None], _ENDS, 4096 - 16 + _ENDS).astype(np.int16)
+_FIRST = (256 * _ENDS).astype(np.int16)
+_ROW = np.dtype("V32")
 #: Ranges stay within 2**44 and 2**60, so one step can have shares of 2**36.
 _LEAST, _TOP, _BITS = 1 << 44, 1 << 60, 36
 
@@ -120,14 +121,26 @@ class _Reader:
 
 
 def _search(rows: np.ndarray, first: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Place of the value among each row's 16 cumulative shares."""
+    """Place of the value among each row's 16 shares."""
     flat, value = rows.reshape(-1), value.astype(np.int16)
-    at = first + ((flat.take(first + 8) <= value) << 3)
+    at = first + ((flat.take(first + 7) <= value) << 3)
     for shift in (2, 1, 0):
-        at += (flat.take(at + (1 << shift)) <= value) << shift
+        at += (flat.take(at + ((1 << shift) - 1)) <= value) << shift
     return at - first
 
 
+def _span(rows: np.ndarray, first: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and share of a place in each row."""
+    flat, at = rows.reshape(-1), first + half
+    start = flat.take(at - 1) * (half > 0)
+    return start.astype(np.int64), (flat.take(at) - start).astype(np.int64)
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a // b`` for a below 2**36 and b from 1 to 2**12: the quotient of doubles is too near to the true one to pass a whole number."""
+    return (a / b).astype(np.int64)
+
+
 def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _Reader | None):
     """Code ``ids`` [step, lane], or decode them with ``reader``; the model moves alike in both."""
     writer = _Writer(lanes, steps, digits) if reader is None else None
@@ -139,13 +152,13 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
     rows2, rows1 = (x.view(np.complex128).reshape(-1) for x in (shares2, shares1))  # one element a row, to store rows fast
     shares0 = np.full((lanes, 4), 0.25, np.float32)
     weights = np.full((3, lanes), 1 / 3, np.float32)
-    spread = np.repeat(weights, 4, axis=1).reshape(3, lanes, 4)
+    spread = np.full((3, lanes, 4), 1 / 3, np.float32)
     places = np.tile(_FIRST, (lanes * 17, 1))
     place_rows = places.view(_ROW).reshape(-1)
     high_at, low_at = lane * 17, lane * 17 + 1
-    row17, row4, row5, row8 = lane * 17, lane * 4, lane * 5, lane * 8
-    bounds = np.zeros((lanes, 5), np.int64)
-    bounds[:, 4] = 4096
+    row16, row4, row8 = lane * 16, lane * 4, lane * 8
+    bounds = np.zeros((5, lanes), np.int64)
+    bounds[4] = 4096
     flat_bounds = bounds.reshape(-1)
     before1 = before2 = np.zeros(lanes, np.int64)
     for step in range(steps):
@@ -162,10 +175,10 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
         mixed += own1 * spread[1]
         mixed += shares0 * spread[2]
         mixed *= np.float32(4080)
-        whole = mixed.astype(np.int32)
-        np.add(whole[:, 0], 4, out=bounds[:, 1])
-        np.add(bounds[:, 1], whole[:, 1] + 4, out=bounds[:, 2])
-        np.add(bounds[:, 2], whole[:, 2] + 4, out=bounds[:, 3])
+        bounds[1:4] = mixed.T[:3]
+        bounds[1:4] += 4
+        bounds[2] += bounds[1]
+        bounds[3] += bounds[2]
 
         if reader is None:
             narrow = ids[step]
@@ -182,10 +195,11 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
         else:
             v = reader.value()
             first = v >> 24
-            outcome = (first >= bounds[:, 1]).astype(np.int64) + (first >= bounds[:, 2]) + (first >= bounds[:, 3])
+            outcome = (first >= bounds[1]).astype(np.int64) + (first >= bounds[2]) + (first >= bounds[3])
             by_place, by_digits = outcome == 2, outcome == 3
-        start = flat_bounds.take(row5 + outcome)
-        share = flat_bounds.take(row5 + outcome + 1) - start
+        bound = outcome * lanes + lane
+        start = flat_bounds.take(bound)
+        share = flat_bounds.take(bound + lanes) - start
 
         # the place in the order-0 store, or the digits, as a part of 2**24
         if reader is None:
@@ -193,16 +207,14 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
             high_rows = places.take(high_at, axis=0)
             low_rows = places.take(low_at + high, axis=0)
         else:
-            inner = (v - (start << 24)) // share
+            inner = _quotient(v - (start << 24), share)
             high_rows = places.take(high_at, axis=0)
-            high = _search(high_rows, row17, inner >> 12)
-        high_start = high_rows.reshape(-1).take(row17 + high).astype(np.int64)
-        high_share = high_rows.reshape(-1).take(row17 + high + 1) - high_start
+            high = _search(high_rows, row16, inner >> 12)
+        high_start, high_share = _span(high_rows, row16, high)
         if reader is not None:
             low_rows = places.take(low_at + high, axis=0)
-            low = _search(low_rows, row17, (inner - (high_start << 12)) // high_share)
-        low_start = low_rows.reshape(-1).take(row17 + low).astype(np.int64)
-        low_share = low_rows.reshape(-1).take(row17 + low + 1) - low_start
+            low = _search(low_rows, row16, _quotient(inner - (high_start << 12), high_share))
+        low_start, low_share = _span(low_rows, row16, low)
         more = ((high_start << 12) + high_share * low_start) * by_place
         size = np.where(by_place, high_share * low_share, 1 << 24)
         digit = (value >> (16 * (digits - 1))) & 0xFFFF if reader is None else inner >> 8
@@ -234,7 +246,8 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
         fit2, fit1, fit0 = own2.reshape(-1).take(here) * weights[0], own1.reshape(-1).take(here) * weights[1], shares0.reshape(-1).take(here) * weights[2]
         scale = _FADE / (fit2 + fit1 + fit0)
         weights[0], weights[1], weights[2] = fit2 * scale + _FLOOR, fit1 * scale + _FLOOR, fit0 * scale + _FLOOR
-        spread = np.repeat(weights, 4, axis=1).reshape(3, lanes, 4)
+        for k in range(4):
+            spread[:, :, k] = weights
         shown = _SHOWN.take(outcome, axis=0)
         for own, rows, state in ((own2, rows2, state2), (own1, rows1, state1)):
             own *= _KEEP
@@ -244,7 +257,7 @@ def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _R
         shares0 += shown
         for table, rows, half in ((high_at, high_rows, high), (low_at + high, low_rows, low)):
             rows += (_TARGET.take(half, axis=0) - rows) >> _SHARE_RATE
-            place_rows.put(table, rows.view(_ROW).reshape(-1))
+            place_rows[table] = rows.view(_ROW).reshape(-1)
         store2[at2] = np.where(right2, kept2 + ((kept2 < _SURE2) * np.uint32(_ONE)), narrow)
         store1[at1] = np.where(right1, kept1 + ((kept1 < _SURE2) * np.uint32(_ONE)), narrow)
         kept0 = np.where(right0, kept0 + (kept0 < _SURE0) * np.uint32(_ONE), np.where(kept0 >= _ONE, kept0 - np.uint32(_ONE), narrow))

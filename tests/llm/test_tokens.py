@@ -211,3 +211,21 @@ def test_packing(spark, library, open_bins):
     if open_bins > 1:
         assert len(by_sequence) <= 1.05 * -(-sum(r.length for r in got) // 512) + 1
     assert pack(empty(spark), PATH).collect() == []
+
+
+def test_quotients_of_the_coder_are_whole():
+    """Quotients by doubles are those of whole numbers, also next to a multiple; places are found by the ends of their shares."""
+    rng = np.random.default_rng(5)
+    b = np.concatenate([np.arange(1, 4097), rng.integers(1, 4097, 20000)])
+    most = ((1 << 36) - 1) // b
+    for n in (most, rng.integers(0, most + 1)):
+        for off in (0, 1, b - 1, -1):
+            a = np.clip(n * b + off, 0, (1 << 36) - 1)
+            assert (mixed_coder._quotient(a, b) == a // b).all()
+    rows = np.sort(rng.choice(4095, (500, 15)) + 1, axis=1)
+    ends = np.hstack([rows, np.full((500, 1), 4096)]).astype(np.int16)
+    value, first = rng.integers(0, 4096, 500), np.arange(500) * 16
+    half = mixed_coder._search(ends, first, value)
+    assert (half == (ends <= value[:, None]).sum(axis=1)).all()
+    start, share = mixed_coder._span(ends, first, half)
+    assert ((start <= value) & (value < start + share)).all() and (start[half == 0] == 0).all()
