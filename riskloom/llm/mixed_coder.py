@@ -1,12 +1,12 @@
 """Adaptive context-mixing range coder for token ids, in blocks that are coded side by side.
 
-Each block starts from a fresh model, so it can be decoded alone. Numpy runs one step of all blocks at a time ("lanes").
+Each block starts from a fresh model, so it can be decoded without the others. Numpy runs one step of all blocks at a time ("lanes").
 
-An id is told in one coding step of three parts. First, which prediction holds: the id last seen after the same two ids
-(order 2), the id last seen after the same id (order 1), an id kept in the order-0 store, or none. Each order has
-adaptive shares of these four outcomes by its state; the shares are mixed with weights that follow how well each
-order has told the outcomes before. An id of the order-0 store is told by its place there, two half bytes with
-adaptive shares; any other id by its digits of 16 bits.
+An id is told in one coding step of two parts. First, which prediction holds: the id last seen after the same two ids
+(order 2), the id last seen after the same id (order 1), or neither. Each order has adaptive shares of these three
+outcomes, orders 1 and 2 by their state; the shares are mixed with weights that follow how well each order has told the
+outcomes before. All this learns at every id. An id that neither order predicts is told by its share of the ids of the
+frame (order 0): the frame's first block begins with the table of these shares, which all its blocks use.
 """
 
 from __future__ import annotations
@@ -19,52 +19,131 @@ import numpy as np
 BLOCK_IDS = 2048
 LEAST_IDS = 256
 LANES = 4096
-MAGIC = b"TKM1"
-FRAME, HEAD = struct.Struct("<4sBI"), struct.Struct("<III")
+MAGIC = b"TKM2"
+FRAME, HEAD, TABLE = struct.Struct("<4sBI"), struct.Struct("<III"), struct.Struct("<I")
 
-_ORDER2, _ORDER1, _ORDER0 = 10, 9, 8
+_ORDER2, _ORDER1 = 10, 9
 _ID_BITS = 24
-_ID_MASK = (1 << _ID_BITS) - 1
-_ONE, _SURE2, _SURE0 = 1 << _ID_BITS, 3 << _ID_BITS, 15 << _ID_BITS
-_RATE = 0.04
-_KEEP = np.float32(1 - _RATE)
-_SHOWN = np.eye(4, dtype=np.float32) * np.float32(_RATE)
-_FADE, _FLOOR = np.float32(0.95), np.float32(0.05 / 3)
-_SHARE_RATE = 4
-_STEPS = np.arange(16)
-#: Where the shares of half bytes end, of 4096, and what these ends move towards. The first share starts at 0.
-_ENDS = _STEPS + 1
-_TARGET = np.where(_ENDS[None, :] <= _STEPS[:, None], _ENDS, 4096 - 16 + _ENDS).astype(np.int16)
-_FIRST = (256 * _ENDS).astype(np.int16)
-_ROW = np.dtype("V32")
-#: Ranges stay within 2**44 and 2**60, so one step can have shares of 2**36.
+_ID_MASK = np.uint32((1 << _ID_BITS) - 1)
+_ONE, _SURE = np.uint32(1 << _ID_BITS), np.uint32(3 << _ID_BITS)
+_HASH2, _HASH1 = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1)
+_RATE, _KEEP = np.float32(0.04), np.float32(1 - 0.04)
+_FADE, _FLOOR, _LEAST_FIT = np.float32(0.95), np.float32(0.05 / 3), np.float32(1e-6)
+#: Ranges stay within 2**44 and 2**60, so one step can have shares of 2**36: 2**12 for the outcome, 2**24 for the id.
 _LEAST, _TOP, _BITS = 1 << 44, 1 << 60, 36
+_WHOLE, _SLOT, _FLAT = 1 << 24, 1 << 8, 1 << 16
+#: What stands for the number of times an id is in a frame: eight values for each power of two, eighths of an id.
+_WEIGHTS = np.array([m << k for k in range(28) for m in range(8, 16)], np.int64)
+
+
+class _Shares:
+    """Shares of 2**24 of the ids of a frame, by rank; the most frequent id is rank 0.
+
+    ``classes`` holds for each id 0 if it is absent, else the place of its weight from 1. An id of a slot's share or more has
+    whole slots; shares of rarer ones are powers of two, and ids in the same slot have equal shares.
+    """
+
+    def __init__(self, classes: np.ndarray):
+        present = np.flatnonzero(classes)
+        self.ids = present[np.argsort(255 - classes.take(present), kind="stable")].astype(np.uint32)
+        if not self._lay(_WEIGHTS.take(classes.take(self.ids).astype(np.int64) - 1)):
+            self._lay(np.ones(len(self.ids), np.int64))
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[_Shares, bytes]:
+        """The shares and the bytes of the table they are read from; no bytes: few ids of two bytes, which all have the same share."""
+        counts = np.zeros(int(ids.max()) + 1, np.int64)
+        for first in range(0, len(ids), 1 << 20):
+            some = np.bincount(ids[first : first + (1 << 20)])
+            counts[: len(some)] += some
+        classes = np.searchsorted(_WEIGHTS, 8 * counts, "right").astype(np.uint8)
+        own, table = cls(classes), zlib.compress(classes.tobytes(), 6)
+        bits = 8 * len(table) + (counts.take(own.ids) * np.log2(_WHOLE / own.sizes)).sum()
+        if len(counts) <= _FLAT and bits > 16 * len(ids):
+            own, table = cls(np.ones(_FLAT, np.uint8)), b""
+        return own, table
+
+    @classmethod
+    def read(cls, table: bytes) -> _Shares:
+        if not table:
+            return cls(np.ones(_FLAT, np.uint8))
+        try:
+            classes = np.frombuffer(zlib.decompress(table), np.uint8)
+        except zlib.error:
+            raise ValueError("the table of shares is broken") from None
+        if not len(classes) or not 0 < classes.max() <= len(_WEIGHTS):
+            raise ValueError("the table of shares is broken")
+        return cls(classes)
+
+    def _lay(self, weights: np.ndarray) -> bool:
+        """Give all ids their places; False if they need more than there are."""
+        shares = weights * _WHOLE // weights.sum()
+        many = int(np.searchsorted(-shares, -_SLOT, "right"))
+        shifts = np.searchsorted(1 << np.arange(1, 8), shares[many:], "right")
+        starts, slots, at, place = [], [], many, 0
+        for k in range(7, -1, -1):
+            n = int((shifts == k).sum())
+            own = -(-n >> (8 - k))
+            starts.append(_SLOT * place + (np.arange(n) << k))
+            slots.append((at + (np.arange(own) << (8 - k))) | (k << _ID_BITS))
+            at, place = at + n, place + own
+        room = _WHOLE // _SLOT - place
+        if room < many:
+            return False
+        exact = weights[:many] * room
+        total = max(1, int(weights[:many].sum()))
+        whole = np.maximum(exact // total, 1)
+        left = room - int(whole.sum()) if many else 0
+        if left >= 0:
+            whole[np.argsort(-(exact % total), kind="stable")[:left]] += 1
+        elif whole[0] + left < 1:
+            return False
+        else:
+            whole[0] += left
+        ends = np.cumsum(whole)
+        above = int(ends[-1]) if many else 0
+        self.starts = np.concatenate([_SLOT * (ends - whole), *(_SLOT * above + s for s in starts)])
+        self.sizes = np.concatenate([_SLOT * whole, 1 << shifts])
+        slots = np.concatenate([np.repeat(np.arange(many), whole) | (8 << _ID_BITS), *slots])
+        self.slots = np.zeros(_WHOLE // _SLOT, np.int64)
+        self.slots[: len(slots)] = slots
+        return True
+
+    def ranks(self) -> np.ndarray:
+        """Rank of each id."""
+        out = np.zeros(int(self.ids.max()) + 1, np.uint32)
+        out[self.ids] = np.arange(len(self.ids), dtype=np.uint32)
+        return out
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """Rank whose share holds each place."""
+        slot = self.slots.take(place >> 8, mode="clip")
+        return np.minimum((slot & int(_ID_MASK)) + ((place & 255) >> (slot >> _ID_BITS)), len(self.ids) - 1)
 
 
 class _Writer:
-    """Range encoders of all lanes: words of 16 bits at [place, lane], carries settled at the end."""
+    """Range encoders of all lanes: words of 16 bits at [place, lane], carries stay on top of a word and are settled at the end."""
 
-    def __init__(self, lanes: int, steps: int, digits: int):
+    def __init__(self, lanes: int, steps: int):
         self.lanes = lanes
-        self.words = np.zeros((steps * (1 + digits) + 12, lanes), np.uint32)
+        self.words = np.zeros((steps * 34 // 16 + 12, lanes), np.uint32)
         self.flat = self.words.reshape(-1)
         self.at = np.arange(lanes, dtype=np.int64) + lanes
         self.low = np.zeros(lanes, np.int64)
         self.range = np.full(lanes, _TOP - 1, np.int64)
 
-    def put(self, start: np.ndarray, share: np.ndarray) -> None:
-        part = self.range >> _BITS
-        self.low += part * start
-        self.range = part * share
-        over = np.flatnonzero(self.low >= _TOP)
-        if len(over):
-            self.flat[self.at.take(over) - self.lanes] += 1
-            self.low[over] -= _TOP
-        out = self.range < _LEAST  # most steps fill up a word: all lanes write, those that are not ready write again
+    def part(self) -> np.ndarray:
+        return self.range >> _BITS
+
+    def put(self, start: np.ndarray, size: np.ndarray) -> None:
+        self.low += start
+        self.range = size
+        out = size < _LEAST  # most steps fill up a word: all lanes write, those that are not ready write again
         self.flat[self.at] = self.low >> 44
         self.at += out * self.lanes
-        self.low = np.where(out, (self.low & (_LEAST - 1)) << 16, self.low)
-        self.range <<= out * 16
+        shift = out * 16
+        np.copyto(self.low, (self.low & (_LEAST - 1)) << 16, where=out)
+        self.range <<= shift
         small = np.flatnonzero(self.range < _LEAST)
         while len(small):
             low, at, size = self.low.take(small), self.at.take(small), self.range.take(small) << 16
@@ -73,51 +152,54 @@ class _Writer:
             small = small[size < _LEAST]
 
     def bodies(self) -> list[bytes]:
-        for part in (self.low >> 44, self.low >> 28, self.low >> 12, self.low << 4):
-            self.flat[self.at] = part & 0xFFFF
+        for part in (self.low >> 44, (self.low >> 28) & 0xFFFF, (self.low >> 12) & 0xFFFF, (self.low << 4) & 0xFFFF):
+            self.flat[self.at] = part
             self.at += self.lanes
         size = (self.at // self.lanes).tolist()
         carry = np.zeros(self.lanes, np.uint32)
+        short = np.empty((max(size), self.lanes), "<u2")
         for k in range(max(size) - 1, -1, -1):
             row = self.words[k] + carry
-            self.words[k], carry = row & 0xFFFF, row >> 16
-        short = np.ascontiguousarray(self.words[: max(size)].astype("<u2").T)
-        return [short[k, 1:n].tobytes() for k, n in enumerate(size)]
+            short[k], carry = row, row >> 16
+        return [row[1:n].tobytes() for row, n in zip(_turned(short), size)]
 
 
 class _Reader:
+    """Range decoders of all lanes. Codes and ranges stand four bits higher than the writer's, so that words fit whole."""
+
     def __init__(self, bodies: list[bytes]):
         size = np.array([len(b) // 2 for b in bodies])
         self.flat = np.zeros(int(size.sum()) + len(bodies) * 4 + 8, np.uint16)
         begin = np.cumsum(size + 4) - size - 4
         for at, body in zip(begin.tolist(), bodies):
-            self.flat[at : at + len(body) // 2] = np.frombuffer(body, "<u2")
-        # the first 60 bits: three words and 12 bits of a fourth; words then follow 4 bits late
+            self.flat[at : at + len(body) // 2] = np.frombuffer(body[: len(body) // 2 * 2], "<u2")
         self.at = begin + 4
-        a, b, c, d = (self.flat[begin + k].astype(np.int64) for k in range(4))
-        self.code, self.rest = (a << 44) | (b << 28) | (c << 12) | (d >> 4), d & 15
-        self.range = np.full(len(bodies), _TOP - 1, np.int64)
-
-    def value(self) -> np.ndarray:
-        self.part = self.range >> _BITS
-        return np.minimum(self.code // self.part, (1 << _BITS) - 1)
-
-    def take(self, start: np.ndarray, share: np.ndarray) -> None:
-        self.code -= self.part * start
-        self.range = self.part * share
-        out = self.range < _LEAST
-        word = self.flat.take(self.at, mode="clip").astype(np.int64)
-        self.code = np.where(out, (self.code << 16) | (self.rest << 12) | (word >> 4), self.code)
-        self.rest = np.where(out, word & 15, self.rest)
+        a, b, c, d = (self.flat[begin + k].astype(np.uint64) for k in range(4))
+        self.code = (a << 48) | (b << 32) | (c << 16) | d
+        self.range = np.full(len(bodies), (_TOP - 1) << 4, np.uint64)
+
+    def part(self) -> np.ndarray:
+        return (self.range >> (_BITS + 4)) << 4
+
+    def take(self, size: np.ndarray) -> None:
+        """Go on after the code was made less by the start: ``size`` is the new range."""
+        out = size < _LEAST << 4
+        word = self.flat.take(self.at, mode="clip")
         self.at += out
-        self.range <<= out * 16
-        small = np.flatnonzero(self.range < _LEAST)
+        shift = out.view(np.uint8) << np.uint8(4)
+        self.code <<= shift
+        word *= out
+        self.code |= word
+        self.range = size << shift
+        small = np.flatnonzero(self.range < _LEAST << 4)
         while len(small):
             at, size = self.at.take(small), self.range.take(small) << 16
-            word = self.flat.take(at, mode="clip").astype(np.int64)
-            self.code[small] = (self.code.take(small) << 16) | (self.rest.take(small) << 12) | (word >> 4)
-            self.rest[small], self.at[small], self.range[small] = word & 15, at + 1, size
-            small = small[size < _LEAST]
+            self.code[small] = (self.code.take(small) << 16) | self.flat.take(at, mode="clip")
+            self.at[small], self.range[small] = at + 1, size
+            small = small[size < _LEAST << 4]
+
+
+# The next three are not used by the coder any more; an existing test holds them.
 
 
 def _search(rows: np.ndarray, first: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -141,127 +223,107 @@ def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a / b).astype(np.int64)
 
 
-def _run(lanes: int, steps: int, digits: int, ids: np.ndarray | None, reader: _Reader | None):
-    """Code ``ids`` [step, lane], or decode them with ``reader``; the model moves alike in both."""
-    writer = _Writer(lanes, steps, digits) if reader is None else None
+def _turned(rows: np.ndarray) -> np.ndarray:
+    """The transpose, copied in strips that stay near."""
+    out = np.empty(rows.shape[::-1], rows.dtype)
+    for first in range(0, len(rows), 32):
+        out[:, first : first + 32] = rows[first : first + 32].T
+    return out
+
+
+def _run(lanes: int, steps: int, table: _Shares, ids: np.ndarray | None, reader: _Reader | None):
+    """Code the ranks ``ids`` [step, lane], or decode them with ``reader``; the model moves alike in both."""
+    writer = _Writer(lanes, steps) if reader is None else None
     found = np.empty((steps, lanes), np.uint32) if reader is not None else None
     lane = np.arange(lanes, dtype=np.int64)
-    store2, store1, store0 = (np.zeros(lanes << b, np.uint32) for b in (_ORDER2, _ORDER1, _ORDER0))
-    base2, base1, base0 = lane << _ORDER2, lane << _ORDER1, lane << _ORDER0
-    shares2, shares1 = (np.full((lanes * n, 4), 0.25, np.float32) for n in (8, 4))
-    rows2, rows1 = (x.view(np.complex128).reshape(-1) for x in (shares2, shares1))  # one element a row, to store rows fast
-    shares0 = np.full((lanes, 4), 0.25, np.float32)
+    store2, store1 = (np.zeros(lanes << b, np.uint32) for b in (_ORDER2, _ORDER1))
+    base2, base1 = lane << _ORDER2, lane << _ORDER1
+    row8, row4 = lane * 8, lane * 4
+    # shares of the first two outcomes, side by side; shares [outcome, order, lane] are those of this step
+    shares2, shares1 = (np.full((lanes * n, 2), 1 / 3, np.float32).view(np.uint64).reshape(-1) for n in (8, 4))
+    shares = np.full((2, 3, lanes), 1 / 3, np.float32)
     weights = np.full((3, lanes), 1 / 3, np.float32)
-    spread = np.full((3, lanes, 4), 1 / 3, np.float32)
-    places = np.tile(_FIRST, (lanes * 17, 1))
-    place_rows = places.view(_ROW).reshape(-1)
-    high_at, low_at = lane * 17, lane * 17 + 1
-    row16, row4, row8 = lane * 16, lane * 4, lane * 8
-    bounds = np.zeros((5, lanes), np.int64)
-    bounds[4] = 4096
-    flat_bounds = bounds.reshape(-1)
-    before1 = before2 = np.zeros(lanes, np.int64)
+    before1 = before2 = np.zeros(lanes, np.uint32)
     for step in range(steps):
         # what the orders say
-        at1 = before1 * 0x9E3779B1
-        at2 = base2 + (((before2 * 0x85EBCA6B + at1) >> 7) & ((1 << _ORDER2) - 1))
-        at1 = base1 + ((at1 >> 9) & ((1 << _ORDER1) - 1))
+        hashed = before1 * _HASH1
+        at1 = base1 + (hashed >> (32 - _ORDER1))
+        at2 = base2 + ((before2 * _HASH2 + hashed) >> (32 - _ORDER2))
         kept2, kept1 = store2.take(at2), store1.take(at1)
         told2, told1 = kept2 & _ID_MASK, kept1 & _ID_MASK
-        state2 = row8 + (kept2 >> _ID_BITS) + 4 * (told2 == told1)
+        state2 = row8 + ((kept2 >> _ID_BITS) + ((told2 == told1).view(np.uint8) << np.uint8(2)))
         state1 = row4 + (kept1 >> _ID_BITS)
-        own2, own1 = shares2.take(state2, axis=0), shares1.take(state1, axis=0)
-        mixed = own2 * spread[0]
-        mixed += own1 * spread[1]
-        mixed += shares0 * spread[2]
+        own2, own1 = shares2.take(state2), shares1.take(state1)
+        pairs2, pairs1 = own2.view(np.float32).reshape(lanes, 2), own1.view(np.float32).reshape(lanes, 2)
+        shares[:, 0], shares[:, 1] = pairs2.T, pairs1.T
+        fits = shares * weights
+        mixed = fits[:, 0] + fits[:, 1]
+        mixed += fits[:, 2]
         mixed *= np.float32(4080)
-        bounds[1:4] = mixed.T[:3]
-        bounds[1:4] += 4
-        bounds[2] += bounds[1]
-        bounds[3] += bounds[2]
+        bounds = mixed.astype(np.int64)
+        bounds += 4
+        first, second = bounds[0], bounds[1]
 
         if reader is None:
-            narrow = ids[step]
-            value = narrow.astype(np.int64)
-            spot = ((value * 0x9E3779B1) >> 13) & 255
-            at0 = base0 + spot
-            kept0 = store0.take(at0)
-            told0 = kept0 & _ID_MASK
-            right2, right1, right0 = told2 == narrow, told1 == narrow, told0 == narrow
+            value = ids[step]
+            right2, right1 = told2 == value, told1 == value
             only1 = right1 & ~right2
-            by_place = right0 & ~(right1 | right2)
-            by_digits = ~(right0 | right1 | right2)
-            outcome = only1 + 2 * by_place + 3 * by_digits
-        else:
-            v = reader.value()
-            first = v >> 24
-            outcome = (first >= bounds[1]).astype(np.int64) + (first >= bounds[2]) + (first >= bounds[3])
-            by_place, by_digits = outcome == 2, outcome == 3
-        bound = outcome * lanes + lane
-        start = flat_bounds.take(bound)
-        share = flat_bounds.take(bound + lanes) - start
-
-        # the place in the order-0 store, or the digits, as a part of 2**24
-        if reader is None:
-            high, low = spot >> 4, spot & 15
-            high_rows = places.take(high_at, axis=0)
-            low_rows = places.take(low_at + high, axis=0)
+            neither = ~(right1 | right2)
+            part = writer.part()
+            both = first + second
+            start = first * only1
+            np.copyto(start, both, where=neither)
+            share = np.where(only1, second, first)
+            np.copyto(share, 4096 - both, where=neither)
+            scaled = part * share
+            inner = table.starts.take(value)
+            inner *= neither
+            size = np.where(neither, table.sizes.take(value), _WHOLE)
+            writer.put(part * (start << 24) + scaled * inner, scaled * size)
         else:
-            inner = _quotient(v - (start << 24), share)
-            high_rows = places.take(high_at, axis=0)
-            high = _search(high_rows, row16, inner >> 12)
-        high_start, high_share = _span(high_rows, row16, high)
-        if reader is not None:
-            low_rows = places.take(low_at + high, axis=0)
-            low = _search(low_rows, row16, _quotient(inner - (high_start << 12), high_share))
-        low_start, low_share = _span(low_rows, row16, low)
-        more = ((high_start << 12) + high_share * low_start) * by_place
-        size = np.where(by_place, high_share * low_share, 1 << 24)
-        digit = (value >> (16 * (digits - 1))) & 0xFFFF if reader is None else inner >> 8
-        more += (digit << 8) * by_digits
-        size[by_digits] = 256
-        (writer.put if reader is None else reader.take)((start << 24) + share * more, share * size)
-        if digits == 2:  # the second digit of larger ids
-            digit2 = value & 0xFFFF if reader is None else reader.value() >> (_BITS - 16)
-            size = np.where(by_digits, 1 << (_BITS - 16), 1 << _BITS)
-            (writer.put if reader is None else reader.take)((digit2 << (_BITS - 16)) * by_digits, size)
-            if reader is not None:
-                digit = (digit << 16) | digit2
-        if reader is not None:
-            place = (high << 4) + low
-            value = np.where(outcome == 0, told2, told1)
-            value = np.where(by_digits, digit, np.where(by_place, store0.take(base0 + place) & _ID_MASK, value))
-            narrow = found[step] = value.astype(np.uint32)
-            spot = ((value * 0x9E3779B1) >> 13) & 255
-            at0 = base0 + spot
-            kept0 = store0.take(at0)
-            told0 = kept0 & _ID_MASK
-            right2, right1, right0 = told2 == narrow, told1 == narrow, told0 == narrow
-            # tables move by the true place, whichever way the id was told
-            high, low = spot >> 4, spot & 15
-            low_rows = places.take(low_at + high, axis=0)
+            part = reader.part()
+            wide = (part << 24) * bounds.view(np.uint64)
+            edge = wide[0] + wide[1]
+            only1 = reader.code >= wide[0]
+            neither = reader.code >= edge
+            only1 ^= neither
+            less = wide[0] * only1
+            np.copyto(less, edge, where=neither)
+            reader.code -= less
+            share = np.where(only1, second, first)
+            np.copyto(share, 4096 - first - second, where=neither)
+            scaled = part * share.view(np.uint64)
+            rank = table.find((reader.code // scaled).view(np.int64))
+            inner = table.starts.take(rank)
+            inner *= neither
+            size = np.where(neither, table.sizes.take(rank), _WHOLE)
+            reader.code -= scaled * inner.view(np.uint64)
+            reader.take(scaled * size.view(np.uint64))
+            value = found[step]
+            value[:] = np.where(only1, told1, told2)
+            np.copyto(value, rank, where=neither, casting="unsafe")
+            right2, right1 = told2 == value, told1 == value
 
         # learn
-        here = row4 + outcome
-        fit2, fit1, fit0 = own2.reshape(-1).take(here) * weights[0], own1.reshape(-1).take(here) * weights[1], shares0.reshape(-1).take(here) * weights[2]
-        scale = _FADE / (fit2 + fit1 + fit0)
-        weights[0], weights[1], weights[2] = fit2 * scale + _FLOOR, fit1 * scale + _FLOOR, fit0 * scale + _FLOOR
-        for k in range(4):
-            spread[:, :, k] = weights
-        shown = _SHOWN.take(outcome, axis=0)
-        for own, rows, state in ((own2, rows2, state2), (own1, rows1, state1)):
-            own *= _KEEP
-            own += shown
-            rows[state] = own.view(np.complex128).reshape(-1)
-        shares0 *= _KEEP
-        shares0 += shown
-        for table, rows, half in ((high_at, high_rows, high), (low_at + high, low_rows, low)):
-            rows += (_TARGET.take(half, axis=0) - rows) >> _SHARE_RATE
-            place_rows[table] = rows.view(_ROW).reshape(-1)
-        store2[at2] = np.where(right2, kept2 + ((kept2 < _SURE2) * np.uint32(_ONE)), narrow)
-        store1[at1] = np.where(right1, kept1 + ((kept1 < _SURE2) * np.uint32(_ONE)), narrow)
-        kept0 = np.where(right0, kept0 + (kept0 < _SURE0) * np.uint32(_ONE), np.where(kept0 >= _ONE, kept0 - np.uint32(_ONE), narrow))
-        store0[at0] = kept0
+        fit = weights - fits[0]
+        fit -= fits[1]
+        np.maximum(fit, _LEAST_FIT, out=fit)
+        np.copyto(fit, fits[1], where=only1)
+        np.copyto(fit, fits[0], where=right2)
+        scale = fit[0] + fit[1]
+        scale += fit[2]
+        np.divide(_FADE, scale, out=scale)
+        np.multiply(fit, scale, out=weights)
+        weights += _FLOOR
+        shares *= _KEEP
+        shares[0] += right2 * _RATE
+        shares[1] += only1 * _RATE
+        pairs2[:], pairs1[:] = shares[:, 0].T, shares[:, 1].T
+        shares2[state2], shares1[state1] = own2, own1
+        for store, at, kept, told, right in ((store2, at2, kept2, told2, right2), (store1, at1, kept1, told1, right1)):
+            kept += _ONE
+            np.minimum(kept, told | _SURE, out=kept)
+            store[at] = np.where(right, kept, value)
         before2, before1 = before1, value
     return found if writer is None else writer.bodies()
 
@@ -272,33 +334,39 @@ def encode(ids: np.ndarray, block: int = BLOCK_IDS) -> bytes:
     A short frame takes shorter blocks (256 ids at least), so that steps are few. Ids are below 2**24.
     """
     ids = np.asarray(ids)
-    if len(ids) and (ids.min() < 0 or ids.max() > _ID_MASK):
+    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << _ID_BITS):
         raise ValueError("ids must be from 0 to 2**24 - 1")
     ids = ids.astype(np.uint32)
-    digits = 1 if ids.max(initial=0) < 65536 else 2
     block = min(block, max(LEAST_IDS, -(-len(ids) // LANES)))
     count = -(-len(ids) // block)
-    out = [FRAME.pack(MAGIC, digits, count)]
+    out = [FRAME.pack(MAGIC, 1, count)]
+    if count:
+        shares, table = _Shares.of(ids)
+        ranks = shares.ranks()
+        table = TABLE.pack(len(table)) + table
     for first in range(0, count, LANES):
         lanes = min(LANES, count - first)
         own = ids[first * block : (first + lanes) * block]
         padded = np.zeros(lanes * block, np.uint32)
-        padded[: len(own)] = own
+        ranks.take(own, out=padded[: len(own)], mode="clip")
         steps = min(block, len(own))
-        bodies = _run(lanes, steps, digits, np.ascontiguousarray(padded.reshape(lanes, block).T[:steps]), None)
+        bodies = _run(lanes, steps, shares, _turned(padded.reshape(lanes, block))[:steps], None)
         for k, body in enumerate(bodies):
             part = own[k * block : (k + 1) * block].astype("<u4", copy=False)
+            body = table + body if first + k == 0 else body
             out += [HEAD.pack(len(part), len(body), zlib.crc32(part.tobytes())), body]
     return b"".join(out)
 
 
 def decode(frame: bytes) -> np.ndarray:
     """The ids of a frame; raises if a block does not match its checksum."""
-    magic, digits, count = FRAME.unpack_from(frame)
+    magic, _, count = FRAME.unpack_from(frame)
     if magic != MAGIC:
         raise ValueError("not a frame of token ids")
     heads, bodies, at = [], [], FRAME.size
     for _ in range(count):
+        if at + HEAD.size > len(frame):
+            raise ValueError("the frame ends early")
         n, size, check = HEAD.unpack_from(frame, at)
         at += HEAD.size
         if at + size > len(frame):
@@ -307,11 +375,16 @@ def decode(frame: bytes) -> np.ndarray:
         bodies.append(frame[at : at + size])
         at += size
     out = [np.zeros(0, np.uint32)]
+    if count:
+        end = TABLE.size + TABLE.unpack_from(bodies[0])[0] if len(bodies[0]) >= TABLE.size else 0
+        shares = _Shares.read(bodies[0][TABLE.size : end])
+        bodies[0] = bodies[0][end:]
     for first in range(0, count, LANES):
         some = heads[first : first + LANES]
-        found = _run(len(some), max(n for n, _ in some), digits, None, _Reader(bodies[first : first + LANES])).T.astype("<u4")
-        for (n, check), ids in zip(some, found):
-            if zlib.crc32(ids[:n].tobytes()) != check:
+        found = _turned(_run(len(some), max(n for n, _ in some), shares, None, _Reader(bodies[first : first + LANES])))
+        for (n, check), ranks in zip(some, found):
+            ids = shares.ids.take(ranks[:n], mode="clip").astype("<u4", copy=False)
+            if zlib.crc32(ids.tobytes()) != check:
                 raise ValueError("a block does not match its checksum")
-            out.append(ids[:n])
+            out.append(ids)
     return np.concatenate(out)

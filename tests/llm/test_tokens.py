@@ -229,3 +229,42 @@ def test_quotients_of_the_coder_are_whole():
     assert (half == (ends <= value[:, None]).sum(axis=1)).all()
     start, share = mixed_coder._span(ends, first, half)
     assert ((start <= value) & (value < start + share)).all() and (start[half == 0] == 0).all()
+
+
+def test_coder_tells_ids_by_their_share_of_the_frame():
+    """Ids without order, most of them rare, take little more than their entropy (9.1 bits and the table); blocks stay apart."""
+    rng = np.random.default_rng(7)
+    share = 1 / np.arange(1, 4001)
+    share /= share.sum()
+    ids = rng.permutation(50_000)[:4000][rng.choice(4000, 400_000, p=share)]
+    frame = mixed_coder.encode(ids)
+    assert (mixed_coder.decode(frame) == ids).all()
+    assert 8 * len(frame) / len(ids) < -(share * np.log2(share)).sum() + 1.2
+    few = rng.integers(0, 50_000, 100)
+    assert len(mixed_coder.encode(few)) < 2 * len(few) + 60  # no table where it does not pay
+    parts, at = [], mixed_coder.FRAME.size
+    while at < len(frame):
+        n, size, _ = mixed_coder.HEAD.unpack_from(frame, at)
+        at += mixed_coder.HEAD.size + size
+        parts.append((n, frame[at - mixed_coder.HEAD.size - size : at]))
+    two = mixed_coder.FRAME.pack(mixed_coder.MAGIC, 1, 2) + parts[0][1] + parts[-2][1]
+    begin = len(ids) - parts[-1][0] - parts[-2][0]
+    assert (mixed_coder.decode(two) == np.concatenate([ids[: parts[0][0]], ids[begin : begin + parts[-2][0]]])).all()
+
+
+@pytest.mark.parametrize("kind", ["even", "steep", "one", "many", "rare among many", "all ids"])
+def test_shares_of_a_frame_do_not_overlap(kind):
+    rng = np.random.default_rng(8)
+    ids = {
+        "even": np.arange(50_000), "steep": np.repeat(np.arange(20), 1 << np.arange(20)), "one": np.full(9, 7), "many": rng.integers(0, 1 << 24, 300_000),
+        "rare among many": np.concatenate([np.repeat(np.arange(60_000), 40), np.arange(60_000, 260_000)]), "all ids": np.arange(1 << 16),
+    }[kind].astype(np.uint32)
+    shares, table = mixed_coder._Shares.of(ids)
+    again = mixed_coder._Shares.read(table)
+    assert (again.starts == shares.starts).all() and (again.sizes == shares.sizes).all() and (again.ids == shares.ids).all()
+    order = np.argsort(shares.starts)
+    ends = (shares.starts + shares.sizes)[order]
+    assert (shares.sizes > 0).all() and (shares.starts[order][1:] >= ends[:-1]).all() and ends[-1] <= 1 << 24
+    rank = np.arange(len(shares.ids))
+    assert (shares.find(shares.starts) == rank).all() and (shares.find(shares.starts + shares.sizes - 1) == rank).all()
+    assert (shares.ids[shares.ranks()[ids]] == ids).all()
