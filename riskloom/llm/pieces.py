@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from itertools import chain
 
 import numpy as np
 
@@ -98,8 +100,8 @@ class _Slots:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key; -1 if absent."""
         at = self._first(keys)
-        found = self.keys[at]
-        out = np.where(found == keys, self.rows[at], -1)
+        found = self.keys.take(at)
+        out = np.where(found == keys, self.rows.take(at), -1)
         open_ = np.flatnonzero((found != keys) & (found != 0))
         while len(open_):
             at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
@@ -155,9 +157,10 @@ class PieceEncoder:
     def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         if self.rows + len(keys) > (self.kept or KEPT_PIECES):
             self._clear()
+        raw = memoryview(np.ascontiguousarray(data))
         for first in range(0, len(keys), LIBRARY_BATCH):
             some = slice(first, first + LIBRARY_BATCH)
-            texts = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[some], ends[some])]
+            texts = [str(raw[s:e], "utf-8", "replace") for s, e in zip(starts[some].tolist(), ends[some].tolist())]
             found = self.encode(texts)
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             at = int(self.ends[self.rows - 1]) if self.rows else 0
@@ -166,7 +169,7 @@ class PieceEncoder:
                 self.ids = np.resize(self.ids, max(total, 2 * len(self.ids)))
             if self.rows + len(found) > len(self.ends):
                 self.ends = np.resize(self.ends, max(self.rows + len(found), 2 * len(self.ends)))
-            self.ids[at:total] = np.fromiter((i for x in found for i in x), np.int32, total - at)
+            self.ids[at:total] = np.fromiter(chain.from_iterable(found), np.int32, total - at)
             self.ends[self.rows : self.rows + len(found)] = at + np.cumsum(lengths)
             self.slots.add(keys[some], np.arange(self.rows, self.rows + len(found), dtype=np.int32))
             self.rows += len(found)
@@ -176,14 +179,15 @@ class PieceEncoder:
         rows = self.slots.find(keys)
         new = np.flatnonzero(rows < 0)
         if len(new):
-            distinct, where = np.unique(keys[new], return_index=True)
+            before = self.rows
+            distinct, where, which = np.unique(keys[new], return_index=True, return_inverse=True)
             self._learn(data, distinct, starts[new[where]], ends[new[where]])
-            rows = self.slots.find(keys)
-            if (rows < 0).any():  # what was kept before made room
-                distinct, where = np.unique(keys, return_index=True)
+            if self.rows == before + len(distinct):
+                rows[new] = before + which
+            else:  # what was kept before made room
+                distinct, where, rows = np.unique(keys, return_index=True, return_inverse=True)
                 self._clear()
                 self._learn(data, distinct, starts[where], ends[where])
-                rows = self.slots.find(keys)
         return rows
 
     def _spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,6 +265,47 @@ class PieceEncoder:
             yield np.zeros(0, np.int32), np.zeros(n - done, np.int64)
 
 
+#: A word of letters that byte-level BPE takes as one, with the space before it, and the characters that stand for its bytes there.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]{1,200}")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def _takes_words_whole(parts: dict) -> bool:
+    """Whether the file's tokenizer gives every such word to its model as it is: byte-level BPE without added tokens of letters or space."""
+    before = parts.get("pre_tokenizer") or {}
+    return (
+        (before.get("type"), before.get("add_prefix_space"), before.get("use_regex", True)) == ("ByteLevel", False, True)
+        and (parts.get("post_processor") or {}).get("type", "ByteLevel") == "ByteLevel"
+        and not any(parts.get(k) for k in ("normalizer", "truncation", "padding"))
+        and not any(re.fullmatch("[ A-Za-zÀ-ÖØ-öø-ÿ]*", t["content"]) for t in parts.get("added_tokens", []))
+    )
+
+
+def _library_ids(library, parts: dict):
+    """Ids of each of a list of texts. Words of letters go to the library's model, past the stages that leave them as they are."""
+
+    def whole(texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def by_words(texts: list[str]) -> list[list[int]]:
+        out, rest = [], []
+        for k, text in enumerate(texts):
+            if is_word(text):
+                out.append([t.id for t in tokenize(text.encode().decode("latin-1").translate(_BYTE_CHARS))])
+            else:
+                out.append(None)
+                rest.append(k)
+        for k, ids in zip(rest, whole([texts[k] for k in rest])):
+            out[k] = ids
+        return out
+
+    if not _takes_words_whole(parts):
+        return whole
+    tokenize, is_word = library.model.tokenize, _WORD.fullmatch
+    return by_words
+
+
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
@@ -273,8 +318,9 @@ def file_encoder(path: str, cuts, special: bool = True, kept: int | None = None)
         library = Tokenizer.from_file(path)
         library.encode_special_tokens = not special
         with open(path, encoding="utf-8") as file:
-            whole = [t["content"].encode() for t in json.load(file).get("added_tokens", []) if special and len(t["content"]) > 1]
-        _encoders[path, special] = PieceEncoder(lambda texts: [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)], cuts, whole, kept)
+            parts = json.load(file)
+        whole = [t["content"].encode() for t in parts.get("added_tokens", []) if special and len(t["content"]) > 1]
+        _encoders[path, special] = PieceEncoder(_library_ids(library, parts), cuts, whole, kept)
     return _encoders[path, special]
 
 

@@ -1,5 +1,6 @@
 """Pieces, token counts, token files and packing against the tokenizers library itself."""
 
+import json
 import random
 import subprocess
 import sys
@@ -268,3 +269,44 @@ def test_shares_of_a_frame_do_not_overlap(kind):
     rank = np.arange(len(shares.ids))
     assert (shares.find(shares.starts) == rank).all() and (shares.find(shares.starts + shares.sizes - 1) == rank).all()
     assert (shares.ids[shares.ranks()[ids]] == ids).all()
+
+
+def test_words_by_the_model_are_the_librarys(library, tmp_path):
+    """Words of letters skip the stages before the model only where these leave them alone; an added token of letters forbids it."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZÀÉÖØÞßàéöøþÿ"
+    some = [rng.choice(["", " "]) + "".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    some += [" ", "  a", "a b", "×", "÷a", "ab1", "don't", "é́", "<|endoftext|>", " the", "a" * 200, "a" * 201, " " + "é" * 300, ""]
+    parts = json.loads(Path(PATH).read_text())
+    assert pieces._takes_words_whole(parts)
+    asked = []
+
+    class Library:
+        model = library.model
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    assert pieces._library_ids(Library(), parts)(some) == [ids_of(library, t) for t in some]
+    assert 0 < len(asked) < 20
+    own = Tokenizer.from_file(PATH)
+    own.add_tokens(["foo"])
+    own.save(str(tmp_path / "own.json"))
+    words = ["foo", " food", " afoo", "of foo food"]
+    got = [x.tolist() for ids, sizes in new_encoder(str(tmp_path / "own.json")).texts(*flat_bytes(pa.array(words))) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [own.encode(w, add_special_tokens=False).ids for w in words]
+    assert not pieces._takes_words_whole(parts | {"added_tokens": [{"content": " "}]})
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        assert not pieces._takes_words_whole(parts | change)
+
+
+def test_groups_of_blocks_are_even():
+    """A frame that its last document or batch makes a little longer is no second, narrow group of as many steps."""
+    assert mixed_coder._groups(0) == []
+    for count in (1, 4095, 4096, 4097, 4600, 5120, 5121, 12_000):
+        groups = mixed_coder._groups(count)
+        assert groups[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(groups, groups[1:])) and sum(n for _, n in groups) == count
+        sizes = [n for _, n in groups]
+        assert max(sizes) <= mixed_coder.LANES * 5 // 4 and max(sizes) - min(sizes) <= 1
+    assert len(mixed_coder._groups(4600)) == 1
