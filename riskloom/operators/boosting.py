@@ -1,27 +1,38 @@
-"""Second-order boosting of regression trees on histograms: one task for a small table, else a job a level over cached blocks."""
+"""Second-order boosting of regression trees on histograms: one task for a small table, else tasks that exchange sums, or a job a level over cached blocks."""
 
 from __future__ import annotations
 
 import math
+import os
+import shutil
+import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark import RDD, BarrierTaskContext, StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 BINS = 256
 CELL_BITS = 18
-ONE_TASK_ROWS = 2_000_000
+ONE_TASK_ROWS = 500_000
 TASK_ROWS = 250_000
 MOST_TASKS = 64
+HELD_ROWS = 2_000_000  # rows that one of several tasks keeps in memory
+MOST_PEERS = 32
+WAIT_S = 600  # how long a task waits for the sums of another
 BLOCK_ROWS = 1 << 18
-COUNT_ROWS = 1 << 16
+CHUNK_ROWS = 1 << 13  # rows worked on at a time: arrays of this length stay in the cache and are not mapped anew
+BYTE_ROWS = 1 << 16  # the same for arrays of bytes
+BUNDLE_CELLS = 1 << 10
+MOST_COMPARED = 32  # splits of a level that are compared one by one
 MOST_CELLS = 1 << 20  # cells of the histograms that are measured at a time
 REBASE_TREES = 50
 LEAST_HESSIAN = 1.0
@@ -48,9 +59,63 @@ class Trees:
     h: np.ndarray
     losses: np.ndarray
 
+    @cached_property
+    def _complete(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Trees with leaves on the last level only: distinct thresholds of each feature, and of each tree the feature of its inner nodes,
+        the number of their threshold, and the values of its leaves. What ends above the last level goes to the left all the way down."""
+        inner = (1 << self.depth) - 1
+        feature, value = self.feature.astype(np.int64), self.value.copy()
+        for node in range(inner):
+            ends = feature[:, node] < 0
+            for child in (2 * node + 1, 2 * node + 2):
+                value[ends, child] = value[ends, node]
+                feature[ends, child] = -1
+        feature, threshold = feature[:, :inner], self.threshold[:, :inner]
+        cuts = [np.unique(threshold[feature == f]) for f in range(max(0, feature.max(initial=-1)) + 1)]
+        number = np.zeros(feature.shape, np.int64)
+        for f, c in enumerate(cuts):
+            number[feature == f] = np.searchsorted(c, threshold[feature == f])
+        number[feature < 0] = np.iinfo(np.uint16).max
+        return cuts, np.maximum(feature, 0), number, value[:, inner : 2 * inner + 1]
+
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of class 1 for each row."""
+        cuts, *_ = self._complete
+        few = self.depth <= 6 and max(map(len, cuts)) < np.iinfo(np.uint16).max
         out = np.full(len(x), self.base)
+        for low in range(0, len(x), BYTE_ROWS):
+            part = slice(low, low + BYTE_ROWS)
+            out[part] += self._by_ranks(x[part]) if few else self._by_steps(x[part])
+        return out
+
+    def _by_ranks(self, x: np.ndarray) -> np.ndarray:
+        """A value becomes the number of thresholds below it once; all inner nodes are compared, and a level's answer is chosen by those above."""
+        cuts, features, numbers, values = self._complete
+        kind = np.uint8 if max(map(len, cuts)) < 256 else np.uint16
+        ranks = []
+        for f, c in enumerate(cuts):
+            rank = np.empty(len(x), kind)
+            for low in range(0, len(x), CHUNK_ROWS):
+                own = x[low : low + CHUNK_ROWS, f]
+                rank[low : low + CHUNK_ROWS] = np.where(np.isnan(own), 0, np.searchsorted(c, own))  # without a value nothing is beyond
+            ranks.append(rank)
+        most, out = np.iinfo(kind).max, np.zeros(len(x))
+        for feature, number, value in zip(features, np.minimum(numbers, most).tolist(), values):
+            beyond = [(ranks[f] > k).view(np.uint8) for f, k in zip(feature.tolist(), number)]
+            at, answers = np.zeros(len(x), np.uint8), []
+            for level in range(self.depth):
+                chosen = beyond[(1 << level) - 1 : (2 << level) - 1]
+                for answer in reversed(answers):
+                    chosen = [low ^ ((low ^ high) & answer) for low, high in zip(chosen[::2], chosen[1::2])]
+                answers.append(chosen[0])
+                at += at
+                at |= chosen[0]
+            for low in range(0, len(x), CHUNK_ROWS):
+                out[low : low + CHUNK_ROWS] += value.take(at[low : low + CHUNK_ROWS])
+        return out
+
+    def _by_steps(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
         flat, first = np.ascontiguousarray(x, np.float64).ravel(), np.arange(len(x)) * (x.shape[1] if x.ndim > 1 else 1)
         inner = (1 << self.depth) - 1
         for feature, threshold, value in zip(self.feature, self.threshold, self.value):
@@ -70,13 +135,12 @@ class Trees:
         return out
 
     def probability(self, features: Column) -> Column:
-        model = self  # the arrays go along with the function, some hundred kB
+        model, _ = self, self._complete  # the arrays go along with the function, some hundred kB
 
-        @F.pandas_udf("double")
-        def probability(x: pd.Series) -> pd.Series:
-            if x.empty:
-                return pd.Series([], dtype="float64")
-            return pd.Series(1.0 / (1.0 + np.exp(-model.margin(np.stack(x.to_numpy())))))
+        @F.arrow_udf("double")
+        def probability(x: pa.Array) -> pa.Array:
+            rows = np.asarray(x.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(x), -1 if len(x) else 0)
+            return pa.array(1.0 / (1.0 + np.exp(-model.margin(rows))))
 
         return probability(features)
 
@@ -122,12 +186,14 @@ def thresholds(df: DataFrame, d: int, bins: int = BINS) -> list[np.ndarray]:
     return out
 
 
-def _uniform(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    """A draw in [0, 1) for each row key and tree."""
+def _drawn(keys: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
+    """Which rows a tree draws: those whose hash of key and tree is in the lowest ``share`` of all numbers."""
     h = keys + np.uint64((seed * 0x9E3779B97F4A7C15 + tree * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & (1 << 64) - 1)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (h ^ (h >> np.uint64(31))).astype(np.float64) / 2.0**64
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return h < np.uint64(min(int(share * 2.0**64), (1 << 64) - 1))
 
 
 @dataclass(frozen=True)
@@ -144,6 +210,17 @@ class _Plan:
     penalty: float
     seed: int
 
+    @cached_property
+    def bundles(self) -> list[list[int]]:
+        """Features that are counted together: as many as have at most ``BUNDLE_CELLS`` combinations of bins, so few-valued ones cost little."""
+        out: list[list[int]] = []
+        sizes = [len(c) + 1 for c in self.cuts]
+        for f in sorted(range(len(sizes)), key=lambda f: -sizes[f]):
+            fits = (b for b in out if math.prod(sizes[k] for k in [*b, f]) <= BUNDLE_CELLS)
+            own = next(fits, None)
+            out.append([f]) if own is None else own.append(f)
+        return out
+
     @property
     def width(self) -> int:
         return max(map(len, self.cuts)) + 1
@@ -160,50 +237,113 @@ class _Plan:
 class _Rows:
     """Some rows: bins [feature, row], label, weight, key and log-odds so far; while a tree grows also gradients and the node of each row."""
 
-    def __init__(self, bins: np.ndarray, y: np.ndarray, weight: np.ndarray, keys: np.ndarray, margin: np.ndarray):
+    def __init__(self, bins: np.ndarray, y: np.ndarray, weight: np.ndarray, keys: np.ndarray, margin: np.ndarray, depth: int):
         self.bins, self.y, self.weight, self.keys, self.margin = bins, y, weight, keys, margin
-        self.rows = np.arange(len(y))
-
-    def start(self, tree: int, plan: _Plan) -> None:
-        p = 1.0 / (1.0 + np.exp(-self.margin))
-        drawn = self.weight * (_uniform(self.keys, tree, plan.seed) < plan.share) * plan.scale
-        self.g, self.h = np.rint((p - self.y) * drawn), np.rint(np.maximum(p * (1 - p), 1e-16) * drawn)
-        self.at = np.zeros(len(self.y), np.int64)
-
-    def loss(self, plan: _Plan) -> np.ndarray:
-        """Summed loss and weight, both in whole units."""
-        loss = np.logaddexp(0.0, np.where(self.y > 0, -self.margin, self.margin))
-        return np.array([np.rint(loss * self.weight * plan.scale).sum(), np.rint(self.weight * plan.scale).sum()])
+        self.node_type = np.uint8 if depth < 8 else np.uint16 if depth < 16 else np.int64
+        self.g, self.h, self.here, self.codes = np.empty(len(y)), np.empty(len(y)), np.empty(len(y), np.intp), None
+        self.back()
+
+    def back(self) -> None:
+        """All rows at the root."""
+        self.at, self.level = np.zeros(len(self.y), self.node_type), 0
+
+    def _parts(self, size: int = CHUNK_ROWS) -> Iterator[slice]:
+        return (slice(low, low + size) for low in range(0, len(self.y), size))
+
+    def start(self, tree: int, plan: _Plan) -> np.ndarray:
+        """Gradients for a tree; the summed loss before it and the weight, both in whole units."""
+        total = np.zeros(2)
+        for s in self._parts():
+            margin, y, weight = np.clip(self.margin[s], -700.0, 700.0), self.y[s], self.weight[s] * plan.scale
+            odds = np.exp(-margin)
+            odds += 1.0
+            p = 1.0 / odds
+            loss = np.log(odds) + margin * (y <= 0)
+            total += np.rint(loss * weight).sum(), np.rint(weight).sum()
+            weight *= _drawn(self.keys[s], tree, plan.seed, plan.share)
+            np.rint((p - y) * weight, out=self.g[s])
+            np.rint(np.maximum(p * (1.0 - p), 1e-16) * weight, out=self.h[s])
+        self.back()
+        return total
 
     def descend(self, feature: np.ndarray, bin_: np.ndarray) -> None:
         """One level down, for the rows whose node is split."""
         leaf, ids = feature < 0, np.arange(len(feature))
-        first = np.where(leaf, 0, feature) * len(self.y)
-        place = first.take(self.at)
-        place += self.rows
-        beyond = self.bins.ravel().take(place) > np.where(leaf, np.iinfo(self.bins.dtype).max, bin_).take(self.at)
-        self.at = np.where(leaf, ids, 2 * ids + 1).take(self.at)
-        self.at += beyond
+        following = np.where(leaf, ids, 2 * ids + 1).clip(0, len(feature) - 1).astype(self.node_type)
+        own = slice((1 << self.level) - 1, (2 << self.level) - 1)
+        split = own.start + np.flatnonzero(~leaf[own])
+        self.level += 1
+        if len(split) <= MOST_COMPARED:
+            for s in self._parts(BYTE_ROWS):
+                at = self.at[s]
+                below = following.take(at)
+                for i in split.tolist():
+                    beyond = self.bins[feature[i], s] > self.bins.dtype.type(bin_[i])
+                    beyond &= at == i
+                    below += beyond.view(np.uint8)
+                self.at[s] = below
+            return
+        first, limit = np.where(leaf, 0, feature) * len(self.y), np.where(leaf, np.iinfo(self.bins.dtype).max, bin_)
+        for s in self._parts():
+            at = self.at[s].astype(np.int64)
+            beyond = self.bins.ravel().take(first.take(at) + np.arange(s.start, s.start + len(at))) > limit.take(at)
+            self.at[s] = following.take(at) + beyond
+
+    def _codes(self, plan: _Plan) -> list[np.ndarray]:
+        """One number a row for each bundle: the bins of its features, the first of them fastest."""
+        if self.codes is None:
+            self.codes = []
+            for bundle in plan.bundles:
+                if len(bundle) == 1:
+                    self.codes.append(self.bins[bundle[0]])
+                    continue
+                code = np.zeros(len(self.y), np.uint16)
+                for f in reversed(bundle):
+                    code *= np.uint16(len(plan.cuts[f]) + 1)
+                    code += self.bins[f]
+                self.codes.append(code)
+        return self.codes
+
+    def _select(self, wanted: np.ndarray) -> int:
+        """Number of the drawn rows at nodes that are wanted; their places are the first of ``here``."""
+        n = 0
+        for s in self._parts():
+            found = np.flatnonzero(wanted.take(self.at[s]) & (self.h[s] != 0))
+            self.here[n : n + len(found)] = found + s.start
+            n += len(found)
+        return n
 
     def histogram(self, nodes: np.ndarray, columns: np.ndarray, plan: _Plan) -> np.ndarray:
         """[gradient or hessian, node, column, bin] sums over the rows in the given nodes."""
-        width, place_of = plan.width, np.full(plan.size, -1)
-        place_of[nodes] = np.arange(len(nodes)) * width
-        out = np.zeros((2, len(columns), len(nodes) * width))
-        place = place_of.take(self.at)
-        here = np.flatnonzero((place >= 0) & (self.h != 0))
-        step = max(COUNT_ROWS, len(nodes) * width)  # a count clears as many cells
-        for low in range(0, len(here), step):
-            part = here[low : low + step]
-            at, g, h = place[part], self.g[part], self.h[part]
-            for k, j in enumerate(columns):
-                cell = at + self.bins[j][part]
-                out[0, k] += np.bincount(cell, g, out.shape[2])
-                out[1, k] += np.bincount(cell, h, out.shape[2])
-        return out.reshape(2, len(columns), len(nodes), width).transpose(0, 2, 1, 3)
+        wanted = {int(f): k for k, f in enumerate(columns)}
+        counted = [(bundle, codes) for bundle, codes in zip(plan.bundles, self._codes(plan)) if any(f in wanted for f in bundle)]
+        sizes = [math.prod(len(plan.cuts[f]) + 1 for f in bundle) for bundle, _ in counted]
+        sums = [np.zeros((2, len(nodes) * size)) for size in sizes]
+        place_of = np.full(plan.size, -1)
+        place_of[nodes] = np.arange(len(nodes))
+        most = self._select(place_of >= 0) if self.level else len(self.y)
+        step = max(CHUNK_ROWS, len(nodes) * max(sizes, default=0))  # a count clears as many cells
+        for low in range(0, most, step):
+            here = self.here[low : min(low + step, most)] if self.level else slice(low, low + step)
+            g, h = (x.take(here) if self.level else x[here] for x in (self.g, self.h))
+            place = place_of.take(self.at.take(here)) if self.level else None
+            for (_, codes), size, out in zip(counted, sizes, sums):
+                cell = codes[here].astype(np.intp) if place is None else place * size + codes.take(here)
+                out[0] += np.bincount(cell, g, out.shape[1])
+                out[1] += np.bincount(cell, h, out.shape[1])
+        found = np.zeros((2, len(nodes), len(columns), plan.width))
+        for (bundle, _), out in zip(counted, sums):
+            shape = [len(plan.cuts[f]) + 1 for f in reversed(bundle)]
+            cells = out.reshape(2, len(nodes), *shape)
+            for axis, f in enumerate(reversed(bundle)):
+                if f in wanted:
+                    others = tuple(2 + a for a in range(len(shape)) if a != axis)
+                    found[:, :, wanted[f], : shape[axis]] = cells.sum(axis=others)
+        return found
 
     def finish(self, value: np.ndarray) -> None:
-        self.margin = self.margin + value.take(self.at)
+        for s in self._parts():
+            self.margin[s] += value.take(self.at[s])
 
 
 Node = dict[str, np.ndarray]
@@ -267,36 +407,97 @@ def _score(sums: np.ndarray, penalty: float) -> np.ndarray:
     return sums[0] ** 2 / (sums[1] + penalty)
 
 
-def _boost_here(rows: _Rows, plan: _Plan) -> Iterator[tuple[int, Node, float]]:
-    """(number, node arrays, mean loss before it) of each tree over rows in memory; after the last once more for its loss."""
+Sum = Callable[[np.ndarray], np.ndarray]
+
+
+def _boost_here(rows: _Rows, plan: _Plan, add: Sum = lambda own: own) -> Iterator[tuple[int, Node, float]]:
+    """(number, node arrays, mean loss before it) of each tree over rows in memory; after the last once more for its loss.
+
+    ``add`` gives the sum of an array over all tasks that share the rows; every task then takes the same decisions.
+    """
     for tree in range(plan.trees + 1):
-        total, weight = rows.loss(plan)
-        loss = total / max(weight, 1.0)
+        own, sums = rows.start(tree, plan), np.zeros(2)
         if tree == plan.trees:
-            yield tree, {}, loss
+            sums = add(own)
+            yield tree, {}, sums[0] / max(sums[1], 1.0)
             return
-        rows.start(tree, plan)
-        seen = 0
 
-        def measure(node: Node, level: int, nodes: np.ndarray, tree=tree) -> np.ndarray:
-            nonlocal seen
-            if level > seen:
+        def measure(node: Node, level: int, nodes: np.ndarray, tree=tree, own=own, sums=sums) -> np.ndarray:
+            while level > rows.level:
                 rows.descend(node["feature"], node["bin"])
-                seen = level
-            return rows.histogram(nodes, plan.columns(tree), plan)
+            found = rows.histogram(nodes, plan.columns(tree), plan)
+            total = add(np.concatenate([found.ravel(), [] if level else own]))
+            if not level:
+                sums[:], total = total[-2:], total[:-2]
+            return total.reshape(found.shape)
 
         node = _grow(tree, plan, measure)
-        for _ in range(seen, plan.depth):
+        while rows.level < plan.depth:
             rows.descend(node["feature"], node["bin"])
         rows.finish(node["value"])
-        yield tree, node, loss
+        yield tree, node, sums[0] / max(sums[1], 1.0)
+
+
+class _Peers:
+    """The tasks of a barrier stage, which add up arrays through files of a folder that all can reach.
+
+    Spark's own exchange between such tasks takes a second, a job takes a tenth; a tree needs one for each level. A file gets its name when it
+    is whole. As a task writes its next array only when it has read all of the last ones, its file before that is of no more use.
+    """
+
+    def __init__(self, folder: str):
+        task = BarrierTaskContext.get()
+        names = task.allGather(uuid.uuid4().hex)  # of this attempt: one that was given up has other files
+        self.rank, self.size, self.step, self.base = task.partitionId(), len(names), 0, f"{folder}/{names[0]}"
+
+    def _file(self, step: int, rank: int) -> str:
+        return f"{self.base}-{step}-{rank}"
+
+    def add(self, own: np.ndarray) -> np.ndarray:
+        path = self._file(self.step, self.rank)
+        with open(f"{path}.part", "wb") as file:
+            file.write(own.tobytes())
+        os.rename(f"{path}.part", path)
+        total, since = own.copy(), time.monotonic()
+        for rank in range(self.size):
+            pause = 0.0002
+            while rank != self.rank:
+                try:
+                    with open(self._file(self.step, rank), "rb") as file:
+                        total += np.frombuffer(file.read())
+                    break
+                except FileNotFoundError:
+                    if time.monotonic() - since > WAIT_S:
+                        raise TimeoutError(f"task {rank} gave no sums for {WAIT_S} s") from None
+                    time.sleep(pause)
+                    pause = min(2 * pause, 0.02)
+        if self.step:
+            os.remove(self._file(self.step - 1, self.rank))
+        self.step += 1
+        return total
+
+
+def _shared_folder(spark: SparkSession) -> str | None:
+    """A new folder among the scratch tables, if tasks can open it as a plain path; else none."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "trees"))
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    where = store.makeQualified(path).toUri()
+    return where.getPath() if where.getScheme() == "file" and store.mkdirs(path) else None
+
+
+def _may_exchange(spark: SparkSession, rows: int, tasks: int) -> bool:
+    """Whether so many tasks can run at a time and hold the rows."""
+    sc = spark.sparkContext
+    given = sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true"
+    return not given and 1 < tasks <= min(MOST_PEERS, sc.defaultParallelism) and rows <= tasks * HELD_ROWS
 
 
 def _advance(nodes: list[Node], depth: int, block: tuple) -> tuple:
     """The block after some more trees."""
-    rows = _Rows(*block)
+    rows = _Rows(*block[:4], block[4].copy(), depth)  # what is cached may not be written
     for node in nodes:
-        rows.at = np.zeros(len(rows.y), np.int64)
+        rows.back()
         for _ in range(depth):
             rows.descend(node["feature"], node["bin"])
         rows.finish(node["value"])
@@ -307,12 +508,12 @@ def _count(tree: int, plan: _Plan, node: Node, level: int, nodes: np.ndarray, bl
     """Histograms and, for a root, losses over the blocks of a task. Gradients and nodes are worked out again: cheaper than keeping them."""
     total = None
     for block in blocks:
-        rows = _Rows(*block)
-        rows.start(tree, plan)
+        rows = _Rows(*block, plan.depth)
+        lost = rows.start(tree, plan)
         for _ in range(level):
             rows.descend(node["feature"], node["bin"])
         found = [] if tree == plan.trees else [rows.histogram(nodes, plan.columns(tree), plan).ravel()]
-        found = np.concatenate([*found, [] if level else rows.loss(plan)])
+        found = np.concatenate([*found, [] if level else lost])
         total = found if total is None else total + found
     if total is not None:
         yield zlib.compress(total.tobytes(), 1)
@@ -370,8 +571,17 @@ def _unpacked(d: int, kind: type, row) -> tuple:
     return np.frombuffer(row["bins"], kind).reshape(d, len(y)), y, weights, np.frombuffer(row["key"], np.uint64), margin
 
 
+def _limbs(x: Column, name: str) -> list[Column]:
+    """Sums of the whole part of a number and of two times 30 bits below it: the same in any order, for up to 2**33 rows."""
+    whole = F.floor(x)
+    below = (x - whole) * 2.0**30
+    parts = (whole, F.floor(below), F.rint((below - F.floor(below)) * 2.0**30).cast("bigint"))
+    return [F.sum(part).alias(f"{name}{k}") for k, part in enumerate(parts)]
+
+
 def fit_trees(df: DataFrame, d: int, label: str = "y", weight: str | None = None, key: str = "row_id", seed: int = 42, trees: int = 200, depth: int = 5,
-              rate: float = 0.08, share: float = 0.85, penalty: float = 1.0, bins: int = BINS, tasks: int | None = None) -> Trees:
+              rate: float = 0.08, share: float = 0.85, penalty: float = 1.0, bins: int = BINS, tasks: int | None = None,
+              cuts: list[np.ndarray] | None = None, exchange: bool | None = None) -> Trees:
     """Boosted trees for the log loss: leaves are -rate G / (H + penalty), splits maximise the gain of G^2 / (H + penalty).
 
     Each tree draws ``share`` of the rows (by a hash of ``key``, or of features and label where there is no such
@@ -379,16 +589,22 @@ def fit_trees(df: DataFrame, d: int, label: str = "y", weight: str | None = None
     weight, key and log-odds. Gradients are rounded to whole multiples of a unit chosen so that sums of all rows are exact; so the model
     is the same for any partitioning.
 
-    Up to two million rows are fitted in one task. Larger tables are cached as blocks, and every level of a tree is a job over them: tasks
-    return histograms of at most ``MOST_CELLS`` cells, never rows, which the driver adds to choose the splits. A lost task is repeated on
-    its own. ``tasks`` sets their number. A row without label or with a weight that is null or not positive takes no part.
+    Up to half a million rows are fitted in one task. Larger tables are spread over tasks (``tasks`` sets their number) in one of two ways. Where
+    as many tasks run at a time, hold their rows and open the scratch folder as a path, they are one barrier stage and exchange
+    histograms through small files (:class:`_Peers`); if one fails, Spark starts the stage again. Otherwise, or with ``exchange`` False,
+    rows are cached as blocks and every level of a tree is a job over them: tasks return histograms of at most ``MOST_CELLS`` cells, never
+    rows, which the driver adds to choose the splits, and a lost task is repeated on its own.
+
+    ``cuts`` are the :func:`thresholds` of the same rows where they are known already. A row without label or with a weight that is
+    null or not positive takes no part.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     row_key = F.xxhash64(key) if key in df.columns else F.xxhash64("features", label)
     rows = df.select("features", F.col(label).cast("double").alias("y"), w.alias("w"), row_key.alias("key")).filter("y is not null and w > 0")
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"), F.sum(F.col("w").cast("decimal(38,12)")).alias("all"), F.sum((F.col("w") * F.col("y")).cast("decimal(38,12)")).alias("ones")).first()
-    cuts = thresholds(rows, d, bins)
-    mean = min(max(float(facts["ones"]) / float(facts["all"]), 1e-6), 1 - 1e-6)
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"), *_limbs(F.col("w"), "all"), *_limbs(F.col("w") * F.col("y"), "ones")).first()
+    cuts = thresholds(rows, d, bins) if cuts is None else cuts
+    whole, ones = (sum(facts[f"{name}{k}"] / 2.0 ** (30 * k) for k in range(3)) for name in ("all", "ones"))
+    mean = min(max(ones / whole, 1e-6), 1 - 1e-6)
     base = math.log(mean / (1 - mean))
     # a row's summand is at most 64 w (its loss): all rows together stay below 2**52
     scale = 2.0 ** (52 - 6 - math.ceil(math.log2(facts["n"] * max(facts["w"], 1e-9) + 1)))
@@ -399,26 +615,44 @@ def fit_trees(df: DataFrame, d: int, label: str = "y", weight: str | None = None
 
     def block(parts: list[pa.RecordBatch]) -> tuple:
         """Bins [feature, row], label, weight, key and first log-odds of some batches."""
-        each = [np.stack([np.searchsorted(c, x) for c, x in zip(cuts, _rows(part, d).T)]).astype(kind) for part in parts]
-        y, weights, keys = (np.concatenate([part.column(n).to_numpy(zero_copy_only=False) for part in parts]) for n in ("y", "w", "key"))
-        return np.concatenate(each, axis=1), y, weights, keys.astype(np.int64).view(np.uint64), np.full(len(y), base)
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _boost_here(_Rows(*block([b for b in batches if len(b)])), plan):
-            yield pa.RecordBatch.from_pydict(_table(*found))
+        each = [np.zeros((d, 0), kind), *(np.stack([np.searchsorted(c, x) for c, x in zip(cuts, _rows(part, d).T)]).astype(kind) for part in parts)]
+        y, weights, keys = (np.concatenate([np.zeros(0, t), *(part.column(n).to_numpy(zero_copy_only=False) for part in parts)]) for n, t in (("y", float), ("w", float), ("key", np.int64)))
+        return np.concatenate(each, axis=1), y, weights, keys.view(np.uint64), np.full(len(y), base)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held += [batch] if len(batch) else []
             if sum(map(len, held)) >= BLOCK_ROWS:
-                yield _packed(block(held))
+                yield block(held)
                 held = []
-        if held:
-            yield _packed(block(held))
+        yield block(held)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> _Rows:
+        parts = list(blocks(batches))
+        return _Rows(*(np.concatenate(p, axis=-1) for p in zip(*parts)), depth)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _boost_here(held(batches), plan):
+            yield pa.RecordBatch.from_pydict(_table(*found))
+
+    def fit_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, peers = held(batches), _Peers(folder)
+        for found in _boost_here(rows, plan, peers.add):
+            if not peers.rank:
+                yield pa.RecordBatch.from_pydict(_table(*found))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (_packed(b) for b in blocks(batches) if len(b[1]))
 
+    if exchange is None:
+        exchange = _may_exchange(df.sparkSession, facts["n"], tasks)
+    folder = _shared_folder(df.sparkSession) if exchange and tasks > 1 else None
     if tasks == 1:
         found = rows.repartition(1).mapInArrow(fit, _NODES).toArrow()
+    elif folder:
+        found = rows.repartition(tasks).mapInArrow(fit_together, _NODES, barrier=True).toArrow()
+        shutil.rmtree(folder, ignore_errors=True)  # what is left of the exchange
     else:
         packed = rows.repartition(tasks).mapInArrow(pack, _BLOCK)
         found = pa.concat_tables(pa.table(_table(*f)) for f in _boost_apart(packed.rdd.map(partial(_unpacked, d, kind)), plan))

@@ -34,17 +34,17 @@ class Classifier:
 
 
 def fit_classifier(df: DataFrame, kind: str = "trees", label: str = "y", weight: str | None = None, seed=42,
-                   trees: int = 200, depth: int = 5, rate: float = 0.08, share: float = 0.85, iterations: int = 50) -> Classifier:
+                   trees: int = 200, depth: int = 5, rate: float = 0.08, share: float = 0.85, iterations: int = 50, cuts: list | None = None) -> Classifier:
     """Fit boosted trees or, as the fast option, a logistic regression.
 
-    One class only gives a constant classifier.
+    One class only gives a constant classifier. ``cuts`` are the thresholds of the trees where they are known already.
     """
     size = F.max(F.size("features")).alias("d")
     span = df.agg(F.min(label).alias("lo"), F.max(label).alias("hi"), size).first()
     if span["lo"] == span["hi"]:
         return Classifier("constant", float(span["lo"] or 0))
     if kind == "trees":
-        return Classifier(kind, fit_trees(df, span["d"], label, weight, seed=seed, trees=trees, depth=depth, rate=rate, share=share))
+        return Classifier(kind, fit_trees(df, span["d"], label, weight, seed=seed, trees=trees, depth=depth, rate=rate, share=share, cuts=cuts))
     if kind != "logistic":
         raise ValueError(f"unknown classifier {kind!r}")
     columns = [array_to_vector("features").alias("_vector"), F.col(label).cast("double").alias("_label")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clip
 from ..functions.vocabulary import TRUST_CEILING, TRUST_FLOOR
 from ..session import write_table
+from .boosting import thresholds
 from .learn import Classifier, fit_classifier
 from .quantile import exact_percentile
 
@@ -78,8 +79,12 @@ def trust_training(df: DataFrame, threshold: float | None, rounds: int = 3, powe
 
     ``df`` has row_id, user_id, y, features and, with a threshold, err. Trust is updated once
     more after the last fit. Everything stays in one frame, so nothing is joined; each round
-    writes one table.
+    writes one table. Features do not change, so the places where trees may split are found once.
     """
+    if kind == "trees":
+        known = df.filter("y is not null")
+        size = known.agg(F.max(F.size("features"))).first()[0]
+        fit = {**fit, "cuts": thresholds(known, size) if size else None}
     state = init_trust(df)
     model = None
     for r in range(max(1, rounds)):

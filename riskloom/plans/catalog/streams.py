@@ -137,6 +137,13 @@ def message_stream(spark, folder):
     return rows.unionByName(broken.select("row_id", "error"), allowMissingColumns=True)
 
 
+def labelled_source(spark, folder):
+    """Labelled events, written once as all passes of the preparation read them, the counts of users, and the facts about the rows."""
+    frame, meta = labelled_events(spark, folder)
+    frame = write_table(frame, "source")
+    return frame, write_table(login_counts(frame), "counts"), meta
+
+
 def trusted_scoring(frame, meta):
     """What decisions on events need, fitted on the training rows: encoder and scaler, scorer, classifier and trust after all rounds, threshold."""
     rows, preparation = prepare(frame, meta["categorical"], SEED)
@@ -150,8 +157,8 @@ def trusted_scoring(frame, meta):
 
 @query("stream_risk_scoring")
 def scoring_stream(spark, folder):
-    frame, meta = labelled_events(spark, folder)
-    decisions = stream_risk_scoring(event_columns(_stream(spark, folder)), login_counts(frame), *trusted_scoring(frame, meta))
+    frame, counts, meta = labelled_source(spark, folder)
+    decisions = stream_risk_scoring(event_columns(_stream(spark, folder)), counts, *trusted_scoring(frame, meta))
     return rounded(run_to_table(decisions, "decisions").select("row_id", "user_id", "threat_level", "risk_score"))
 
 

@@ -94,3 +94,54 @@ def test_rows_without_label_or_weight_take_no_part(rows, spark):
     more = rows.unionByName(spark.createDataFrame([(900, [9.0] * 4, None, 1.0), (901, [9.0] * 4, 1, None), (902, [9.0] * 4, 1, 0.0)], rows.schema))
     a, b = (fit_trees(df, 4, weight="w", trees=2, depth=2) for df in (rows, more))
     assert (a.value == b.value).all() and (a.threshold == b.threshold).all()
+
+
+def test_tasks_exchange_their_sums_within_one_job(rows, spark):
+    """A fit over several tasks takes a handful of jobs, not one for each level of a tree; its files are gone afterwards."""
+    one = fit_trees(rows, 4, weight="w", trees=12, depth=3)
+    apart = fit_trees(rows, 4, weight="w", trees=12, depth=3, tasks=2, exchange=False)
+    spark.sparkContext.setJobGroup("exchange", "fit")
+    together = fit_trees(rows, 4, weight="w", trees=12, depth=3, tasks=3)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("exchange")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 15
+    for name in ("feature", "threshold", "value", "g", "h", "losses"):
+        assert (getattr(one, name) == getattr(together, name)).all() and (getattr(one, name) == getattr(apart, name)).all()
+
+
+def test_scores_by_ranks_and_by_steps_agree():
+    """Also for values on a threshold, missing ones, and trees with leaves above the last level."""
+    rng = np.random.default_rng(5)
+    size, trees = 15, 20
+    feature, threshold = rng.integers(0, 3, (trees, size)), rng.integers(-3, 4, (trees, size)) / 2
+    feature[:, 7:] = -1
+    feature[3] = feature[4, 2] = feature[4, 5:7] = feature[5, 4] = -1
+    model = boosting.Trees(0.25, 3, feature, threshold, rng.normal(size=(trees, size)), *(np.zeros((trees, size)),) * 2, losses=np.zeros(trees + 1))
+    x = rng.integers(-4, 5, (5000, 3)) / 2
+    x[::7, 1] = np.nan
+    plain = np.full(len(x), 0.25)
+    for f, t, v in zip(feature, threshold, model.value):
+        for i, row in enumerate(x):
+            at = 0
+            while f[at] >= 0:
+                at = 2 * at + 1 + bool(row[f[at]] > t[at])
+            plain[i] += v[at]
+    assert np.allclose(model.margin(x), plain, atol=1e-12) and np.allclose(model._by_steps(x) + 0.25, plain, atol=1e-12)
+
+
+def test_features_are_counted_in_bundles_exactly():
+    rng = np.random.default_rng(2)
+    n, sizes = 3000, [2, 300, 5, 3, 40, 2]
+    bins = np.stack([rng.integers(0, s, n) for s in sizes]).astype(np.uint16)
+    plan = boosting._Plan([np.arange(s - 1.0) for s in sizes], -1.0, 2.0**20, 1, 3, 0.1, 1.0, 1.0, 1)
+    assert len(plan.bundles) < len(sizes)
+    rows = boosting._Rows(bins, rng.integers(0, 2, n).astype(float), np.ones(n), np.arange(n, dtype=np.uint64), np.full(n, -1.0), 3)
+    rows.start(0, plan)
+    rows.descend(np.array([4, -1, -1] + [-1] * 12), np.array([17] + [0] * 14))
+    columns = np.array([0, 1, 3, 4])
+    found = rows.histogram(np.array([1, 2]), columns, plan)
+    for node in (1, 2):
+        for k, f in enumerate(columns):
+            for side, values in enumerate((rows.g, rows.h)):
+                own = rows.at == node
+                assert (found[side, node - 1, k, : sizes[f]] == np.bincount(bins[f][own], values[own], sizes[f])).all()

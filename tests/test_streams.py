@@ -11,7 +11,7 @@ from riskloom.operators.anomaly import anomaly_threshold, fit_linear
 from riskloom.operators.prep import prepare
 from riskloom.operators.respond import decide, threat_level_counts
 from riskloom.operators.trust import trust_map, trust_training
-from riskloom.plans.adapters import labelled_events
+from riskloom.plans.adapters import event_columns, labelled_events
 from riskloom.plans.catalog import QUERIES, facts, streams
 from riskloom.plans.experiment import Settings
 from riskloom.session import scratch_path
@@ -359,3 +359,8 @@ def test_running_trust_is_the_same_in_buckets_and_alone(spark, tmp_path):
         source = parquet_stream(spark, f"{tmp_path}/t", frame.schema, files_per_trigger=1)
         found.append(sorted(run_to_table(stream_user_trust(source, buckets=buckets), "t").collect(), key=repr))
     assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
+def test_event_columns_parse_the_text_once(spark):
+    plan = event_columns(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 1
