@@ -177,6 +177,18 @@ def test_near_misses_get_no_label_and_long_templates_work(spark):
         assert name in by_text[t].labels.split(",")
 
 
+def test_licenses_of_templates_without_naming_phrases(spark):
+    """Naming phrases may be missing or be written as in the notice; every verbatim notice is found, whatever the others need."""
+    templates = {
+        "fox's own": ("The quick brown fox jumps over the lazy dog", []),
+        "corp": ("Permission granted by Acme Corporation to everyone", ["Acme Corporation"]),
+        "long": ("one two three four five six seven eight nine ten eleven", ["Seven, Eight"]),
+    }
+    texts = [notice for notice, _ in templates.values()] + ["quick over the lazy", "Acme and Corporation", ""]
+    got = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), templates).collect()
+    assert [r.labels for r in sorted(got, key=lambda r: r.i)] == ["fox's own", "corp", "long", "", "", ""]
+
+
 def test_licenses_against_plain_loops(spark):
     rng = random.Random(6)
     rows = ["cc by cc by", "CC-BY", "word " * 40 + LICENSE + " word" * 80, None, "", "...", "é É all rights reserved", "x " * 50_000]
